@@ -40,16 +40,20 @@ def _valid_date(s: Column, shape) -> Column:
     return F.when(s.rlike(pattern) & (year != "0000"), text.try_cast("date"))
 
 
-def typed_date(c) -> Column:
+def typed_date(c, stripped: bool = False) -> Column:
     """The date in one of the seven accepted formats, else null."""
-    s = strip(c)
+    s = col(c) if stripped else strip(c)
     return F.coalesce(*[_valid_date(s, shape) for shape in _SHAPES])
 
 
-def parse_date(c) -> Column:
-    """`YYYY-MM-DD`; a leading `dddd-dd-dd` passes unchecked; else `''`."""
-    return F.coalesce(F.date_format(typed_date(c), "yyyy-MM-dd"),
-                      F.regexp_extract(strip(c), r"^(\d{4}-\d{2}-\d{2})", 1))
+def parse_date(c, stripped: bool = False) -> Column:
+    """`YYYY-MM-DD`; a leading `dddd-dd-dd` passes unchecked; else `''`.
+
+    Pass `stripped` for a column that `strip` has gone over already.
+    """
+    s = col(c) if stripped else strip(c)
+    return F.coalesce(F.date_format(typed_date(s, True), "yyyy-MM-dd"),
+                      F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})", 1))
 
 
 def epoch_to_ts(c) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import clean, col, norm_label
+from .text import clean, col, let, norm_label
 
 # Character references decoded in page text.
 ENTITIES = {
@@ -33,24 +33,30 @@ def without_noise(html) -> Column:
     return F.regexp_replace(col(html), NOISE + TITLE, " ")
 
 
-def _numeric(piece: Column) -> Column:
-    number = F.regexp_extract(piece, r"^(\d{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+def _character(number: Column) -> Column:
     code = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, 2, 6), 16, 10)
                   ).otherwise(number).try_cast("int")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
-    return F.when(number == "", F.concat(F.lit("&#"), piece)).otherwise(
-        F.concat(char, F.substr(piece, F.length(number) + 2)))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def decode_entities(c: Column) -> Column:
+def _numeric(piece: Column) -> Column:
+    return let(F.regexp_extract(piece, r"^(\d{1,7}|[xX][0-9a-fA-F]{1,6});", 1), lambda number: F.when(
+        number == "", F.concat(F.lit("&#"), piece)).otherwise(
+        F.concat(_character(number), F.substr(piece, F.length(number) + 2))))
+
+
+def _decoded(c: Column) -> Column:
     numbers = F.concat_ws("", F.transform(
         F.split(c, "&#"), lambda p, i: F.when(i == 0, p).otherwise(_numeric(p))))
     out = F.when(c.contains("&#"), numbers).otherwise(c)
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(c.contains("&"), out).otherwise(c)
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
+def decode_entities(c: Column) -> Column:
+    return let(c, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
 
 
 def text_of(html, sep: str = " ") -> Column:
@@ -103,18 +109,18 @@ def heading_text(block: Column) -> Column:
 
 def sections(block_array) -> Column:
     """Blocks to `(heading, content)`; text before any heading has heading `''`."""
-    b = col(block_array)
-    marks = F.filter(F.transform(b, lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(-1)), marks)
+    def cut(b: Column) -> Column:
+        marks = F.filter(F.transform(b, lambda x, i: F.when(is_heading(x), i)), lambda i: i.isNotNull())
+        return let(F.concat(F.array(F.lit(-1)), marks), lambda starts: F.transform(
+            starts, lambda start, k: section(b, start, F.coalesce(F.get(starts, k + 1), F.size(b)))))
 
-    def section(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(b))
+    def section(b: Column, start: Column, end: Column) -> Column:
         body = F.slice(b, start + 2, end - start - 1)
         return F.struct(
-            F.when(start < 0, "").otherwise(heading_text(F.get(b, start))).alias("heading"),
+            F.when(start < 0, "").otherwise(let(F.get(b, start), heading_text)).alias("heading"),
             clean(F.concat_ws(" ", F.transform(body, lambda x: x["text"]))).alias("content"))
 
-    return F.filter(F.transform(starts, section), lambda s: s["content"] != "")
+    return F.filter(let(col(block_array), cut), lambda s: s["content"] != "")
 
 
 # --- label/value pairs -------------------------------------------------------------
@@ -151,14 +157,17 @@ def list_pairs(html) -> Column:
     """`(label, value, cell)` from dt entries and the dd that follows in the same dl."""
     lists = F.regexp_extract_all(without_noise(html), F.lit(r"(?is)<dl\b[^>]*>(.*?)</dl\s*>"), 1)
 
-    def pairs(body: Column) -> Column:
-        parts = F.slice(F.split(body, r"(?i)(?=<dt\b)"), 1, F.lit(1 << 30))
-        terms = F.transform(parts, lambda p, i: F.struct(p.alias("html"), F.concat_ws(
-            "", F.slice(parts, i + 1, F.size(parts))).alias("rest")))
-        terms = F.filter(terms, lambda t: t["html"].rlike(r"(?i)^<dt\b") & t["rest"].rlike(r"(?i)<dd\b"))
-        return F.transform(terms, lambda t: _pair(_first(t["html"], "dt"), _first(t["rest"], "dd")))
+    def entry(parts: Column, i: Column) -> Column:
+        rest = F.slice(parts, i + 1, F.size(parts))
+        return F.struct(F.get(parts, i).alias("term"), F.get(F.filter(
+            rest, lambda p: p.rlike(r"(?i)<dd\b")), F.lit(0)).alias("rest"))
+
+    def pairs(parts: Column) -> Column:
+        entries = F.filter(F.transform(parts, lambda p, i: entry(parts, i)),
+                           lambda e: e["term"].rlike(r"(?i)^<dt\b") & e["rest"].isNotNull())
+        return F.transform(entries, lambda e: _pair(_first(e["term"], "dt"), _first(e["rest"], "dd")))
 
-    return F.flatten(F.transform(lists, pairs))
+    return F.flatten(F.transform(lists, lambda body: let(F.split(body, r"(?i)(?=<dt\b)"), pairs)))
 
 
 def normalised(pairs: Column, spaces: bool = False) -> Column:
@@ -176,18 +185,19 @@ def _tokens(html, tag: str) -> Column:
 
 def _inner(tokens: Column, i: Column, tag: str) -> Column:
     """Inner HTML of the element that token `i` opens; an unclosed one runs to the end."""
-    after = F.slice(tokens, i + 1, F.size(tokens))
     opens = rf"(?i)^<{tag}\b"
 
     def step(acc: Column, t: Column) -> Column:
         done = (acc["n"] > 0) & (acc["depth"] <= 0)
-        depth = acc["depth"] + F.when(t.rlike(opens), 1).otherwise(-1)
-        return F.struct(F.when(done, acc["depth"]).otherwise(depth).alias("depth"),
-                        F.when(done, acc["n"]).otherwise(acc["n"] + 1).alias("n"))
+        return F.when(done, acc).otherwise(F.struct(
+            (acc["depth"] + F.when(t.rlike(opens), 1).otherwise(-1)).alias("depth"), (acc["n"] + 1).alias("n")))
 
-    end = F.aggregate(after, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)
-    length = F.when(end["depth"] <= 0, end["n"] - 1).otherwise(end["n"])
-    return F.regexp_replace(F.concat_ws("", F.slice(after, F.lit(1), length)), r"(?s)^<[^>]*>", "")
+    def content(after: Column) -> Column:
+        end = F.aggregate(after, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)
+        length = let(end, lambda e: F.when(e["depth"] <= 0, e["n"] - 1).otherwise(e["n"]))
+        return F.concat_ws("", F.slice(after, F.lit(1), length))
+
+    return F.regexp_replace(let(F.slice(tokens, i + 1, F.size(tokens)), content), r"(?s)^<[^>]*>", "")
 
 
 def _positions(tokens: Column, test) -> Column:
@@ -196,9 +206,10 @@ def _positions(tokens: Column, test) -> Column:
 
 def element(html, tag: str, attributes: str) -> Column:
     """Inner HTML of the first `tag` whose opening tag matches `attributes`; `''` if none."""
-    tokens = _tokens(html, tag)
-    first = F.get(_positions(tokens, lambda t: t.rlike(rf"(?is)^<{tag}\b[^>]*{attributes}")), F.lit(0))
-    return F.when(first.isNotNull(), _inner(tokens, first, tag)).otherwise("")
+    opening = rf"(?is)<{tag}\b[^>]*{attributes}"
+    first = lambda tokens: F.get(_positions(tokens, lambda t: t.rlike(f"{opening[:5]}^{opening[5:]}")), F.lit(0))
+    found = lambda tokens: let(first(tokens), lambda i: F.coalesce(_inner(tokens, i, tag), F.lit("")))
+    return F.when(col(html).rlike(opening), let(_tokens(html, tag), found)).otherwise("")
 
 
 def with_id(name: str) -> str:
@@ -211,11 +222,13 @@ def with_class(name: str) -> str:
 
 def id_spans(html, wanted: str) -> Column:
     """`(id, text)` of spans whose id matches `wanted`; nested spans belong to the outer text."""
-    tokens = _tokens(without_noise(html), "span")
-    return F.transform(
-        _positions(tokens, lambda t: _span_id(t).rlike(wanted)),
-        lambda i: F.struct(_span_id(F.get(tokens, i)).alias("id"),
-                           text_of(_inner(tokens, i, "span")).alias("text")))
+    def spans(tokens: Column) -> Column:
+        return F.transform(
+            _positions(tokens, lambda t: _span_id(t).rlike(wanted)),
+            lambda i: F.struct(_span_id(F.get(tokens, i)).alias("id"),
+                               text_of(_inner(tokens, i, "span")).alias("text")))
+
+    return let(_tokens(without_noise(html), "span"), spans)
 
 
 def _span_id(token: Column) -> Column:
@@ -230,11 +243,15 @@ def span_value(spans: Column, span_id) -> Column:
 
 def unbroken(spans: Column, prefix: str, suffix: str = "", limit: int | None = None) -> Column:
     """0, 1, 2 ... up to the first number without a span `prefix` + number + `suffix`."""
-    ids = F.transform(spans, lambda s: s["id"])
-    top = F.size(ids) if limit is None else F.least(F.size(ids), F.lit(limit))
-    gap = F.array_min(F.filter(F.sequence(F.lit(0), top), lambda i: ~F.array_contains(
-        ids, F.concat(F.lit(prefix), i.cast("string"), F.lit(suffix))) | (i >= top)))
-    return F.when(gap > 0, F.sequence(F.lit(0), gap - 1)).otherwise(F.array().cast("array<int>"))
+    def numbers(ids: Column) -> Column:
+        top = F.size(ids) if limit is None else F.least(F.size(ids), F.lit(limit))
+        named = lambda i: F.concat(F.lit(prefix), i.cast("string"), F.lit(suffix))
+        gap = F.array_min(F.filter(F.sequence(F.lit(0), top),
+                                   lambda i: ~F.array_contains(ids, named(i)) | (i >= top)))
+        return let(gap, lambda g: F.when(g > 0, F.sequence(F.lit(0), g - 1)).otherwise(
+            F.array().cast("array<int>")))
+
+    return let(F.transform(spans, lambda s: s["id"]), numbers)
 
 
 # --- links -------------------------------------------------------------------------

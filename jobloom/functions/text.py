@@ -23,6 +23,11 @@ def col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -225,23 +230,22 @@ def summary_is_nav(summary) -> Column:
 _LIFTED = r"(?s)\[Job Description[^\]]*\]\s*(.+?)(?=\s*\|\|\s*\[|\z)"
 
 
+def _lifted_body(extra: Column) -> Column:
+    """Content of the lifted section without its repeated header and label."""
+    body = clean(F.regexp_extract(extra, _LIFTED, 1))
+    body = strip(F.regexp_replace(body, r"^Job Description\s+.+?\s*[-\u2013]\s*\d+\s*", ""))
+    label = r"^(.{0,149}?)Description\s*:\s*"
+    return let(body, lambda b: strip(F.regexp_replace(b, label, "")))
+
+
 def promote_section(extra, summary) -> tuple[Column, Column]:
     """Lift the `[Job Description ...]` section into a summary that is only page chrome.
 
     Returns the new (extra, summary).
     """
     e, s = col(extra), col(summary)
-    body = clean(F.regexp_extract(e, _LIFTED, 1))
-    body = strip(F.regexp_replace(body, r"^Job Description\s+.+?\s*[-\u2013]\s*\d+\s*", ""))
-    label = F.regexp_extract(body, r"^(.*?)Description\s*:\s*", 0)
-    lead = F.length(F.regexp_extract(body, r"^(.*?)Description\s*:\s*", 1))
-    body = F.when((label != "") & (lead < 150), strip(F.substr(body, F.length(label) + 1))).otherwise(body)
     lift = summary_is_nav(s) & e.rlike(_LIFTED)
-    new_extra = F.when(lift, F.regexp_replace(F.regexp_replace(e, _LIFTED, ""), r"^[| ]+|[| ]+\z", "")
-                       ).otherwise(e)
-    new_summary = (
-        F.when(lift, F.when(F.length(body) > 50, body).otherwise(s))
-        .when((e == "") & has_session_bar(s), "")
-        .otherwise(s)
-    )
-    return new_extra, new_summary
+    rest = F.regexp_replace(F.regexp_replace(e, _LIFTED, ""), r"^[| ]+|[| ]+\z", "")
+    lifted = let(_lifted_body(e), lambda b: F.when(F.length(b) > 50, b).otherwise(s))
+    new_summary = F.when(lift, lifted).when((e == "") & has_session_bar(s), "").otherwise(s)
+    return F.when(lift, rest).otherwise(e), new_summary

@@ -71,7 +71,7 @@ def drop_pager_links(links: DataFrame) -> DataFrame:
 def apply_link(html, page_url, base: str, path: str = r"(?i)/pre_apply|/apply") -> Column:
     """The first matching link, made absolute; else the page itself."""
     href = F.get(H.links(html, path), F.lit(0))["href"]
-    return F.coalesce(X.absolute_url(base, href), X.col(page_url))
+    return X.let(href, lambda h: F.coalesce(X.absolute_url(base, h), X.col(page_url)))
 
 
 # --- numbered spans ----------------------------------------------------------------
@@ -128,14 +128,15 @@ def _packed(sections: str) -> Column:
 
 def _duties(pairs: Column) -> Column:
     """Duty rows of one page in order, each with the shares that follow it."""
-    kept = F.filter(pairs, lambda p: p["label"].isin(L.DUTY_LABEL, L.DUTY_SHARE_LABEL))
-    first = F.coalesce(F.get(F.filter(F.transform(
-        kept, lambda p, i: F.when(p["label"] == L.DUTY_LABEL, i)), lambda i: i.isNotNull()), F.lit(0)),
-        F.lit(1 << 30))
-    pieces = F.transform(kept, lambda p, i: F.when(i == first, p["value"])
-                         .when(p["label"] == L.DUTY_LABEL, F.concat(F.lit(" | "), p["value"]))
-                         .when(i > first, F.concat(F.lit("  ["), p["value"], F.lit("% of time]"))))
-    return F.concat_ws("", pieces)
+    def joined(kept: Column) -> Column:
+        duties = F.filter(F.transform(kept, lambda p, i: F.when(p["label"] == L.DUTY_LABEL, i)),
+                          lambda i: i.isNotNull())
+        return X.let(F.coalesce(F.get(duties, F.lit(0)), F.size(kept)), lambda first: F.concat_ws("", F.transform(
+            kept, lambda p, i: F.when(i == first, p["value"])
+            .when(p["label"] == L.DUTY_LABEL, F.concat(F.lit(" | "), p["value"]))
+            .when(i > first, F.concat(F.lit("  ["), p["value"], F.lit("% of time]"))))))
+
+    return X.let(F.filter(pairs, lambda p: p["label"].isin(L.DUTY_LABEL, L.DUTY_SHARE_LABEL)), joined)
 
 
 def postings_from_tables(pages: DataFrame, base: str) -> DataFrame:
@@ -208,11 +209,13 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
     df = pages.withColumn("pairs", H.normalised(H.cell_pairs("html"), spaces=True))
 
     def body(p: Column) -> Column:
-        field = L.resolve_exact(p["label"], L.HEADING_LABELS)
-        spaced = H.text_of(p["cell"])
-        inner = _appended_in(p["cell"], field)
-        value = F.when(field.isNotNull() & (field != "salary"), X.first_non_empty(inner, spaced)).otherwise(spaced)
-        return F.struct(field.alias("field"), H.title_case(p["label"]).alias("label"), value.alias("value"))
+        def value(field: Column) -> Column:
+            spaced = H.text_of(p["cell"])
+            inner = F.when(field.isNotNull() & (field != "salary"), _appended_in(p["cell"], field))
+            return F.struct(field.alias("field"), H.title_case(p["label"]).alias("label"),
+                            F.coalesce(X.non_empty(inner), spaced).alias("value"))
+
+        return X.let(L.resolve_exact(p["label"], L.HEADING_LABELS), value)
 
     df = df.withColumn("cells", F.transform(F.filter("pairs", lambda p: ~L.is_meta_label(p["label"])), body))
     df = df.withColumn("sections", F.when(F.size("cells") > 0, F.col("cells"))
@@ -238,10 +241,14 @@ def _after_title(html) -> Column:
 
 def _main_html() -> Column:
     """The description container without its menu, else all that follows the title."""
-    page = H.without_noise("html")
-    main = X.first_non_empty(*[H.element(page, "div", H.with_id(i)) for i in MAIN_IDS], _after_title(page))
-    menu = H.element(main, "div", H.with_id(MENU_ID))
-    return F.when(menu != "", F.replace(main, menu, F.lit(""))).otherwise(main)
+    def main(page: Column) -> Column:
+        return X.first_non_empty(*[H.element(page, "div", H.with_id(i)) for i in MAIN_IDS], _after_title(page))
+
+    def without_menu(html: Column) -> Column:
+        return X.let(H.element(html, "div", H.with_id(MENU_ID)), lambda menu: F.when(
+            menu != "", F.replace(html, menu, F.lit(""))).otherwise(html))
+
+    return X.let(X.let(H.without_noise("html"), main), without_menu)
 
 
 def _appended_in(cell: Column, field: Column) -> Column:
@@ -275,8 +282,9 @@ APPLY_ID = "apply-button-top"
 
 def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
     """Detail fields of dt/dd pages with headed sections in the description parts."""
-    df = pages.withColumn("pairs", H.normalised(H.list_pairs("html"), spaces=True))
-    page = H.without_noise("html")
+    df = pages.withColumn("page", H.without_noise("html"))
+    df = df.withColumn("pairs", H.normalised(H.list_pairs("page"), spaces=True))
+    page = F.col("page")
     parts = F.concat_ws(" ", *[X.non_empty(X.first_non_empty(
         H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p))))
         for p in DESCRIPTION_PARTS])
@@ -288,9 +296,9 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
         H.classed(page, "posting-title"))
     note = _grouped(F.col("pairs"), L.LIST_GROUPS, "close_note")
     first_link = lambda links: F.get(links, F.lit(0))["href"]
-    named_apply = F.filter(H.links("html"), lambda a: F.lower(a["text"]) == "apply")
+    named_apply = F.filter(H.links("page"), lambda a: F.lower(a["text"]) == "apply")
     href = F.coalesce(first_link(H.links(H.element(page, "div", H.with_id(APPLY_ID)))),
-                      first_link(H.links("html", "/apply")), first_link(named_apply))
+                      first_link(H.links("page", "/apply")), first_link(named_apply))
     return df.select(
         "page_id", title.alias("job_title"),
         *[_grouped(F.col("pairs"), L.LIST_GROUPS, c).alias(c)
@@ -298,7 +306,7 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
         *[_appended("sections", c).alias(c) for c in SECTION_COLUMNS if c != "other_information"],
         X.first_non_empty(_appended("sections", "other_information"), note).alias("other_information"),
         _packed("sections").alias("extra_sections"),
-        F.coalesce(X.absolute_url(base, href), F.lit("")).alias("apply_link"))
+        X.let(href, lambda h: F.coalesce(X.absolute_url(base, h), F.lit(""))).alias("apply_link"))
 
 
 # --- listings ------------------------------------------------------------------------
@@ -357,13 +365,15 @@ def listing_from_cards(pages: DataFrame, base: str) -> DataFrame:
     blocks = _containers("html", f"(?:{opening})")
 
     def card(b: Column) -> Column:
-        link = F.get(H.links(b, "/postings/"), F.lit(0))
-        url = X.absolute_url(base, link["href"])
-        return F.struct(X.url_id(url).alias("job_id"), url.alias("url"), link["text"].alias("title"),
-                        X.first_non_empty(*[H.classed(b, c) for c in ("department", "unit", "college")]
-                                          ).alias("department"),
-                        X.first_non_empty(*[H.classed(b, c) for c in ("location", "campus")],
-                                          F.lit(DEFAULT_PLACE)).alias("location"))
+        def fields(link: Column) -> Column:
+            url = X.absolute_url(base, link["href"])
+            return F.struct(X.url_id(url).alias("job_id"), url.alias("url"), link["text"].alias("title"),
+                            X.first_non_empty(*[H.classed(b, c) for c in ("department", "unit", "college")]
+                                              ).alias("department"),
+                            X.first_non_empty(*[H.classed(b, c) for c in ("location", "campus")],
+                                              F.lit(DEFAULT_PLACE)).alias("location"))
+
+        return X.let(F.get(H.links(b, "/postings/"), F.lit(0)), fields)
 
     cards = F.filter(F.transform(blocks, card), lambda c: F.coalesce(c["job_id"], F.lit("")) != "")
     return _rows(pages, cards, "job_id", "url", "title", "department", "location")
@@ -374,9 +384,12 @@ def listing_from_columns(pages: DataFrame, base: str) -> DataFrame:
     rows = _containers("html", _classed_tag("div", "row"))
 
     def card(r: Column) -> Column:
-        link = F.get(H.links(r, r"^/postings/\d+\z"), F.lit(0))
         cells = F.regexp_extract_all(
             r, F.lit(r"(?is)<div\b[^>]*\sclass\s*=\s*[\"'][^\"']*col-md-2[^\"']*[\"'][^>]*>(.*?)</div\s*>"), 1)
+        return X.let(F.struct(F.get(H.links(r, r"^/postings/\d+\z"), F.lit(0)).alias("link"), cells.alias("cells")),
+                     lambda found: fields(found["link"], found["cells"]))
+
+    def fields(link: Column, cells: Column) -> Column:
         at = lambda i: F.coalesce(H.text_of(F.get(cells, F.lit(i)), ""), F.lit(""))
         return F.struct(
             X.url_id(link["href"]).alias("posting_id"), X.absolute_url(base, link["href"]).alias("posting_url"),

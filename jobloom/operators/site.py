@@ -27,8 +27,8 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
         text.clean(c("institution")).alias("institution"),
         text.clean(c("department")).alias("dept_raw"),
         text.clean(c("location")).alias("location"),
-        dates.parse_date(c("posted_date")).alias("posted"),
-        dates.parse_date(c("close_date")).alias("closes"),
+        text.strip(c("posted_date")).alias("posted_raw"),
+        text.strip(c("close_date")).alias("closes_raw"),
         text.clean(c("full_part_time")).alias("fpt"),
         text.clean(c("regular_temporary")).alias("rt"),
         text.clean(c("salary")).alias("pay_raw"),
@@ -49,7 +49,8 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
         F.when(text.is_garbled("dept_raw"), "").otherwise(F.col("dept_raw")).alias("department"),
         "location",
         text.is_remote("location").alias("remote"),
-        "posted", "closes",
+        dates.parse_date("posted_raw", stripped=True).alias("posted"),
+        dates.parse_date("closes_raw", stripped=True).alias("closes"),
         text.first_non_empty(text.norm_full_part("fpt"), pay.blob_type("dept_raw", "source")).alias("type"),
         text.norm_regular_temp("rt").alias("employment"),
         "salary",
