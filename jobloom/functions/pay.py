@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import BLOB_SOURCE
-from .text import clean, col, cut_at_word, first_non_empty, non_empty, norm_full_part
+from .text import clean, col, contains_any, cut_at_word, first_non_empty, non_empty, norm_full_part
 
 # ---------------------------------------------------------------------------
 # Pay labels, pay phrases and hourly wording.
@@ -34,7 +34,8 @@ BIG_NUMBER = r"(?U)\b\d{5,}\b"
 # ---------------------------------------------------------------------------
 
 _ANY_PHRASE = "(?iu)" + "|".join(f"(?:{p})" for p in PAY_PHRASES)
-_PAY_SECTION = rf"(?is)^\[\s*(?:{'|'.join(PAY_LABELS)})[^\]]*\]\s*(\S.*)\z"
+_PAY_SECTION = (rf"(?is)(?:^|\|\|)\s*\[\s*(?:{'|'.join(PAY_LABELS)})(?:(?!\|\|)[^\]])*\]"
+                r"\s*+(?!\|\|)(\S.*?)\s*(?:\|\||\z)")
 
 
 def trim_pay(c) -> Column:
@@ -53,15 +54,20 @@ def trim_pay(c) -> Column:
 
 def pay_from_sections(extra, pay) -> Column:
     """The pay column, else the first packed section with a pay label and content."""
-    hits = F.filter(F.split(col(extra), r"\s*\|\|\s*"), lambda p: F.trim(p).rlike(_PAY_SECTION))
-    found = F.substring(clean(F.regexp_extract(F.trim(F.get(hits, F.lit(0))), _PAY_SECTION, 1)), 1, 200)
-    return F.coalesce(non_empty(pay), F.when(col(extra) != "", found), F.lit(""))
+    found = F.substring(clean(F.regexp_extract(col(extra), _PAY_SECTION, 1)), 1, 200)
+    return F.when(col(pay) != "", col(pay)).when(col(extra).contains("["), found).otherwise("")
+
+
+def _may_hold_pay(c: Column) -> Column:
+    """A cheap test every pay phrase passes, so most texts never meet the long pattern."""
+    low = F.lower(c)
+    return contains_any(low, ["$", "salary", "minimum", "\u017f"])
 
 
 def pay_from_text(*cols) -> Column:
     """The first explicit pay phrase, columns in order."""
-    found = first_non_empty(*[F.regexp_extract(col(c), _ANY_PHRASE, 0) for c in cols])
-    return F.substring(F.trim(found), 1, 200)
+    found = [F.when(_may_hold_pay(col(c)), non_empty(F.regexp_extract(col(c), _ANY_PHRASE, 0))) for c in cols]
+    return F.substring(F.trim(F.coalesce(*found, F.lit(""))), 1, 200)
 
 
 def blob_pay(department, source) -> Column:
@@ -75,10 +81,17 @@ def blob_type(department, source) -> Column:
                   norm_full_part(F.regexp_extract(col(department), BLOB_TYPE, 1))).otherwise("")
 
 
-def resolve_pay(pay, extra, department, source, *texts) -> Column:
-    """Column, then packed sections, then the blob, then free text; shortened."""
-    return trim_pay(first_non_empty(pay_from_sections(extra, pay), blob_pay(department, source),
-                                    pay_from_text(*texts)))
+def add_pay(df: DataFrame, name: str, pay: str, extra: str, department: str, source: str,
+            *texts: str) -> DataFrame:
+    """Add the resolved pay: column, then packed sections, then the blob, then free text; shortened.
+
+    Each step is a column of its own and looks only at rows the step before left blank.
+    """
+    steps = df.withColumn("_pay", pay_from_sections(extra, pay))
+    steps = steps.withColumn("_pay", F.when(F.col("_pay") != "", F.col("_pay"))
+                             .otherwise(blob_pay(department, source)))
+    steps = steps.withColumn("_pay", F.when(F.col("_pay") != "", F.col("_pay")).otherwise(pay_from_text(*texts)))
+    return steps.withColumn(name, trim_pay("_pay")).drop("_pay")
 
 
 def pay_type(c) -> Column:

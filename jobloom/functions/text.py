@@ -60,9 +60,13 @@ def cut_at_word(c: Column, n: int) -> Column:
     return F.concat(F.regexp_replace(F.substring(c, 1, n), r" [^ ]*\z", ""), F.lit(ELLIPSIS))
 
 
+def cut(c, n: int) -> Column:
+    """Clean text of at most n characters plus the ellipsis."""
+    return F.when(F.length(col(c)) > n, cut_at_word(col(c), n)).otherwise(col(c))
+
+
 def truncate(c, n: int = 600) -> Column:
-    s = clean(c)
-    return F.when(F.length(s) > n, cut_at_word(s, n)).otherwise(s)
+    return cut(clean(c), n)
 
 
 def words(c) -> Column:
@@ -100,14 +104,19 @@ NOISE_NUMBERED = r"(?U)\b\d{5,}\b.*\bdescription\b"
 
 
 def is_garbled(c) -> Column:
-    low = strip(F.lower(col(c)))
+    low = F.trim(F.lower(col(c)))
     return any_of([low.startswith(p) for p in NOISE_OPENINGS]
                   + [F.substring(low, 1, 80).rlike(NOISE_NUMBERED)])
 
 
+def fill_short(summary, responsibilities) -> Column:
+    """Clean texts: a summary below 100 characters is followed by the responsibilities."""
+    s, extra = col(summary), col(responsibilities)
+    return F.when((F.length(s) < 100) & (extra != ""), F.trim(F.concat(s, F.lit(" "), extra))).otherwise(s)
+
+
 def short_summary_fill(summary, responsibilities) -> Column:
-    s, extra = clean(summary), clean(responsibilities)
-    return F.when(F.length(s) < 100, F.concat_ws(" ", non_empty(s), non_empty(extra))).otherwise(s)
+    return fill_short(clean(summary), clean(responsibilities))
 
 
 # --- joining parts ---------------------------------------------------------------

@@ -35,14 +35,17 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
         text.clean(c("extra_sections")).alias("extra"),
         text.clean(c("other_information")).alias("other"),
         text.clean(c("job_summary")).alias("job_summary"),
-        text.clean(text.first_non_empty(c("job_summary"), c("position_summary"))).alias("summary_raw"),
+        text.clean(c("position_summary")).alias("position_summary"),
+        (F.coalesce(c("job_summary"), F.lit("")) != "").alias("has_summary"),
         text.clean(c("responsibilities")).alias("resp"),
         text.fix_link(c("apply_link"), c("posting_url")).alias("apply"),
         text.clean(c("posting_url")).alias("posting_url"),
         source.alias("source"),
     ).where("id <> ''")
-    priced = cleaned.withColumn("salary", pay.resolve_pay(
-        "pay_raw", "extra", "dept_raw", "source", "other", "extra", "job_summary", "resp"))
+    summary = F.when(F.col("has_summary"), F.col("job_summary")).otherwise(F.col("position_summary"))
+    cleaned = cleaned.withColumn("summary_raw", text.fill_short(summary, "resp"))
+    priced = pay.add_pay(cleaned, "salary", "pay_raw", "extra", "dept_raw", "source",
+                         "other", "extra", "job_summary", "resp")
     return priced.select(
         *[k for k in keep if k in master.columns],
         "id", "title", "institution",
@@ -55,7 +58,7 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
         text.norm_regular_temp("rt").alias("employment"),
         "salary",
         pay.pay_type("salary").alias("salary_type"),
-        text.truncate(text.short_summary_fill("summary_raw", "resp"), 700).alias("summary"),
+        text.cut("summary_raw", 700).alias("summary"),
         text.first_non_empty("posting_url", "apply").alias("view"),
         "apply", "source",
     )
