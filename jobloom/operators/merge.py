@@ -8,9 +8,6 @@ from ..functions.text import first_non_empty, non_empty, strip
 from .keyed import one_per_key
 from .mapping import union_all
 
-BLANK_SALTS = 1024
-
-
 def require_title(master: DataFrame) -> DataFrame:
     return master.where(F.col("job_title") != "")
 
@@ -49,13 +46,14 @@ def load_keyed(existing: DataFrame, key: str, order: str) -> DataFrame:
 # --- anti joins ------------------------------------------------------------------
 
 def _absent(cards: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame:
-    """Cards whose key is not stored. Blank keys never match and are spread by a salt."""
-    blank = strip(key) == ""
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in cards.columns]), F.lit(BLANK_SALTS))
-    left = (cards.withColumn("_key", strip(key))
-            .withColumn("_salt", F.when(blank, spread).otherwise(F.lit(-1).cast("bigint"))))
-    right = stored_keys.select("_key", F.lit(-1).cast("bigint").alias("_salt"))
-    return left.join(right, ["_key", "_salt"], "left_anti").drop("_key", "_salt")
+    """Cards whose key is not stored. Blank keys never match.
+
+    A stripped key never starts with a space, so blank cards get a key that does:
+    it matches nothing and spreads them over all tasks.
+    """
+    spread = F.concat(F.lit(" "), F.xxhash64(*[F.col(c) for c in cards.columns]).cast("string"))
+    keyed = cards.withColumn("_key", F.when(strip(key) == "", spread).otherwise(strip(key)))
+    return keyed.join(stored_keys.select("_key"), "_key", "left_anti").drop("_key")
 
 
 def new_only(cards: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:

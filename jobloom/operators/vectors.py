@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.text import clean, job_text
 from ..functions.vectors import l2_normalise
 from .ranks import dense_index
 
+# The helpers below run on executors; send them along instead of asking for an install there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DIMENSIONS = 384          # fixed value: width of the published vectors
 MAX_LOCAL_QUERIES = 2_000
 MAX_BLOCK_ROWS = 20_000
@@ -100,8 +105,12 @@ def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, max_local: int
         best = v.mapInPandas(score, _SCORES)
     else:
         best = _blockwise(q, v, k)
+    return _ranked(best, k)
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _blockwise(q: DataFrame, v: DataFrame, k: int, rows: int = MAX_BLOCK_ROWS) -> DataFrame:
