@@ -20,8 +20,9 @@ ENTITIES = {
     "&euro;": "€", "&times;": "×",
 }
 
-NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-TITLE = r"|<title\b.*?</title\s*>"
+_NOISES = r"!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>"
+NOISE = rf"(?is)<(?:{_NOISES})"
+NOISE_AND_TITLE = rf"(?is)<(?:{_NOISES}|title\b.*?</title\s*>)"
 BLOCK_TAGS = "p|ul|ol|li|div|strong|b"
 HEADING_TAGS = ["h1", "h2", "h3", "h4"]
 
@@ -30,7 +31,7 @@ _CUT, _TAG_END = "\x02", "\x03"
 
 def without_noise(html) -> Column:
     """Drop scripts, styles, comments and the window title."""
-    return F.regexp_replace(col(html), NOISE + TITLE, " ")
+    return F.regexp_replace(col(html), NOISE_AND_TITLE, " ")
 
 
 def _character(number: Column) -> Column:
@@ -85,7 +86,7 @@ def _runs(fragment: Column) -> Column:
 
 def blocks(html) -> Column:
     """Ordered `(tag, text)` leaf blocks; every piece of text comes exactly once."""
-    h = F.translate(without_noise(html), _CUT + _TAG_END, "")
+    h = F.replace(F.replace(without_noise(html), F.lit(_CUT), F.lit("")), F.lit(_TAG_END), F.lit(""))
     h = F.regexp_replace(h, r"(?i)(<h[1-4]\b)", f"{_CUT}$1")
     h = F.regexp_replace(h, r"(?i)(</h[1-4]\s*>)", f"$1{_CUT}")
 

@@ -8,13 +8,8 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import Column, functions as F
 
-# Every Unicode white-space character, spelt so that Java and RE2 read it alike.
-_WS_NO_SPACE = (r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-                r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-WS = rf"[ {_WS_NO_SPACE}]"
-
-# Matches only runs that need rewriting, so lone plain spaces cost no replacement.
-_WS_RUN = rf"[{_WS_NO_SPACE}]{WS}*| {WS}+"
+# Every Unicode white-space character; the Unicode class alone misses four separators.
+WS = r"[\s\x1c-\x1f]"
 
 ELLIPSIS = "\u2026"
 
@@ -41,18 +36,23 @@ def non_empty(c) -> Column:
     return F.nullif(col(c), F.lit(""))
 
 
+def first_of(*cols) -> Column:
+    """As `first_non_empty`, for costly page expressions: each is computed exactly once."""
+    return F.coalesce(F.get(F.filter(F.array(*[col(c) for c in cols]), lambda v: v != ""), F.lit(0)), F.lit(""))
+
+
 def first_non_empty(*cols) -> Column:
     return F.coalesce(*[non_empty(c) for c in cols], F.lit(""))
 
 
 def clean(c) -> Column:
     """Null to `''`, white-space runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), _WS_RUN, " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?U){WS}+", " "))
 
 
 def strip(c) -> Column:
     """Trim Unicode white space; inner white space stays."""
-    return F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"^{WS}+|{WS}+\z", "")
+    return F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?U)^{WS}+|{WS}+\z", "")
 
 
 def cut_at_word(c: Column, n: int) -> Column:

@@ -53,7 +53,7 @@ def _absent(cards: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame:
     """
     spread = F.concat(F.lit(" "), F.xxhash64(*[F.col(c) for c in cards.columns]).cast("string"))
     keyed = cards.withColumn("_key", F.when(strip(key) == "", spread).otherwise(strip(key)))
-    return keyed.join(stored_keys.select("_key"), "_key", "left_anti").drop("_key")
+    return keyed.join(stored_keys.distinct(), "_key", "left_anti").drop("_key")
 
 
 def new_only(cards: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -70,20 +70,38 @@ def new_only(cards: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
 
 # --- upserts -----------------------------------------------------------------------
 
-def upsert_newest(existing: DataFrame, new: DataFrame, key: str = "job_id", order: str = "ord") -> DataFrame:
+def _carried_and_new(existing: DataFrame, new: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows without a newer one, and the last new row per key.
+
+    For a snapshot with one row per key: its rows meet the new keys in one anti join
+    and are neither sorted nor ranked; few new keys are broadcast by the optimizer.
+    """
+    newest = last_per_key(new.where(key != ""), key, order)
+    stored = existing.where(key != "").withColumn("_key", key)
+    return stored.join(newest.select(key.alias("_key")), "_key", "left_anti").drop("_key"), newest
+
+
+def upsert_newest(existing: DataFrame, new: DataFrame, key: str = "job_id", order: str = "ord",
+                  stored_unique: bool = False) -> DataFrame:
     """Existing rows, replaced or extended by new ones; the last row of a key wins on each side."""
+    if stored_unique:
+        return union_all(list(_carried_and_new(existing, new, strip(key), order)))
     both = (existing.withColumn("_new", F.lit(0))
             .unionByName(new.withColumn("_new", F.lit(1)))
             .where(strip(key) != ""))
     return one_per_key(both, [strip(key)], [F.desc("_new"), F.desc(order)]).drop("_new")
 
 
-def upsert_canonical(existing: DataFrame, new: DataFrame, number: str, url: str, order: str = "ord") -> DataFrame:
+def upsert_canonical(existing: DataFrame, new: DataFrame, number: str, url: str, order: str = "ord",
+                     stored_unique: bool = False) -> DataFrame:
     """As `upsert_newest` with key = number, else url; keyless rows are dropped.
 
     `carried` tells rows that come from the stored snapshot.
     """
     key = first_non_empty(strip(number), strip(url))
+    if stored_unique:
+        carried, newest = _carried_and_new(existing, new, key, order)
+        return carried.withColumn("carried", F.lit(True)).unionByName(newest.withColumn("carried", F.lit(False)))
     both = (existing.withColumn("carried", F.lit(True))
             .unionByName(new.withColumn("carried", F.lit(False)))
             .where(key != ""))

@@ -145,10 +145,10 @@ def postings_from_tables(pages: DataFrame, base: str) -> DataFrame:
     df = df.withColumn("pairs", F.transform("pairs", lambda p: F.struct(
         L.resolve_rules(p["label"], L.TABLE_LABELS, L.TABLE_RULES).alias("field"),
         p["label"].alias("label"), p["value"].alias("value"))))
-    plain = F.filter("pairs", lambda p: ~p["label"].isin(L.DUTY_LABEL, L.DUTY_SHARE_LABEL))
+    df = df.withColumn("plain", F.filter("pairs", lambda p: ~p["label"].isin(L.DUTY_LABEL, L.DUTY_SHARE_LABEL)))
 
     def column(name: str) -> Column:
-        hit = F.get(F.filter(plain, lambda p: p["field"] == name), F.lit(0))["value"]
+        hit = F.get(F.filter("plain", lambda p: p["field"] == name), F.lit(0))["value"]
         if name == "duties_responsibilities":
             hit = _duties(F.col("pairs"))
         if name == "apply_link":
@@ -189,9 +189,15 @@ def has_real_content(columns: list[str], marker: str = X.NAV_MARKER) -> Column:
     return F.exists(values, lambda v: (F.length(v) > 80) & ~v.contains(marker))
 
 
-def _grouped(pairs: Column, groups, name: str) -> Column:
+def _with_groups(pairs: Column, groups) -> Column:
+    return F.transform(pairs, lambda p: F.struct(
+        p["label"].alias("label"), p["value"].alias("value"), p["cell"].alias("cell"),
+        L.classify_keywords(p["label"], groups).alias("group")))
+
+
+def _grouped(pairs: Column, name: str) -> Column:
     """First non-blank value of a keyword group inside a pair array, or `''`."""
-    hits = F.filter(pairs, lambda p: L.classify_keywords(p["label"], groups) == name)
+    hits = F.filter(pairs, lambda p: p["group"] == name)
     if name == "close_note":
         return F.concat_ws("  ", F.transform(hits, lambda p: X.close_note(p["value"])))
     return F.coalesce(F.get(hits, F.lit(0))["value"], F.lit(""))
@@ -206,14 +212,14 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
     A row whose label names a section feeds that column; other labels are packed;
     meta labels become short columns.
     """
-    df = pages.withColumn("pairs", H.normalised(H.cell_pairs("html"), spaces=True))
+    df = pages.withColumn("pairs", _with_groups(H.normalised(H.cell_pairs("html"), spaces=True), L.TABLE_GROUPS))
 
     def body(p: Column) -> Column:
         def value(field: Column) -> Column:
             spaced = H.text_of(p["cell"])
             inner = F.when(field.isNotNull() & (field != "salary"), _appended_in(p["cell"], field))
-            return F.struct(field.alias("field"), H.title_case(p["label"]).alias("label"),
-                            F.coalesce(X.non_empty(inner), spaced).alias("value"))
+            text = X.let(inner, lambda v: F.when(v != "", v).otherwise(spaced))
+            return F.struct(field.alias("field"), H.title_case(p["label"]).alias("label"), text.alias("value"))
 
         return X.let(L.resolve_exact(p["label"], L.HEADING_LABELS), value)
 
@@ -222,8 +228,8 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
                        .otherwise(_resolved_sections(_main_html())))
     wide = df.select(
         "page_id", (F.size("cells") > 0).alias("from_cells"),
-        *[_grouped(F.col("pairs"), L.TABLE_GROUPS, c).alias(c) for c in _META],
-        _grouped(F.col("pairs"), L.TABLE_GROUPS, "close_note").alias("close_note"),
+        *[_grouped(F.col("pairs"), c).alias(c) for c in _META],
+        _grouped(F.col("pairs"), "close_note").alias("close_note"),
         *[_appended("sections", c).alias(c) for c in SECTION_COLUMNS],
         _appended("sections", "salary").alias("salary"),
         _packed("sections").alias("extra_sections"))
@@ -242,7 +248,7 @@ def _after_title(html) -> Column:
 def _main_html() -> Column:
     """The description container without its menu, else all that follows the title."""
     def main(page: Column) -> Column:
-        return X.first_non_empty(*[H.element(page, "div", H.with_id(i)) for i in MAIN_IDS], _after_title(page))
+        return X.first_of(*[H.element(page, "div", H.with_id(i)) for i in MAIN_IDS], _after_title(page))
 
     def without_menu(html: Column) -> Column:
         return X.let(H.element(html, "div", H.with_id(MENU_ID)), lambda menu: F.when(
@@ -283,25 +289,25 @@ APPLY_ID = "apply-button-top"
 def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
     """Detail fields of dt/dd pages with headed sections in the description parts."""
     df = pages.withColumn("page", H.without_noise("html"))
-    df = df.withColumn("pairs", H.normalised(H.list_pairs("page"), spaces=True))
+    df = df.withColumn("pairs", _with_groups(H.normalised(H.list_pairs("page"), spaces=True), L.LIST_GROUPS))
     page = F.col("page")
-    parts = F.concat_ws(" ", *[X.non_empty(X.first_non_empty(
-        H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p))))
-        for p in DESCRIPTION_PARTS])
+    parts = F.concat_ws(" ", F.filter(F.array(*[
+        X.first_of(H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p)))
+        for p in DESCRIPTION_PARTS]), lambda v: v != ""))
     rest = _after_title(F.regexp_replace(page, r"(?is)<dl\b.*?</dl\s*>", " "))
-    df = df.withColumn("sections", _resolved_sections(X.first_non_empty(parts, rest)))
-    title = X.first_non_empty(
+    df = df.withColumn("sections", _resolved_sections(X.first_of(parts, rest)))
+    title = X.first_of(
         *[H.text_of(H.element(page, "h1", H.with_class(c)), "") for c in TITLE_CLASSES],
         H.text_of(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), ""),
         H.classed(page, "posting-title"))
-    note = _grouped(F.col("pairs"), L.LIST_GROUPS, "close_note")
+    note = _grouped(F.col("pairs"), "close_note")
     first_link = lambda links: F.get(links, F.lit(0))["href"]
     named_apply = F.filter(H.links("page"), lambda a: F.lower(a["text"]) == "apply")
     href = F.coalesce(first_link(H.links(H.element(page, "div", H.with_id(APPLY_ID)))),
                       first_link(H.links("page", "/apply")), first_link(named_apply))
     return df.select(
         "page_id", title.alias("job_title"),
-        *[_grouped(F.col("pairs"), L.LIST_GROUPS, c).alias(c)
+        *[_grouped(F.col("pairs"), c).alias(c)
           for c in ("department", "location", "full_part_time", "posted_date")],
         *[_appended("sections", c).alias(c) for c in SECTION_COLUMNS if c != "other_information"],
         X.first_non_empty(_appended("sections", "other_information"), note).alias("other_information"),
@@ -368,9 +374,9 @@ def listing_from_cards(pages: DataFrame, base: str) -> DataFrame:
         def fields(link: Column) -> Column:
             url = X.absolute_url(base, link["href"])
             return F.struct(X.url_id(url).alias("job_id"), url.alias("url"), link["text"].alias("title"),
-                            X.first_non_empty(*[H.classed(b, c) for c in ("department", "unit", "college")]
+                            X.first_of(*[H.classed(b, c) for c in ("department", "unit", "college")]
                                               ).alias("department"),
-                            X.first_non_empty(*[H.classed(b, c) for c in ("location", "campus")],
+                            X.first_of(*[H.classed(b, c) for c in ("location", "campus")],
                                               F.lit(DEFAULT_PLACE)).alias("location"))
 
         return X.let(F.get(H.links(b, "/postings/"), F.lit(0)), fields)

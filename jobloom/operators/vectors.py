@@ -20,6 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIMENSIONS = 384          # fixed value: width of the published vectors
 MAX_LOCAL_QUERIES = 2_000
 MAX_BLOCK_ROWS = 20_000
+QUERY_STEP = 256
 
 
 def embed(site: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None,
@@ -67,16 +68,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _scored(query_ids, matrix: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of one batch for each query."""
-    ids = batch["id"].to_numpy()
-    scores = matrix @ _matrix(batch["embedding"]).T
-    picks = [_best(ids, row, k) for row in scores]
-    return pd.DataFrame({
-        "query_id": np.repeat(query_ids, [len(p) for p in picks]),
-        "id": np.concatenate([ids[p] for p in picks]),
-        "score": np.concatenate([row[p] for row, p in zip(scores, picks)]),
-    })
+def _scored(query_ids: np.ndarray, matrix: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of one batch for each query, a few queries at a time."""
+    ids, rows, found = batch["id"].to_numpy(), _matrix(batch["embedding"]).T, []
+    for start in range(0, len(query_ids), QUERY_STEP):
+        step = slice(start, start + QUERY_STEP)
+        for query, scores in zip(query_ids[step], matrix[step] @ rows):
+            best = _best(ids, scores, k)
+            found.append((np.full(len(best), query), ids[best], scores[best]))
+    return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "id", "score"), zip(*found))})
+
+
+def _merged(best: pd.DataFrame | None, more: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best per query of two score tables."""
+    if best is None:
+        return more
+    both = pd.concat([best, more]).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return both.groupby("query_id", sort=False).head(k)
 
 
 _SCORES = "query_id bigint, id bigint, score double"
@@ -85,8 +93,8 @@ _SCORES = "query_id bigint, id bigint, score double"
 def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, max_local: int = MAX_LOCAL_QUERIES) -> DataFrame:
     """`(query_id, id, score, rank)`: the k vectors with the largest dot product, exact.
 
-    Each batch of vectors is one matrix product and keeps k rows per query, so what
-    moves is k rows per query and batch. Up to `max_local` queries (counted first)
+    Each task runs matrix products over its vectors and keeps k rows per query, which
+    is all that moves. Up to `max_local` queries (counted first)
     travel with the task; more are cut into blocks that meet every block of vectors.
     """
     q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
@@ -98,9 +106,12 @@ def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, max_local: int
         query_ids, matrix = local["query_id"].to_numpy(), _matrix(local["embedding"])
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
             for batch in batches:
                 if len(batch):
-                    yield _scored(query_ids, matrix, batch, k)
+                    best = _merged(best, _scored(query_ids, matrix, batch, k), k)
+            if best is not None:
+                yield best
 
         best = v.mapInPandas(score, _SCORES)
     else:

@@ -116,6 +116,13 @@ def test_incremental_merges_match_python(spark, seed):
     got = merge.upsert_canonical(old_df, new_df, "number", "url").select("ord", "version", "carried").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
+    unique = merge.dedup_dual_keyed(old_df, "number", "url")
+    by_anti = merge.upsert_canonical(unique, new_df, "number", "url", stored_unique=True)
+    assert sorted(map(tuple, by_anti.select("ord", "version", "carried").collect())) == sorted(want)
+    by_url = merge.load_keyed(old_df, "url", "ord")
+    by_anti = merge.upsert_newest(by_url, new_df, key="url", stored_unique=True).select("ord", "version").collect()
+    assert sorted(map(tuple, by_anti)) == sorted((r[0], r[3]) for r in merged.values())
+
     stats = merge.merge_accounting(old_df, new_df, key="url").first()
     a, b = ({r[2].strip() for r in rows} - {""} for rows in (old, new))
     assert tuple(stats) == (len(b), len(b - a), len(a & b), len(a - b), len(a | b))
