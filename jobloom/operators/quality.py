@@ -45,8 +45,9 @@ SHELL_PHRASE = "toggle navigation"
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
     """Rows per value, most first, ties in first-seen order."""
-    counts = df.groupBy(column).agg(F.count("*").alias("jobs"),
-                                    F.min(F.struct("source_rank", "ord")).alias("_first"))
+    per_source = df.groupBy(column, "source_rank").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    counts = per_source.groupBy(column).agg(
+        F.sum("n").alias("jobs"), F.min(F.struct("source_rank", "ord")).alias("_first"))
     return counts.orderBy(F.desc("jobs"), "_first").drop("_first")
 
 

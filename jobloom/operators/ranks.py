@@ -8,13 +8,14 @@ from ..session import checkpointed
 
 
 def with_ordinal(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Input order of a file scan: `(file, position)`, compared as a pair.
+    """Input order of a file scan: `(file, block, position)`, compared field by field.
 
-    Must follow the scan directly. Inside one file the position grows with the
-    line number; files are ordered by name.
+    Must follow the scan directly. Files are ordered by name, blocks of a split file
+    by offset, rows of a block by their place in it.
     """
-    return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"),
-                                        F.monotonically_increasing_id().alias("pos")))
+    return df.withColumn(name, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos")))
 
 
 def dense_index(df: DataFrame, order: list, name: str = "row_index") -> DataFrame:
@@ -22,7 +23,8 @@ def dense_index(df: DataFrame, order: list, name: str = "row_index") -> DataFram
 
     A range sort spreads the rows; the sorted rows are checkpointed so partitions
     stay put; per-partition counts (one row per partition) give each its offset.
-    Pass only the columns needed: they are all written once.
+    Pass only the columns needed, as they are all written once, and an order without
+    ties, so that one value never fills a sort partition.
     """
     low = 33  # monotonically_increasing_id keeps the position in its low 33 bits
     placed = (checkpointed(df.orderBy(*order))

@@ -213,7 +213,7 @@ FROM (
 """
 _BLOCK_TAGS = "('p','ul','ol','li','div','strong','b')"
 ORDERED_BLOCKS = f"""
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, run) - 1 AS ord,
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part, run) - 1 AS INT) AS ord,
   CASE WHEN heading OR rawtag IN {_BLOCK_TAGS} THEN rawtag ELSE '' END AS tag, text
 FROM ({BLOCKS}) blocks WHERE text <> ''
 """
@@ -241,7 +241,7 @@ SELECT p.page_id, {", ".join(f"coalesce(string_agg(content, ' ' ORDER BY sec) FI
 FROM pages p LEFT JOIN (SELECT *, {_HEAD_COL} AS col FROM ({SECTIONS}) x) s ON p.page_id = s.page_id GROUP BY p.page_id
 """
 LINKS = f"""
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, href, text FROM (
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS ord, href, text FROM (
   SELECT page_id, i, replace({ex('a', r'''(?is)^<a\b[^>]*?\shref\s*=\s*"([^"]*)"''', 1)}, '&amp;', '&') AS href,
     {page_text('a')} AS text
   FROM (SELECT page_id, unnest(anchors) AS a, generate_subscripts(anchors, 1) AS i
@@ -321,7 +321,7 @@ def _landed(value: str, otherwise: str = "''") -> str:
 
 
 _SIMILAR = """
-SELECT query_id, id, rank, round(score, 5) AS score FROM (
+SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(rank AS INT) AS rank, round(score, 5) AS score FROM (
   SELECT q.label AS query_id, v.vec_id AS id, list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])) AS score,
     row_number() OVER (PARTITION BY q.label
       ORDER BY list_dot_product(q.e, CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS rank
@@ -351,6 +351,15 @@ ORACLES = {
     "loaded_counts": f"SELECT source_key, count(*) AS loaded FROM ({MERGED}) m GROUP BY source_key",
     "dedup_listing": f"SELECT min(ord) AS ord, arg_min(job_id, ord) AS job_id, title FROM ({_CARDS}) c "
                      "WHERE title <> '' GROUP BY title",
+    "union_portals": f"""SELECT job_id, title, url, portal FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS job_id, {clean('job_title')} AS title,
+    'https://jobs.example.org/detail?job=' || doc_id || '&lang=en' AS url, 'rows' AS portal, doc_id AS page_id, 0 AS p
+  FROM ({S.plain(S.RAW)}) r WHERE {clean('job_title')} <> ''
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), {clean('job_title')}, 'https://jobs.example.org/postings/' || doc_id, 'cards', doc_id, 1
+  FROM ({S.plain(S.RAW)}) r
+  UNION ALL SELECT '7' || doc_id, 'Other', 'https://other.example.org/postings/7' || doc_id, 'cards', doc_id, 1
+  FROM ({S.plain(S.RAW)}) r) u
+QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY p, page_id, CASE title WHEN 'Other' THEN 1 ELSE 0 END) = 1""",
     "portal_counts": "SELECT CASE event_type WHEN 'click' THEN 'Taleo PanthTemps' WHEN 'view' THEN 'Taleo Staff' "
                      "WHEN 'error' THEN 'Faculty Careers' ELSE 'Unknown' END AS portal, count(*) AS jobs "
                      "FROM events GROUP BY 1",
@@ -373,7 +382,7 @@ ORACLES = {
     "text_scalars": f"""SELECT doc_id, {clean('text')} AS cleaned, {truncate(clean('text'), 600)} AS cut,
   rtrim(lower({clean('text')} || ' ::'), ':') AS label,
   rtrim(lower({clean('text')} || ' ::'), ': ') AS label_spaced,
-  len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS words,
+  CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda w: w <> '')) AS INT) AS words,
   source AS facet_name, n_chars AS facet_count, CAST(0 AS BIGINT) AS facet_none, CAST(doc_id AS VARCHAR) AS url_id,
   'https://jobs.example.org/postings/' || doc_id AS absolute, 'https://jobs.example.org/a/' || source AS relative,
   'https://jobs.example.org/detail?job=' || doc_id || '&lang=en' AS detail,
@@ -469,7 +478,7 @@ WHERE length(html) > 5000 AND (contains(html, '<article>') OR contains(html, '<t
     "page_shell": f"""SELECT page_id, contains(substring({strip(
         f"lower(substring(replace(replace(replace(replace(replace({sub(sub('html', _NOISE_HTML), '(?s)<[^>]*>')}, '&copy;', '©'), "
         "'&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), 1, 200))")}, 1, 100), 'the') AS shell FROM pages""",
-    "page_label_values": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, label, value
+    "page_label_values": f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS ord, label, value
 FROM (SELECT doc_id AS page_id, unnest([
   {{'i': 0, 'label': 'posting number', 'value': job_id}}, {{'i': 1, 'label': 'job title', 'value': {clean('job_title')}}},
   {{'i': 2, 'label': 'working title', 'value': 'second title'}}, {{'i': 3, 'label': 'percentage of time', 'value': '99'}},
@@ -479,17 +488,17 @@ FROM (SELECT doc_id AS page_id, unnest([
   {{'i': 7, 'label': 'percentage of time', 'value': '60'}}, {{'i': 8, 'label': 'advertised salary', 'value': salary}},
   {{'i': 9, 'label': 'position summary', 'value': {clean('job_summary')}}},
   {{'i': 10, 'label': 'unknown thing', 'value': 'dropped'}}], recursive := true) FROM ({_RAW}) r) u WHERE value <> ''""",
-    "page_cell_values": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, label, value
+    "page_cell_values": f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS ord, label, value
 FROM (SELECT doc_id AS page_id, unnest([
   {{'i': 0, 'label': 'organization', 'value': institution}}, {{'i': 1, 'label': 'campus', 'value': {clean('location')}}},
   {{'i': 2, 'label': 'closing date', 'value': 'soon'}}, {{'i': 3, 'label': 'description', 'value': {clean('job_summary')}}},
   {{'i': 4, 'label': 'duties', 'value': {clean('responsibilities')}}}, {{'i': 5, 'label': 'work hours', 'value': 'nineto five'}}],
   recursive := true) FROM ({_RAW}) r) u WHERE value <> ''""",
-    "page_list_values": f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord, label, value
+    "page_list_values": f"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS ord, label, value
 FROM (SELECT doc_id AS page_id, unnest([{{'i': 0, 'label': 'rank', 'value': full_part_time}},
   {{'i': 1, 'label': 'open date', 'value': posted_date}}, {{'i': 2, 'label': 'deadline', 'value': 'none'}}],
   recursive := true) FROM ({_RAW}) r) u WHERE value <> ''""",
-    "page_indexed_fields": f"""SELECT doc_id AS page_id, i - 1 AS ord, ['Job Summary', 'Position Overview',
+    "page_indexed_fields": f"""SELECT doc_id AS page_id, CAST(i - 1 AS INT) AS ord, ['Job Summary', 'Position Overview',
   'USG Core Values', 'Conditions', 'Shift'][i] AS label, ['Old summary', {clean('job_summary')}, 'boilerplate',
   department, {clean('responsibilities')}][i] AS value FROM ({_RAW}) r, range(1, 6) t(i)""",
     "listing_spans": f"""SELECT doc_id AS page_id, 0 AS ord, job_id, {clean('job_title')} AS job_title, institution,
@@ -534,7 +543,7 @@ WHERE NOT (title = '' OR {has('title', '^[0-9›»<>]+$')} OR lower(title) IN ('
   {_landed(f"{clean('required_qualifications')} || ' Degree'")} AS required_qualifications,
   {_landed("'Close date: none'")} AS other_information, {_landed("'[Our Town] nice'")} AS extra_sections,
   {_landed("'https://jobs.example.org/postings/1/apply'", _PAGE_URL)} AS apply_link, NOT ({_IN}) AS stub FROM {_LANDED}""",
-    "l2_normalise_vectors": """SELECT vec_id, i - 1 AS dim, round(CAST(CAST(CASE WHEN n = 0 THEN 0 ELSE v[i] / n END AS FLOAT) AS DOUBLE), 5) AS x
+    "l2_normalise_vectors": """SELECT vec_id, CAST(i - 1 AS INT) AS dim, round(CAST(CAST(CASE WHEN n = 0 THEN 0 ELSE v[i] / n END AS FLOAT) AS DOUBLE), 5) AS x
 FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id,
   list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(x * (vec_id % 7) AS FLOAT) AS DOUBLE)) AS v FROM embeddings) a) b,
   range(1, 65) t(i)""",
@@ -559,7 +568,7 @@ UNION ALL SELECT 'total', count(*) FROM ({SITE}) s""",
     "resumable_append": f"SELECT ord, version FROM ({_STORED}) s UNION ALL SELECT ord, version FROM ({_FETCHED}) f",
     "event_status": f"SELECT event_id, effect AS status, CAST(ends AS BIGINT) AS ends FROM ({_EFFECTS}) e",
     "profile_status": _LATEST,
-    "status_events": f"""SELECT event_id, user_id, effect AS subscription_status FROM ({_EFFECTS}) e
+    "status_stream": f"""SELECT event_id, user_id, effect AS subscription_status FROM ({_EFFECTS}) e
 JOIN ({_CUSTOMERS}) c USING (customer) WHERE effect IS NOT NULL AND user_id <> ''""",
     "profile_stream": f"""SELECT c.user_id, coalesce(l.customer, '') AS customer,
   coalesce(l.subscription_status, 'free') AS subscription_status, l.ends, l.at

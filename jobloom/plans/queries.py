@@ -52,6 +52,16 @@ def dedup_listing(spark, sf):
     return merge.dedup_listing(cards, "title", ["ord"]).select("ord", "job_id", "title")
 
 
+def union_portals(spark, sf):
+    """Cards of two portals in fixed order; the first of an id wins across pages and portals."""
+    rows = pages.listing_from_table(S.run(spark, sf, S.ROW_LISTINGS), DETAIL_TEMPLATE).drop("posted_date")
+    cards = pages.listing_from_cards(S.run(spark, sf, S.BLOCK_LISTINGS), BASE)
+    both = mapping.union_all([rows.withColumns({"portal": F.lit("rows"), "place": F.lit(0)}),
+                              cards.withColumns({"portal": F.lit("cards"), "place": F.lit(1)})])
+    first = merge.dedup_listing(both, "job_id", ["place", "page_id", "ord"])
+    return first.select("job_id", "title", "url", "portal")
+
+
 def portal_counts(spark, sf):
     """The default url rules on urls built from the event types."""
     host = (F.when(F.col("event_type") == "click", "https://x.taleo.net/panthtemps/")
@@ -597,18 +607,21 @@ def profile_status(spark, sf):
     return _shown(latest, "ts")
 
 
-def status_events(spark, sf):
-    """Effective events with their user."""
-    out = profiles.status_stream(S.run(spark, sf, S.EVENTS), S.run(spark, sf, S.CUSTOMERS))
-    return out.select("event_id", "user_id", "subscription_status")
-
-
 def _event_stream(spark, sf) -> DataFrame:
-    """All events as a stream of files, landed in several pieces out of time order."""
+    """All events as a stream of JSON files, landed in several pieces out of time order."""
     path = fresh_path(spark, "events")
-    events = S.run(spark, sf, S.EVENTS)
-    events.repartition(4, "customer", "event_id").write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    events = S.run(spark, sf, S.EVENTS).repartition(4, "customer", "event_id")
+    events.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    return readers.read_events(spark, path, options={"maxFilesPerTrigger": 1})
+
+
+def status_stream(spark, sf):
+    """Effective events with their user, as a stream into a table."""
+    path = fresh_path(spark, "status")
+    stream = profiles.status_stream(_event_stream(spark, sf), S.run(spark, sf, S.CUSTOMERS))
+    (stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+     .format("parquet").option("path", f"{path}/rows").start().awaitTermination())
+    return spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "subscription_status")
 
 
 def profile_stream(spark, sf):
@@ -645,7 +658,7 @@ def dedup_stream(spark, sf):
 
 QUERIES = {f.__name__: f for f in [
     to_master_rows, merge_dedup, count_by_institution, count_by_source, loaded_counts, dedup_listing,
-    portal_counts, site_rows, newest_first, facet_institutions, facet_locations, facet_titles,
+    union_portals, portal_counts, site_rows, newest_first, facet_institutions, facet_locations, facet_titles,
     top_institutions, quality_by_source, site_meta, parse_dates, job_text, text_scalars, summary_repair,
     new_only_single, new_only_dual, upsert_newest, upsert_canonical, append_new, merge_accounting,
     dedup_dual_keyed, expire_missing, load_existing, enrich_listing, stub_missing, resolve_labels_exact,
@@ -657,5 +670,5 @@ QUERIES = {f.__name__: f for f in [
     listing_links, postings_tables, postings_spans, postings_cells, postings_lists, l2_normalise_vectors,
     similar_top5, similar_top5_blocks, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
     records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
-    status_events, profile_stream, ingest_stream, dedup_stream,
+    status_stream, profile_stream, ingest_stream, dedup_stream,
 ]}

@@ -70,9 +70,10 @@ def read_feed(spark: SparkSession, path: str, base: str) -> DataFrame:
     return dedup_listing(cards, "posting_id", ["ord"])
 
 
-def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+def read_events(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA,
+                options: dict | None = None) -> DataFrame:
     """A stream of JSON event files."""
-    return spark.readStream.schema(schema).json(path)
+    return spark.readStream.schema(schema).options(**(options or {})).json(path)
 
 
 def parse_events(messages: DataFrame, column: str = "value", schema: T.StructType = EVENT_SCHEMA) -> DataFrame:

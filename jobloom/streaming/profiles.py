@@ -88,6 +88,13 @@ def current_profiles(spark: SparkSession, table: str) -> DataFrame:
     return joined.select("id", *[F.when(hit, c).otherwise(base[name]).alias(name) for name, c in new.items()])
 
 
+def compact_profiles(spark: SparkSession, table: str, target: str) -> None:
+    """Copy the table with one change per user left in its log, which still guards against late events."""
+    current_profiles(spark, table).write.parquet(f"{target}/base")
+    changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{table}/changes")
+    checkpointed_append(_latest(changes, "user_id", STATUS_FIELDS, EVENT_TIME), f"{target}/changes", "-1")
+
+
 def fold_profiles(events: DataFrame, customers: DataFrame, table: str, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
     """Start the stream that keeps the change log up to date."""

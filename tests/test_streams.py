@@ -88,6 +88,11 @@ def test_late_event_does_not_overwrite(spark, customers):
     profiles.upsert_profiles(profiles.effective_events(newer), table, 0, customers)
     profiles.upsert_profiles(profiles.effective_events(late), table, 1, customers)
     assert states(profiles.current_profiles(spark, table))["u1"][0] == "cancelled"
+    compacted = fresh_path(spark, "test-compacted")
+    profiles.compact_profiles(spark, table, compacted)
+    profiles.upsert_profiles(profiles.effective_events(late), compacted, 2, customers)
+    assert states(profiles.current_profiles(spark, compacted)) == states(profiles.current_profiles(spark, table))
+    assert spark.read.parquet(f"{compacted}/changes").where("batch = -1").count() == 1
 
 
 def test_messages_and_dedup(spark, events):
