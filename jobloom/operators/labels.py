@@ -62,7 +62,7 @@ def pack_extra(long: DataFrame, key: str, order: str = "ord", size: int = SLICE)
 def attach_followers(long: DataFrame, key: str, is_owner: Column, order: str = "ord",
                      size: int = SLICE) -> DataFrame:
     """Add `owner`: the position of the last owner row at or before each row."""
-    return with_last_match(long, [key], order, is_owner, "owner", size)
+    return with_last_match(long, [key], order, is_owner, "owner", size).drop("part")
 
 
 def take_while(rows: DataFrame, key: str, is_stop: Column, order: str = "ord", size: int = SLICE) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, labels as L, text as X
-from ..schemas import S0_COLUMNS, SECTION_COLUMNS
-from .merge import enrich_listing
+from ..schemas import INSTITUTIONS, S0_COLUMNS, SECTION_COLUMNS, SOURCES, strings
 from .keyed import one_per_key
+from .mapping import conform
+from .merge import enrich_listing
 
 # ---------------------------------------------------------------------------
 # Span ids of listing and detail pages, default place of one portal.
@@ -437,6 +438,19 @@ def page_to_posting(pages: DataFrame, cards: DataFrame, style: str, **options) -
     if "title" in cards.columns:
         cards = cards.withColumnRenamed("title", "job_title")
     rows = enrich_listing(cards, parse(pages, **options), "page_id", CARD_POLICY[style], url="url")
+    if style == "tables":  # this portal's rows get an apply link only from a page
+        rows = rows.withColumn("apply_link", F.when(F.col("stub"), "").otherwise(F.col("apply_link")))
     if style == "cells":
         rows = rows.withColumn("job_summary", X.strip_header("job_summary", "job_title"))
     return rows
+
+
+def to_source(postings: DataFrame, key: str, scraped_at: str | None = None,
+              keep: tuple[str, ...] = ("page_id", "stub")) -> DataFrame:
+    """Postings in the columns of source `key`, stamped with the time of the run."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
+                        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    rows = postings.withColumn("scraped_at", now if scraped_at is None else F.lit(scraped_at))
+    if SOURCES[key].institution == "constant" and "institution" in SOURCES[key].columns:
+        rows = rows.withColumn("institution", F.lit(INSTITUTIONS[key]))
+    return conform(rows, strings(SOURCES[key].columns), keep=keep)

@@ -78,8 +78,8 @@ def newest_first(site: DataFrame) -> DataFrame:
     return site.orderBy(*newest_order())
 
 
-def facet_values(site: DataFrame, column: str, n: int | None = None) -> DataFrame:
-    """`(value, count)` by frequency; ties by first appearance in newest-first order.
+def _facets(site: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """Values by frequency, with the day and position of their first appearance.
 
     Two steps of partial aggregation: per (value, day), then per value, so a value
     that owns most rows reaches its task as one row per day and map task.
@@ -90,7 +90,12 @@ def facet_values(site: DataFrame, column: str, n: int | None = None) -> DataFram
     values = daily.groupBy("value").agg(
         F.sum("_n").alias("count"), F.max("_day").alias("_day"), F.max_by("_ord", "_day").alias("_ord"))
     ranked = values.orderBy(F.desc("count"), F.desc("_day"), F.asc("_ord"))
-    return (ranked if n is None else ranked.limit(n))
+    return ranked if n is None else ranked.limit(n)
+
+
+def facet_values(site: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """`(value, count)` by frequency; ties by first appearance in newest-first order."""
+    return _facets(site, column, n).select("value", "count")
 
 
 def top_institutions(site: DataFrame, n: int = REPORT_ROWS) -> DataFrame:
@@ -124,10 +129,10 @@ def site_meta(site: DataFrame, last_updated: str | None = None) -> DataFrame:
     The institution list is one array, so its length is checked first; a site with
     more institutions than that publishes `facet_values` as a table instead.
     """
-    institutions = facet_values(site, "institution")
+    institutions = _facets(site, "institution")
     if institutions.select("value").limit(FACET_ARRAY_LIMIT + 1).count() > FACET_ARRAY_LIMIT:
         raise ValueError("too many institutions for one array; write facet_values as a table")
-    locations = facet_values(site, "location", LOCATION_FACETS)
+    locations = _facets(site, "location", LOCATION_FACETS)
     total = site.agg(F.count("*").alias("count"))
     facts = (institutions.withColumn("kind", F.lit("institution"))
              .unionByName(locations.withColumn("kind", F.lit("location")))

@@ -526,7 +526,7 @@ WHERE NOT (title = '' OR {has('title', '^[0-9›»<>]+$')} OR lower(title) IN ('
   {_landed(first(clean('job_title'), "'second title'"))} AS working_title, close_date, {_landed('salary')} AS salary,
   {_landed(clean('job_summary'))} AS position_summary,
   {_landed(f"{clean('responsibilities')} || '  [40% of time] | Second duty  [60% of time]'")} AS duties_responsibilities,
-  '' AS department, {_landed("'https://jobs.example.org/pre_apply/' || job_id || '?a=1&b=2'", _PAGE_URL)} AS apply_link,
+  '' AS department, {_landed("'https://jobs.example.org/pre_apply/' || job_id || '?a=1&b=2'")} AS apply_link,
   {_PAGE_URL} AS posting_url, NOT ({_IN}) AS stub FROM {_LANDED}""",
     "postings_spans": f"""SELECT doc_id AS page_id, job_id, {_landed(first(clean('job_title'), "'Card title'"), "'Card title'")}
   AS job_title, {_landed('full_part_time')} AS full_part_time, {_landed(clean('job_summary'))} AS job_summary,
@@ -543,6 +543,20 @@ WHERE NOT (title = '' OR {has('title', '^[0-9›»<>]+$')} OR lower(title) IN ('
   {_landed(f"{clean('required_qualifications')} || ' Degree'")} AS required_qualifications,
   {_landed("'Close date: none'")} AS other_information, {_landed("'[Our Town] nice'")} AS extra_sections,
   {_landed("'https://jobs.example.org/postings/1/apply'", _PAGE_URL)} AS apply_link, NOT ({_IN}) AS stub FROM {_LANDED}""",
+    "pages_to_master": f"""SELECT doc_id AS ord, source_key,
+  CASE WHEN source_key = 's0' THEN 'Card' WHEN source_key = 's3' OR NOT ({_IN}) OR {clean('job_title')} = '' THEN 'Card'
+    ELSE {clean('job_title')} END AS job_title,
+  CASE source_key WHEN 's0' THEN {q(_NAMES['s0'])} WHEN 's3' THEN {q(_NAMES['s3'])}
+    WHEN 's1' THEN coalesce(nullif({clean('institution')}, ''), {q(_NAMES['s1'])}) ELSE {clean('institution')} END AS institution,
+  CASE WHEN source_key = 's0' THEN '' ELSE posted_date END AS posted_date,
+  {_landed(clean('job_summary'))} AS job_summary,
+  {_landed(f"CASE source_key WHEN 's0' THEN {clean('responsibilities')} || ' [40% of time] | Second duty [60% of time]' "
+           f"WHEN 's3' THEN {clean('responsibilities')} ELSE '' END")} AS responsibilities,
+  {_PAGE_URL} AS posting_url, CASE WHEN source_key = 's0' THEN
+    {_landed("'https://jobs.example.org/pre_apply/' || job_id || '?a=1&b=2'")} ELSE {_PAGE_URL} END AS apply_link,
+  CASE source_key WHEN 's0' THEN 'UGA (PeopleAdmin)' WHEN 's1' THEN 'Georgia Tech (OneHCM)'
+    WHEN 's2' THEN 'USG OneHCM' ELSE 'Georgia State University' END AS source,
+  '2026-01-01T00:00:00+00:00' AS scraped_at FROM {_LANDED}""",
     "l2_normalise_vectors": """SELECT vec_id, CAST(i - 1 AS INT) AS dim, round(CAST(CAST(CASE WHEN n = 0 THEN 0 ELSE v[i] / n END AS FLOAT) AS DOUBLE), 5) AS x
 FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id,
   list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(CAST(x * (vec_id % 7) AS FLOAT) AS DOUBLE)) AS v FROM embeddings) a) b,

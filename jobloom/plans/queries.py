@@ -459,6 +459,25 @@ def postings_lists(spark, sf):
                       "required_qualifications", "other_information", "extra_sections", "apply_link", "stub")
 
 
+STYLES = {"s0": ("tables", S.TABLE_PAGES, {"base": BASE}), "s1": ("spans", S.SPAN_PAGES, {"columns": S1_COLUMNS}),
+          "s2": ("spans", S.SPAN_PAGES, {"columns": S1_COLUMNS}), "s3": ("cells", S.CELL_PAGES, {})}
+
+
+def pages_to_master(spark, sf):
+    """Each source's pages parsed in its layout, joined with its cards, mapped and merged."""
+    raw = {}
+    for key, (style, sql, options) in STYLES.items():
+        title = "working_title" if key == "s0" else "job_title"
+        cards = _page_cards(spark, sf, "source_key", "job_id", F.lit("Card").alias(title), "institution", "posted_date")
+        cards = cards.where(F.col("source_key") == key)
+        postings = pages.page_to_posting(_landed(spark, sf, sql), cards, style, **options)
+        raw[key] = pages.to_source(postings.withColumn("ord", F.col("page_id")), key, "2026-01-01T00:00:00+00:00",
+                                   keep=("ord",))
+    master = merge.merge_master(mapping.union_sources(raw))
+    return master.select("ord", "source_key", "job_title", "institution", "posted_date", "job_summary",
+                         "responsibilities", "posting_url", "apply_link", "source", "scraped_at")
+
+
 # ---------------------------------------------------------------------------
 # Vectors
 # ---------------------------------------------------------------------------
@@ -610,9 +629,9 @@ def profile_status(spark, sf):
 def _event_stream(spark, sf) -> DataFrame:
     """All events as a stream of JSON files, landed in several pieces out of time order."""
     path = fresh_path(spark, "events")
-    events = S.run(spark, sf, S.EVENTS).repartition(4, "customer", "event_id")
+    events = S.run(spark, sf, S.EVENTS).repartition("event_id")
     events.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
-    return readers.read_events(spark, path, options={"maxFilesPerTrigger": 1})
+    return readers.read_events(spark, path, options={"maxBytesPerTrigger": 1 << 30})
 
 
 def status_stream(spark, sf):
@@ -667,7 +686,8 @@ QUERIES = {f.__name__: f for f in [
     listing_valid, fill_rate, fill_share, page_blocks, page_sections, page_real_content, page_links,
     page_links_kept, page_apply_link, page_gate, page_shell, page_label_values, page_cell_values,
     page_list_values, page_indexed_fields, listing_spans, listing_cards, listing_rows, listing_grid,
-    listing_links, postings_tables, postings_spans, postings_cells, postings_lists, l2_normalise_vectors,
+    listing_links, postings_tables, postings_spans, postings_cells, postings_lists,
+    pages_to_master, l2_normalise_vectors,
     similar_top5, similar_top5_blocks, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
     records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
     status_stream, profile_stream, ingest_stream, dedup_stream,

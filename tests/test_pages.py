@@ -1,7 +1,7 @@
 """Hand-written pages of every layout."""
 
 from jobloom.operators import pages, quality
-from jobloom.schemas import S1_COLUMNS
+from jobloom.schemas import S0_COLUMNS, S1_COLUMNS
 
 BASE = "https://h.example.org"
 
@@ -45,7 +45,11 @@ def test_table_posting(spark):
     assert got.duties_responsibilities == "A  [40% of time] | B"
     assert got.apply_link == f"{BASE}/postings/3/pre_apply" and got.posting_url == f"{BASE}/p/0"
     stub = rows[9]
-    assert stub.stub and stub.working_title == "Card" and stub.apply_link == f"{BASE}/p/9" and stub.salary == ""
+    assert stub.stub and stub.working_title == "Card" and stub.posting_url == f"{BASE}/p/9"
+    assert stub.apply_link == "" and stub.salary == ""
+    source = pages.to_source(pages.page_to_posting(df, cards, "tables", base=BASE), "s0")
+    assert source.columns == ["page_id", "stub", *S0_COLUMNS]
+    assert source.first().scraped_at.endswith("+00:00") and len(source.first().scraped_at) == 32
 
 
 def span(name, text):
