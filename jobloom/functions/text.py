@@ -132,8 +132,10 @@ def prefixed(label: str, c) -> Column:
     return F.when(v != "", F.concat(F.lit(label), v)).otherwise("")
 
 
-def flag_label(c, label: str) -> Column:
-    return F.when(F.lower(F.coalesce(col(c), F.lit(""))) == "yes", label).otherwise("")
+def flag_labels(flags: dict[str, str], sep: str = " | ") -> Column:
+    """The labels of the columns that say yes (any case, untrimmed)."""
+    return labelled_concat([F.when(F.lower(F.coalesce(col(c), F.lit(""))) == "yes", label).otherwise("")
+                            for c, label in flags.items()], sep)
 
 
 def append_note(other, note) -> Column:
@@ -157,6 +159,11 @@ def fix_link(apply_link, view_link) -> Column:
     return F.when(a.startswith("http"), a).otherwise(first_non_empty(v, a))
 
 
+def view_link(posting_url, apply_link) -> Column:
+    """The posting itself, else where to apply."""
+    return first_non_empty(posting_url, apply_link)
+
+
 def url_id(c, path: str = "/postings/") -> Column:
     """The number that follows `path`; `''` if there is none."""
     return F.regexp_extract(col(c), re.escape(path) + r"(\d+)", 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import labels as L
+from ..functions import html as H, labels as L
 from ..functions.text import clean, norm_label
 from .keyed import SLICE, ordered_concat, sliced, with_first_match, with_last_match
 
@@ -26,7 +26,7 @@ def classify_label_keywords(long: DataFrame, groups) -> DataFrame:
     return long.withColumn("field", L.classify_keywords(norm_label("label", spaces=True), groups))
 
 
-def drop_boilerplate(long: DataFrame, skipped=L.SKIPPED_SECTIONS) -> DataFrame:
+def drop_boilerplate_sections(long: DataFrame, skipped=L.SKIPPED_SECTIONS) -> DataFrame:
     return long.where(~F.lower(F.col("label")).isin(list(skipped)) & (F.col("value") != ""))
 
 
@@ -65,6 +65,25 @@ def attach_followers(long: DataFrame, key: str, is_owner: Column, order: str = "
     return with_last_match(long, [key], order, is_owner, "owner", size).drop("part")
 
 
+def segment_by_heading(blocks: DataFrame, key: str = "page_id", order: str = "ord",
+                       size: int = SLICE) -> DataFrame:
+    """Block rows `(key, ord, tag, text)` to `(key, section, part, heading, content)`.
+
+    `section` is the position of the heading block, -1 before the first one. Sections
+    without content are dropped.
+    """
+    block = F.struct("tag", "text")
+    rows = blocks.withColumn("_head", F.coalesce(H.is_heading(block), F.lit(False)))
+    owned = with_last_match(rows, [key], order, F.col("_head"), "section", size)
+    content = F.when(~F.col("_head") & (F.col("text") != ""), F.col("text"))
+    parts = (owned.where(content.isNotNull())
+             .groupBy(key, F.coalesce("section", F.lit(-1)).alias("section"), "part")
+             .agg(clean(ordered_concat(content, order, " ")).alias("content")))
+    heads = rows.where("_head").select(key, F.col(order).alias("section"), H.heading_text(block).alias("heading"))
+    return (parts.join(heads, [key, "section"], "left")
+            .select(key, "section", "part", F.coalesce("heading", F.lit("")).alias("heading"), "content"))
+
+
 def take_while(rows: DataFrame, key: str, is_stop: Column, order: str = "ord", size: int = SLICE) -> DataFrame:
     """Rows of each key before its first stop row."""
     marked = with_first_match(rows, [key], order, is_stop, "_stop", size)

@@ -49,10 +49,7 @@ def _other_information() -> Column:
 
 
 def _background_check() -> Column:
-    return text.labelled_concat([
-        text.flag_label("position_of_trust", "Position of Trust"),
-        text.flag_label("p_card_required", "P-Card Required"),
-    ])
+    return text.flag_labels({"position_of_trust": "Position of Trust", "p_card_required": "P-Card Required"})
 
 
 def to_master(df: DataFrame, key: str, keep: tuple[str, ...] = ("source_rank", "ord")) -> DataFrame:

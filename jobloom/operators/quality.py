@@ -120,7 +120,7 @@ def page_is_complete(pages: DataFrame, min_chars: int = PLAIN_PAGE_CHARS,
     return pages.where(is_complete_page("html", min_chars, markers))
 
 
-def is_page_shell(html, phrase: str = SHELL_PHRASE) -> Column:
+def page_is_shell(html, phrase: str = SHELL_PHRASE) -> Column:
     """Only navigation: the opening of the page text starts with, or soon shows, the phrase."""
     start = strip(F.lower(F.substring(H.raw_text(html), 1, 200)))
     return F.substring(start, 1, 100).contains(phrase)

@@ -59,7 +59,7 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
         "salary",
         pay.pay_type("salary").alias("salary_type"),
         text.cut("summary_raw", 700).alias("summary"),
-        text.first_non_empty("posting_url", "apply").alias("view"),
+        text.view_link("posting_url", "apply").alias("view"),
         "apply", "source",
     )
 

@@ -224,7 +224,7 @@ _HEAD_COL = f"""CASE lower(trim(heading, ': '))
   WHEN 'responsibilities' THEN 'responsibilities' WHEN 'duties' THEN 'responsibilities'
   WHEN 'qualifications' THEN 'required_qualifications' ELSE CASE WHEN heading = '' THEN 'job_summary' END END"""
 SECTIONS = f"""
-SELECT page_id, sec, any_value(head) AS heading, string_agg(text, ' ' ORDER BY ord) FILTER (WHERE NOT is_head) AS content
+SELECT page_id, sec, any_value(head) AS heading, min(CASE WHEN is_head THEN ord END) AS start, string_agg(text, ' ' ORDER BY ord) FILTER (WHERE NOT is_head) AS content
 FROM (
   SELECT *, coalesce(max(CASE WHEN is_head THEN CASE WHEN tag LIKE 'h_' THEN text ELSE rtrim(text, ':') END END)
     OVER (PARTITION BY page_id, sec), '') AS head
@@ -464,6 +464,8 @@ SELECT listing, max(n) <= sum(n) * 0.5 AND coalesce(sum(n) FILTER (WHERE
                   + f" FROM ({MERGED}) m",
     "page_blocks": ORDERED_BLOCKS,
     "page_sections": PAGE_SECTIONS,
+    "segment_by_heading": f"""SELECT page_id, coalesce(start, -1) AS section, CAST(0 AS BIGINT) AS part, heading, content
+FROM ({SECTIONS}) s""",
     "page_real_content": f"""SELECT page_id, {' OR '.join(
         f"(length({c}) > 80 AND NOT contains({c}, 'Beginning of the main content section'))"
         for c in [*_SEC_COLS, 'extra_sections'])} AS real FROM ({PAGE_SECTIONS}) s""",

@@ -270,7 +270,7 @@ def resolve_labels_rules(spark, sf):
 
 
 def resolve_section_rules(spark, sf):
-    kept = labels.drop_boilerplate(S.run(spark, sf, S.SECTION_LONG))
+    kept = labels.drop_boilerplate_sections(S.run(spark, sf, S.SECTION_LONG))
     return labels.resolve_label_rules(kept, L.SECTION_LABELS, L.SECTION_RULES).drop("value")
 
 
@@ -357,6 +357,11 @@ def page_sections(spark, sf):
     return pages.page_sections(_pages(spark, sf))
 
 
+def segment_by_heading(spark, sf):
+    """Sections from the long block table, one row each."""
+    return labels.segment_by_heading(pages.page_blocks(_pages(spark, sf)))
+
+
 def page_real_content(spark, sf):
     df = pages.page_sections(_pages(spark, sf))
     return df.select("page_id", pages.has_real_content([*SECTION_COLUMNS, "extra_sections"]).alias("real"))
@@ -380,7 +385,7 @@ def page_gate(spark, sf):
 
 
 def page_shell(spark, sf):
-    return _pages(spark, sf).select("page_id", quality.is_page_shell("html", "the").alias("shell"))
+    return _pages(spark, sf).select("page_id", quality.page_is_shell("html", "the").alias("shell"))
 
 
 def page_label_values(spark, sf):
@@ -470,7 +475,8 @@ def pages_to_master(spark, sf):
         title = "working_title" if key == "s0" else "job_title"
         cards = _page_cards(spark, sf, "source_key", "job_id", F.lit("Card").alias(title), "institution", "posted_date")
         cards = cards.where(F.col("source_key") == key)
-        postings = pages.page_to_posting(_landed(spark, sf, sql), cards, style, **options)
+        landed = _landed(spark, sf, f"{sql} WHERE source_key = '{key}'")
+        postings = pages.page_to_posting(landed, cards, style, **options)
         raw[key] = pages.to_source(postings.withColumn("ord", F.col("page_id")), key, "2026-01-01T00:00:00+00:00",
                                    keep=("ord",))
     master = merge.merge_master(mapping.union_sources(raw))
@@ -569,9 +575,8 @@ def records_roundtrip(spark, sf):
 def site_published(spark, sf):
     """Site datasets written and read back: jobs per source and the metadata total."""
     path = fresh_path(spark, "site")
-    jobs = _site(spark, sf)
-    writers.write_site(jobs, site.site_meta(jobs, "2026-01-01"), path)
-    back = spark.read.schema(jobs.schema).json(f"{path}/jobs")
+    writers.write_site(_site(spark, sf), path, "2026-01-01")
+    back = spark.read.parquet(f"{path}/jobs")
     total = spark.read.json(f"{path}/meta").select(F.lit("total").alias("source"), F.col("total").alias("jobs"))
     return back.groupBy("source").agg(F.count("*").alias("jobs")).unionByName(total)
 
@@ -683,7 +688,7 @@ QUERIES = {f.__name__: f for f in [
     dedup_dual_keyed, expire_missing, load_existing, enrich_listing, stub_missing, resolve_labels_exact,
     resolve_labels_rules, resolve_section_rules, classify_keywords_table, classify_keywords_list,
     pivot_first, pivot_last, pivot_append, pack_extra, join_duties, attach_followers, take_while,
-    listing_valid, fill_rate, fill_share, page_blocks, page_sections, page_real_content, page_links,
+    listing_valid, fill_rate, fill_share, page_blocks, page_sections, segment_by_heading, page_real_content, page_links,
     page_links_kept, page_apply_link, page_gate, page_shell, page_label_values, page_cell_values,
     page_list_values, page_indexed_fields, listing_spans, listing_cards, listing_rows, listing_grid,
     listing_links, postings_tables, postings_spans, postings_cells, postings_lists,

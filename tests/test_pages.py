@@ -146,7 +146,7 @@ def test_links_and_gates(spark):
     none = frame(spark, "<a href='/x'>y</a>")
     assert none.select(pages.apply_link("html", "url", BASE)).first()[0] == f"{BASE}/p/0"
     shells = frame(spark, "<p> Toggle  navigation</p>", "<p>x Toggle navigation y</p>", "<p>" + "z" * 101 + "toggle navigation</p>")
-    got = shells.select(quality.is_page_shell("html")).collect()
+    got = shells.select(quality.page_is_shell("html")).collect()
     assert [r[0] for r in got] == [False, True, False]
     sized = frame(spark, "a" * 10001, "a" * 10001 + "HRS_SCH_PSTDSC_DESCRLONG", "HRS_SCH_PSTDSC_DESCRLONG")
     kept = quality.page_is_complete(sized, quality.SPAN_PAGE_CHARS, quality.SPAN_PAGE_MARKERS)

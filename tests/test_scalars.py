@@ -20,6 +20,8 @@ def test_clean_knows_every_unicode_space(column):
     spaces = [chr(i) for i in range(sys.maxunicode) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
     got = column("x string", [f" a{s}{s} b{s}" for s in spaces], X.clean("x"))
     assert got == ["a b"] * len(spaces)
+    others = [c for c in map(chr, range(0x10000)) if not c.isspace() and not 0xD800 <= ord(c) < 0xE000]
+    assert column("x string", [f"a{c}b" for c in others], X.clean("x")) == [f"a{c}b" for c in others]
     check(column, X.clean("x"), [(None, ""), ("", ""), ("  ", ""), ("a b", "a b"), ("​x", "​x")])
 
 

@@ -119,5 +119,20 @@ def test_listing_gate(spark):
 def test_boilerplate_and_exact(spark):
     long = spark.createDataFrame([(1, 0, "USG Core Values", "x"), (1, 1, "Notes", ""), (1, 2, "Duties :", "y")],
                                  "page_id long, ord int, label string, value string")
-    kept = labels.resolve_label_exact(labels.drop_boilerplate(long), L.HEADING_LABELS).collect()
+    kept = labels.resolve_label_exact(labels.drop_boilerplate_sections(long), L.HEADING_LABELS).collect()
     assert [(r.ord, r.field) for r in kept] == [(2, "responsibilities")]
+
+
+def test_segments_over_parts(spark):
+    tags = [("p", "intro"), ("h2", "One"), *[("p", f"w{i}") for i in range(11)], ("h3", "Empty"), ("b", "Two:"),
+            ("", "x"), ("b", "not a heading"), ("li", "y")]
+    blocks = spark.createDataFrame([(1, i, t, x) for i, (t, x) in enumerate(tags)] + [(2, 0, "p", "only")],
+                                   "page_id long, ord int, tag string, text string").repartition(3)
+    rows = labels.segment_by_heading(blocks, size=SIZE).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.page_id, r.section, r.part)):
+        got.setdefault((r.page_id, r.heading), []).append(r.content)
+    assert {k: " ".join(v) for k, v in got.items()} == {
+        (1, ""): "intro", (1, "One"): " ".join(f"w{i}" for i in range(11)), (1, "Two"): "x not a heading y",
+        (2, ""): "only"}
+    assert len(got[(1, "One")]) > 3
