@@ -7,17 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import clean, col, let, norm_label
+from .text import clean, col, let, lookup, norm_label
 
-# Character references decoded in page text.
+# Named character references decoded in page text.
 ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'",
-    "&copy;": "©", "&reg;": "®", "&trade;": "™", "&deg;": "°",
-    "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–",
-    "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&eacute;": "é",
-    "&frac12;": "½", "&sect;": "§", "&cent;": "¢", "&pound;": "£",
-    "&euro;": "€", "&times;": "×",
+    "amp": "&", "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®",
+    "trade": "™", "deg": "°", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "eacute": "é",
+    "frac12": "½", "sect": "§", "cent": "¢", "pound": "£", "euro": "€", "times": "×",
 }
 
 _NOISES = r"!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>"
@@ -34,30 +31,26 @@ def without_noise(html) -> Column:
     return F.regexp_replace(col(html), NOISE_AND_TITLE, " ")
 
 
-def _character(number: Column) -> Column:
+def _numbered(number: Column) -> Column:
+    """The character of a decimal or x-prefixed hexadecimal number."""
     code = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, 2, 6), 16, 10)
                   ).otherwise(number).try_cast("int")
-    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    return let(code, lambda n: F.when(
+        n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF),
+        F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd"))
 
 
-def _numeric(piece: Column) -> Column:
-    return let(F.regexp_extract(piece, r"^(\d{1,7}|[xX][0-9a-fA-F]{1,6});", 1), lambda number: F.when(
-        number == "", F.concat(F.lit("&#"), piece)).otherwise(
-        F.concat(_character(number), F.substr(piece, F.length(number) + 2))))
-
-
-def _decoded(c: Column) -> Column:
-    numbers = F.concat_ws("", F.transform(
-        F.split(c, "&#"), lambda p, i: F.when(i == 0, p).otherwise(_numeric(p))))
-    out = F.when(c.contains("&#"), numbers).otherwise(c)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+def _referred(piece: Column) -> Column:
+    """Text after an `&`: a known reference becomes its character, else the `&` stays."""
+    name = F.regexp_extract(piece, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});", 1)
+    char = lambda n: F.when(n.startswith("#"), _numbered(F.substring(n, 2, 7))).otherwise(lookup(ENTITIES, n))
+    return let(name, lambda n: F.coalesce(F.concat(char(n), F.substr(piece, F.length(n) + 2)),
+                                          F.concat(F.lit("&"), piece)))
 
 
 def decode_entities(c: Column) -> Column:
-    return let(c, lambda t: F.when(t.contains("&"), _decoded(t)).otherwise(t))
+    return let(c, lambda t: F.when(t.contains("&"), F.concat_ws("", F.transform(
+        F.split(t, "&"), lambda p, i: F.when(i == 0, p).otherwise(_referred(p))))).otherwise(t))
 
 
 def text_of(html, sep: str = " ") -> Column:

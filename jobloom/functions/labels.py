@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, functions as F
 
-from .text import any_of, col, contains_any
+from .text import any_of, col, contains_any, lookup
 
 # ---------------------------------------------------------------------------
 # Labels of the first source's detail tables.
@@ -225,8 +223,7 @@ DUTY_SHARE_LABEL = "percentage of time"
 
 def resolve_exact(label, labels: dict[str, str]) -> Column:
     """The column an exact label names, or null."""
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(labels.items())])
-    return F.try_element_at(table, col(label))
+    return lookup(labels, label)
 
 
 def resolve_rules(label, labels: dict[str, str], rules: list[tuple[str, str]]) -> Column:

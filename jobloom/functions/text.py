@@ -45,8 +45,20 @@ def first_non_empty(*cols) -> Column:
     return F.coalesce(*[non_empty(c) for c in cols], F.lit(""))
 
 
+def sql_text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lookup(table: dict[str, str], key) -> Column:
+    """The table's value for `key`, or null."""
+    entries = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), col(key))
+
+
 def clean(c) -> Column:
     """Null to `''`, white-space runs to one space, trimmed."""
+    if isinstance(c, str):
+        return F.expr(f"trim(regexp_replace(coalesce(`{c}`, ''), {sql_text(f'(?U){WS}+')}, ' '))")
     return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), rf"(?U){WS}+", " "))
 
 

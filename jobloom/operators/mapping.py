@@ -17,12 +17,11 @@ def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) ->
     """
     present = set(df.columns)
 
-    def column(f: T.StructField) -> Column:
-        blank = F.lit(False) if isinstance(f.dataType, T.BooleanType) else F.lit("")
-        c = F.coalesce(F.col(f.name), blank) if f.name in present else blank
-        return c.alias(f.name)
+    def column(f: T.StructField) -> str:
+        blank = "false" if isinstance(f.dataType, T.BooleanType) else "''"
+        return f"coalesce(`{f.name}`, {blank}) AS `{f.name}`" if f.name in present else f"{blank} AS `{f.name}`"
 
-    return df.select(*[c for c in keep if c in present], *[column(f) for f in schema])
+    return df.selectExpr(*[c for c in keep if c in present], *[column(f) for f in schema])
 
 
 def source_label(key: str) -> Column:
