@@ -8,6 +8,7 @@ from ..functions.text import first_non_empty, non_empty, strip
 from .keyed import one_per_key
 from .mapping import union_all
 
+
 def require_title(master: DataFrame) -> DataFrame:
     return master.where(F.col("job_title") != "")
 
@@ -70,52 +71,71 @@ def new_only(cards: DataFrame, existing: DataFrame, keys: list[str]) -> DataFram
 
 # --- upserts -----------------------------------------------------------------------
 
-def _carried_and_new(existing: DataFrame, new: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
-    """Stored rows without a newer one, and the last new row per key.
-
-    For a snapshot with one row per key: its rows meet the new keys in one anti join
-    and are neither sorted nor ranked; few new keys are broadcast by the optimizer.
-    """
-    newest = last_per_key(new.where(key != ""), key, order)
-    stored = existing.where(key != "").withColumn("_key", key)
-    return stored.join(newest.select(key.alias("_key")), "_key", "left_anti").drop("_key"), newest
-
-
 def upsert_newest(existing: DataFrame, new: DataFrame, key: str = "job_id", order: str = "ord",
                   stored_unique: bool = False) -> DataFrame:
-    """Existing rows, replaced or extended by new ones; the last row of a key wins on each side."""
+    """Existing rows, replaced or extended by new ones; the last row of a key wins on each side.
+
+    A snapshot known to have one row per key (`stored_unique`) meets the new keys in
+    one anti join and is neither sorted nor ranked.
+    """
     if stored_unique:
-        return union_all(list(_carried_and_new(existing, new, strip(key), order)))
+        newest = last_per_key(new.where(strip(key) != ""), strip(key), order)
+        return _without(existing.where(strip(key) != ""), strip(key), newest, strip(key)).unionByName(newest)
     both = (existing.withColumn("_new", F.lit(0))
             .unionByName(new.withColumn("_new", F.lit(1)))
             .where(strip(key) != ""))
     return one_per_key(both, [strip(key)], [F.desc("_new"), F.desc(order)]).drop("_new")
 
 
-def upsert_canonical(existing: DataFrame, new: DataFrame, number: str, url: str, order: str = "ord",
-                     stored_unique: bool = False) -> DataFrame:
-    """As `upsert_newest` with key = number, else url; keyless rows are dropped.
+def _without(stored: DataFrame, stored_key: Column, newest: DataFrame, new_key: Column) -> DataFrame:
+    """Stored rows whose key has no new row."""
+    return (stored.withColumn("_key", stored_key)
+            .join(newest.select(new_key.alias("_key")), "_key", "left_anti").drop("_key"))
+
+
+def _dual_winners(existing: DataFrame, number: str, url: str, order: str) -> DataFrame:
+    """`(key, order)`: the stored row that stands for each canonical key (number, else url).
 
-    `carried` tells rows that come from the stored snapshot.
+    A row is filed under its number and under its url, and the last row filed under
+    a value holds it; a row that holds nothing any more is gone. Among holders with one
+    canonical key, the one under the value filed first counts. Only keys and positions
+    move, combined map-side.
     """
-    key = first_non_empty(strip(number), strip(url))
-    if stored_unique:
-        carried, newest = _carried_and_new(existing, new, key, order)
-        return carried.withColumn("carried", F.lit(True)).unionByName(newest.withColumn("carried", F.lit(False)))
-    both = (existing.withColumn("carried", F.lit(True))
-            .unionByName(new.withColumn("carried", F.lit(False)))
-            .where(key != ""))
-    return one_per_key(both, [key], ["carried", F.desc(order)])
+    n, u = strip(number), strip(url)
+    filed = existing.select(F.col(order).alias("o"), first_non_empty(n, u).alias("key"), F.posexplode(F.array(n, u)).alias("w", "k"))
+    held = filed.where("k <> ''").groupBy("k").agg(
+        F.max(F.struct("o", "key")).alias("last"), F.min(F.struct("o", "w")).alias("first"))
+    return held.groupBy(F.col("last.key").alias("key")).agg(F.min_by("last.o", "first").alias(order))
 
 
 def dedup_dual_keyed(existing: DataFrame, number: str, url: str, order: str = "ord") -> DataFrame:
-    """Stored rows, one per canonical key (number, else url); keyless rows dropped."""
+    """Rows filed under number and url, back to one per canonical key; keyless rows are dropped.
+
+    `order` must be unique: the winning rows are picked by it.
+    """
+    return existing.join(_dual_winners(existing, number, url, order).select(order), order, "left_semi")
+
+
+def upsert_canonical(existing: DataFrame, new: DataFrame, number: str, url: str, order: str = "ord",
+                     stored_unique: bool = False) -> DataFrame:
+    """New rows (the last per number, else url) and the stored rows they do not replace.
+
+    Keyless rows are dropped; `carried` tells rows that come from the stored snapshot.
+    The stored rows to keep are found on keys and positions alone, so wide rows move
+    once; with `stored_unique` that search is left out.
+    """
     key = first_non_empty(strip(number), strip(url))
-    return last_per_key(existing.where(key != ""), key, order)
+    newest = last_per_key(new.where(key != ""), key, order)
+    if stored_unique:
+        carried = _without(existing.where(key != ""), key, newest, key)
+    else:
+        kept = _without(_dual_winners(existing, number, url, order), F.col("key"), newest, key)
+        carried = existing.join(kept.select(order), order, "left_semi")
+    return carried.withColumn("carried", F.lit(True)).unionByName(newest.withColumn("carried", F.lit(False)))
 
 
 def append_new(existing: DataFrame, fetched: DataFrame, key: str = "job_id") -> DataFrame:
-    """Stored rows as they are, plus fetched rows with an id not stored."""
+    """Stored rows as they are (see `load_keyed`), plus fetched rows with an id not stored."""
     return existing.unionByName(new_only(fetched, existing, [key]))
 
 

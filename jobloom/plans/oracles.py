@@ -284,6 +284,17 @@ def _last(sql: str, key: str) -> str:
             f"QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord DESC) = 1")
 
 
+def _dual(sql: str) -> str:
+    """Rows by number and url in one table, the last row of a value holding it."""
+    return f"""
+SELECT * EXCLUDE (place) FROM (
+  SELECT r.*, {_CANON} AS k, place FROM ({sql}) r JOIN (
+    SELECT max(ord) AS holder, min(place) AS place FROM (
+      SELECT ord, ord * 2 AS place, {strip('number')} AS v FROM ({sql}) a
+      UNION ALL SELECT ord, ord * 2 + 1, {strip('url')} FROM ({sql}) b) f WHERE v <> '' GROUP BY v) h ON r.ord = h.holder) x
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY place) = 1"""
+
+
 _CANON = f"coalesce(nullif({strip('number')}, ''), {strip('url')})"
 _DETAIL = f"""SELECT job_id, job_title, department, apply_link FROM ({S.plain(S.LINE_DETAILS)}) l
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) = 1"""
@@ -404,7 +415,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ({_STORED}) s WHERE s.number <> '' AND s.number
   AND NOT EXISTS (SELECT 1 FROM ({_STORED}) s WHERE s.url <> ' ' AND s.url = c.url)""",
     "upsert_newest": f"""WITH n AS ({_last(_FETCHED, strip('url'))}), o AS ({_last(_STORED, strip('url'))})
 SELECT * EXCLUDE (k) FROM n UNION ALL SELECT * EXCLUDE (k) FROM o WHERE k NOT IN (SELECT k FROM n)""",
-    "upsert_canonical": f"""WITH n AS ({_last(_FETCHED, _CANON)}), o AS ({_last(_STORED, _CANON)})
+    "upsert_canonical": f"""WITH n AS ({_last(_FETCHED, _CANON)}), o AS ({_dual(_STORED)})
 SELECT * EXCLUDE (k), false AS carried FROM n
 UNION ALL SELECT * EXCLUDE (k), true AS carried FROM o WHERE k NOT IN (SELECT k FROM n)""",
     "append_new": f"""SELECT * FROM ({_STORED}) s UNION ALL
@@ -414,7 +425,7 @@ SELECT * FROM ({_FETCHED}) f WHERE job_id NOT IN (SELECT job_id FROM ({_STORED})
 FROM (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS e, b.k IS NOT NULL AS n
   FROM (SELECT DISTINCT url AS k FROM ({_STORED}) s WHERE trim(url) <> '') a
   FULL OUTER JOIN (SELECT DISTINCT url AS k FROM ({_FETCHED}) f WHERE trim(url) <> '') b ON a.k = b.k) j""",
-    "dedup_dual_keyed": f"SELECT * EXCLUDE (k) FROM ({_last(_CARDS, _CANON)}) c",
+    "dedup_dual_keyed": f"SELECT * EXCLUDE (k) FROM ({_dual(_CARDS)}) c",
     "expire_missing": f"SELECT * FROM ({_STORED}) s WHERE job_id IN (SELECT job_id FROM ({_FETCHED}) f)",
     "load_existing": f"SELECT * EXCLUDE (k) FROM ({_last(_CARDS, strip('url'))}) c",
     "enrich_listing": _ENRICHED,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import dates as D, events as V, html as H, labels as L, text as X
+from ..functions import dates as D, events as V, labels as L, text as X
 from ..functions.vectors import l2_normalise
 from ..operators import labels, mapping, merge, pages, quality, ranks, site, vectors
 from ..schemas import MASTER_COLUMNS, S1_COLUMNS, SECTION_COLUMNS, SOURCES, strings

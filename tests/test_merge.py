@@ -110,9 +110,13 @@ def test_incremental_merges_match_python(spark, seed):
 
     canon = lambda r: r[1].strip() or r[2].strip()
     latest_new = {canon(r): r for r in new if canon(r)}
-    latest_old = {canon(r): r for r in old if canon(r)}
+    latest_old = {}
+    for r in stored.values():
+        latest_old.setdefault(canon(r), r)
     want = [(r[0], "new", False) for r in latest_new.values()]
     want += [(r[0], "old", True) for k, r in latest_old.items() if k not in latest_new]
+    flat = merge.dedup_dual_keyed(old_df, "number", "url")
+    assert sorted(r.ord for r in flat.collect()) == sorted(r[0] for r in latest_old.values())
     got = merge.upsert_canonical(old_df, new_df, "number", "url").select("ord", "version", "carried").collect()
     assert sorted(map(tuple, got)) == sorted(want)
 

@@ -29,8 +29,8 @@ def test_no_cross_or_nested_loop_join(spark, query):
 
 
 def test_upserts_are_one_pruned_shuffle(spark):
-    for query in (Q.upsert_newest, Q.upsert_canonical):
-        assert "WindowGroupLimit" in plan(query(spark, SF))
+    assert "WindowGroupLimit" in plan(Q.upsert_newest(spark, SF))
+    assert "WindowGroupLimit" in plan(Q.upsert_canonical(spark, SF))
 
 
 def test_site_is_one_compiled_stage_without_python(spark):
