@@ -22,6 +22,16 @@ def one_per_key(df: DataFrame, keys: list, order: list, distinct_blank: Column |
     return df.withColumn("_rn", F.row_number().over(window)).where("_rn = 1").drop("_rn")
 
 
+def key_set(df: DataFrame, key: str) -> DataFrame:
+    """The distinct keys, for a semi or anti join.
+
+    Repeated keys combine map-side. Grouping by a hash as well leaves the result
+    partitioned by more than the key, so the join adds a shuffle of its own (keys only)
+    and the adaptive skew join can split a hot key on the other side.
+    """
+    return df.select(key, F.xxhash64(key).alias("_h")).distinct().select(key)
+
+
 def slice_of(order, size: int = SLICE) -> Column:
     return F.floor(F.col(order) / F.lit(size)).cast("bigint")
 

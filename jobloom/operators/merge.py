@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import first_non_empty, non_empty, strip
-from .keyed import one_per_key
+from .keyed import key_set, one_per_key
 from .mapping import union_all
 
 
@@ -54,7 +54,7 @@ def _absent(cards: DataFrame, stored_keys: DataFrame, key: str) -> DataFrame:
     """
     spread = F.concat(F.lit(" "), F.xxhash64(*[F.col(c) for c in cards.columns]).cast("string"))
     keyed = cards.withColumn("_key", F.when(strip(key) == "", spread).otherwise(strip(key)))
-    return keyed.join(stored_keys.distinct(), "_key", "left_anti").drop("_key")
+    return keyed.join(key_set(stored_keys, "_key"), "_key", "left_anti").drop("_key")
 
 
 def new_only(cards: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -141,7 +141,7 @@ def append_new(existing: DataFrame, fetched: DataFrame, key: str = "job_id") ->
 
 def expire_missing(snapshot: DataFrame, listing: DataFrame, key: str = "job_id") -> DataFrame:
     """Optional: drop stored rows that the listing no longer shows."""
-    return snapshot.join(listing.select(key).where(F.col(key) != "").distinct(), key, "left_semi")
+    return snapshot.join(key_set(listing.where(F.col(key) != ""), key), key, "left_semi")
 
 
 def merge_accounting(existing: DataFrame, listed: DataFrame, key: str = "job_id") -> DataFrame:

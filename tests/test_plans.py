@@ -72,3 +72,25 @@ def test_blank_cards_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(sizes) == 3000 and max(sizes) < 1.5 * 3000 / 4
+
+
+def test_hot_card_id_is_split_by_the_adaptive_join(spark):
+    """A third of the listing repeats one id: its partition is read by several tasks."""
+    cards = spark.range(60_000, numPartitions=8).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("number"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40000",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = merge.new_only(cards, cards.where("ord % 7 = 1"), ["number"])
+        rows = out.collect()
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert "skew=true" in text
+    stored = {"hot" if i % 3 == 0 else str(i) for i in range(60_000) if i % 7 == 1}
+    assert len(rows) == sum(1 for i in range(60_000) if ("hot" if i % 3 == 0 else str(i)) not in stored)
