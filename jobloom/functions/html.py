@@ -266,7 +266,7 @@ def links(html, path: str = "") -> Column:
 
 def is_pager_text(text) -> Column:
     t = col(text)
-    return (t == "") | t.rlike("^[\\d›»<>]+\\z") | F.lower(t).isin("next", "prev", "previous")
+    return (t == "") | t.rlike("(?U)^[\\d›»<>]+\\z") | F.lower(t).isin("next", "prev", "previous")
 
 
 def title_case(c: Column) -> Column:

@@ -19,29 +19,29 @@ PAY_PHRASES = [
     r"(?:\s*(?:annually|per\s+year|/yr))?",
     r"salary\s*:\s*\$?\s*[\d,]+(?:\.\d+)?(?:\s*[-\u2013]\s*\$?[\d,]+(?:\.\d+)?)?",
     r"minimum\s+(?:hourly\s+rate|salary|monthly\s+salary)\s+(?:is:?\s*)?\$?\s*[\d,]+(?:\.\d+)?"
-    r"(?:/(?U:\w)+)?",
+    r"(?:/\w+)?",
     r"\$\s*[\d,]+(?:\.\d+)?\s*(?:per\s+(?:hour|month)|/hr|/hour)",
 ]
 
-BLOB_PAY = (r"(?iu)(?:Salary\s*:|Anticipated Hiring Range\s*:)\s*\$?([\d,]+(?:\.\d+)?)"
+BLOB_PAY = (r"(?iuU)(?:Salary\s*:|Anticipated Hiring Range\s*:)\s*\$?([\d,]+(?:\.\d+)?)"
             r"(?:\s*\([^)]*\))?\s*[-\u2013]\s*\$?([\d,]+(?:\.\d+)?)")
-BLOB_TYPE = r"(?iu)Job Type\s*:\s*(Full[- ]?Time|Part[- ]?Time)"
+BLOB_TYPE = r"(?iuU)Job Type\s*:\s*(Full[- ]?Time|Part[- ]?Time)"
 
 HOURLY = r"(?U)\bper\s+hours?\b|/hr\b|/hour\b|\bhourly\b|\ban\s+hour\b"
-DOLLARS = r"\$\s*[\d,]+"
+DOLLARS = r"(?U)\$\s*[\d,]+"
 BIG_NUMBER = r"(?U)\b\d{5,}\b"
 
 # ---------------------------------------------------------------------------
 
-_ANY_PHRASE = "(?iu)" + "|".join(f"(?:{p})" for p in PAY_PHRASES)
-_PAY_SECTION = (rf"(?is)(?:^|\|\|)\s*\[\s*(?:{'|'.join(PAY_LABELS)})(?:(?!\|\|)[^\]])*\]"
+_ANY_PHRASE = "(?iuU)" + "|".join(f"(?:{p})" for p in PAY_PHRASES)
+_PAY_SECTION = (rf"(?is)(?:^|(?<!\|)(?:\|\|)+)\s*\[\s*(?:{'|'.join(PAY_LABELS)})(?:(?!\|\|)[^\]])*\]"
                 r"\s*+(?!\|\|)(\S.*?)\s*(?:\|\||\z)")
 
 
 def trim_pay(c) -> Column:
     """Shorten a long pay text to its amount."""
     s = col(c)
-    tail = F.regexp_extract(s, r"(?s)\$\s*[\d,].*", 0)
+    tail = F.regexp_extract(s, r"(?sU)\$\s*[\d,].*", 0)
     sentence = F.regexp_extract(tail, r"(?s)^(.{1,199}?\.)(?:[ \t\n\r]|\z)", 1)
     amount = F.trim(first_non_empty(sentence, tail))
     return (
