@@ -181,6 +181,19 @@ def url_id(c, path: str = "/postings/") -> Column:
     return F.regexp_extract(col(c), re.escape(path) + r"(\d+)", 1)
 
 
+def _without_dots(url: Column, origin: str) -> Column:
+    """Resolve `.` and `..` in the path of a url below `origin`."""
+    def stacked(path: Column) -> Column:
+        parts = F.concat(F.split(path, "/"), F.when(path.rlike(r"/\.\.?\z"), F.array(F.lit(""))).otherwise(F.array()))
+        step = lambda done, p: (F.when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+                                .when(p == ".", done).otherwise(F.concat(done, F.array(p))))
+        return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+    tail = F.substr(url, F.lit(len(origin) + 1))
+    return F.concat(F.lit(origin), let(F.regexp_extract(tail, r"^[^?#]*", 0), stacked),
+                    F.regexp_extract(tail, r"[?#].*", 0))
+
+
 def absolute_url(base: str, href) -> Column:
     """Resolve `href` against the page at `base`."""
     h = col(href)
@@ -188,13 +201,15 @@ def absolute_url(base: str, href) -> Column:
     origin = f"{parts.scheme}://{parts.netloc}"
     folder = origin + (parts.path.rsplit("/", 1)[0] if "/" in parts.path else "")
     page = origin + parts.path
+    below = (F.when(h.startswith("/"), F.concat(F.lit(origin), h))
+             .otherwise(F.concat(F.lit(folder + "/"), h)))
     return (
         F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), h)
         .when(h == "", base)
         .when(h.startswith("//"), F.concat(F.lit(parts.scheme + ":"), h))
-        .when(h.startswith("/"), F.concat(F.lit(origin), h))
         .when(h.startswith("?") | h.startswith("#"), F.concat(F.lit(page), h))
-        .otherwise(F.concat(F.lit(folder + "/"), F.regexp_replace(h, r"^(?:\./)+", "")))
+        .when(h.rlike(r"(?:^|/)\.\.?(?:/|\z)"), let(below, lambda u: _without_dots(u, origin)))
+        .otherwise(below)
     )
 
 

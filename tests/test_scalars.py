@@ -108,7 +108,8 @@ def test_links(column):
                                          (("https://b", "http://a"), "https://b")], "a string, v string")
     check(column, X.absolute_url("https://h.org/a/b", F.col("x")), [
         ("https://q", "https://q"), ("/r", "https://h.org/r"), ("c", "https://h.org/a/c"), ("?p=1", "https://h.org/a/b?p=1"),
-        ("//z/y", "https://z/y"), ("mailto:x", "mailto:x"), ("", "https://h.org/a/b")])
+        ("//z/y", "https://z/y"), ("../d", "https://h.org/d"), ("./d/../e?x=../y", "https://h.org/a/e?x=../y"),
+        ("/../..", "https://h.org/"), ("/p/./q", "https://h.org/p/q"), ("mailto:x", "mailto:x"), ("", "https://h.org/a/b")])
     check(column, X.absolute_url("https://h.org", F.col("x")), [("c", "https://h.org/c"), ("/c", "https://h.org/c")])
     check(column, X.url_id("x"), [("/postings/12?x", "12"), ("/posting/12", ""), ("https://h/postings/7", "7")])
 
