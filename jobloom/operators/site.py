@@ -15,7 +15,7 @@ def _col(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit("")
 
 
-def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
+def to_site(master: DataFrame, keep: tuple[str, ...] = ("source_rank", "ord")) -> DataFrame:
     """Master rows as site rows: one narrow projection, rows without an id dropped."""
     c = lambda name: _col(master, name)
     job_id = text.clean(text.first_non_empty(c("job_id"), c("posting_number")))
@@ -64,31 +64,48 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("ord",)) -> DataFrame:
     )
 
 
-def posted_key() -> Column:
+def posted_key(posted: Column | None = None) -> Column:
     """Sort key: undated rows order as the oldest."""
-    return F.coalesce(text.non_empty("posted"), F.lit("0000-00-00"))
+    return F.coalesce(text.non_empty(F.col("posted") if posted is None else posted), F.lit("0000-00-00"))
 
 
-def newest_order() -> list[Column]:
-    return [posted_key().desc(), F.col("ord").asc()]
+def _input_order(df: DataFrame) -> list[str]:
+    """The columns that tell the order of input: source first, then place in the source."""
+    return [c for c in ("source_rank", "ord") if c in df.columns]
+
+
+def newest_order(df: DataFrame) -> list[Column]:
+    return [posted_key().desc(), *[F.col(c).asc() for c in _input_order(df)]]
 
 
 def newest_first(site: DataFrame) -> DataFrame:
-    """Newest first, undated last, ties in input order (range sort on both columns)."""
-    return site.orderBy(*newest_order())
+    """Newest first, undated last, ties in input order (range sort on all of it)."""
+    return site.orderBy(*newest_order(site))
+
+
+def newest_site(master: DataFrame) -> DataFrame:
+    """`newest_first(to_site(master))` with the sort below the text work.
+
+    A range sort looks at its input twice; sorting the plain master rows by their
+    parsed date keeps the costly expressions out of that.
+    """
+    day = posted_key(dates.parse_date("posted_date"))
+    return to_site(master.orderBy(day.desc(), *_input_order(master)))
 
 
-def _facets(site: DataFrame, column: str, n: int | None = None) -> DataFrame:
-    """Values by frequency, with the day and position of their first appearance.
+def _facets(site: DataFrame, column: str, n: int | None = None, blanks: bool = False) -> DataFrame:
+    """Values by frequency, with the day and place of their first newest-first appearance.
 
-    Two steps of partial aggregation: per (value, day), then per value, so a value
-    that owns most rows reaches its task as one row per day and map task.
+    Partial aggregation per (value, day, source), then per (value, day), then per value:
+    a value that owns most rows reaches its task as a few rows per map task.
     """
-    daily = (site.where(F.col(column) != "")
-             .groupBy(F.col(column).alias("value"), posted_key().alias("_day"))
-             .agg(F.count("*").alias("_n"), F.min("ord").alias("_ord")))
+    value, rank = F.col(column).alias("value"), (["source_rank"] if "source_rank" in site.columns else [])
+    rows = site if blanks else site.where(F.col(column) != "")
+    daily = rows.groupBy(value, posted_key().alias("_day"), *rank).agg(F.count("*").alias("_n"), F.min("ord").alias("ord"))
+    if rank:
+        daily = daily.groupBy("value", "_day").agg(F.sum("_n").alias("_n"), F.min(F.struct(*rank, "ord")).alias("ord"))
     values = daily.groupBy("value").agg(
-        F.sum("_n").alias("count"), F.max("_day").alias("_day"), F.max_by("_ord", "_day").alias("_ord"))
+        F.sum("_n").alias("count"), F.max("_day").alias("_day"), F.max_by("ord", "_day").alias("_ord"))
     ranked = values.orderBy(F.desc("count"), F.desc("_day"), F.asc("_ord"))
     return ranked if n is None else ranked.limit(n)
 
@@ -99,9 +116,9 @@ def facet_values(site: DataFrame, column: str, n: int | None = None) -> DataFram
 
 
 def top_institutions(site: DataFrame, n: int = REPORT_ROWS) -> DataFrame:
-    """The n most frequent institutions, a blank one included."""
-    counts = site.groupBy("institution").agg(F.count("*").alias("jobs"), F.min("ord").alias("_ord"))
-    return counts.orderBy(F.desc("jobs"), "_ord").limit(n).drop("_ord")
+    """The n most frequent institutions, a blank one included; ties as in `facet_values`."""
+    top = _facets(site, "institution", n, blanks=True)
+    return top.select(F.col("value").alias("institution"), F.col("count").alias("jobs"))
 
 
 def quality_by_source(site: DataFrame) -> DataFrame:

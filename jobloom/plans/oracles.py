@@ -137,12 +137,12 @@ _NOISE = " OR ".join(
 _HOURLY = r"\bper\s+hours?\b|/hr\b|/hour\b|\bhourly\b|\ban\s+hour\b"
 
 SITE = f"""
-SELECT ord, id, title, institution, department, location, remote, posted, closes, type, employment, salary,
+SELECT source_rank, ord, id, title, institution, department, location, remote, posted, closes, type, employment, salary,
   CASE WHEN {has('lower(salary)', _HOURLY)} THEN 'Hourly' WHEN {has('salary', r'[$][ ]*[0-9,]+')} THEN 'Annual'
     WHEN {has('salary', r'(?:^|[^0-9A-Za-z_])[0-9]{5,}(?:[^0-9A-Za-z_]|$)')} THEN 'Annual' ELSE '' END AS salary_type,
   summary, view, apply, source
 FROM (SELECT *, {_PAY} AS salary FROM (
-  SELECT ord, job_id AS id, job_title AS title, institution,
+  SELECT source_rank, ord, job_id AS id, job_title AS title, institution,
     CASE WHEN {_NOISE} THEN '' ELSE department END AS department, location,
     contains(lower(location), 'remote') AS remote, {parse_date('posted_date')} AS posted,
     {parse_date('close_date')} AS closes,
@@ -159,7 +159,7 @@ FROM (SELECT *, {_PAY} AS salary FROM (
   FROM ({MERGED}) merged WHERE job_id <> '') parsed) priced
 """
 
-_NEWEST = "coalesce(nullif(posted, ''), '0000-00-00') DESC, ord"
+_NEWEST = "coalesce(nullif(posted, ''), '0000-00-00') DESC, source_rank, ord"
 
 
 def _facet(column: str, limit: str = "") -> str:
@@ -375,12 +375,13 @@ QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY p, page_id, CASE title W
                      "WHEN 'error' THEN 'Faculty Careers' ELSE 'Unknown' END AS portal, count(*) AS jobs "
                      "FROM events GROUP BY 1",
     "site_rows": SITE,
-    "newest_first": f"SELECT ord, id, posted, row_number() OVER (ORDER BY {_NEWEST}) - 1 AS row_index FROM ({SITE}) s",
+    "newest_first": f"SELECT source_rank, ord, id, posted, row_number() OVER (ORDER BY {_NEWEST}) - 1 AS row_index FROM ({SITE}) s",
     "facet_institutions": _facet("institution"),
     "facet_locations": _facet("location", "LIMIT 40"),
     "facet_titles": _facet("title", "LIMIT 40"),
-    "top_institutions": f"SELECT institution, count(*) AS jobs FROM ({SITE}) s GROUP BY institution "
-                        "ORDER BY count(*) DESC, min(ord) LIMIT 10",
+    "top_institutions": f"""SELECT institution, count(*) AS jobs FROM (
+  SELECT *, row_number() OVER (ORDER BY {_NEWEST}) AS place FROM ({SITE}) s) ranked
+GROUP BY institution ORDER BY count(*) DESC, min(place) LIMIT 10""",
     "quality_by_source": f"""SELECT source, count(*) AS n, count(*) FILTER (WHERE salary <> '') AS with_salary,
   count(*) FILTER (WHERE type <> '') AS with_type, count(*) FILTER (WHERE employment <> '') AS with_employment,
   count(*) FILTER (WHERE posted <> '') AS with_date FROM ({SITE}) s GROUP BY source""",

@@ -87,8 +87,8 @@ def site_rows(spark, sf):
 
 def newest_first(spark, sf):
     """Every job with its place in newest-first order."""
-    keys = _site(spark, sf).select("ord", "id", "posted")
-    return ranks.dense_index(keys, site.newest_order())
+    keys = _site(spark, sf).select("source_rank", "ord", "id", "posted")
+    return ranks.dense_index(keys, site.newest_order(keys))
 
 
 def facet_institutions(spark, sf):
@@ -575,7 +575,7 @@ def records_roundtrip(spark, sf):
 def site_published(spark, sf):
     """Site datasets written and read back: jobs per source and the metadata total."""
     path = fresh_path(spark, "site")
-    writers.write_site(_site(spark, sf), path, "2026-01-01")
+    writers.write_site(_master(spark, sf), path, "2026-01-01")
     back = spark.read.parquet(f"{path}/jobs")
     total = spark.read.json(f"{path}/meta").select(F.lit("total").alias("source"), F.col("total").alias("jobs"))
     return back.groupBy("source").agg(F.count("*").alias("jobs")).unionByName(total)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.site import newest_first, site_meta
+from ..operators.site import newest_site, site_meta
 from ..operators.quality import count_by, loaded_counts
 from ..operators.vectors import with_row_index
 
@@ -21,13 +21,13 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_site(site: DataFrame, path: str, last_updated: str | None = None) -> None:
-    """The job dataset, newest first, and the one-row metadata dataset beside it.
+def write_site(master: DataFrame, path: str, last_updated: str | None = None) -> None:
+    """The job dataset of a master table, newest first, and its one-row metadata dataset.
 
     The metadata is derived from the written jobs, so the jobs are computed once.
     """
-    newest_first(site).write.mode("overwrite").parquet(f"{path}/jobs")
-    stored = site.sparkSession.read.parquet(f"{path}/jobs")
+    newest_site(master).write.mode("overwrite").parquet(f"{path}/jobs")
+    stored = master.sparkSession.read.parquet(f"{path}/jobs")
     site_meta(stored, last_updated).write.mode("overwrite").json(f"{path}/meta")
 
 

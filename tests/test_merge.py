@@ -175,7 +175,18 @@ def test_facets_break_ties_by_first_appearance(spark):
     meta = site.site_meta(df).first()
     assert meta.total == 7 and meta.institutions == ["b", "c", "a"] and meta.locations == ["b", "c", "a"]
     assert [r.ord for r in site.newest_first(df).collect()] == [4, 1, 5, 0, 2, 3, 6]
-    assert [r.institution for r in site.top_institutions(df, 2).collect()] == ["a", "b"]
+    assert [r.institution for r in site.top_institutions(df, 2).collect()] == ["b", "c"]
+    # with sources, ties follow the source before the place in it
+    ranked = df.withColumn("source_rank", F.when(F.col("institution") == "b", 1).otherwise(0))
+    assert [r.value for r in site.facet_values(ranked, "institution").collect()] == ["c", "b", "a"]
+    assert [r.ord for r in site.newest_first(ranked).collect()] == [4, 5, 1, 0, 3, 6, 2]
+
+
+def test_sorted_site_equals_site_sorted(spark):
+    rows = [(i % 3, i, f"j{i}", f"2026-0{i % 4 + 1}-01" if i % 5 else "") for i in range(60)]
+    df = spark.createDataFrame(rows, "source_rank int, ord int, job_id string, posted_date string").repartition(7)
+    a = [tuple(r) for r in site.newest_site(df).collect()]
+    assert a == [tuple(r) for r in site.newest_first(site.to_site(df)).collect()] and len(a) == 60
 
 
 def test_expire_and_dual_dedup(spark):
