@@ -166,9 +166,14 @@ def job_text(title, department, summary) -> Column:
 
 # --- links -----------------------------------------------------------------------
 
-def fix_link(apply_link, view_link) -> Column:
-    a, v = clean(apply_link), clean(view_link)
-    return F.when(a.startswith("http"), a).otherwise(first_non_empty(v, a))
+def whole_link(apply_link, posting_url) -> Column:
+    """Clean links: the apply link if it is a whole url, else the posting, else the apply link."""
+    a = col(apply_link)
+    return F.when(a.startswith("http"), a).otherwise(first_non_empty(posting_url, a))
+
+
+def fix_link(apply_link, posting_url) -> Column:
+    return whole_link(clean(apply_link), clean(posting_url))
 
 
 def view_link(posting_url, apply_link) -> Column:

@@ -38,7 +38,7 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("source_rank", "ord")) -
         text.clean(c("position_summary")).alias("position_summary"),
         (F.coalesce(c("job_summary"), F.lit("")) != "").alias("has_summary"),
         text.clean(c("responsibilities")).alias("resp"),
-        text.fix_link(c("apply_link"), c("posting_url")).alias("apply"),
+        text.clean(c("apply_link")).alias("apply_raw"),
         text.clean(c("posting_url")).alias("posting_url"),
         source.alias("source"),
     ).where("id <> ''")
@@ -59,8 +59,9 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("source_rank", "ord")) -
         "salary",
         pay.pay_type("salary").alias("salary_type"),
         text.cut("summary_raw", 700).alias("summary"),
-        text.view_link("posting_url", "apply").alias("view"),
-        "apply", "source",
+        text.view_link("posting_url", text.whole_link("apply_raw", "posting_url")).alias("view"),
+        text.whole_link("apply_raw", "posting_url").alias("apply"),
+        "source",
     )
 
 
