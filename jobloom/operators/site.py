@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, pay, text
+from .merge import require_id
 
 FACET_ARRAY_LIMIT = 1_000_000
 LOCATION_FACETS = 40
@@ -20,7 +21,7 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("source_rank", "ord")) -
     c = lambda name: _col(master, name)
     job_id = text.clean(text.first_non_empty(c("job_id"), c("posting_number")))
     source = text.clean(c("source"))
-    cleaned = master.select(
+    cleaned = require_id(master.select(
         *[k for k in keep if k in master.columns],
         job_id.alias("id"),
         text.clean(text.first_non_empty(c("job_title"), c("working_title"))).alias("title"),
@@ -41,7 +42,7 @@ def to_site(master: DataFrame, keep: tuple[str, ...] = ("source_rank", "ord")) -
         text.clean(c("apply_link")).alias("apply_raw"),
         text.clean(c("posting_url")).alias("posting_url"),
         source.alias("source"),
-    ).where("id <> ''")
+    ), "id")
     summary = F.when(F.col("has_summary"), F.col("job_summary")).otherwise(F.col("position_summary"))
     cleaned = cleaned.withColumn("summary_raw", text.fill_short(summary, "resp"))
     priced = pay.add_pay(cleaned, "salary", "pay_raw", "extra", "dept_raw", "source",
