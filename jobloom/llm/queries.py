@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .token_counts import op9_token_counts
+from .warc import OP1_SQL, op1_warc_salvage
 
 QUERIES = {
+    "op1_warc_salvage": op1_warc_salvage,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_salvage": OP1_SQL,
+}
