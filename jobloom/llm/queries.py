@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .mixing import OP8_SQL, op8_mixing
 from .token_counts import op9_token_counts
 from .warc import OP1_SQL, op1_warc_salvage
 
 QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
+    "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": OP1_SQL,
+    "op8_mixing": OP8_SQL,
 }
