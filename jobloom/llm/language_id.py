@@ -120,15 +120,16 @@ def train(docs: DataFrame, trained_on: Column, train_docs: int = 20_000, dimensi
     return [r.lang for r in totals], _unit_rows(prototypes)
 
 
-def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep` columns of `docs` with `lang_pred` and `score`, the cosine (0 to 1) of the nearest prototype.
+def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep: list[str],
+            into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns of `docs` with the prediction and its score, the cosine (0 to 1) of the nearest prototype.
 
     A text that is null or has no letter, and any text if nothing was learned, is `und` with score 0.
     Ties go to the first language in code point order.
     """
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes.astype(np.float32)))
     inner = docs.select(*keep, F.col("text").alias("__text"))
-    schema = inner.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = inner.drop("__text").schema.add(into[0], "string").add(into[1], "double")
 
     def label(batches):
         languages, prototypes = model.value
@@ -170,5 +171,5 @@ def op2_language_id(spark, sf):
 def language_stage(spark, docs, sf_dir):
     """Documents in a recognised language, labelled with it; those without one go."""
     languages, prototypes = train(docs, F.lit(True))
-    found = predict(docs, languages, prototypes, docs.columns)
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = predict(docs, languages, prototypes, docs.columns, ("__language", "__cosine"))
+    return found.where("__language <> 'und'").withColumn("lang", F.coalesce("lang", "__language")).select(docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fertility import op4_fertility
 from .language_id import op2_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .token_counts import op9_token_counts
@@ -10,6 +11,7 @@ from .warc import OP1_SQL, op1_warc_salvage
 QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_language_id": op2_language_id,
+    "op4_fertility": op4_fertility,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
 }
