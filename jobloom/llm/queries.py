@@ -6,6 +6,7 @@ from .fertility import op4_fertility
 from .language_id import op2_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .token_counts import op9_token_counts
+from .toxic_spans import op10_toxic_spans
 from .warc import OP1_SQL, op1_warc_salvage
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_fertility": op4_fertility,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_toxic_spans": op10_toxic_spans,
 }
 
 ORACLES: dict[str, str] = {
