@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fertility import op4_fertility
 from .language_id import op2_language_id
 from .mixing import OP8_SQL, op8_mixing
+from .personal_data import op5_personal_data
 from .token_counts import op9_token_counts
 from .toxic_spans import op10_toxic_spans
 from .warc import OP1_SQL, op1_warc_salvage
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_language_id": op2_language_id,
     "op4_fertility": op4_fertility,
+    "op5_personal_data": op5_personal_data,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxic_spans": op10_toxic_spans,
