@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fertility import op4_fertility
+from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .personal_data import op5_personal_data
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_fertility": op4_fertility,
     "op5_personal_data": op5_personal_data,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxic_spans": op10_toxic_spans,
