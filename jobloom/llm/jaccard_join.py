@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                 bits = np.bincount(row * BITS + (prints >> np.uint64(53)).astype(np.int64), minlength=len(sizes) * BITS) & 1
                 bits = np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1)
                 split = front_counts // (HOT // 2)
-                deal = np.where(front_counts > HOT, np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
+                deal = np.where(front_counts > HOT, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
                 token_lists, part_lists, bit_rows = [], [], []
                 for i in range(len(sizes)):
                     first = sizes[i] > 0 and g[i] not in groups_seen
@@ -142,16 +142,24 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
 
 
 def _buckets(signed: DataFrame, percent: int) -> DataFrame:
-    """`token, part, g, n, pos` of groups that meet another of fitting size in a bucket, with their nearest by size (`near`)."""
+    """`token, part, g, np, many, near` of groups that may be linked to another in a bucket.
+
+    `np` packs size and position, `near` has the nearest groups by size that pass the filters, `many` counts
+    the bucket's groups. Rows that can give no pair (nobody near, and nobody else to meet) are left out.
+    """
     entries = (signed.where("tokens is not null").select("g", "n", F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
                .select(F.col("t.tokens").alias("token"), F.col("t.parts").alias("part"), "g", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")))
     # one row per group, also if several tasks saw it
     entries = entries.repartition(F.col("token"), F.col("part")).groupBy("token", "part", "g").agg(F.first("np").alias("np"))
-    by_size = Window.partitionBy("token", "part").orderBy("np", "g")
+    bucket = Window.partitionBy("token", "part")
+    by_size = bucket.orderBy("np", "g")
     mine = F.shiftright("np", 32)
-    near = F.array(*[F.struct(F.lag("g", i).over(by_size).alias("g"), F.lag("np", i).over(by_size).alias("np")) for i in range(1, NEIGHBOURS + 1)])
+    near = [F.struct(F.lag("g", i).over(by_size).alias("g"), F.lag("np", i).over(by_size).alias("np")) for i in range(1, NEIGHBOURS + 1)]
     fits = _sizes_fit(mine, F.shiftright(F.lag("np").over(by_size), 32), percent) | _sizes_fit(mine, F.shiftright(F.lead("np").over(by_size), 32), percent)
-    return entries.withColumn("near", near).withColumn("fits", fits).where("fits").drop("fits")
+    placed = entries.select("*", F.array(*near).alias("near"), F.coalesce(fits, F.lit(False)).alias("fits"), F.count("*").over(bucket).alias("many"))
+    placed = placed.where("many > 1 and (fits or part > 0)").withColumn(
+        "near", F.filter("near", lambda x: x["g"].isNotNull() & _may_link(mine, _low(F.col("np")), F.shiftright(x["np"], 32), _low(x["np"]), percent)))
+    return placed.where((F.size("near") > 0) | (F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0)).drop("fits")
 
 
 def _may_link(n1, pos1, n2, pos2, percent: int) -> Column:
@@ -210,14 +218,13 @@ CELLS = 1 << 23
 
 def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """`s, text` for the sets in `pairs`: one text each."""
-    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).select(F.pmod("s", F.lit(CELLS)).alias("cell"))
+    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).select((F.pmod("s", F.lit(CELLS)) + 1).alias("cell"))
     maps = wanted.groupBy(F.bitmap_bucket_number("cell").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map")).collect()
-    cells = np.zeros(CELLS + (1 << 15), bool)
+    cells = np.zeros(CELLS, bool)
     for r in maps:
-        # bucket numbers start at 1, the bit of number x is x - 1 in its bucket
+        # numbers from 1 on: buckets of 32,768 numbers, the first is bucket 1
         start = (r["at"] - 1) * (1 << 15)
-        held = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
-        cells[start:start + len(held)] = held
+        cells[start:start + (1 << 15)] = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
     shared = spark.sparkContext.broadcast(np.packbits(cells))
 
     def pick(batches):
@@ -227,8 +234,7 @@ def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
             for part in common.parts(batch):
                 offsets, prints = shingle_sets(part.column(0), k)
                 s = common.signed(_fold(prints, offsets))
-                # as bitmap_bit_position and bitmap_bucket_number lay out the numbers from 1 on
-                keep = cells[(s % CELLS + (1 << 15) - 1) % (1 << 15) + _bucket_start(s % CELLS)] & (np.diff(offsets) > 0)
+                keep = cells[s % CELLS] & (np.diff(offsets) > 0)
                 for i in np.flatnonzero(keep):
                     if s[i] in seen:
                         keep[i] = False
@@ -239,10 +245,6 @@ def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
     return found.groupBy("s").agg(F.first("text").alias("text"))
 
 
-def _bucket_start(cell: np.ndarray) -> np.ndarray:
-    return (np.where(cell > 0, (cell - 1) // (1 << 15) + 1, 0) - 1) * (1 << 15)
-
-
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget: int = 20) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs(doc_id, text, ...)`.
 
@@ -270,18 +272,15 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     within = within.select(F.col("s").alias("a"), F.explode(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)])).alias("b")).where("b is not null")
 
     buckets = common.saved(_buckets(signed, percent), "near-buckets")
-    near = buckets.select("g", "np", F.explode("near").alias("other")).where("other.g is not null")
-    n1, n2 = F.shiftright("np", 32), F.shiftright("other.np", 32)
-    group_pairs = near.where(_may_link(n1, _low(F.col("np")), n2, _low(F.col("other.np")), percent)).select("g", F.col("other.g").alias("g2")).distinct()
+    group_pairs = buckets.select("g", F.explode("near.g").alias("g2")).distinct()
     pairs = (group_pairs.join(members.select(F.col("s").alias("a"), "g"), "g")
              .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b"))
     pairs = _ordered(pairs.union(within))
     links = _verified(spark, docs, pairs, classes, k, percent)
 
     # buckets with more members than have met: those outside the largest component meet the others
-    counts = buckets.groupBy("token").agg(F.count("*").alias("entries"), F.max("part").alias("parts"))
-    large = counts.where((F.col("entries") > NEIGHBOURS + 1) | (F.col("parts") > 0)).select("token")
-    rest = (buckets.join(large, "token").select("token", "g", F.shiftright("np", 32).alias("n"), _low(F.col("np")).alias("pos")).distinct()
+    large = buckets.where((F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0))
+    rest = (large.select("token", "g", F.shiftright("np", 32).alias("n"), _low(F.col("np")).alias("pos"))
             .join(members, "g").select("token", "s", "n", "pos"))
     wide_groups = inner.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > NEIGHBOURS + 1).select("token")
     rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos")), "near-rest")
