@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_benchmark_leaks
 from .fertility import op4_fertility
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_fertility": op4_fertility,
     "op5_personal_data": op5_personal_data,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_benchmark_leaks": op7_benchmark_leaks,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxic_spans": op10_toxic_spans,
