@@ -134,3 +134,33 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+# ---------------------------------------------------------------------------
+# A bounded filter of keys, to spare rows that cannot match a shuffle
+# ---------------------------------------------------------------------------
+
+#: Cells of the filter. It may let too much through when crowded, never too little.
+CELLS = 1 << 23
+
+
+def cell(key: str) -> Column:
+    """The cell of a 64-bit key, from 1 on."""
+    return F.pmod(F.col(key), F.lit(CELLS)) + 1
+
+
+def cell_maps(keys: DataFrame, key: str) -> DataFrame:
+    """`at, map`: the cells that are taken, 4 KB of bits for each 32,768 cells (1 MB at most)."""
+    taken = keys.select(cell(key).alias("cell"))
+    return taken.groupBy(F.bitmap_bucket_number("cell").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map"))
+
+
+def with_hit(rows: DataFrame, maps: DataFrame, key: str, hit: str) -> DataFrame:
+    """`rows` with a boolean column: false if their key is surely not among those of the filter."""
+    place = F.bitmap_bit_position(cell(key))
+    held = F.conv(F.hex(F.expr("substring(__map, cast(__place div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    joined = rows.withColumn("__at", F.bitmap_bucket_number(cell(key))).withColumn("__place", place)
+    # the filter's size is bounded, so it may be broadcast
+    joined = joined.join(F.broadcast(maps.select(F.col("at").alias("__at"), F.col("map").alias("__map"))), "__at", "left")
+    found = F.coalesce(F.getbit(held, F.pmod("__place", F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(hit, found).drop("__at", "__place", "__map")

@@ -212,15 +212,10 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: D
     return common.saved(both.mapInArrow(check, "a long, b long"), "near-links")
 
 
-#: Cells of the filter that spares most texts a shuffle; it only lets too much through when crowded.
-CELLS = 1 << 23
-
-
 def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """`s, text` for the sets in `pairs`: one text each."""
-    wanted = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).select((F.pmod("s", F.lit(CELLS)) + 1).alias("cell"))
-    maps = wanted.groupBy(F.bitmap_bucket_number("cell").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map")).collect()
-    cells = np.zeros(CELLS, bool)
+    maps = common.cell_maps(pairs.select(F.col("a").alias("s")).union(pairs.select("b")), "s").collect()
+    cells = np.zeros(common.CELLS, bool)
     for r in maps:
         # numbers from 1 on: buckets of 32,768 numbers, the first is bucket 1
         start = (r["at"] - 1) * (1 << 15)
@@ -234,7 +229,7 @@ def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
             for part in common.parts(batch):
                 offsets, prints = shingle_sets(part.column(0), k)
                 s = common.signed(_fold(prints, offsets))
-                keep = cells[s % CELLS] & (np.diff(offsets) > 0)
+                keep = cells[s % common.CELLS] & (np.diff(offsets) > 0)
                 for i in np.flatnonzero(keep):
                     if s[i] in seen:
                         keep[i] = False

@@ -8,6 +8,7 @@ from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .personal_data import op5_personal_data
+from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
 from .toxic_spans import op10_toxic_spans
 from .warc import OP1_SQL, op1_warc_salvage
@@ -15,6 +16,7 @@ from .warc import OP1_SQL, op1_warc_salvage
 QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_fertility": op4_fertility,
     "op5_personal_data": op5_personal_data,
     "op6_jaccard_join": op6_jaccard_join,
