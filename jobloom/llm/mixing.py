@@ -42,8 +42,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     level = left / F.sum("weight").over(after)
     sources = sources.withColumn("fits", level * F.col("weight") < F.col("cap")).withColumn("level", level)
-    # from the first source that does not fill up on, the level stays what it is there
-    final = F.min(F.when(F.col("fits"), F.col("level"))).over(everything)
+    # the level of the first source that does not fill up; behind it caps above the level were taken off, so it is the largest
+    final = F.max(F.when(F.col("fits"), F.col("level"))).over(everything)
     target = F.when(final.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight")))
     return sources.select("source", "source_size", target.alias("target"))
 
@@ -71,14 +71,17 @@ def inclusion_scale(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """`doc_id, source, size, source_size, target, copies, taken` of every row of `docs(doc_id, text, source, ...)`.
+    """`doc_id, source, size, source_size, target, copies, taken, fingerprint` of every row of `docs(doc_id, text, source, ...)`.
+
+    `fingerprint` (of id, text and source) names a row among those of `docs`.
 
     Null and empty texts have size 0 and are never taken. A null source is a source of its own, last in
     order. Ties in rank go by id, then size. Repeated rows (same id, text and source) rank alike: as many of
     them as fit are taken, and as they are alike every run gives the same rows. An empty table gives an
     empty result. Other columns are ignored.
     """
-    docs = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _unit(seed).alias("u"))
+    docs = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _unit(seed).alias("u"),
+                       F.xxhash64("doc_id", "text", "source").alias("fingerprint"))
     # the row number only tells repeated rows apart; as they are alike, it leaves no mark on the result
     docs = common.saved(docs.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
     targets = source_targets(docs, weights, share, most)
@@ -134,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     same = F.coalesce(F.col("row") == F.col("closing_row"), F.lit(False))
     copies = F.col("whole") + (F.col("front") | same).cast("long")
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "fingerprint")
 
 
 def _key(source: str) -> Column:
@@ -151,6 +154,14 @@ def op8_mixing(spark, sf):
     return mix(common.table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def mixing_stage(spark, docs, sf_dir):
+    """The documents the mix takes, with `copies`: how often it holds each (equal rows are one with all their copies)."""
+    taken = mix(docs).where("copies > 0").groupBy("fingerprint").agg(F.sum("copies").alias("__copies"))
+    named = docs.withColumn("__fingerprint", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["__fingerprint"])
+    chosen = named.join(taken, named["__fingerprint"] == taken["fingerprint"])
+    return chosen.select(*[named[c] for c in docs.columns], F.col("__copies").alias("copies"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -167,7 +178,7 @@ f AS (
       - coalesce(sum(2.0::DOUBLE * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
       / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST)),
-g AS (SELECT *, min(CASE WHEN level * w < cap THEN level END) OVER () AS final FROM f),
+g AS (SELECT *, max(CASE WHEN level * w < cap THEN level END) OVER () AS final FROM f),
 t AS (
   SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END AS target,
     CAST(coalesce(floor(CASE WHEN final IS NULL THEN cap ELSE least(cap, final * w) END / nullif(source_size, 0) + 1e-9::DOUBLE), 0) AS BIGINT) AS whole

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 from itertools import cycle
 
@@ -50,6 +51,14 @@ def test_targets_and_sample(spark):
     assert sorted(map(str, got)) == sorted(map(str, mix(df.repartition(2)).collect()))
 
 
+def test_many_sources(spark):
+    rng = random.Random(8)
+    for n in (2, 13, 40):
+        rows = [(i, "w " * rng.randint(1, 40), f"s{rng.randrange(n) ** 2 % n}", "", 0, "") for i in range(25 * n)]
+        sizes = held(mix(spark.createDataFrame(rows, SCHEMA)).collect())[0]
+        assert sum(brute_targets(sizes).values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_large_documents_are_likelier(spark):
     rows = [(i, "w " * (10 if i % 2 else 100), s, "", 0, "") for s in ("a", "b", "c") for i in range(400)]
     got = [r for r in mix(spark.createDataFrame(rows, SCHEMA)).collect() if r.source == "b"]
