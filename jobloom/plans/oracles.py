@@ -593,7 +593,8 @@ UNION ALL SELECT 'total', count(*) FROM ({SITE}) s""",
   CASE WHEN lang = 'en' THEN 'https://feed.example.org/' ELSE 'https://jobs.example.org/postings/' END || doc_id AS posting_url,
   'Job in ' || lang || ' ' || source AS working_title,
   CASE WHEN lang = 'en' THEN '2026-01-02' ELSE '2026-02-03' END AS published FROM documents WHERE lang <> 'de'""",
-    "resumable_append": f"SELECT ord, version FROM ({_STORED}) s UNION ALL SELECT ord, version FROM ({_FETCHED}) f",
+    "resumable_append": f"SELECT ord, version FROM ({_STORED}) s UNION ALL SELECT ord, version FROM ({_FETCHED}) f "
+                        f"UNION ALL SELECT ord, version FROM ({_STORED}) t",
     "event_status": f"SELECT event_id, effect AS status, CAST(ends AS BIGINT) AS ends FROM ({_EFFECTS}) e",
     "profile_status": _LATEST,
     "status_stream": f"""SELECT event_id, user_id, effect AS subscription_status FROM ({_EFFECTS}) e
@@ -602,5 +603,6 @@ JOIN ({_CUSTOMERS}) c USING (customer) WHERE effect IS NOT NULL AND user_id <> '
   coalesce(l.subscription_status, 'free') AS subscription_status, l.ends, l.at
 FROM ({_CUSTOMERS}) c LEFT JOIN ({_LATEST}) l ON c.user_id = l.user_id WHERE c.user_id <> ''""",
     "ingest_stream": f"SELECT DISTINCT customer || '-' || type AS job_id FROM ({_EVENTS}) e",
+    "ingest_restart": f"SELECT DISTINCT customer || '-' || type AS job_id FROM ({_EVENTS}) e",
     "dedup_stream": f"SELECT event_id, type FROM ({_EVENTS}) e",
 }

@@ -600,11 +600,12 @@ def feed_roundtrip(spark, sf):
 
 
 def resumable_append(spark, sf):
-    """Two batches, the second written twice: no row is lost or doubled."""
+    """Two batches, the second written twice, and batch 0 of another run: no row is lost or doubled."""
     path = fresh_path(spark, "append")
     writers.checkpointed_append(_stored(spark, sf), path, "0")
     for _ in range(2):
         writers.checkpointed_append(_fetched(spark, sf), path, "1")
+    writers.checkpointed_append(_stored(spark, sf), path, "0", run="second")
     return spark.read.parquet(path).select("ord", "version")
 
 
@@ -670,6 +671,19 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(f"{table}/rows").select("job_id")
 
 
+def ingest_restart(spark, sf):
+    """Two runs with a checkpoint each into one table: the second adds what the first had not, and loses nothing."""
+    table = fresh_path(spark, "ingest-twice")
+    events = S.run(spark, sf, S.EVENTS).select(F.concat_ws("-", "customer", "type").alias("job_id"), "ts", "event_id")
+    for n, part in enumerate((events.where("cast(event_id as bigint) % 2 = 0"), events)):
+        landing = f"{table}/landing-{n}"
+        part.repartition(2).write.parquet(landing)
+        cards = spark.readStream.schema(part.schema).parquet(landing)
+        posting_streams.ingest_new_postings(cards, f"{table}/rows", f"{table}/checkpoint-{n}", "job_id",
+                                            ["ts", "event_id"]).awaitTermination()
+    return spark.read.parquet(f"{table}/rows").select("job_id")
+
+
 def dedup_stream(spark, sf):
     """Every event delivered twice; one of each id passes."""
     path = fresh_path(spark, "replay")
@@ -695,5 +709,5 @@ QUERIES = {f.__name__: f for f in [
     pages_to_master, l2_normalise_vectors,
     similar_top5, similar_top5_blocks, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
     records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
-    status_stream, profile_stream, ingest_stream, dedup_stream,
+    status_stream, profile_stream, ingest_stream, ingest_restart, dedup_stream,
 ]}

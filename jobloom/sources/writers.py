@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.site import newest_site, site_meta
 from ..operators.quality import count_by, loaded_counts
 from ..operators.vectors import with_row_index
+from .readers import path_exists
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
@@ -37,9 +40,34 @@ def write_vectors(vectors: DataFrame, path: str, order: list[str]) -> None:
      .write.mode("overwrite").parquet(path))
 
 
-def checkpointed_append(df: DataFrame, path: str, batch: str) -> None:
-    """Add one batch of results; writing the same batch again replaces it, so a run can resume."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the runs that share a checkpoint, kept inside it: a new checkpoint is a new run."""
+    path = f"{checkpoint}/run-name"
+    if not path_exists(spark, path):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.text(path)
+    return spark.read.text(path).first()[0]
+
+
+def checkpointed_append(df: DataFrame, path: str, batch: str, run: str = "0", partition_by: tuple[str, ...] = ()) -> None:
+    """Add one batch of a run; writing the same batch of the same run again replaces it, so a run can resume.
+
+    Batches of other runs are never touched. The rows are written aside and moved into place, so a batch
+    that fails halfway leaves what was there before.
+    """
+    aside = f"{path}/_new-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(aside)
+    publish(df.sparkSession, aside, f"{path}/run={run}/batch={batch}")
+
+
+def publish(spark: SparkSession, aside: str, target: str) -> None:
+    """Put a written folder in the place of another."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, new = hadoop(target), hadoop(aside)
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(old.getParent())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"cannot move {aside} to {target}")
 
 
 def publish_master(master: DataFrame, path: str, columns: list[str]) -> dict[str, DataFrame]:

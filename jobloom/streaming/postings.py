@@ -1,4 +1,8 @@
-"""Incremental mode as a stream: only ids not stored yet are added."""
+"""Incremental mode as a stream: only ids not stored yet are added.
+
+Beside the table lies the set of its keys, dealt to `KEY_BUCKETS` folders by hash. A batch reads the
+folders that its own keys fall into and no rows, so small batches stay cheap however large the table is.
+"""
 
 from __future__ import annotations
 
@@ -7,27 +11,47 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merge import dedup_listing, new_only
 from ..sources.readers import path_exists
-from ..sources.writers import checkpointed_append
+from ..sources.writers import checkpointed_append, run_id
+
+KEY_BUCKETS = 64
+
+
+def _bucket(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def keys_of(table: str) -> str:
+    return f"{table.rstrip('/')}-keys"
 
 
-def stored_before(spark, table: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows of earlier batches; a batch that runs again does not see its own rows."""
-    if not path_exists(spark, f"{table}/batch=*"):
-        return spark.createDataFrame([], schema)
-    with_batch = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(with_batch).parquet(table).where(F.col("batch") < batch_id).drop("batch")
+def stored_keys(spark, table: str, key: str, buckets: list[int], run: str, batch_id: int) -> DataFrame:
+    """Keys stored by other runs and by earlier batches of this one: a batch that runs again does not see its own."""
+    path = keys_of(table)
+    if not path_exists(spark, f"{path}/run=*/batch=*"):
+        return spark.createDataFrame([], T.StructType([T.StructField(key, T.StringType())]))
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("run", T.StringType()),
+                           T.StructField("batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.where(F.col("_bucket").isin(buckets) & ((F.col("run") != run) | (F.col("batch") < batch_id))).select(key)
 
 
-def add_new(batch: DataFrame, table: str, batch_id: int, key: str, order: list[str]) -> None:
-    existing = stored_before(batch.sparkSession, table, batch.schema, batch_id)
-    fresh = new_only(dedup_listing(batch, key, order), existing, [key])
-    checkpointed_append(fresh, table, str(batch_id))
+def add_new(batch: DataFrame, table: str, run: str, batch_id: int, key: str, order: list[str]) -> None:
+    spark = batch.sparkSession
+    cards = dedup_listing(batch, key, order)
+    # at most KEY_BUCKETS numbers
+    buckets = [r[0] for r in cards.select(_bucket(key)).distinct().collect()]
+    fresh = new_only(cards, stored_keys(spark, table, key, buckets, run, batch_id), [key])
+    checkpointed_append(fresh, table, str(batch_id), run)
+    written = spark.read.schema(batch.schema).parquet(f"{table}/run={run}/batch={batch_id}")
+    keys = written.select(F.col(key).cast("string").alias(key)).withColumn("_bucket", _bucket(key))
+    checkpointed_append(keys, keys_of(table), str(batch_id), run, ("_bucket",))
 
 
 def ingest_new_postings(postings: DataFrame, table: str, checkpoint: str, key: str, order: list[str],
                         trigger: dict | None = None) -> StreamingQuery:
+    run = run_id(postings.sparkSession, checkpoint)
     return (postings.writeStream
-            .foreachBatch(lambda batch, n: add_new(batch, table, n, key, order))
+            .foreachBatch(lambda batch, n: add_new(batch, table, run, n, key, order))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start())

@@ -1,13 +1,15 @@
 """Subscription events to profile status.
 
-The profile table is a base snapshot plus a change log with one folder per
-micro-batch. A batch that runs again replaces its own folder, and the current
+The profile table is a base snapshot plus a change log with one folder per run (checkpoint)
+and micro-batch. A batch that runs again replaces its own folder, and the current
 state takes the latest change by (ts, event_id), so replays and late events
 cannot overwrite newer ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,7 +17,7 @@ from ..functions.events import event_end, event_status
 from ..operators.merge import attach_user
 from ..schemas import PROFILE_SCHEMA
 from ..sources.readers import path_exists
-from ..sources.writers import checkpointed_append
+from ..sources.writers import checkpointed_append, run_id
 
 EVENT_TIME = ["ts", "event_id"]
 STATUS_FIELDS = ["customer", "subscription_status", "subscription_end", "ts", "event_id"]
@@ -66,18 +68,18 @@ CHANGE_SCHEMA = T.StructType([
 ])
 
 
-def upsert_profiles(batch: DataFrame, table: str, batch_id: int, customers: DataFrame) -> None:
-    """Log the batch's last change per user."""
-    changes = latest_per_user(batch, customers)
+def upsert_profiles(batch: DataFrame, table: str, batch_id: int, customers: DataFrame | Callable[[], DataFrame], run: str = "0") -> None:
+    """Log the batch's last change per user; `customers` may be a function that reads them anew."""
+    changes = latest_per_user(batch, customers() if callable(customers) else customers)
     typed = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHANGE_SCHEMA])
-    checkpointed_append(typed, f"{table}/changes", str(batch_id))
+    checkpointed_append(typed, f"{table}/changes", str(batch_id), run)
 
 
 def current_profiles(spark: SparkSession, table: str) -> DataFrame:
     """Base profiles with their latest change: updates only, never a new row."""
     base = spark.read.schema(PROFILE_SCHEMA).parquet(f"{table}/base")
     log = f"{table}/changes"
-    if not path_exists(spark, f"{log}/batch=*"):
+    if not path_exists(spark, f"{log}/run=*/batch=*"):
         return base
     changes = spark.read.schema(CHANGE_SCHEMA).parquet(log)
     latest = _latest(changes, "user_id", STATUS_FIELDS, EVENT_TIME)
@@ -95,11 +97,15 @@ def compact_profiles(spark: SparkSession, table: str, target: str) -> None:
     checkpointed_append(_latest(changes, "user_id", STATUS_FIELDS, EVENT_TIME), f"{target}/changes", "-1")
 
 
-def fold_profiles(events: DataFrame, customers: DataFrame, table: str, checkpoint: str,
+def fold_profiles(events: DataFrame, customers: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Start the stream that keeps the change log up to date."""
+    """Start the stream that keeps the change log up to date.
+
+    With a function for `customers`, each batch meets the customers of its time.
+    """
+    run = run_id(events.sparkSession, checkpoint)
     return (effective_events(events).writeStream
-            .foreachBatch(lambda batch, n: upsert_profiles(batch, table, n, customers))
+            .foreachBatch(lambda batch, n: upsert_profiles(batch, table, n, customers, run))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from jobloom.schemas import EVENT_SCHEMA, PROFILE_SCHEMA
 from jobloom.session import fresh_path
 from jobloom.sources import readers
+from jobloom.sources.writers import run_id
 from jobloom.streaming import postings, profiles
 
 START = dt.datetime(2026, 1, 1)
@@ -123,5 +124,20 @@ def test_ingest_adds_only_new_ids_and_restarts(spark):
     assert rows == {("a", 0), ("b", 2), ("c", 4)}
     # the same batch again: it replaces its own rows and sees only earlier ones
     again = spark.createDataFrame([("b", 9), ("c", 4)], schema)
-    postings.add_new(again, f"{table}/rows", 1, "job_id", ["n"])
+    postings.add_new(again, f"{table}/rows", run_id(spark, f"{table}/cp"), 1, "job_id", ["n"])
     assert {(r.job_id, r.n) for r in spark.read.parquet(f"{table}/rows").collect()} == rows
+    # a new checkpoint sees the rows of the old one and leaves them
+    write([("a", 7), ("d", 5)])
+    postings.ingest_new_postings(spark.readStream.schema(schema).parquet(landing), f"{table}/rows", f"{table}/cp-2", "job_id",
+                                 ["n"]).awaitTermination()
+    assert {(r.job_id, r.n) for r in spark.read.parquet(f"{table}/rows").collect()} == rows | {("d", 5)}
+
+
+def test_customers_of_each_batch(spark, customers):
+    table = profile_table(spark)
+    known = [customers.limit(0)]
+    row = (("b", START, "customer.subscription.deleted", "subscription", "c1", "", 0))
+    for n in range(2):
+        profiles.upsert_profiles(profiles.effective_events(spark.createDataFrame([row], EVENT_SCHEMA)), table, n, lambda: known[0])
+        known[0] = customers
+    assert states(profiles.current_profiles(spark, table))["u1"][0] == "cancelled"
