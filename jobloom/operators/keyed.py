@@ -4,8 +4,11 @@
   key and task before the shuffle (WindowGroupLimit);
 * facts per key (first matching position, owner row): aggregated per slice of
   `SLICE` positions, carried over the slices, joined back on (key, slice);
-* ordered strings per key: built per slice, so no task ever holds more than
-  `SLICE` values. A key that fits one slice has the single part 0.
+* ordered strings per key: built per slice, then the few slice strings of a key are
+  joined in order, so no task sorts more than `SLICE` values. A slice is a run of
+  positions; how many a key has shows nowhere in the result.
+
+Null keys are keys like any other.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ def with_first_match(df: DataFrame, keys: list[str], order: str, condition: Colu
     rows = sliced(df, order, size)
     per_slice = rows.groupBy(*keys, "part").agg(F.min(F.when(condition, F.col(order))).alias("_m"))
     carried = per_slice.withColumn(name, F.min("_m").over(Window.partitionBy(*keys))).drop("_m")
-    return rows.join(carried, [*keys, "part"])
+    return join_null_safe(rows, carried, [*keys, "part"])
 
 
 def with_last_match(df: DataFrame, keys: list[str], order: str, condition: Column, name: str,
@@ -59,10 +62,25 @@ def with_last_match(df: DataFrame, keys: list[str], order: str, condition: Colum
     inside = (Window.partitionBy(*keys, "part").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = rows.withColumn("_local", F.max("_hit").over(inside))
-    return (local.join(carried, [*keys, "part"])
+    return (join_null_safe(local, carried, [*keys, "part"])
             .withColumn(name, F.coalesce("_local", "_carry")).drop("_hit", "_local", "_carry"))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key; the columns of `left`, then the others of `right`."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    match = F.lit(True)
+    for k in keys:
+        match = match & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, match).drop(*[f"_right_{k}" for k in keys])
+
+
+def whole(parts: DataFrame, keys: list[str], texts: list[str], sep: str) -> DataFrame:
+    """One row per key: the texts of its parts joined in order, empty ones left out."""
+    joined = [ordered_concat(F.when(F.col(t) != "", F.col(t)), "part", sep).alias(t) for t in texts]
+    return parts.groupBy(*keys).agg(*joined)
+
+
 def ordered_concat(value: Column, order: str, sep: str) -> Column:
     """Aggregate: values of a bounded group joined in `order`; null values are left out."""
     entries = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.alias("v")))))

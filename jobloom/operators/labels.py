@@ -1,8 +1,8 @@
 """Long label/value tables `(key, ord, label, value)` to wide rows.
 
 Every operator takes a table whose key may own any share of the rows. Strings
-built from many rows come in parts of `SLICE` positions (`part`, counted from 0);
-a key that fits one part has only part 0, and the parts in order are the whole.
+built from many rows are made per slice of `SLICE` positions and then joined, so a
+key has one row; with `by_part=True` its slices stay apart (`part`).
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, labels as L
 from ..functions.text import clean, norm_label
-from .keyed import SLICE, ordered_concat, sliced, with_first_match, with_last_match
+from .keyed import SLICE, ordered_concat, sliced, whole, with_first_match, with_last_match
 
 
 def resolve_label_exact(long: DataFrame, labels: dict[str, str]) -> DataFrame:
@@ -31,11 +31,10 @@ def drop_boilerplate_sections(long: DataFrame, skipped=L.SKIPPED_SECTIONS) -> Da
 
 
 def pivot_labels(long: DataFrame, key: str, fields: list[str], policy: str, order: str = "ord",
-                 size: int = SLICE) -> DataFrame:
-    """One column per field. `first` / `last` non-blank value wins, or all are appended.
+                 size: int = SLICE, by_part: bool = False) -> DataFrame:
+    """One row per key, one column per field. `first` / `last` non-blank value wins, or all are appended.
 
-    first and last combine map-side to one value per key and field; append gives
-    `(key, part, fields...)`.
+    first and last combine map-side to one value per key and field.
     """
     usable = long.where(F.col("field").isin(fields) & (F.col("value") != ""))
 
@@ -44,19 +43,21 @@ def pivot_labels(long: DataFrame, key: str, fields: list[str], policy: str, orde
 
     if policy == "append":
         aggs = [ordered_concat(only(f, F.col("value")), order, " ").alias(f) for f in fields]
-        return sliced(usable, order, size).groupBy(key, "part").agg(*aggs)
+        parts = sliced(usable, order, size).groupBy(key, "part").agg(*aggs)
+        return parts if by_part else whole(parts, [key], fields, " ")
     pick = {"first": F.min_by, "last": F.max_by}[policy]
     aggs = [F.coalesce(pick(only(f, F.col("value")), only(f, F.col(order))), F.lit("")).alias(f)
             for f in fields]
     return usable.groupBy(key).agg(*aggs)
 
 
-def pack_extra(long: DataFrame, key: str, order: str = "ord", size: int = SLICE) -> DataFrame:
-    """Unresolved labels as `[Label] value` joined with ` || `, in parts."""
+def pack_extra(long: DataFrame, key: str, order: str = "ord", size: int = SLICE, by_part: bool = False) -> DataFrame:
+    """Unresolved labels as `[Label] value` joined with ` || `."""
     extra = long.where(F.col("field").isNull() & (F.col("value") != ""))
     section = F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("value"))
-    return (sliced(extra, order, size).groupBy(key, "part")
-            .agg(ordered_concat(section, order, " || ").alias("extra_sections")))
+    parts = (sliced(extra, order, size).groupBy(key, "part")
+             .agg(ordered_concat(section, order, " || ").alias("extra_sections")))
+    return parts if by_part else whole(parts, [key], ["extra_sections"], " || ")
 
 
 def attach_followers(long: DataFrame, key: str, is_owner: Column, order: str = "ord",
@@ -66,22 +67,27 @@ def attach_followers(long: DataFrame, key: str, is_owner: Column, order: str = "
 
 
 def segment_by_heading(blocks: DataFrame, key: str = "page_id", order: str = "ord",
-                       size: int = SLICE) -> DataFrame:
-    """Block rows `(key, ord, tag, text)` to `(key, section, part, heading, content)`.
+                       size: int = SLICE, by_part: bool = False) -> DataFrame:
+    """Block rows `(key, ord, tag, text)` to `(key, section, heading, content)`.
 
     `section` is the position of the heading block, -1 before the first one. Sections
-    without content are dropped.
+    without content are dropped. The blocks are read once: a heading is a block of its own section.
     """
     block = F.struct("tag", "text")
     rows = blocks.withColumn("_head", F.coalesce(H.is_heading(block), F.lit(False)))
     owned = with_last_match(rows, [key], order, F.col("_head"), "section", size)
     content = F.when(~F.col("_head") & (F.col("text") != ""), F.col("text"))
-    parts = (owned.where(content.isNotNull())
-             .groupBy(key, F.coalesce("section", F.lit(-1)).alias("section"), "part")
-             .agg(clean(ordered_concat(content, order, " ")).alias("content")))
-    heads = rows.where("_head").select(key, F.col(order).alias("section"), H.heading_text(block).alias("heading"))
-    return (parts.join(heads, [key, "section"], "left")
-            .select(key, "section", "part", F.coalesce("heading", F.lit("")).alias("heading"), "content"))
+    parts = (owned.groupBy(key, F.coalesce("section", F.lit(-1)).alias("section"), "part")
+             .agg(clean(ordered_concat(content, order, " ")).alias("content"),
+                  F.max(F.when(F.col("_head"), H.heading_text(block))).alias("heading")))
+    if by_part:
+        heads = parts.where("heading is not null").select(key, "section", F.col("heading").alias("_heading"))
+        named = parts.where("content <> ''").join(heads.withColumnsRenamed({key: "_key", "section": "_section"}),
+                                                 F.col(key).eqNullSafe(F.col("_key")) & (F.col("section") == F.col("_section")), "left")
+        return named.select(key, "section", "part", F.coalesce("_heading", F.lit("")).alias("heading"), "content")
+    one = parts.groupBy(key, "section").agg(
+        F.max("heading").alias("heading"), ordered_concat(F.when(F.col("content") != "", F.col("content")), "part", " ").alias("content"))
+    return one.where("content <> ''").select(key, "section", F.coalesce("heading", F.lit("")).alias("heading"), "content")
 
 
 def take_while(rows: DataFrame, key: str, is_stop: Column, order: str = "ord", size: int = SLICE) -> DataFrame:
@@ -108,7 +114,7 @@ FACET_STOP_WORDS = [
 ]
 
 
-def join_duties(long: DataFrame, key: str, order: str = "ord", size: int = SLICE) -> DataFrame:
+def join_duties(long: DataFrame, key: str, order: str = "ord", size: int = SLICE, by_part: bool = False) -> DataFrame:
     """Duty rows joined with ` | `; a share row adds `  [n% of time]` to the duty before it.
 
     Shares before any duty are left out. The text is the plain sequence of its
@@ -124,5 +130,6 @@ def join_duties(long: DataFrame, key: str, order: str = "ord", size: int = SLICE
         .when(is_duty, F.concat(F.lit(" | "), F.col("value")))
         .when(F.col(order) > F.col("_first"), F.concat(F.lit("  ["), F.col("value"), F.lit("% of time]")))
     )
-    return (marked.where(piece.isNotNull()).groupBy(key, "part")
-            .agg(ordered_concat(piece, order, "").alias("duties_responsibilities")))
+    parts = (marked.where(piece.isNotNull()).groupBy(key, "part")
+             .agg(ordered_concat(piece, order, "").alias("duties_responsibilities")))
+    return parts if by_part else whole(parts, [key], ["duties_responsibilities"], "")

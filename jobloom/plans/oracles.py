@@ -322,9 +322,10 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 """
 
 _RAW = S.plain(S.RAW)
-_LANDED = f"({_RAW}) r LEFT JOIN labels USING (doc_id)"
-_IN = "quality IS NOT NULL"
-_PAGE_URL = "'https://jobs.example.org/p/' || job_id"
+_LANDED = f"""(SELECT * FROM ({_RAW}) a UNION ALL
+  SELECT * REPLACE (-1 - doc_id AS doc_id) FROM ({_RAW}) b WHERE doc_id % 5 = 3) r"""
+_IN = "doc_id >= 0"
+_PAGE_URL = "'https://jobs.example.org/p/' || job_id || CASE WHEN doc_id < 0 THEN '/new' ELSE '' END"
 
 
 def _landed(value: str, otherwise: str = "''") -> str:
@@ -446,9 +447,9 @@ FROM ({S.plain(S.SECTION_LONG)}) l WHERE label NOT IN ('Location', 'USG Core Val
         k: v for k, v in _KEYWORDS.items() if k != "Employee Status:"}) + f" AS field FROM ({S.plain(S.KEYWORD_LONG)}) l",
     "pivot_first": _pivot("arg_min(value, ord)"),
     "pivot_last": _pivot("arg_max(value, ord)"),
-    "pivot_append": _pivot("string_agg(value, ' ' ORDER BY ord)").replace(
-        "SELECT page_id,", "SELECT page_id, CAST(0 AS BIGINT) AS part,", 1),
-    "pack_extra": f"""SELECT page_id, CAST(0 AS BIGINT) AS part,
+    "pivot_append": _pivot("string_agg(value, ' ' ORDER BY ord)"),
+    "pivot_append_shifted": _pivot("string_agg(value, ' ' ORDER BY ord)"),
+    "pack_extra": f"""SELECT page_id,
   string_agg('[' || label || '] ' || value, ' || ' ORDER BY ord) AS extra_sections
 FROM ({RESOLVED}) r WHERE field IS NULL AND value <> '' GROUP BY page_id""",
     "join_duties": f"""WITH d AS (SELECT page_id, ord, label LIKE 'Duties%' AS duty, {clean('value')} AS v
@@ -456,7 +457,13 @@ FROM ({RESOLVED}) r WHERE field IS NULL AND value <> '' GROUP BY page_id""",
 g AS (SELECT *, sum(CAST(duty AS INT)) OVER (PARTITION BY page_id ORDER BY ord) AS grp FROM d WHERE v <> ''),
 t AS (SELECT page_id, grp, string_agg(CASE WHEN duty THEN v ELSE '  [' || v || '% of time]' END, '' ORDER BY ord) AS txt
   FROM g WHERE grp > 0 GROUP BY page_id, grp)
-SELECT page_id, CAST(0 AS BIGINT) AS part, string_agg(txt, ' | ' ORDER BY grp) AS duties_responsibilities
+SELECT page_id, string_agg(txt, ' | ' ORDER BY grp) AS duties_responsibilities
+FROM t GROUP BY page_id""",    "join_duties_sparse": f"""WITH d AS (SELECT page_id, ord, label LIKE 'Duties%' AS duty, {clean('value')} AS v
+  FROM ({S.plain(S.DUTIES)}) x),
+g AS (SELECT *, sum(CAST(duty AS INT)) OVER (PARTITION BY page_id ORDER BY ord) AS grp FROM d WHERE v <> ''),
+t AS (SELECT page_id, grp, string_agg(CASE WHEN duty THEN v ELSE '  [' || v || '% of time]' END, '' ORDER BY ord) AS txt
+  FROM g WHERE grp > 0 GROUP BY page_id, grp)
+SELECT page_id, string_agg(txt, ' | ' ORDER BY grp) AS duties_responsibilities
 FROM t GROUP BY page_id""",
     "attach_followers": """SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END)
   OVER (PARTITION BY conv_id ORDER BY turn) AS owner FROM conversations""",
@@ -476,7 +483,7 @@ SELECT listing, max(n) <= sum(n) * 0.5 AND coalesce(sum(n) FILTER (WHERE
                   + f" FROM ({MERGED}) m",
     "page_blocks": ORDERED_BLOCKS,
     "page_sections": PAGE_SECTIONS,
-    "segment_by_heading": f"""SELECT page_id, coalesce(start, -1) AS section, CAST(0 AS BIGINT) AS part, heading, content
+    "segment_by_heading": f"""SELECT page_id, coalesce(start, -1) AS section, heading, content
 FROM ({SECTIONS}) s""",
     "page_real_content": f"""SELECT page_id, {' OR '.join(
         f"(length({c}) > 80 AND NOT contains({c}, 'Beginning of the main content section'))"

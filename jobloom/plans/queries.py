@@ -294,6 +294,11 @@ def pivot_append(spark, sf):
     return labels.pivot_labels(_long(spark, sf), "page_id", PIVOT_FIELDS, "append")
 
 
+def pivot_append_shifted(spark, sf):
+    """The same with positions that start at 9,999: where a text is cut inside shows nowhere."""
+    return labels.pivot_labels(_long(spark, sf).withColumn("ord", F.col("ord") + 9_999), "page_id", PIVOT_FIELDS, "append")
+
+
 def pack_extra(spark, sf):
     return labels.pack_extra(_long(spark, sf), "page_id")
 
@@ -302,6 +307,11 @@ def join_duties(spark, sf):
     return labels.join_duties(S.run(spark, sf, S.DUTIES), "page_id")
 
 
+def join_duties_sparse(spark, sf):
+    """The same with far apart positions."""
+    return labels.join_duties(S.run(spark, sf, S.DUTIES).withColumn("ord", F.col("ord").cast("bigint") * 10_007), "page_id")
+
+
 def attach_followers(spark, sf):
     rows = S.table(spark, sf, "conversations")
     owned = labels.attach_followers(rows, "conv_id", F.col("role") == "user", order="turn")
@@ -425,41 +435,38 @@ def listing_links(spark, sf):
 
 
 def _page_cards(spark, sf, *columns):
-    """Cards of all pages; cards without a page become stubs."""
+    """Cards of all pages, and for one posting in five a further card whose page was never fetched: those become stubs."""
     raw = S.raw_postings(spark, sf)
-    return raw.select(F.col("doc_id").alias("page_id"), F.concat(F.lit(f"{BASE}/p/"), "job_id").alias("url"), *columns)
-
-
-def _landed(spark, sf, sql):
-    """Pages of the documents that carry a label: the others were never fetched."""
-    fetched = S.table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"))
-    return S.run(spark, sf, sql).join(fetched, "page_id", "left_semi")
+    page = F.explode(F.when(F.col("doc_id") % 5 == 3, F.array("doc_id", -1 - F.col("doc_id"))).otherwise(F.array("doc_id")))
+    raw = raw.select("*", page.alias("page_id"))
+    url = F.concat(F.lit(f"{BASE}/p/"), "job_id", F.when(F.col("page_id") < 0, "/new").otherwise(""))
+    return raw.select("page_id", url.alias("url"), *columns)
 
 
 def postings_tables(spark, sf):
     cards = _page_cards(spark, sf, F.col("close_date"), F.lit("").alias("posting_number"))
-    out = pages.page_to_posting(_landed(spark, sf, S.TABLE_PAGES), cards, "tables", base=BASE)
+    out = pages.page_to_posting(S.run(spark, sf, S.TABLE_PAGES), cards, "tables", base=BASE)
     return out.select("page_id", "posting_number", "working_title", "close_date", "salary", "position_summary",
                       "duties_responsibilities", "department", "apply_link", "posting_url", "stub")
 
 
 def postings_spans(spark, sf):
     cards = _page_cards(spark, sf, "job_id", F.lit("Card title").alias("job_title"))
-    out = pages.page_to_posting(_landed(spark, sf, S.SPAN_PAGES), cards, "spans", columns=S1_COLUMNS)
+    out = pages.page_to_posting(S.run(spark, sf, S.SPAN_PAGES), cards, "spans", columns=S1_COLUMNS)
     return out.select("page_id", "job_id", "job_title", "full_part_time", "job_summary", "about_us",
                       "extra_sections", "apply_link", "posting_url", "stub")
 
 
 def postings_cells(spark, sf):
     cards = _page_cards(spark, sf, F.lit("Card title").alias("title"), F.col("department"))
-    out = pages.page_to_posting(_landed(spark, sf, S.CELL_PAGES), cards, "cells")
+    out = pages.page_to_posting(S.run(spark, sf, S.CELL_PAGES), cards, "cells")
     return out.select("page_id", "job_title", "department", "location", "job_summary", "responsibilities",
                       "other_information", "extra_sections", "apply_link", "stub")
 
 
 def postings_lists(spark, sf):
     cards = _page_cards(spark, sf, F.lit("Card title").alias("title"), F.lit("Atlanta, Georgia").alias("location"))
-    out = pages.page_to_posting(_landed(spark, sf, S.LIST_PAGES), cards, "lists", base=BASE)
+    out = pages.page_to_posting(S.run(spark, sf, S.LIST_PAGES), cards, "lists", base=BASE)
     return out.select("page_id", "job_title", "location", "full_part_time", "posted_date", "job_summary",
                       "required_qualifications", "other_information", "extra_sections", "apply_link", "stub")
 
@@ -475,7 +482,7 @@ def pages_to_master(spark, sf):
         title = "working_title" if key == "s0" else "job_title"
         cards = _page_cards(spark, sf, "source_key", "job_id", F.lit("Card").alias(title), "institution", "posted_date")
         cards = cards.where(F.col("source_key") == key)
-        landed = _landed(spark, sf, f"{sql} WHERE source_key = '{key}'")
+        landed = S.run(spark, sf, f"{sql} WHERE source_key = '{key}'")
         postings = pages.page_to_posting(landed, cards, style, **options)
         raw[key] = pages.to_source(postings.withColumn("ord", F.col("page_id")), key, "2026-01-01T00:00:00+00:00",
                                    keep=("ord",))
@@ -701,7 +708,7 @@ QUERIES = {f.__name__: f for f in [
     new_only_single, new_only_dual, upsert_newest, upsert_canonical, append_new, merge_accounting,
     dedup_dual_keyed, expire_missing, load_existing, enrich_listing, stub_missing, resolve_labels_exact,
     resolve_labels_rules, resolve_section_rules, classify_keywords_table, classify_keywords_list,
-    pivot_first, pivot_last, pivot_append, pack_extra, join_duties, attach_followers, take_while,
+    pivot_first, pivot_last, pivot_append, pivot_append_shifted, pack_extra, join_duties, join_duties_sparse, attach_followers, take_while,
     listing_valid, fill_rate, fill_share, page_blocks, page_sections, segment_by_heading, page_real_content, page_links,
     page_links_kept, page_apply_link, page_gate, page_shell, page_label_values, page_cell_values,
     page_list_values, page_indexed_fields, listing_spans, listing_cards, listing_rows, listing_grid,

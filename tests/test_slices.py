@@ -53,7 +53,7 @@ def test_take_while(turns):
 
 def whole(df, key, text):
     out = {}
-    for r in sorted(df.collect(), key=lambda r: (r[key], r["part"])):
+    for r in sorted(df.collect(), key=lambda r: (r[key], r["part"] if "part" in r else 0)):
         out[r[key]] = out.get(r[key], []) + [r[text]]
     return out
 
@@ -75,6 +75,21 @@ def test_join_duties_over_parts(turns):
         if duties:
             want[key] = " | ".join(duties)
     assert got == want
+    assert whole(labels.join_duties(long, "page_id", size=SIZE, by_part=True), "page_id", "duties_responsibilities").keys() == want.keys()
+
+
+def test_sparse_positions_and_null_keys(spark):
+    rows = [(None, 9_999, "Duties/Responsibilities", "A"), (None, 10_000, "Percentage of time", "40"), (None, 2_026_010_000, "Duties/Responsibilities", "B"),
+            (1, 10_001, "Duties/Responsibilities", "C")]
+    long = spark.createDataFrame(rows, "page_id long, ord long, label string, value string")
+    got = {r.page_id: r.duties_responsibilities for r in labels.join_duties(long, "page_id").collect()}
+    assert got == {None: "A  [40% of time] | B", 1: "C"}
+    assert labels.take_while(long, "page_id", F.col("value") == "nothing").count() == 4
+    assert labels.take_while(long, "page_id", F.col("value") == "40").count() == 2
+    assert sorted(r.owner for r in labels.attach_followers(long, "page_id", F.col("value").isin("A", "C")).collect()) == [9_999, 9_999, 9_999, 10_001]
+    blocks = spark.createDataFrame([(None, 20260000, "h2", "One"), (None, 20260100, "p", "x"), (None, 20290000, "p", "y")],
+                                   "page_id long, ord long, tag string, text string")
+    assert [tuple(r) for r in labels.segment_by_heading(blocks).collect()] == [(None, 20260000, "One", "x y")]
 
 
 def test_packing_and_pivots(turns):
@@ -95,7 +110,9 @@ def test_packing_and_pivots(turns):
         assert {k: v for k, v in joined.items() if v} == {
             k: " ".join(v for _, kind, v in rows if kind == f)
             for k, rows in by_key.items() if any(kind == f for _, kind, _ in rows)}
-    assert max(r["n"] for r in parts.groupBy("page_id").agg(F.count("*").alias("n")).collect()) > 10
+    assert parts.count() == len([k for k, rows in by_key.items() if any(kind != "x" for _, kind, _ in rows)])
+    apart = labels.pivot_labels(long, "page_id", ["duty", "share"], "append", size=SIZE, by_part=True)
+    assert max(r["n"] for r in apart.groupBy("page_id").agg(F.count("*").alias("n")).collect()) > 10
 
 
 def test_duty_example(spark):
@@ -128,7 +145,8 @@ def test_segments_over_parts(spark):
             ("", "x"), ("b", "not a heading"), ("li", "y")]
     blocks = spark.createDataFrame([(1, i, t, x) for i, (t, x) in enumerate(tags)] + [(2, 0, "p", "only")],
                                    "page_id long, ord int, tag string, text string").repartition(3)
-    rows = labels.segment_by_heading(blocks, size=SIZE).collect()
+    assert len(labels.segment_by_heading(blocks, size=SIZE).collect()) == 4
+    rows = labels.segment_by_heading(blocks, size=SIZE, by_part=True).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r.page_id, r.section, r.part)):
         got.setdefault((r.page_id, r.heading), []).append(r.content)
