@@ -35,7 +35,6 @@ DETAIL_SPANS = {
 }
 LABEL_SPAN, LABEL_SUFFIX = "HRS_SCH_WRK_DESCR100$", "lbl"
 CONTENT_SPAN = "HRS_SCH_PSTDSC_DESCRLONG$"
-NUMBERED_LIMIT = 30
 DEFAULT_PLACE = "Atlanta, Georgia"
 
 _SPAN_IDS = r"^(?:SCH_|HRS_|LOCATION\$)"
@@ -81,7 +80,7 @@ def _with_spans(pages: DataFrame) -> DataFrame:
     return pages.withColumn("spans", H.id_spans("html", _SPAN_IDS))
 
 
-def _numbered(spans: Column) -> Column:
+def _numbered(spans: Column, most: int | None = None) -> Column:
     """`(label, value)` of the numbered sections up to the first gap."""
     def section(i: Column) -> Column:
         n = i.cast("string")
@@ -89,12 +88,12 @@ def _numbered(spans: Column) -> Column:
         value = H.span_value(spans, F.concat(F.lit(CONTENT_SPAN), n))
         return F.struct(label.alias("label"), F.coalesce(value, F.lit("")).alias("value"))
 
-    return F.transform(H.unbroken(spans, LABEL_SPAN, LABEL_SUFFIX, NUMBERED_LIMIT), section)
+    return F.transform(H.unbroken(spans, LABEL_SPAN, LABEL_SUFFIX, most), section)
 
 
-def page_indexed_fields(pages: DataFrame) -> DataFrame:
-    """Numbered section labels and contents as long rows, boilerplate included."""
-    return _rows(_with_spans(pages), _numbered(F.col("spans")), "label", "value")
+def page_indexed_fields(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """Numbered section labels and contents as long rows, boilerplate included; at most `most` a page if given."""
+    return _rows(_with_spans(pages), _numbered(F.col("spans"), most), "label", "value")
 
 
 def postings_from_spans(pages: DataFrame, columns: list[str]) -> DataFrame:

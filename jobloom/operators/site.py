@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import dates, pay, text
 from .merge import require_id
 
-FACET_ARRAY_LIMIT = 1_000_000
 LOCATION_FACETS = 40
 REPORT_ROWS = 10
 
@@ -145,12 +144,10 @@ def _in_order(kind: str) -> Column:
 def site_meta(site: DataFrame, last_updated: str | None = None) -> DataFrame:
     """One row: day of the run (UTC), number of jobs, institution and location lists.
 
-    The institution list is one array, so its length is checked first; a site with
-    more institutions than that publishes `facet_values` as a table instead.
+    The institution list is one array of one row; `facet_values` has the same as a table, for sites
+    with more institutions than a row should hold.
     """
     institutions = _facets(site, "institution")
-    if institutions.select("value").limit(FACET_ARRAY_LIMIT + 1).count() > FACET_ARRAY_LIMIT:
-        raise ValueError("too many institutions for one array; write facet_values as a table")
     locations = _facets(site, "location", LOCATION_FACETS)
     total = site.agg(F.count("*").alias("count"))
     facts = (institutions.withColumn("kind", F.lit("institution"))

@@ -18,7 +18,6 @@ from .ranks import dense_index
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIMENSIONS = 384          # fixed value: width of the published vectors
-MAX_LOCAL_QUERIES = 2_000
 MAX_BLOCK_ROWS = 20_000
 QUERY_STEP = 256
 
@@ -49,9 +48,11 @@ def embed(site: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = N
 
 
 def with_row_index(vectors: DataFrame, order: list[str]) -> DataFrame:
-    """Vectors with their dense row number, for publishing."""
-    numbered = dense_index(vectors.select(*order), order)
-    return vectors.join(numbered, order)
+    """Vectors with their dense row number, for publishing.
+
+    The vectors travel with the sort, so rows that tie in `order` or lack it keep one number each (nulls first).
+    """
+    return dense_index(vectors, order)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -70,7 +71,8 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 def _scored(query_ids: np.ndarray, matrix: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best rows of one batch for each query, a few queries at a time."""
-    ids, rows, found = batch["id"].to_numpy(), _matrix(batch["embedding"]).T, []
+    # text ids as fixed-width text, so that they sort by code point
+    ids, rows, found = np.array(batch["id"].tolist()), _matrix(batch["embedding"]).T, []
     for start in range(0, len(query_ids), QUERY_STEP):
         step = slice(start, start + QUERY_STEP)
         for query, scores in zip(query_ids[step], matrix[step] @ rows):
@@ -79,44 +81,14 @@ def _scored(query_ids: np.ndarray, matrix: np.ndarray, batch: pd.DataFrame, k: i
     return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "id", "score"), zip(*found))})
 
 
-def _merged(best: pd.DataFrame | None, more: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best per query of two score tables."""
-    if best is None:
-        return more
-    both = pd.concat([best, more]).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return both.groupby("query_id", sort=False).head(k)
-
-
-_SCORES = "query_id bigint, id bigint, score double"
-
+def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    """`(query_id, id, score, rank)`: the k vectors with the largest dot product, exact; ids keep their type.
 
-def similar_topk(queries: DataFrame, vectors: DataFrame, k: int, max_local: int = MAX_LOCAL_QUERIES) -> DataFrame:
-    """`(query_id, id, score, rank)`: the k vectors with the largest dot product, exact.
-
-    Each task runs matrix products over its vectors and keeps k rows per query, which
-    is all that moves. Up to `max_local` queries (counted first)
-    travel with the task; more are cut into blocks that meet every block of vectors.
+    Queries and vectors are dealt to blocks of about `rows` together; every query block meets every
+    vector block in a bounded task of matrix products, which keeps k rows per query.
+    Work grows with queries x vectors: this is the exact route.
     """
-    q = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
-    v = vectors.select(F.col("id").cast("bigint").alias("id"), "embedding")
-    local = q.limit(max_local + 1).toPandas()
-    if local.empty:
-        return q.sparkSession.createDataFrame([], _SCORES + ", rank int")
-    if len(local) <= max_local:
-        query_ids, matrix = local["query_id"].to_numpy(), _matrix(local["embedding"])
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if len(batch):
-                    best = _merged(best, _scored(query_ids, matrix, batch, k), k)
-            if best is not None:
-                yield best
-
-        best = v.mapInPandas(score, _SCORES)
-    else:
-        best = _blockwise(q, v, k)
-    return _ranked(best, k)
+    return _ranked(_blockwise(queries.select("query_id", "embedding"), vectors.select("id", "embedding"), k, rows), k)
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -124,7 +96,7 @@ def _ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _blockwise(q: DataFrame, v: DataFrame, k: int, rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+def _blockwise(q: DataFrame, v: DataFrame, k: int, rows: int) -> DataFrame:
     """Every (query block, vector block) pair is one bounded task."""
     q_blocks, v_blocks = (max(1, -(-2 * df.count() // rows)) for df in (q, v))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
@@ -138,5 +110,6 @@ def _blockwise(q: DataFrame, v: DataFrame, k: int, rows: int = MAX_BLOCK_ROWS) -
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         return _scored(a["query_id"].to_numpy(), _matrix(a["embedding"]), b, k)
 
+    kinds = dict(q.dtypes)["query_id"], dict(v.dtypes)["id"]
     return (left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-            .applyInPandas(score, _SCORES))
+            .applyInPandas(score, "query_id {}, id {}, score double".format(*kinds)))

@@ -584,6 +584,7 @@ FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id,
   range(1, 65) t(i)""",
     "similar_top5": _SIMILAR,
     "similar_top5_blocks": _SIMILAR,
+    "publish_and_search": f"SELECT id AS query_id, CAST(1.0 AS DOUBLE) AS score FROM ({SITE}) s",
     "row_index": """SELECT conv_id AS id, max(place) AS row_index FROM (SELECT conv_id,
   row_number() OVER (ORDER BY length(text), conv_id, turn) - 1 AS place FROM conversations) r GROUP BY conv_id""",
     "write_vectors": """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_index, CAST(vec_id AS VARCHAR) AS id,

@@ -516,10 +516,21 @@ def similar_top5(spark, sf):
 
 
 def similar_top5_blocks(spark, sf):
-    """The same through the route for many queries."""
+    """The same in many small blocks, with text ids."""
     df = S.table(spark, sf, "embeddings")
-    found = vectors.similar_topk(_queries(df), df.withColumnRenamed("vec_id", "id"), 5, max_local=1)
-    return found.select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+    named = df.select(F.format_string("V%09d", "vec_id").alias("id"), "embedding")
+    found = vectors.similar_topk(_queries(df), named, 5, rows=200)
+    return found.select("query_id", F.substring("id", 2, 9).cast("bigint").alias("id"), "rank", F.round("score", 5).alias("score"))
+
+
+def publish_and_search(spark, sf):
+    """Jobs encoded, written with their row numbers, and each job's nearest of the published vectors: itself."""
+    path = fresh_path(spark, "search")
+    jobs = vectors.embed(_site(spark, sf)).where("size(filter(embedding, x -> x <> 0)) > 0").select("ord", "id", "embedding")
+    writers.write_vectors(jobs, path, ["ord"])
+    back = spark.read.parquet(path)
+    found = vectors.similar_topk(back.select(F.col("id").alias("query_id"), "embedding"), back, 1)
+    return found.select("query_id", F.round("score", 4).alias("score"))
 
 
 def row_index(spark, sf):
@@ -714,7 +725,7 @@ QUERIES = {f.__name__: f for f in [
     page_list_values, page_indexed_fields, listing_spans, listing_cards, listing_rows, listing_grid,
     listing_links, postings_tables, postings_spans, postings_cells, postings_lists,
     pages_to_master, l2_normalise_vectors,
-    similar_top5, similar_top5_blocks, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
+    similar_top5, similar_top5_blocks, publish_and_search, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
     records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
     status_stream, profile_stream, ingest_stream, ingest_restart, dedup_stream,
 ]}

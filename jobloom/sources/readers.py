@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import clean, first_non_empty, url_id
@@ -30,12 +32,42 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_source_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """One source table: quoted newlines, doubled quotes, any cell size; adds `ord`.
 
-    Columns are found by header name, missing ones and empty cells are `''`. A file
+    Columns are found by the header of their own file, missing ones and empty cells are `''`. A file
     with quoted newlines cannot be split, so large tables should come as many files.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option(
         "escape", '"').option("maxCharsPerColumn", -1).option("encoding", "UTF-8")
-    return conform(with_ordinal(reader.csv(path)), strings(columns), keep=("ord",))
+    layouts: dict[str, list[str]] = {}
+    for file, header in csv_headers(spark, path):
+        layouts.setdefault(header, []).append(file)
+    if not layouts:
+        return spark.createDataFrame([], strings(columns)).withColumn("ord", F.lit(None).cast(
+            "struct<file:string,block:bigint,pos:bigint>"))
+    read = [conform(with_ordinal(reader.csv(files)), strings(columns), keep=("ord",)) for files in layouts.values()]
+    return reduce(DataFrame.unionByName, read)
+
+
+def csv_headers(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Every file of a path and its first line; only that line is read, on the driver, once per file."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out, open_ = [], [s.getPath() for s in fs.globStatus(root) or []]
+    while open_:
+        at = open_.pop()
+        if fs.getFileStatus(at).isDirectory():
+            open_ += [s.getPath() for s in fs.listStatus(at) if not s.getPath().getName().startswith(("_", "."))]
+            continue
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(at)
+        stream = fs.open(at) if codec is None else codec.createInputStream(fs.open(at))
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            header = lines.readLine()
+        finally:
+            lines.close()
+        if header is not None:
+            out.append((at.toString(), header))
+    return sorted(out)
 
 
 def read_all_sources(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:

@@ -10,6 +10,15 @@ from jobloom.session import fresh_path
 from jobloom.sources import readers, writers
 
 
+def test_csv_files_with_other_column_orders(spark):
+    path = fresh_path(spark, "csv-orders")
+    rows = spark.createDataFrame([("T1", "a"), ("T2", "b")], "job_id string, job_title string")
+    rows.where("job_id = 'T1'").select("job_id", "job_title").coalesce(1).write.option("header", True).csv(path)
+    rows.where("job_id = 'T2'").select("job_title", "job_id").coalesce(1).write.mode("append").option("header", True).csv(path)
+    got = readers.read_source_csv(spark, path, ["job_id", "job_title", "salary"]).select("job_id", "job_title", "salary").collect()
+    assert sorted(map(tuple, got)) == [("T1", "a", ""), ("T2", "b", "")]
+
+
 def test_csv_quotes_newlines_order_and_size(spark, tmp_path):
     big = "x" * 3_000_000
     lines = ["job_title,job_id,extra", '"a ""q"" b",1,z', '"two\nlines, one cell",2,z', ",3,z", f"{big},4,z"]

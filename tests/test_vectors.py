@@ -32,16 +32,16 @@ def test_embed_default_is_unit_length(jobs):
     assert rows[0] != rows[1]
 
 
-@pytest.mark.parametrize("max_local", [100, 3])
-def test_similar_topk_is_exact(spark, max_local):
+@pytest.mark.parametrize("rows", [20_000, 70])
+def test_similar_topk_is_exact(spark, rows):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 8)).round(1)
     v[50] = v[60] = v[70]
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
-    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(data, "id long, embedding array<float>").repartition(5)
     queries = df.where("id in (50, 7, 9, 11, 200)").withColumnRenamed("id", "query_id")
     got = {}
-    for r in vectors.similar_topk(queries, df, 4, max_local=max_local).collect():
+    for r in vectors.similar_topk(queries, df, 4, rows=rows).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
     f = v.astype(np.float32).astype(np.float64)
     for q in (50, 7, 9, 11, 200):
@@ -54,8 +54,7 @@ def test_similar_topk_blocks_of_many_rows(spark):
     v = rng.normal(size=(120, 4)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>")
     q = df.withColumnRenamed("id", "query_id")
-    best = vectors._blockwise(q, df, 2, rows=25)
-    got = {(r.query_id, r.id) for r in vectors._ranked(best, 2).collect()}
+    got = {(r.query_id, r.id) for r in vectors.similar_topk(q, df, 2, rows=25).collect()}
     scores = v.astype(np.float64) @ v.astype(np.float64).T
     assert got == {(i, int(j)) for i in range(120) for j in np.argsort(-scores[i])[:2]}
 
@@ -74,3 +73,12 @@ def test_dense_index(spark):
 def test_no_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>")
     assert vectors.similar_topk(df.where("id > 5").withColumnRenamed("id", "query_id"), df, 2).count() == 0
+
+
+def test_text_ids_ties_and_missing_order(spark):
+    df = spark.createDataFrame([("P1", [1.0, 0.0], 1), ("P2", [0.0, 1.0], 1), ("P10", [1.0, 0.0], None), ("P3", [0.6, 0.8], 2)],
+                               "id string, embedding array<float>, ord int")
+    found = vectors.similar_topk(df.where("id = 'P1'").withColumnRenamed("id", "query_id"), df, 3).collect()
+    assert [(r.query_id, r.id) for r in sorted(found, key=lambda r: r["rank"])] == [("P1", "P1"), ("P1", "P10"), ("P1", "P3")]
+    numbered = {r.id: r.row_index for r in vectors.with_row_index(df, ["ord"]).collect()}
+    assert sorted(numbered.values()) == [0, 1, 2, 3] and numbered["P10"] == 0 and numbered["P3"] == 3
