@@ -70,7 +70,8 @@ def test_span_posting_stops_at_gap(spark):
     long = pages.page_indexed_fields(df).orderBy("ord").collect()
     assert [(r.label, r.value) for r in long][0] == ("Job Summary", "a b c") and len(long) == 5
     many = "".join(span(lbl.format(i), f"L{i}") + span(txt.format(i), "x") for i in range(40))
-    assert pages.page_indexed_fields(frame(spark, many)).count() == 30
+    assert pages.page_indexed_fields(frame(spark, many)).count() == 40
+    assert pages.page_indexed_fields(frame(spark, many), most=30).count() == 30
 
 
 def test_span_listing(spark):
