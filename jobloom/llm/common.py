@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _package() -> str:
+    """This package's source as a zip file on the driver."""
+    root = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="jobloom-code-"), "jobloom.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's code to the executors, once per application: workers need no install of it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        context.addPyFile(_package())
+        _SHIPPED.add(context.applicationId)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the folder all executors share: cuts lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -205,6 +205,7 @@ def fertility_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", ba
     each judged, an empty table gives an empty result, other columns are ignored. Texts of any length are
     read whole; a batch of long texts is worked on in slices.
     """
+    common.ship(docs.sparkSession)
     bands = bands or BANDS
     docs = docs.select("doc_id", "text")
     names = ["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))]

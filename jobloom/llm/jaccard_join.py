@@ -253,6 +253,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     length are read whole. Sets are compared by 64-bit fingerprints of their shingles.
     """
     spark = docs.sparkSession
+    common.ship(spark)
     docs = docs.select("doc_id", "text")
     signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k)), "near-signatures")
     classes = common.saved(signed.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.max("bits").alias("bits")), "near-classes")

@@ -97,6 +97,7 @@ def train(docs: DataFrame, trained_on: Column, train_docs: int = 20_000, dimensi
 
     Of more than `train_docs` such rows, a sample of about that many is chosen by a hash of the text.
     """
+    common.ship(docs.sparkSession)
     rows = docs.where(trained_on & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, train_docs / max(rows.count(), 1))
     rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))).select("text", "lang")
@@ -127,6 +128,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     A text that is null or has no letter, and any text if nothing was learned, is `und` with score 0.
     Ties go to the first language in code point order.
     """
+    common.ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes.astype(np.float32)))
     inner = docs.select(*keep, F.col("text").alias("__text"))
     schema = inner.drop("__text").schema.add(into[0], "string").add(into[1], "double")

@@ -476,6 +476,7 @@ def personal_data(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
     Null and empty texts have no spans; null ids stay; repeated rows get equal answers; an empty table
     gives an empty result; texts of any length are read whole; other columns are ignored.
     """
+    common.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     model = docs.sparkSession.sparkContext.broadcast(train_on(docs, sample_docs))
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
@@ -493,6 +494,7 @@ def personal_data(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
 
 def redact(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
     """`docs` with every span of personal data in `text` replaced by its kind in angle brackets; overlapping spans become one."""
+    common.ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train_on(docs, sample_docs))
     place = docs.columns.index("text")
 

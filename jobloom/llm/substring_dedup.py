@@ -238,6 +238,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     empty table gives an empty result; other columns are ignored; texts are read whole (up to 1 GB each).
     A row goes by a 64-bit fingerprint of its id and text; repeated rows share it and lose the same bytes.
     """
+    common.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     runs = common.saved(repeated_windows(docs.where(F.octet_length("text") >= length).select("uid", "text"), length).distinct(), "repeat-runs")
     per = runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))

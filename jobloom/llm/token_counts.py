@@ -141,6 +141,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", max_toke
     empty table gives an empty result, other columns are left out whatever their names. Very long
     texts are counted whole; pre-tokens of over 64 characters are encoded but not kept.
     """
+    common.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     context = docs.sparkSession.sparkContext
     table = context.broadcast(frequent_lengths(docs, tokenizer, sample_docs, entries, cache_entries))

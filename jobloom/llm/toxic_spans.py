@@ -369,6 +369,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1_500, oth
     repeated rows get equal scores; without any labelled row every score is 0.5 (not toxic); an empty
     table gives an empty result; texts of any length are read whole; other columns are ignored.
     """
+    common.ship(docs.sparkSession)
     texts, toxic, odds = sample(docs, labels, toxic_docs, other_docs)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, toxic, odds))
     inner = docs.select("doc_id", (~learnable()).alias("held_out"), "text")

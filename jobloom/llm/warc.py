@@ -98,6 +98,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
                              None if to is None else page_urn(to), payload))
                 for i, url, payload, digest, size, to in zip(*(rows[c] for c in batch.schema.names))], pa.binary())], ["value"])
 
+    common.ship(pages.sparkSession)
     ready = with_revisits(pages, min_bytes, spread)
     (ready.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path))
@@ -230,6 +231,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 for i in range(0, len(out), 1000):
                     yield pa.RecordBatch.from_pylist(out[i:i + 1000], _ARROW)
 
+    common.ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(rows, READ_SCHEMA)
 
