@@ -467,18 +467,18 @@ def train_on(docs: DataFrame, sample_docs: int = 2_000) -> Network:
     return train(sorted(r.piece for r in pieces))
 
 
-def personal_data(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
+def personal_data(docs: DataFrame, sample_docs: int = 2_000, network: Network | None = None) -> DataFrame:
     """`doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added` of every row of `docs(doc_id, text, ...)`.
 
     The counts and the digest are of the pattern spans, `spans` are all spans with code point offsets.
-    `sample_docs` bounds the training sample (three pieces of each text at most).
+    `sample_docs` bounds the training sample (three pieces of each text at most); a given `network` is used as it is.
 
     Null and empty texts have no spans; null ids stay; repeated rows get equal answers; an empty table
     gives an empty result; texts of any length are read whole; other columns are ignored.
     """
     common.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(train_on(docs, sample_docs))
+    model = docs.sparkSession.sparkContext.broadcast(network or train_on(docs, sample_docs))
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def rows(batches):
@@ -492,10 +492,10 @@ def personal_data(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
     return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
-def redact(docs: DataFrame, sample_docs: int = 2_000) -> DataFrame:
+def redact(docs: DataFrame, sample_docs: int = 2_000, network: Network | None = None) -> DataFrame:
     """`docs` with every span of personal data in `text` replaced by its kind in angle brackets; overlapping spans become one."""
     common.ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(train_on(docs, sample_docs))
+    model = docs.sparkSession.sparkContext.broadcast(network or train_on(docs, sample_docs))
     place = docs.columns.index("text")
 
     def rows(batches):

@@ -57,9 +57,8 @@ def answers(spark, rows, **more):
 
 
 def test_equals_brute_force(spark):
-    for seed in (1, 2):
-        rows = corpus(seed) + EDGES
-        assert answers(spark, rows) == brute(rows)
+    rows = corpus(1) + EDGES
+    assert answers(spark, rows) == brute(rows)
 
 
 def test_large_cluster_near_the_threshold(spark, monkeypatch):

@@ -82,7 +82,8 @@ def test_query_and_redaction(spark):
                                                             (21, "words " * 20000 + "a@b.co", "", 0, 1)]
     sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id + 1000 doc_id", "text", "'' spans", "0 n_ip", "n_chars")
     docs = spark.createDataFrame(base, SCHEMA).unionByName(sample).cache()
-    got = P.personal_data(docs).collect()
+    network = P.train_on(docs)
+    got = P.personal_data(docs, network=network).collect()
     assert len(got) == docs.count()
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in got:
@@ -93,11 +94,16 @@ def test_query_and_redaction(spark):
         assert spans == sorted(spans) and set(want) <= set(spans) and len(spans) == len(want) + r.n_added
     # the network adds little to a corpus whose personal data is written plainly
     assert sum(r.n_added for r in got if r.doc_id and r.doc_id >= 1000) <= 2
-    clean = P.personal_data_stage(spark, docs, "")
+    clean = P.redact(docs, network=network)
     assert clean.columns == docs.columns
     clean = {r.doc_id: r for r in clean.collect()}
-    assert clean[9].text == "ü 😀 <email> 😀 <phone>" and clean[9].n_chars == len(clean[9].text) and clean[0].text is None and clean[2].text == TEXTS[2]
-    assert P.personal_data(docs.limit(0)).count() == 0
+    assert clean[9].text == "ü 😀 <email> 😀 <phone>" and clean[0].text is None and clean[2].text == TEXTS[2]
+    assert P.personal_data(docs.limit(0), network=network).count() == 0
+
+
+def test_nothing_to_learn_from(spark):
+    got = P.personal_data(spark.createDataFrame([(1, "no digits", "", 0, 0), (2, None, "", 0, 0)], SCHEMA)).collect()
+    assert [(r.spans, r.n_added) for r in got] == [("", 0)] * 2
 
 
 def test_learns_written_around_spans():
