@@ -22,6 +22,7 @@ NOISE = rf"(?is)<(?:{_NOISES})"
 NOISE_AND_TITLE = rf"(?is)<(?:{_NOISES}|title\b.*?</title\s*>)"
 BLOCK_TAGS = "p|ul|ol|li|div|strong|b"
 HEADING_TAGS = ["h1", "h2", "h3", "h4"]
+_CONTAINERS = ["ul", "ol", "div", "strong", "b"]
 
 _CUT, _TAG_END = "\x02", "\x03"
 
@@ -66,29 +67,56 @@ def raw_text(html) -> Column:
 # --- blocks and sections -----------------------------------------------------------
 
 def _runs(fragment: Column) -> Column:
-    """Text runs between block tags; a run after a closing tag has tag `''`."""
+    """Text runs between block tags; a run after a closing tag has tag `''`, `mark` is the tag as written."""
     marked = F.regexp_replace(fragment, rf"(?i)<(/?)({BLOCK_TAGS})\b[^>]*>", f"{_CUT}$1$2{_TAG_END}")
 
     def run(r: Column) -> Column:
-        tag = F.lower(F.regexp_extract(r, f"^([a-zA-Z]*){_TAG_END}", 1))
+        mark = F.lower(F.regexp_extract(r, f"^(/?[a-zA-Z]*){_TAG_END}", 1))
         body = F.regexp_replace(r, f"^/?[a-zA-Z]*{_TAG_END}", "")
-        return F.struct(tag.alias("tag"), text_of(body).alias("text"))
+        return F.struct(F.when(mark.startswith("/"), "").otherwise(mark).alias("tag"), text_of(body).alias("text"), mark.alias("mark"))
 
     return F.transform(F.split(marked, _CUT), run)
 
 
+def _enclosed(units: Column) -> Column:
+    """For each unit, whether a listed tag is open at its text.
+
+    Counted are open containers (lists, divisions, bold). A paragraph stays open until it is closed or a
+    list, division or heading begins or a container ends; an item until it or a list is closed.
+    """
+    def step(acc: Column, u: Column) -> Column:
+        mark = u["mark"]
+        depth = F.greatest(F.lit(0), acc["depth"] + F.when(mark.isin(*_CONTAINERS), 1).when(
+            mark.isin(*[f"/{t}" for t in _CONTAINERS]), -1).otherwise(0))
+        p = F.when(mark == "p", True).when((mark == "/p") | mark.isin("ul", "ol", "div", *HEADING_TAGS, "/ul", "/ol", "/div"), False).otherwise(acc["p"])
+        li = F.when(mark == "li", True).when(mark.isin("/li", "/ul", "/ol"), False).otherwise(acc["li"])
+        inside = mark.isin(*HEADING_TAGS) | (depth > 0) | p | li
+        return F.struct(depth.alias("depth"), p.alias("p"), li.alias("li"), F.concat(acc["inside"], F.array(inside)).alias("inside"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("p"), F.lit(False).alias("li"),
+                     F.array().cast("array<boolean>").alias("inside"))
+    return F.aggregate(units, start, step, lambda acc: acc["inside"])
+
+
 def blocks(html) -> Column:
-    """Ordered `(tag, text)` leaf blocks; every piece of text comes exactly once."""
+    """Ordered `(tag, text)` leaf blocks; every piece of text that a listed tag or a heading encloses comes exactly once."""
     h = F.replace(F.replace(without_noise(html), F.lit(_CUT), F.lit("")), F.lit(_TAG_END), F.lit(""))
     h = F.regexp_replace(h, r"(?i)(<h[1-4]\b)", f"{_CUT}$1")
     h = F.regexp_replace(h, r"(?i)(</h[1-4]\s*>)", f"$1{_CUT}")
 
     def unit(part: Column) -> Column:
-        heading = F.struct(F.lower(F.substring(part, 2, 2)).alias("tag"), text_of(part).alias("text"))
+        name = F.lower(F.substring(part, 2, 2))
+        heading = F.struct(name.alias("tag"), text_of(part).alias("text"), name.alias("mark"))
         return F.when(part.rlike(r"(?i)^<h[1-4]\b"), F.array(heading)).otherwise(_runs(part))
 
     units = F.flatten(F.transform(F.split(h, _CUT), unit))
-    return F.filter(units, lambda b: (b["text"] != "") | b["tag"].isin(HEADING_TAGS))
+
+    def kept(u: Column) -> Column:
+        inside = let(_enclosed(u), lambda e: F.transform(u, lambda b, i: F.struct(b["tag"], b["text"], F.get(e, i).alias("inside"))))
+        shown = F.filter(inside, lambda b: b["inside"] & ((b["text"] != "") | b["tag"].isin(HEADING_TAGS)))
+        return F.transform(shown, lambda b: F.struct(b["tag"].alias("tag"), b["text"].alias("text")))
+
+    return let(units, kept)
 
 
 def is_heading(block: Column) -> Column:

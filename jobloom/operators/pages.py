@@ -161,14 +161,17 @@ def postings_from_tables(pages: DataFrame, base: str) -> DataFrame:
 # --- section pages -------------------------------------------------------------------
 
 def _resolved_sections(html) -> Column:
-    """`(field, label, value)` per section; text without a heading counts as summary."""
+    """`(field, label, value)` per section; text without a heading counts as summary, and so does all
+    the text of a page without any section."""
     def resolve(s: Column) -> Column:
         key = F.regexp_replace(F.lower(s["heading"]), r"^[: ]+|[: ]+\z", "")
         field = F.coalesce(L.resolve_exact(key, L.HEADING_LABELS),
                            F.when(s["heading"] == "", "job_summary"))
         return F.struct(field.alias("field"), s["heading"].alias("label"), s["content"].alias("value"))
 
-    return F.transform(H.sections(H.blocks(html)), resolve)
+    whole = F.struct(F.lit("job_summary").alias("field"), F.lit("").alias("label"), H.text_of(H.without_noise(html)).alias("value"))
+    return X.let(F.transform(H.sections(H.blocks(html)), resolve), lambda found: F.when(F.size(found) > 0, found).otherwise(
+        F.filter(F.array(whole), lambda s: s["value"] != "")))
 
 
 def _appended(sections, name: str) -> Column:
@@ -241,6 +244,11 @@ MAIN_IDS = ["maincontent", "jobDescriptionInterface", "jobDescriptionText", "req
 MENU_ID = "job_menubar"
 
 
+def _boxed(inner: Column) -> Column:
+    """The inner HTML of a chosen division as the division itself: its own text is enclosed."""
+    return X.let(inner, lambda v: F.when(v != "", F.concat(F.lit("<div>"), v, F.lit("</div>"))).otherwise(v))
+
+
 def _after_title(html) -> Column:
     return F.regexp_replace(html, r"(?is)^.*?</h1\s*>", "")
 
@@ -248,7 +256,7 @@ def _after_title(html) -> Column:
 def _main_html() -> Column:
     """The description container without its menu, else all that follows the title."""
     def main(page: Column) -> Column:
-        return X.first_of(*[H.element(page, "div", H.with_id(i)) for i in MAIN_IDS], _after_title(page))
+        return X.first_of(*[_boxed(H.element(page, "div", H.with_id(i))) for i in MAIN_IDS], _after_title(page))
 
     def without_menu(html: Column) -> Column:
         return X.let(H.element(html, "div", H.with_id(MENU_ID)), lambda menu: F.when(
@@ -292,7 +300,7 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
     df = df.withColumn("pairs", _with_groups(H.normalised(H.list_pairs("page"), spaces=True), L.LIST_GROUPS))
     page = F.col("page")
     parts = F.concat_ws(" ", F.filter(F.array(*[
-        X.first_of(H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p)))
+        _boxed(X.first_of(H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p))))
         for p in DESCRIPTION_PARTS]), lambda v: v != ""))
     rest = _after_title(F.regexp_replace(page, r"(?is)<dl\b.*?</dl\s*>", " "))
     df = df.withColumn("sections", _resolved_sections(X.first_of(parts, rest)))

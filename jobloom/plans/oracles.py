@@ -212,10 +212,18 @@ FROM (
           FROM (SELECT page_id, string_split({_CUT}, chr(2)) AS segs FROM pages) a) b) c) d
 """
 _BLOCK_TAGS = "('p','ul','ol','li','div','strong','b')"
+# Text counts where a container, a paragraph or an item is open; the last word on each is the latest mark.
 ORDERED_BLOCKS = f"""
+WITH marks AS (SELECT *, CASE WHEN heading THEN rawtag ELSE lower(regexp_extract(body, '^<(/?[a-zA-Z]+)', 1)) END AS mark FROM ({BLOCKS}) m),
+states AS (SELECT *,
+  sum(CASE WHEN heading THEN 0 WHEN mark IN ('ul','ol','div','strong','b') THEN 1
+    WHEN mark IN ('/ul','/ol','/div','/strong','/b') THEN -1 ELSE 0 END) OVER w AS depth,
+  last_value(CASE WHEN mark = 'p' THEN true WHEN heading OR mark IN ('/p','ul','ol','div','/ul','/ol','/div') THEN false END IGNORE NULLS) OVER w AS p,
+  last_value(CASE WHEN mark = 'li' THEN true WHEN mark IN ('/li','/ul','/ol') THEN false END IGNORE NULLS) OVER w AS li
+  FROM marks WINDOW w AS (PARTITION BY page_id ORDER BY part, run ROWS UNBOUNDED PRECEDING))
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part, run) - 1 AS INT) AS ord,
   CASE WHEN heading OR rawtag IN {_BLOCK_TAGS} THEN rawtag ELSE '' END AS tag, text
-FROM ({BLOCKS}) blocks WHERE text <> ''
+FROM states WHERE text <> '' AND (heading OR depth > 0 OR coalesce(p, false) OR coalesce(li, false))
 """
 _BOLD_HEAD = "(tag IN ('b','strong') AND length(text) < 80 AND ends_with(text, ':'))"
 _HEAD_COL = f"""CASE lower(trim(heading, ': '))
@@ -235,7 +243,10 @@ GROUP BY page_id, sec HAVING count(*) FILTER (WHERE NOT is_head) > 0
 _SEC_COLS = ["about_us", "job_summary", "responsibilities", "required_qualifications", "preferred_qualifications",
              "knowledge_skills_abilities", "other_information", "background_check"]
 PAGE_SECTIONS = f"""
-SELECT p.page_id, {", ".join(f"coalesce(string_agg(content, ' ' ORDER BY sec) FILTER (WHERE col = '{c}'), '') AS {c}" for c in _SEC_COLS)},
+SELECT p.page_id, {", ".join(
+    (f"CASE WHEN count(sec) = 0 THEN any_value({page_text(_QUIET)}) ELSE " if c == "job_summary" else "")
+    + f"coalesce(string_agg(content, ' ' ORDER BY sec) FILTER (WHERE col = '{c}'), '')" + (" END" if c == "job_summary" else "")
+    + f" AS {c}" for c in _SEC_COLS)},
   coalesce(string_agg('[' || heading || '] ' || content, ' || ' ORDER BY sec) FILTER (WHERE col IS NULL AND sec IS NOT NULL), '')
     AS extra_sections
 FROM pages p LEFT JOIN (SELECT *, {_HEAD_COL} AS col FROM ({SECTIONS}) x) s ON p.page_id = s.page_id GROUP BY p.page_id

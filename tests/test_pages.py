@@ -16,11 +16,20 @@ def test_blocks_once_and_in_order(spark):
             "<P CLASS='q'>t &amp; u<br>v</P><ul><li>1<li>2</ul><pre>code</pre>")
     rows = pages.page_blocks(frame(spark, html)).orderBy("ord").collect()
     assert [(r.tag, r.text) for r in rows] == [
-        ("h2", "A B"), ("div", "x"), ("p", "y"), ("", "z"), ("p", "t & u v"), ("li", "1"), ("li", "2"), ("", "code")]
+        ("h2", "A B"), ("div", "x"), ("p", "y"), ("", "z"), ("p", "t & u v"), ("li", "1"), ("li", "2")]
+
+
+def test_text_outside_listed_tags(spark):
+    html = ("<nav>Menu Jobs Home</nav><h1>Title</h1><p>Real <b>bold</b> text</p>loose<footer>Foot</footer>"
+            "<ul><li>one<ul><li>two</ul>tail</ul>after<p>open<p>next<div>in</div>out")
+    rows = pages.page_blocks(frame(spark, html)).orderBy("ord").collect()
+    assert [r.text for r in rows] == ["Title", "Real", "bold", "text", "one", "two", "tail", "open", "next", "in"]
+    out = pages.page_sections(frame(spark, "<nav>Menu Jobs Home</nav><h1>Title</h1><p>Real text</p><footer>Foot</footer>")).first()
+    assert out.job_summary == "" and out.extra_sections == "[Title] Real text"
 
 
 def test_sections(spark):
-    html = ("<p>Intro</p><h3>Responsibilities:</h3><p>do</p><b>Qualifications:</b> need<h3></h3><p>loose</p>"
+    html = ("<p>Intro</p><h3>Responsibilities:</h3><p>do</p><div><b>Qualifications:</b> need</div><h3></h3><p>loose</p>"
             "<b>just bold</b><h1>Duties</h1><li>more</li><h2>Town</h2><p>nice</p><h2>Empty</h2>")
     out = pages.page_sections(frame(spark, html, "plain <i>text</i>", "")).orderBy("page_id").collect()
     assert out[0].job_summary == "Intro loose just bold" and out[0].responsibilities == "do more"
