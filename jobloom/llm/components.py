@@ -26,3 +26,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` of components after further `links(a, b)`: only the components that the links touch are walked again."""
+    ends = links.select(F.col("a").alias("s")).union(links.select("b")).distinct()
+    known = common.saved(ends.join(labels.withColumnRenamed("c", "old"), "s", "left"), "component-ends")
+    place = known.select("s", F.coalesce("old", "s").alias("c"))
+    between = (links.join(place.select(F.col("s").alias("a"), F.col("c").alias("x")), "a")
+               .join(place.select(F.col("s").alias("b"), F.col("c").alias("y")), "b").where("x <> y"))
+    merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    # ends that had no link before are components of their own
+    every = labels.unionByName(known.where("old is null").select("s", F.col("s").alias("c")))
+    return common.saved(every.join(merged.select(F.col("s").alias("c"), F.col("c").alias("new")), "c", "left")
+                        .select("s", F.coalesce("new", "c").alias("c")), "component-labels")

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import common
-from .components import components
+from .components import components, merged_labels
 from .shingles import shingle_sets
 
 BITS = 2048
 #: Shingles counted in more documents than this are dealt to several buckets.
 HOT = 4096
 NEIGHBOURS = 4
+#: Members of a bucket's largest component that those outside meet in a round.
+LEADS = 6
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -280,8 +282,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
             .join(members, "g").select("token", "s", "n", "pos"))
     wide_groups = inner.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > NEIGHBOURS + 1).select("token")
     rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos")), "near-rest")
+    labels, budget = components(links), cross_budget * max(classes.count(), 1000)
     for attempt in range(8):
-        labels = components(links)
         placed = rest.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
         parts = placed.groupBy("token", "c").agg(F.count("*").alias("many"))
         open_ = parts.groupBy("token").agg(F.max_by("c", "many").alias("main"), F.sum("many").alias("all"), F.max("many").alias("most")).where("all > most")
@@ -289,7 +291,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
         work = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
         if not work:
             break
-        last = attempt == 7 or work <= cross_budget * max(classes.count(), 1000)
+        last = attempt == 7 or work <= budget
         here = common.saved(placed.join(open_.select("token", "main"), "token"), "near-placed")
         others = here.select("token", F.col("s").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "main")
         if last:
@@ -297,16 +299,19 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
             outside = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos")
             met = outside.join(others, "token").where("c1 <> c2 and (c2 = main or a < b)")
         else:
-            # too many for now: each member meets one of the bucket, drawn anew, and components grow
-            draw = F.xxhash64(F.col("s"), F.lit(attempt))
-            lead = here.groupBy("token").agg(F.min(F.struct(draw.alias("h"), F.col("s").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))).alias("x"))
-            met = here.select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos").join(lead.select("token", "x.*"), "token").where("c1 <> c2")
+            # too many for now: those outside meet a few of the largest component, drawn anew, and it grows
+            drawn = [F.min(F.when(F.col("c") == F.col("main"), F.struct(
+                F.xxhash64(F.col("s"), F.lit(LEADS * attempt + i)).alias("h"), F.col("s").alias("b"), F.col("c").alias("c2"),
+                F.col("n").alias("n2"), F.col("pos").alias("pos2")))) for i in range(LEADS)]
+            lead = here.groupBy("token").agg(F.array_distinct(F.transform(F.array(*drawn), lambda x: F.struct(
+                x["b"].alias("b"), x["c2"].alias("c2"), x["n2"].alias("n2"), x["pos2"].alias("pos2")))).alias("leads"))
+            lead = lead.select("token", F.explode("leads").alias("x")).select("token", "x.*")
+            met = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos").join(lead, "token")
         met = met.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         more = _verified(spark, docs, _ordered(met.select("a", "b")), classes, k, percent)
-        links = links.union(more)
+        labels = merged_labels(labels, more)
         if last:
             break
-    labels = components(links)
     named = signed.select("doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
     return (_spread_join(named, smallest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), F.col("doc_id")).alias("component_id")))
