@@ -89,7 +89,7 @@ def _fold(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return common.mixed(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
-def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray], crowd: int = HOT) -> DataFrame:
     """`doc_id, n, s, g` of every row: set size, fingerprints of the set and of its group (prefix and size).
 
     The first row of a group in a task also has the prefix (`tokens`, and the bucket `parts` of frequent
@@ -121,8 +121,8 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                 g = common.mixed(_fold(tokens, edges) + sizes.astype(np.uint64))
                 bits = np.bincount(row * BITS + (prints >> np.uint64(53)).astype(np.int64), minlength=len(sizes) * BITS) & 1
                 bits = np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1)
-                split = front_counts // (HOT // 2)
-                deal = np.where(front_counts > HOT, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
+                split = front_counts // max(1, crowd // 2)
+                deal = np.where(front_counts > crowd, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
                 token_lists, part_lists, bit_rows = [], [], []
                 for i in range(len(sizes)):
                     first = sizes[i] > 0 and g[i] not in groups_seen
@@ -242,7 +242,7 @@ def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
     return found.groupBy("s").agg(F.first("text").alias("text"))
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget: int = 20) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget: int = 20, crowd: int = HOT) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs(doc_id, text, ...)`.
 
     Two rows are linked if the Jaccard similarity of their sets of distinct `k`-word shingles (A-Z in
@@ -257,7 +257,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select("doc_id", "text")
-    signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k)), "near-signatures")
+    signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k), crowd), "near-signatures")
     classes = common.saved(signed.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.max("bits").alias("bits")), "near-classes")
     members = classes.select("s", "g")
 

@@ -8,10 +8,10 @@ if their anchors' suffixes start alike, and some hundred windows travel as one s
    windows, no text. Anchors with equal stretches repeat each other in every window, whole copies too.
 2. Where one leading k-gram heads different stretches (the edges of repeats), one suffix of each stretch
    travels with its text. Sampled splitters range-partition the suffixes by their leading bytes (a
-   frequent lead is dealt to neighbouring ranges), each range is sorted by multikey quicksort, and equal
+   lead with very many suffixes is dealt to neighbouring ranges), each range is sorted by multikey quicksort, and equal
    windows of neighbours in that order are found.
-3. A run of one lead may go on in the next range: windows of runs at a range's ends are compared across
-   the boundaries by fingerprint.
+3. The runs of a dealt lead lie in several ranges: their windows are compared across the boundaries by
+   fingerprint.
 
 Repeated bytes are united per document and cut out of the text.
 """
@@ -30,8 +30,8 @@ from . import common
 #: Leading bytes of a suffix that choose its range: an anchor's k-gram.
 LEAD = 40
 PLACE_BITS = 30
-#: Suffixes of one lead that are compared at a time; longer runs are compared block by block, then across.
-BLOCK = 2048
+#: Suffixes of one lead that are compared at a time; a lead with more is dealt to several runs, compared across.
+BLOCK = 24_576
 
 
 def anchors(offsets: np.ndarray, data: np.ndarray, length: int):
@@ -119,17 +119,18 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 FOUND = "uid long, first long, last long, print long, alone boolean"
 
 
-def _compare_range(length: int):
+def _compare_range(length: int, block: int):
     """Sort one range of suffixes and compare the windows of equal leads.
 
     Gives rows `uid, first, last` for runs of windows with an equal in the range (byte places in the
-    document), and for leads at the range's ends every distinct window by `print` for the comparison across boundaries.
+    document), and for dealt leads every distinct window by `print` for the comparison across boundaries.
     """
     def compare(batches):
         frames = [b.to_pandas() for b in batches if b.num_rows]
         if not frames:
             return
-        frame = pd.concat(frames, ignore_index=True)
+        # repeated rows of a table bring the same suffix
+        frame = pd.concat(frames, ignore_index=True).drop_duplicates(["uid", "first"], ignore_index=True)
         segments, at = [bytes(s) for s in frame["segment"]], frame["anchor"].to_numpy(np.int64)
         order = multikey_quicksort(_words(segments, at, length))
         frame = frame.iloc[order].reset_index(drop=True)
@@ -137,7 +138,8 @@ def _compare_range(length: int):
         lead = frame["kh"].to_numpy(np.int64)
         edges = np.flatnonzero(np.append(np.diff(lead, prepend=lead[0] - 1) != 0, True))
         # one lead is one run of the order, as its bytes are the first of the sort key
-        blocks = [(x, min(x + BLOCK, b), k in (0, len(edges) - 2) or b - a > BLOCK) for k, (a, b) in enumerate(zip(edges, edges[1:])) for x in range(a, b, BLOCK)]
+        dealt = frame["deal"].to_numpy() > 0
+        blocks = [(x, min(x + block, b) if dealt[a] else b, dealt[a]) for a, b in zip(edges, edges[1:]) for x in (range(a, b, block) if dealt[a] else (a,))]
         for a, b, outer in blocks:
             prints, of = _window_prints(segments[a:b], length)
             kinds, place, times = np.unique(prints, return_inverse=True, return_counts=True)
@@ -162,8 +164,10 @@ def _compare_range(length: int):
     return compare
 
 
-def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """`uid, first, last`: runs of windows (start bytes) that occur elsewhere, for `docs(uid, text)`."""
+    split = max(1, block // 2)
+
     def find(batches):
         for batch in batches:
             for part in common.parts(batch):
@@ -202,7 +206,8 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
                     kh.append(w["kh"])
                     place.append(w["place"] - w["first"])
                     first.append(w["first"])
-                    deal.append(hash((u, w["first"])) % max(1, w["stretches"] // 512) if w["stretches"] > 1024 else 0)
+                    # a lead with up to `block` stretches is one run
+                    deal.append(1 + hash((u, w["first"])) % (1 + w["stretches"] // split) if w["stretches"] > block else 0)
                     segment.append(raw[w["first"]:w["last"] + length])
             lead = [s[a:a + LEAD] for s, a in zip(segment, place)]
             yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(kh, pa.int64()), pa.array(lead, pa.binary()), pa.array(deal, pa.int32()),
@@ -216,7 +221,7 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
     segments = common.saved(segments, "repeat-suffixes")
     # splitters sampled from the suffixes' leading bytes; a frequent lead spreads over neighbouring ranges
     ranges = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), segments.count() // 50_000)
-    ranged = segments.repartitionByRange(ranges, "lead", "deal").mapInArrow(_compare_range(length), FOUND)
+    ranged = segments.repartitionByRange(ranges, "lead", "deal").mapInArrow(_compare_range(length, block), FOUND)
     compared = common.saved(ranged, "repeat-compared")
     inside = compared.where("print = 0 and not alone").select("uid", "first", "last")
     # across boundaries: a window alone in its range whose print another range has too
@@ -229,18 +234,19 @@ def repeated_windows(docs: DataFrame, length: int) -> DataFrame:
 OUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, block: int = BLOCK) -> DataFrame:
     """`doc_id, n_bytes, n_removed, n_spans, kept_sha256` for every row of `docs(doc_id, text, ...)`.
 
     Removed is each byte of a text (UTF-8) that lies in a string of `length` bytes which also starts
     anywhere else, in the same text or another; strings are judged on the input. A null text is empty.
+    `block` bounds the suffixes with one beginning that a task compares at a time.
     Texts shorter than `length` lose nothing. Repeated rows are repeats of each other; null ids stay; an
     empty table gives an empty result; other columns are ignored; texts are read whole (up to 1 GB each).
     A row goes by a 64-bit fingerprint of its id and text; repeated rows share it and lose the same bytes.
     """
     common.ship(docs.sparkSession)
     docs = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
-    runs = common.saved(repeated_windows(docs.where(F.octet_length("text") >= length).select("uid", "text"), length).distinct(), "repeat-runs")
+    runs = common.saved(repeated_windows(docs.where(F.octet_length("text") >= length).select("uid", "text"), length, block).distinct(), "repeat-runs")
     per = runs.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
     kind = dict(docs.dtypes)["doc_id"]
     marked = common.with_hit(docs, common.cell_maps(runs, "uid"), "uid", "__hit")

@@ -75,10 +75,9 @@ def test_large_cluster_near_the_threshold(spark, monkeypatch):
     assert answers(spark, rows, cross_budget=0) == answers(spark, rows) == brute(rows)
 
 
-def test_hot_shingles_are_dealt(spark, monkeypatch):
-    monkeypatch.setattr(J, "HOT", 8)
+def test_hot_shingles_are_dealt(spark):
     rows = corpus(5, docs=100)
-    assert answers(spark, rows) == brute(rows)
+    assert answers(spark, rows, crowd=8) == brute(rows)
 
 
 def test_empty_table_and_stage(spark):

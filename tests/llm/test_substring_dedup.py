@@ -23,9 +23,9 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-def answers(spark, rows, length):
+def answers(spark, rows, length, **more):
     df = spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA)
-    return sorted((tuple(r) for r in S.remove_repeats(df.repartition(3), length).collect()), key=str)
+    return sorted((tuple(r) for r in S.remove_repeats(df.repartition(3), length, **more).collect()), key=str)
 
 
 def corpus(seed, n=70):
@@ -48,15 +48,13 @@ def corpus(seed, n=70):
 EDGES = [(900, None), (901, ""), (902, "short"), (903, "ab" * 300), (904, "x" * 500), (None, "null id " * 3), (905, "q" * 60), (906, "q" * 61), (907, "é" * 100)]
 
 
-def test_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(S, "LEAD", 12)
+def test_equals_brute_force(spark):
     assert answers(spark, corpus(1) + EDGES + [(3, "the same row twice, long enough to be found again " * 2)] * 2, 60) == brute(
         corpus(1) + EDGES + [(3, "the same row twice, long enough to be found again " * 2)] * 2, 60)
 
 
-def test_runs_across_boundaries(spark, monkeypatch):
+def test_runs_across_boundaries(spark):
     """One passage in every text: blocks of three suffixes, so most equal windows lie in other blocks."""
-    monkeypatch.setattr(S, "BLOCK", 3)
     r = random.Random(2)
     passage = "".join(r.choice("abcdefgh ") for _ in range(700))
     rows = []
@@ -64,7 +62,7 @@ def test_runs_across_boundaries(spark, monkeypatch):
         tail = "".join(r.choice("xyz") for _ in range(r.randint(0, 300)))
         a, b = sorted((r.randint(0, 300), r.randint(401, 700)))
         rows.append((i, tail[:100] + passage[a:b] + tail[100:]))
-    assert answers(spark, rows, 400) == brute(rows, 400)
+    assert answers(spark, rows, 400, block=3) == answers(spark, rows, 400) == brute(rows, 400)
 
 
 def test_production_length(spark):
