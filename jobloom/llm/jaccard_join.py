@@ -279,9 +279,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     # buckets with more members than have met: those outside the largest component meet the others
     large = buckets.where((F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0))
     rest = (large.select("token", "g", F.shiftright("np", 32).alias("n"), _low(F.col("np")).alias("pos"))
-            .join(members, "g").select("token", "s", "n", "pos"))
+            .join(members, "g").select("token", "s", "n", "pos", F.lit(1).cast("long").alias("shared")))
     wide_groups = inner.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > NEIGHBOURS + 1).select("token")
-    rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos")), "near-rest")
+    # members of one group share their whole prefix
+    rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos", F.col("n").alias("shared"))), "near-rest")
+    before = None
     labels, budget = components(links), cross_budget * max(classes.count(), 1000)
     for attempt in range(8):
         placed = rest.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
@@ -291,13 +293,22 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
         work = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
         if not work:
             break
-        last = attempt == 7 or work <= budget
+        # rounds go on while they help
+        last = attempt == 7 or work <= budget or (before is not None and work > 0.7 * before)
+        before = work
         here = common.saved(placed.join(open_.select("token", "main"), "token"), "near-placed")
         others = here.select("token", F.col("s").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "main")
         if last:
             # a pair of two outsiders is met from both sides; it is made once
-            outside = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos")
-            met = outside.join(others, "token").where("c1 <> c2 and (c2 = main or a < b)")
+            outside = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "shared")
+            met = outside.join(others.drop("pos2"), "token").where("c1 <> c2 and (c2 = main or a < b)").where(
+                _sizes_fit(F.col("n"), F.col("n2"), percent))
+            # a pair that shares a shingle of a small bucket was settled before; for the others all shared
+            # prefix shingles are counted here, and behind one of both prefixes lies the rest of the overlap
+            met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+                F.sum("shared").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+            behind = F.ceil(F.greatest("n", "n2") * F.lit(percent) / F.lit(100.0)).cast("long") - 1
+            met = met.where(F.col("shared") + behind >= _least_overlap(F.col("n"), F.col("n2"), percent))
         else:
             # too many for now: those outside meet a few of the largest component, drawn anew, and it grows
             drawn = [F.min(F.when(F.col("c") == F.col("main"), F.struct(
@@ -307,7 +318,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
                 x["b"].alias("b"), x["c2"].alias("c2"), x["n2"].alias("n2"), x["pos2"].alias("pos2")))).alias("leads"))
             lead = lead.select("token", F.explode("leads").alias("x")).select("token", "x.*")
             met = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos").join(lead, "token")
-        met = met.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
+            met = met.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         more = _verified(spark, docs, _ordered(met.select("a", "b")), classes, k, percent)
         labels = merged_labels(labels, more)
         if last:
