@@ -147,7 +147,8 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
     """`token, part, g, np, many, near` of groups that may be linked to another in a bucket.
 
     `np` packs size and position, `near` has the nearest groups by size that pass the filters, `many` counts
-    the bucket's groups. Rows that can give no pair (nobody near, and nobody else to meet) are left out.
+    the bucket's groups. Rows that can give no pair (nobody near, and nobody else to meet) are left out; a row of
+    a dealt token stays, alone in its part or not, as it may meet those of the other parts.
     """
     entries = (signed.where("tokens is not null").select("g", "n", F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
                .select(F.col("t.tokens").alias("token"), F.col("t.parts").alias("part"), "g", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")))
@@ -159,7 +160,7 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
     near = [F.struct(F.lag("g", i).over(by_size).alias("g"), F.lag("np", i).over(by_size).alias("np")) for i in range(1, NEIGHBOURS + 1)]
     fits = _sizes_fit(mine, F.shiftright(F.lag("np").over(by_size), 32), percent) | _sizes_fit(mine, F.shiftright(F.lead("np").over(by_size), 32), percent)
     placed = entries.select("*", F.array(*near).alias("near"), F.coalesce(fits, F.lit(False)).alias("fits"), F.count("*").over(bucket).alias("many"))
-    placed = placed.where("many > 1 and (fits or part > 0)").withColumn(
+    placed = placed.where("part > 0 or (many > 1 and fits)").withColumn(
         "near", F.filter("near", lambda x: x["g"].isNotNull() & _may_link(mine, _low(F.col("np")), F.shiftright(x["np"], 32), _low(x["np"]), percent)))
     return placed.where((F.size("near") > 0) | (F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0)).drop("fits")
 

@@ -80,6 +80,14 @@ def test_hot_shingles_are_dealt(spark):
     assert answers(spark, rows, crowd=8) == brute(rows)
 
 
+def test_near_copy_of_many_equal_texts(spark):
+    # all shared shingles are dealt to 25 parts, where the group of the copies and that of the near copy are alone
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i + 1, " ".join(words)) for i in range(100)] + [(0, " ".join(words[:40] + ["other"] + words[41:]))]
+    assert {c for _, _, c in brute(rows)} == {0}
+    assert answers(spark, rows, crowd=8) == brute(rows)
+
+
 def test_empty_table_and_stage(spark):
     assert answers(spark, []) == []
     rows = corpus(3, docs=40) + EDGES
