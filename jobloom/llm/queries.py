@@ -12,6 +12,7 @@ from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
 from .toxic_spans import op10_toxic_spans
 from .warc import OP1_SQL, op1_warc_salvage
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_warc_salvage": op1_warc_salvage,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_toxic_spans": op10_toxic_spans,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLES: dict[str, str] = {
