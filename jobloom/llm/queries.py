@@ -6,6 +6,7 @@ from .decontaminate import op7_benchmark_leaks
 from .fertility import op4_fertility
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
 from .personal_data import op5_personal_data
 from .substring_dedup import op3_substring_dedup
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxic_spans": op10_toxic_spans,
     "op11_whitening": op11_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": OP1_SQL,
     "op8_mixing": OP8_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
