@@ -9,6 +9,7 @@ from .language_id import op2_language_id
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP8_SQL, op8_mixing
 from .personal_data import op5_personal_data
+from .quality_classifier import op13_quality_classifier
 from .substring_dedup import op3_substring_dedup
 from .token_counts import op9_token_counts
 from .toxic_spans import op10_toxic_spans
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxic_spans": op10_toxic_spans,
     "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 13)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(entry.queries()) >= {*QUERIES, "pipeline"} and set(entry.oracle_sql()) >= set(ORACLES)
 
 
