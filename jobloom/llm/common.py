@@ -56,6 +56,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that `saved` wrote, when their readers have written their own results and no plan needs them again."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def id_text(name: str) -> Column:
     """An integer id as decimal text; a null id as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

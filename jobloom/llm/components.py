@@ -22,14 +22,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         jumped = stepped.join(own, "c", "left").select("s", F.coalesce(F.least("c", "next"), "c").alias("c"), "before")
         jumped = common.saved(jumped, "component-labels")
         changed = jumped.where("c <> before").limit(1).count()
+        common.removed(labels)
         labels = jumped.select("s", "c")
         if not changed:
+            common.removed(edges)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`labels` of components after further `links(a, b)`: only the components that the links touch are walked again."""
+    """`labels` of components after further `links(a, b)`: only the components that the links touch are walked again.
+
+    Takes the place of the table `labels`, which is deleted.
+    """
     ends = links.select(F.col("a").alias("s")).union(links.select("b")).distinct()
     known = common.saved(ends.join(labels.withColumnRenamed("c", "old"), "s", "left"), "component-ends")
     place = known.select("s", F.coalesce("old", "s").alias("c"))
@@ -38,5 +43,7 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     merged = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
     # ends that had no link before are components of their own
     every = labels.unionByName(known.where("old is null").select("s", F.col("s").alias("c")))
-    return common.saved(every.join(merged.select(F.col("s").alias("c"), F.col("c").alias("new")), "c", "left")
-                        .select("s", F.coalesce("new", "c").alias("c")), "component-labels")
+    out = common.saved(every.join(merged.select(F.col("s").alias("c"), F.col("c").alias("new")), "c", "left")
+                       .select("s", F.coalesce("new", "c").alias("c")), "component-labels")
+    common.removed(labels, known, merged)
+    return out

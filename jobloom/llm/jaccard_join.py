@@ -7,9 +7,12 @@ the buckets of their prefix shingles, group pairs are filtered by size and posit
 their members (distinct sets), filtered by parity bitmaps, and verified on whole texts.
 
 The result is components, so pairs of documents that are known to be connected need no check, and no
-bucket emits all its pairs: each member first meets its neighbours by size (a few), verified links are
-joined to components, and then, in the buckets where several components are left, only members outside
-the largest component meet the others. That loses no link between components.
+bucket emits all its pairs: each member first meets its neighbours by size (a few, in an order that is the
+same in all buckets), verified links are joined to components, and then, in the buckets where several
+components are left, only members outside the largest component meet the others. They meet inside a task,
+in blocks of bounded size, as arrays of sizes, positions and bitmaps; only pairs that pass leave it, at first
+each member's closest few, so that most members join a component before the rest are asked for. That loses
+no link between components.
 
 Every number in a pruning rule is exact or a bound; frequencies only change the order, and so the work.
 """
@@ -28,8 +31,12 @@ BITS = 2048
 #: Shingles counted in more documents than this are dealt to several buckets.
 HOT = 4096
 NEIGHBOURS = 4
-#: Members of a bucket's largest component that those outside meet in a round.
-LEADS = 6
+#: Members of a bucket, and those outside its largest component, that one task's block holds.
+BLOCK = 4096
+#: Pairs whose bitmaps are compared at a time.
+PAIRS = 1 << 16
+#: Groups and sets a task remembers so as not to write them twice.
+SEEN = 100_000
 
 
 def _least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -125,6 +132,9 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                 deal = np.where(front_counts > crowd, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
                 token_lists, part_lists, bit_rows = [], [], []
                 for i in range(len(sizes)):
+                    if len(groups_seen) + len(sets_seen) > SEEN:
+                        groups_seen.clear()
+                        sets_seen.clear()
                     first = sizes[i] > 0 and g[i] not in groups_seen
                     if first:
                         groups_seen.add(g[i])
@@ -155,8 +165,9 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
     # one row per group, also if several tasks saw it
     entries = entries.repartition(F.col("token"), F.col("part")).groupBy("token", "part", "g").agg(F.first("np").alias("np"))
     bucket = Window.partitionBy("token", "part")
-    by_size = bucket.orderBy("np", "g")
     mine = F.shiftright("np", 32)
+    # not by position: two groups that meet in many buckets are then the same neighbours in most
+    by_size = bucket.orderBy(mine, "g")
     near = [F.struct(F.lag("g", i).over(by_size).alias("g"), F.lag("np", i).over(by_size).alias("np")) for i in range(1, NEIGHBOURS + 1)]
     fits = _sizes_fit(mine, F.shiftright(F.lag("np").over(by_size), 32), percent) | _sizes_fit(mine, F.shiftright(F.lead("np").over(by_size), 32), percent)
     placed = entries.select("*", F.array(*near).alias("near"), F.coalesce(fits, F.lit(False)).alias("fits"), F.count("*").over(bucket).alias("many"))
@@ -212,7 +223,73 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: D
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(names.index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return common.saved(both.mapInArrow(check, "a long, b long"), "near-links")
+    links = common.saved(both.mapInArrow(check, "a long, b long"), "near-links")
+    common.removed(likely, texts)
+    return links
+
+
+def _met(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
+    """`a, b, more`: pairs of sets of one bucket and different components that size, position and bitmaps leave possible.
+
+    Sets outside the bucket's largest component (`main`) ask, all of the bucket answer. Large buckets are
+    cut into blocks, in which every asking set meets every other exactly once. A set gets the `limit` pairs whose
+    bitmaps leave most room (all, if None); `more` tells that it had others.
+    """
+    held = ["token", "p", "q", "asks_", "s", "c", "n", "pos", "bits"]
+    answer = rows.withColumns({"p": F.pmod(F.xxhash64("s"), F.col("rows")), "asks_": F.lit(False),
+                               "q": F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))}).select(held)
+    ask = rows.where("c <> main").withColumns({"q": F.pmod(F.xxhash64("s", F.lit(1)), F.col("asks")), "asks_": F.lit(True),
+                                               "p": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))}).select(held)
+    dealt = answer.unionByName(ask).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
+
+    def meet(batches):
+        for asks, s, c, n, pos, bits in _runs(batches):
+            x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+            step = max(1, PAIRS // max(len(y), 1))
+            for at in range(0, len(x), step):
+                i, j = (g.ravel() for g in np.meshgrid(x[at:at + step], y, indexing="ij"))
+                total = n[i] + n[j]
+                least = -(-percent * total // (100 + percent))
+                left = np.minimum(n[i] - pos[i], n[j] - pos[j]) + np.minimum(pos[i], pos[j])
+                fits = (c[i] != c[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (left >= least)
+                i, j, room = i[fits], j[fits], (total - 2 * least)[fits]
+                # each odd cell that differs is an element that only one of both sets has
+                room = room - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                i, j, room = i[room >= 0], j[room >= 0], room[room >= 0]
+                order = np.lexsort((s[j], -room, i))
+                i, j = i[order], j[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                many = np.searchsorted(i, i, side="right") - np.searchsorted(i, i)
+                keep = rank < (len(i) if limit is None else limit)
+                more = (many > limit)[keep] if limit is not None else np.zeros(keep.sum(), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(s[i[keep]]), pa.array(s[j[keep]]), pa.array(more)], ["a", "b", "more"])
+
+    return dealt.mapInArrow(meet, "a long, b long, more boolean")
+
+
+def _runs(batches):
+    """The rows of each (token, p, q) of sorted batches as arrays."""
+    held, key = [], None
+
+    def arrays():
+        return [np.concatenate(x) for x in zip(*held)]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
+        rows = [batch.column(3).to_numpy(zero_copy_only=False), *(batch.column(i).to_numpy() for i in range(4, 8)),
+                np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)]
+        edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        for a, b in zip([0, *edges], [*edges, len(keys)]):
+            mine = tuple(keys[a])
+            if mine != key and held:
+                yield arrays()
+                held = []
+            key = mine
+            held.append([x[a:b] for x in rows])
+    if held:
+        yield arrays()
 
 
 def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -243,7 +320,7 @@ def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) ->
     return found.groupBy("s").agg(F.first("text").alias("text"))
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget: int = 20, crowd: int = HOT) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tuple[int | None, ...] = (8, 64, None), crowd: int = HOT) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs(doc_id, text, ...)`.
 
     Two rows are linked if the Jaccard similarity of their sets of distinct `k`-word shingles (A-Z in
@@ -253,7 +330,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     Null and empty texts and texts without words have no shingles and no links. A null id is passed over
     when the smallest is taken; the component of rows that all have null ids is null. Repeated rows are
     linked to each other. An empty table gives an empty result; other columns are ignored; texts of any
-    length are read whole. Sets are compared by 64-bit fingerprints of their shingles.
+    length are read whole. Sets are compared by 64-bit fingerprints of their shingles. `limits` are the
+    numbers of pairs a set asks for in each round after the first; the last, None, means all that are left.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -280,49 +358,24 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, cross_budget
     # buckets with more members than have met: those outside the largest component meet the others
     large = buckets.where((F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0))
     rest = (large.select("token", "g", F.shiftright("np", 32).alias("n"), _low(F.col("np")).alias("pos"))
-            .join(members, "g").select("token", "s", "n", "pos", F.lit(1).cast("long").alias("shared")))
+            .join(members, "g").select("token", "s", "n", "pos"))
     wide_groups = inner.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > NEIGHBOURS + 1).select("token")
-    # members of one group share their whole prefix
-    rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos", F.col("n").alias("shared"))), "near-rest")
-    before = None
-    labels, budget = components(links), cross_budget * max(classes.count(), 1000)
-    for attempt in range(8):
+    rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos")), "near-rest")
+    common.removed(buckets)
+    labels = components(links)
+    for limit in limits:
         placed = rest.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
-        parts = placed.groupBy("token", "c").agg(F.count("*").alias("many"))
-        open_ = parts.groupBy("token").agg(F.max_by("c", "many").alias("main"), F.sum("many").alias("all"), F.max("many").alias("most")).where("all > most")
-        open_ = common.saved(open_, "near-open")
-        work = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not work:
+        sizes = placed.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(
+            F.max_by("c", F.struct("many", "c")).alias("main"), F.sum("many").alias("all"), F.max("many").alias("most"))
+        open_ = sizes.where("all > most").select("token", "main", F.ceil(F.col("all") / BLOCK).alias("rows"),
+                                                 F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("asks"))
+        met = common.saved(_met(placed.join(open_, "token").join(classes.select("s", "bits"), "s"), percent, limit), "near-met")
+        if not met.limit(1).count():
             break
-        # rounds go on while they help
-        last = attempt == 7 or work <= budget or (before is not None and work > 0.7 * before)
-        before = work
-        here = common.saved(placed.join(open_.select("token", "main"), "token"), "near-placed")
-        others = here.select("token", F.col("s").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), "main")
-        if last:
-            # a pair of two outsiders is met from both sides; it is made once
-            outside = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "shared")
-            met = outside.join(others.drop("pos2"), "token").where("c1 <> c2 and (c2 = main or a < b)").where(
-                _sizes_fit(F.col("n"), F.col("n2"), percent))
-            # a pair that shares a shingle of a small bucket was settled before; for the others all shared
-            # prefix shingles are counted here, and behind one of both prefixes lies the rest of the overlap
-            met = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-                F.sum("shared").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-            behind = F.ceil(F.greatest("n", "n2") * F.lit(percent) / F.lit(100.0)).cast("long") - 1
-            met = met.where(F.col("shared") + behind >= _least_overlap(F.col("n"), F.col("n2"), percent))
-        else:
-            # too many for now: those outside meet a few of the largest component, drawn anew, and it grows
-            drawn = [F.min(F.when(F.col("c") == F.col("main"), F.struct(
-                F.xxhash64(F.col("s"), F.lit(LEADS * attempt + i)).alias("h"), F.col("s").alias("b"), F.col("c").alias("c2"),
-                F.col("n").alias("n2"), F.col("pos").alias("pos2")))) for i in range(LEADS)]
-            lead = here.groupBy("token").agg(F.array_distinct(F.transform(F.array(*drawn), lambda x: F.struct(
-                x["b"].alias("b"), x["c2"].alias("c2"), x["n2"].alias("n2"), x["pos2"].alias("pos2")))).alias("leads"))
-            lead = lead.select("token", F.explode("leads").alias("x")).select("token", "x.*")
-            met = here.where("c <> main").select("token", F.col("s").alias("a"), F.col("c").alias("c1"), "n", "pos").join(lead, "token")
-            met = met.where(_may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
-        more = _verified(spark, docs, _ordered(met.select("a", "b")), classes, k, percent)
-        labels = merged_labels(labels, more)
-        if last:
+        labels = merged_labels(labels, _verified(spark, docs, _ordered(met), classes, k, percent))
+        done = not met.where("more").limit(1).count()
+        common.removed(met)
+        if done:
             break
     named = signed.select("doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")

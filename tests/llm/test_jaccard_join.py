@@ -72,7 +72,15 @@ def test_large_cluster_near_the_threshold(spark, monkeypatch):
         for _ in range(r.choice([1, 1, 2, 3])):
             words[r.randrange(80)] = f"x{i}"
         rows.append((i, " ".join(words)))
-    assert answers(spark, rows, cross_budget=0) == answers(spark, rows) == brute(rows)
+    assert answers(spark, rows, limits=(1, 2, None)) == answers(spark, rows) == brute(rows)
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    # blocks are dealt on the driver's side: with 7 rows a block, every bucket is cut both ways
+    monkeypatch.setattr(J, "NEIGHBOURS", 1)
+    monkeypatch.setattr(J, "BLOCK", 7)
+    rows = corpus(11, docs=120, vocabulary=2)
+    assert answers(spark, rows, limits=(2, None)) == brute(rows)
 
 
 def test_hot_shingles_are_dealt(spark):
