@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 from .components import components, merged_labels
@@ -35,19 +35,12 @@ NEIGHBOURS = 4
 BLOCK = 4096
 #: Pairs whose bitmaps are compared at a time.
 PAIRS = 1 << 16
+#: Shingles of the pairs that are verified in one place.
+PLACE = 4_000_000
 #: Groups and sets a task remembers so as not to write them twice.
 SEEN = 100_000
 
 
-def _least_overlap(a: Column, b: Column, percent: int) -> Column:
-    """The least intersection with which sizes a and b reach the threshold."""
-    return F.ceil((a + b) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("long")
-
-
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
-
-
 def frequent_shingles(docs: DataFrame, k: int, entries: int = 300_000, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints (ascending) and counts of at most `entries` shingles that many documents have.
 
@@ -97,7 +90,7 @@ def _fold(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.ndarray], crowd: int = HOT) -> DataFrame:
-    """`doc_id, n, s, g` of every row: set size, fingerprints of the set and of its group (prefix and size).
+    """`doc_id, uid, n, s, g` of every row of `docs(doc_id, uid, text)`: set size, fingerprints of the set and of its group (prefix and size).
 
     The first row of a group in a task also has the prefix (`tokens`, and the bucket `parts` of frequent
     ones), the first row of a set its parity bitmap (`bits`).
@@ -110,7 +103,7 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
         groups_seen, sets_seen = set(), set()
         for batch in batches:
             for part in common.parts(batch):
-                offsets, prints = shingle_sets(part.column(1), k)
+                offsets, prints = shingle_sets(part.column(2), k)
                 sizes = np.diff(offsets)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 count = np.zeros(len(prints), np.int64)
@@ -145,12 +138,12 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                         sets_seen.add(s[i])
                     bit_rows.append(bits[i].tobytes() if first else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes.astype(np.int64)), pa.array(common.signed(s)), pa.array(common.signed(g)),
+                    [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(common.signed(s)), pa.array(common.signed(g)),
                      pa.array(bit_rows, pa.binary()), pa.array(token_lists, pa.list_(pa.int64())), pa.array(part_lists, pa.list_(pa.int32()))],
-                    ["doc_id", "n", "s", "g", "bits", "tokens", "parts"])
+                    ["doc_id", "uid", "n", "s", "g", "bits", "tokens", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        rows, f"doc_id {kind}, n long, s long, g long, bits binary, tokens array<long>, parts array<int>")
+    return docs.select("doc_id", "uid", "text").mapInArrow(
+        rows, f"doc_id {kind}, uid long, n long, s long, g long, bits binary, tokens array<long>, parts array<int>")
 
 
 def _buckets(signed: DataFrame, percent: int) -> DataFrame:
@@ -162,32 +155,70 @@ def _buckets(signed: DataFrame, percent: int) -> DataFrame:
     """
     entries = (signed.where("tokens is not null").select("g", "n", F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
                .select(F.col("t.tokens").alias("token"), F.col("t.parts").alias("part"), "g", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")))
-    # one row per group, also if several tasks saw it
-    entries = entries.repartition(F.col("token"), F.col("part")).groupBy("token", "part", "g").agg(F.first("np").alias("np"))
-    bucket = Window.partitionBy("token", "part")
-    mine = F.shiftright("np", 32)
     # not by position: two groups that meet in many buckets are then the same neighbours in most
-    by_size = bucket.orderBy(mine, "g")
-    near = [F.struct(F.lag("g", i).over(by_size).alias("g"), F.lag("np", i).over(by_size).alias("np")) for i in range(1, NEIGHBOURS + 1)]
-    fits = _sizes_fit(mine, F.shiftright(F.lag("np").over(by_size), 32), percent) | _sizes_fit(mine, F.shiftright(F.lead("np").over(by_size), 32), percent)
-    placed = entries.select("*", F.array(*near).alias("near"), F.coalesce(fits, F.lit(False)).alias("fits"), F.count("*").over(bucket).alias("many"))
-    placed = placed.where("part > 0 or (many > 1 and fits)").withColumn(
-        "near", F.filter("near", lambda x: x["g"].isNotNull() & _may_link(mine, _low(F.col("np")), F.shiftright(x["np"], 32), _low(x["np"]), percent)))
-    return placed.where((F.size("near") > 0) | (F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0)).drop("fits")
-
-
-def _may_link(n1, pos1, n2, pos2, percent: int) -> Column:
-    """Size and position filter for one shared shingle."""
-    left = F.least(n1 - pos1, n2 - pos2) + F.least(pos1, pos2)
-    return _sizes_fit(n1, n2, percent) & (left >= _least_overlap(n1, n2, percent))
+    dealt = entries.repartition("token", "part").sortWithinPartitions("token", "part", F.shiftright("np", 32), "g")
+    near = pa.list_(pa.struct([("g", pa.int64()), ("np", pa.int64())]))
+
+    def place(batches):
+        for token, part, g, np_ in _buckets_of(batches):
+            # one row per group, also if several tasks saw it
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (g[1:] != g[:-1])
+            token, part, g, np_ = token[new], part[new], g[new], np_[new]
+            first = np.ones(len(token), bool)
+            first[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1])
+            bucket = np.cumsum(first) - 1
+            many = np.bincount(bucket)[bucket]
+            n, pos = np_ >> 32, np_ & 0xFFFFFFFF
+            fits, held, lists = np.zeros(len(g), bool), [], []
+            for lag in range(1, NEIGHBOURS + 1):
+                x, y = np.arange(lag, len(g)), np.arange(len(g) - lag)
+                same = (bucket[x] == bucket[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+                x, y = x[same], y[same]
+                if lag == 1:
+                    fits[x], fits[y] = True, True
+                least = -(-percent * (n[x] + n[y]) // (100 + percent))
+                left = np.minimum(n[x] - pos[x], n[y] - pos[y]) + np.minimum(pos[x], pos[y])
+                held.append((x[left >= least], y[left >= least]))
+            ends, others = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            stay = np.flatnonzero((part > 0) | (fits & ((np.bincount(ends, minlength=len(g)) > 0) | (many > NEIGHBOURS + 1))))
+            order = np.argsort(ends, kind="stable")
+            ends, others = ends[order], others[order]
+            low, high = np.searchsorted(ends, stay), np.searchsorted(ends, stay, side="right")
+            for i, a, b in zip(stay, low, high):
+                lists.append([{"g": int(g[j]), "np": int(np_[j])} for j in others[a:b]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[stay]), pa.array(part[stay]), pa.array(g[stay]), pa.array(np_[stay]), pa.array(many[stay]), pa.array(lists, near)],
+                ["token", "part", "g", "np", "many", "near"])
+
+    return dealt.mapInArrow(place, "token long, part int, g long, np long, many long, near array<struct<g:long,np:long>>")
+
+
+def _buckets_of(batches):
+    """Arrays of whole buckets (rows of equal token and part), as they come in order."""
+    rest = None
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if rest is not None:
+            rows = [np.concatenate(x) for x in zip(rest, rows)]
+        token, part = rows[:2]
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1]))
+        cut = int(cuts[-1]) + 1 if len(cuts) else 0
+        if cut:
+            yield [x[:cut] for x in rows]
+        rest = [x[cut:] for x in rows]
+    if rest is not None:
+        yield rest
 
 
 def _low(np_: Column) -> Column:
     return np_.bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """`a, b`: the pairs of sets (by fingerprint) that reach the threshold."""
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """`a, b, token, size` of those `pairs(a, b, token)` of sets that their bitmaps leave possible; `size` counts their shingles."""
     bits = classes.select("s", "n", "bits")
     wide = (pairs.join(bits.select(F.col("s").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1")), "a")
             .join(bits.select(F.col("s").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b"))
@@ -198,38 +229,65 @@ def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: D
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             if batch.num_rows == 0:
                 continue
-            x, y = (np.frombuffer(b"".join(c[f"bits{i}"].to_pylist()), np.uint8).reshape(-1, BITS // 8) for i in (1, 2))
+            x, y = (np.frombuffer(b"".join(c[f"bits{i}"].to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (1, 2))
             n = c["n1"].to_numpy() + c["n2"].to_numpy()
             least = -(-percent * n // (100 + percent))
-            keep = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n - 2 * least
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(keep)), c["b"].filter(pa.array(keep))], ["a", "b"])
+            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n - 2 * least)
+            yield pa.RecordBatch.from_arrays([*(c[x].filter(keep) for x in ("a", "b", "token")), pa.array(n).filter(keep)], ["a", "b", "token", "size"])
+
+    return common.saved(wide.mapInArrow(by_parity, _LIKELY), "near-likely")
+
+
+_LIKELY = "a long, b long, token long, size long"
+
 
-    likely = common.saved(wide.mapInArrow(by_parity, "a long, b long"), "near-likely")
-    texts = common.saved(_texts_of(spark, docs, likely, k), "near-texts")
-    both = likely.join(texts.select(F.col("s").alias("a"), F.col("text").alias("text1")), "a").join(
-        texts.select(F.col("s").alias("b"), F.col("text").alias("text2")), "b")
+def _verified(docs: DataFrame, likely: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """`a, b`: the `likely(a, b, token, size)` pairs of sets that reach the threshold.
+
+    Pairs that met in one bucket are checked in one place, which gets each of their texts once; a bucket with
+    more than `PLACE` shingles in its pairs has several places.
+    """
+    large = likely.groupBy("token").agg(F.ceil(F.sum("size") / PLACE).alias("places")).where("places > 1")
+    dealt = likely.join(large, "token", "left").select("token", F.pmod(F.xxhash64("a"), F.coalesce("places", F.lit(1))).alias("deal"), "a", "b")
+    needed = (dealt.select("token", "deal", F.explode(F.array("a", "b")).alias("s")).distinct()
+              .join(classes.select("s", "uid"), "s"))
+    needed = common.saved(needed, "near-needed")
+    # one holder of each set: its text travels, not those of its copies
+    held = common.with_hit(docs, common.cell_maps(needed, "uid"), "uid", "__hit").where("__hit").join(needed, "uid")
+    none, nobody = F.lit(None).cast("string"), F.lit(None).cast("long")
+    rows = held.select("token", "deal", F.col("s").alias("a"), nobody.alias("b"), "text").unionByName(
+        dealt.select("token", "deal", "a", "b", none.alias("text")))
 
     def check(batches):
+        place, sets = None, {}
         for batch in batches:
-            for part in common.parts(batch, "text1"):
-                names = part.schema.names
-                o1, p1 = shingle_sets(part.column(names.index("text1")), k)
-                o2, p2 = shingle_sets(part.column(names.index("text2")), k)
-                keep = []
+            for part in common.parts(batch):
+                token, deal, a = (part.column(i).to_numpy() for i in range(3))
+                paired = np.asarray(part.column(3).is_valid())
+                b = part.column(3).fill_null(0).to_numpy()
+                offsets, prints = shingle_sets(part.column(4), k)
+                keep = np.zeros(part.num_rows, bool)
                 for i in range(part.num_rows):
-                    x, y = p1[o1[i]:o1[i + 1]], p2[o2[i]:o2[i + 1]]
+                    if place != (token[i], deal[i]):
+                        place, sets = (token[i], deal[i]), {}
+                    if not paired[i]:
+                        sets[a[i]] = prints[offsets[i]:offsets[i + 1]].copy()
+                        continue
+                    x, y = sets[a[i]], sets[b[i]]
                     same = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * same >= percent * (len(x) + len(y) - same))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(names.index(c)).filter(keep) for c in ("a", "b")], ["a", "b"])
-
-    links = common.saved(both.mapInArrow(check, "a long, b long"), "near-links")
-    common.removed(likely, texts)
+                    keep[i] = 100 * same >= percent * (len(x) + len(y) - same)
+                keep = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (2, 3)], ["a", "b"])
+
+    # texts come before the pairs that need them
+    sorted_ = rows.repartition("token", "deal").sortWithinPartitions("token", "deal", F.col("b").asc_nulls_first())
+    links = common.saved(sorted_.mapInArrow(check, "a long, b long"), "near-links")
+    common.removed(needed)
     return links
 
 
 def _met(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
-    """`a, b, more`: pairs of sets of one bucket and different components that size, position and bitmaps leave possible.
+    """`a, b, token, size, more`: pairs of sets of one bucket and different components that size, position and bitmaps leave possible.
 
     Sets outside the bucket's largest component (`main`) ask, all of the bucket answer. Large buckets are
     cut into blocks, in which every asking set meets every other exactly once. A set gets the `limit` pairs whose
@@ -243,7 +301,7 @@ def _met(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
     dealt = answer.unionByName(ask).repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def meet(batches):
-        for asks, s, c, n, pos, bits in _runs(batches):
+        for token, asks, s, c, n, pos, bits in _runs(batches):
             x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
             step = max(1, PAIRS // max(len(y), 1))
             for at in range(0, len(x), step):
@@ -262,9 +320,11 @@ def _met(rows: DataFrame, percent: int, limit: int | None) -> DataFrame:
                 many = np.searchsorted(i, i, side="right") - np.searchsorted(i, i)
                 keep = rank < (len(i) if limit is None else limit)
                 more = (many > limit)[keep] if limit is not None else np.zeros(keep.sum(), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(s[i[keep]]), pa.array(s[j[keep]]), pa.array(more)], ["a", "b", "more"])
+                i, j = i[keep], j[keep]
+                a, b = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, token[i], n[i] + n[j], more)], ["a", "b", "token", "size", "more"])
 
-    return dealt.mapInArrow(meet, "a long, b long, more boolean")
+    return dealt.mapInArrow(meet, _LIKELY + ", more boolean")
 
 
 def _runs(batches):
@@ -278,7 +338,7 @@ def _runs(batches):
         if not batch.num_rows:
             continue
         keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
-        rows = [batch.column(3).to_numpy(zero_copy_only=False), *(batch.column(i).to_numpy() for i in range(4, 8)),
+        rows = [batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), *(batch.column(i).to_numpy() for i in range(4, 8)),
                 np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)]
         edges = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
         for a, b in zip([0, *edges], [*edges, len(keys)]):
@@ -292,34 +352,6 @@ def _runs(batches):
         yield arrays()
 
 
-def _texts_of(spark: SparkSession, docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """`s, text` for the sets in `pairs`: one text each."""
-    maps = common.cell_maps(pairs.select(F.col("a").alias("s")).union(pairs.select("b")), "s").collect()
-    cells = np.zeros(common.CELLS, bool)
-    for r in maps:
-        # numbers from 1 on: buckets of 32,768 numbers, the first is bucket 1
-        start = (r["at"] - 1) * (1 << 15)
-        cells[start:start + (1 << 15)] = np.unpackbits(np.frombuffer(bytes(r["map"]), np.uint8), bitorder="little")
-    shared = spark.sparkContext.broadcast(np.packbits(cells))
-
-    def pick(batches):
-        cells = np.unpackbits(shared.value).astype(bool)
-        seen = set()
-        for batch in batches:
-            for part in common.parts(batch):
-                offsets, prints = shingle_sets(part.column(0), k)
-                s = common.signed(_fold(prints, offsets))
-                keep = cells[s % common.CELLS] & (np.diff(offsets) > 0)
-                for i in np.flatnonzero(keep):
-                    if s[i] in seen:
-                        keep[i] = False
-                    seen.add(s[i])
-                yield pa.RecordBatch.from_arrays([pa.array(s[keep]), part.column(0).filter(pa.array(keep))], ["s", "text"])
-
-    found = docs.select("text").mapInArrow(pick, "s long, text string")
-    return found.groupBy("s").agg(F.first("text").alias("text"))
-
-
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tuple[int | None, ...] = (8, 64, None), crowd: int = HOT) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs(doc_id, text, ...)`.
 
@@ -335,9 +367,11 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
     """
     spark = docs.sparkSession
     common.ship(spark)
-    docs = docs.select("doc_id", "text")
+    # a row goes by a fingerprint of its id and text
+    docs = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k), crowd), "near-signatures")
-    classes = common.saved(signed.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.max("bits").alias("bits")), "near-classes")
+    classes = common.saved(signed.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("uid").alias("uid"),
+                                                               F.max("bits").alias("bits")), "near-classes")
     members = classes.select("s", "g")
 
     # several sets in one group: they share the prefix, so the group is a bucket of its own
@@ -345,15 +379,15 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
     inner = members.join(crowded.select("g"), "g").join(classes.select("s", "n"), "s")
     inner = inner.select(F.col("g").alias("token"), F.lit(-1).alias("part"), "s", "n", F.lit(0).cast("long").alias("pos"))
     by_set = Window.partitionBy("token", "part").orderBy("s")
-    within = inner.select("s", *[F.lag("s", i).over(by_set).alias(f"b{i}") for i in range(1, NEIGHBOURS + 1)])
-    within = within.select(F.col("s").alias("a"), F.explode(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)])).alias("b")).where("b is not null")
+    within = inner.select("token", "s", *[F.lag("s", i).over(by_set).alias(f"b{i}") for i in range(1, NEIGHBOURS + 1)])
+    within = within.select("token", F.col("s").alias("a"), F.explode(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)])).alias("b")).where("b is not null")
 
     buckets = common.saved(_buckets(signed, percent), "near-buckets")
-    group_pairs = buckets.select("g", F.explode("near.g").alias("g2")).distinct()
+    group_pairs = buckets.select("token", "g", F.explode("near.g").alias("g2")).groupBy("g", "g2").agg(F.min("token").alias("token"))
     pairs = (group_pairs.join(members.select(F.col("s").alias("a"), "g"), "g")
-             .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b"))
-    pairs = _ordered(pairs.union(within))
-    links = _verified(spark, docs, pairs, classes, k, percent)
+             .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b", "token"))
+    tested = _likely(_once(pairs.unionByName(within.select("a", "b", "token"))), classes, percent)
+    links = _verified(docs, tested, classes, k, percent)
 
     # buckets with more members than have met: those outside the largest component meet the others
     large = buckets.where((F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0))
@@ -370,12 +404,13 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
         open_ = sizes.where("all > most").select("token", "main", F.ceil(F.col("all") / BLOCK).alias("rows"),
                                                  F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("asks"))
         met = common.saved(_met(placed.join(open_, "token").join(classes.select("s", "bits"), "s"), percent, limit), "near-met")
-        if not met.limit(1).count():
-            break
-        labels = merged_labels(labels, _verified(spark, docs, _ordered(met), classes, k, percent))
-        done = not met.where("more").limit(1).count()
+        more = met.where("more").limit(1).count()
+        fresh = common.saved(_once(met).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-fresh")
         common.removed(met)
-        if done:
+        if fresh.limit(1).count():
+            labels = merged_labels(labels, _verified(docs, fresh, classes, k, percent))
+            tested = tested.unionByName(fresh)
+        if not more:
             break
     named = signed.select("doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
     smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
@@ -389,8 +424,11 @@ def _spread_join(rows: DataFrame, by: DataFrame, spread: int = 32) -> DataFrame:
     return rows.join(by, ["c", "deal"], "left")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of different sets once, with the first of the buckets it met in."""
+    extra = [F.first(c).alias(c) for c in pairs.columns if c == "size"]
+    return (pairs.where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+            .groupBy("a", "b").agg(F.min("token").alias("token"), *extra))
 
 
 def op6_jaccard_join(spark, sf):
