@@ -218,7 +218,10 @@ def _low(np_: Column) -> Column:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """`a, b, token, size` of those `pairs(a, b, token)` of sets that their bitmaps leave possible; `size` counts their shingles."""
+    """`a, b, token, size, room` of those `pairs(a, b, token)` of sets that their bitmaps leave possible.
+
+    `size` counts the pair's shingles, `room` how many more could differ than are known to.
+    """
     bits = classes.select("s", "n", "bits")
     wide = (pairs.join(bits.select(F.col("s").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1")), "a")
             .join(bits.select(F.col("s").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "b"))
@@ -232,10 +235,12 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(c[f"bits{i}"].to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (1, 2))
             n = c["n1"].to_numpy() + c["n2"].to_numpy()
             least = -(-percent * n // (100 + percent))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n - 2 * least)
-            yield pa.RecordBatch.from_arrays([*(c[x].filter(keep) for x in ("a", "b", "token")), pa.array(n).filter(keep)], ["a", "b", "token", "size"])
+            room = n - 2 * least - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = pa.array(room >= 0)
+            yield pa.RecordBatch.from_arrays([*(c[x].filter(keep) for x in ("a", "b", "token")), pa.array(n).filter(keep), pa.array(room).filter(keep)],
+                                             ["a", "b", "token", "size", "room"])
 
-    return common.saved(wide.mapInArrow(by_parity, _LIKELY), "near-likely")
+    return common.saved(wide.mapInArrow(by_parity, _LIKELY + ", room long"), "near-likely")
 
 
 _LIKELY = "a long, b long, token long, size long"
@@ -387,7 +392,16 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
     pairs = (group_pairs.join(members.select(F.col("s").alias("a"), "g"), "g")
              .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b", "token"))
     tested = _likely(_once(pairs.unionByName(within.select("a", "b", "token"))), classes, percent)
-    links = _verified(docs, tested, classes, k, percent)
+    # first each set's closest pair alone; the others only where they are not connected yet
+    pair = F.struct("room", "a", "b", "token", "size")
+    ends = tested.select(F.explode(F.array("a", "b")).alias("s"), pair.alias("pair"))
+    closest = ends.groupBy("s").agg(F.max("pair").alias("pair")).select("pair.*").distinct()
+    labels = components(_verified(docs, closest, classes, k, percent))
+    apart = (tested.join(closest.select("a", "b"), ["a", "b"], "left_anti")
+             .join(labels.select(F.col("s").alias("a"), F.col("c").alias("x")), "a", "left")
+             .join(labels.select(F.col("s").alias("b"), F.col("c").alias("y")), "b", "left").where("x is null or y is null or x <> y"))
+    labels = merged_labels(labels, _verified(docs, common.saved(apart.select("a", "b", "token", "size"), "near-apart"), classes, k, percent))
+    tested = tested.drop("room")
 
     # buckets with more members than have met: those outside the largest component meet the others
     large = buckets.where((F.col("many") > NEIGHBOURS + 1) | (F.col("part") > 0))
@@ -396,7 +410,6 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
     wide_groups = inner.groupBy("token").agg(F.count("*").alias("entries")).where(F.col("entries") > NEIGHBOURS + 1).select("token")
     rest = common.saved(rest.union(inner.join(wide_groups, "token").select("token", "s", "n", "pos")), "near-rest")
     common.removed(buckets)
-    labels = components(links)
     for limit in limits:
         placed = rest.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
         sizes = placed.groupBy("token", "c").agg(F.count("*").alias("many")).groupBy("token").agg(
