@@ -66,6 +66,16 @@ def removed(*tables: DataFrame) -> None:
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+def drawn(docs: DataFrame, share: float, *columns: str) -> DataFrame:
+    """`columns` of about a share of the rows of `docs(doc_id, text, ...)`, by a hash of id and text; equal rows are drawn once.
+
+    The few rows are dealt anew, so the scan keeps all its tasks.
+    """
+    rows = docs.withColumn("__drawn", F.xxhash64("doc_id", "text"))
+    rows = rows.where(F.pmod("__drawn", F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30)))))
+    return rows.select("__drawn", *columns).dropDuplicates(["__drawn"]).drop("__drawn")
+
+
 def id_text(name: str) -> Column:
     """An integer id as decimal text; a null id as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

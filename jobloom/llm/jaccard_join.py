@@ -33,6 +33,8 @@ HOT = 4096
 NEIGHBOURS = 4
 #: Members of a bucket, and those outside its largest component, that one task's block holds.
 BLOCK = 4096
+#: Pairs that a set outside asks for in each round; the last, None, means all.
+LIMITS = (8, 64, None)
 #: Pairs whose bitmaps are compared at a time.
 PAIRS = 1 << 16
 #: Shingles of the pairs that are verified in one place.
@@ -357,7 +359,7 @@ def _runs(batches):
         yield arrays()
 
 
-def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tuple[int | None, ...] = (8, 64, None), crowd: int = HOT) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tuple[int | None, ...] = LIMITS, crowd: int = HOT) -> DataFrame:
     """`doc_id, n_shingles, component_id` for every row of `docs(doc_id, text, ...)`.
 
     Two rows are linked if the Jaccard similarity of their sets of distinct `k`-word shingles (A-Z in
@@ -370,8 +372,14 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
     length are read whole. Sets are compared by 64-bit fingerprints of their shingles. `limits` are the
     numbers of pairs a set asks for in each round after the first; the last, None, means all that are left.
     """
-    spark = docs.sparkSession
-    common.ship(spark)
+    named = _labelled(docs, k, percent, limits, crowd)
+    smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
+    return (_spread_join(named, smallest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), F.col("doc_id")).alias("component_id")))
+
+
+def _labelled(docs: DataFrame, k: int, percent: int, limits: tuple[int | None, ...], crowd: int) -> DataFrame:
+    """`uid, doc_id, n, s, c` of every row: c is equal for linked rows with shingles."""
+    common.ship(docs.sparkSession)
     # a row goes by a fingerprint of its id and text
     docs = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k), crowd), "near-signatures")
@@ -425,9 +433,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80, limits: tupl
             tested = tested.unionByName(fresh)
         if not more:
             break
-    named = signed.select("doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
-    smallest = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    return (_spread_join(named, smallest).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("least")), F.col("doc_id")).alias("component_id")))
+    return signed.select("uid", "doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
 
 
 def _spread_join(rows: DataFrame, by: DataFrame, spread: int = 32) -> DataFrame:
@@ -449,10 +455,19 @@ def op6_jaccard_join(spark, sf):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """One document of each group of linked ones stays: that with the smallest id (of repeated ids, one row)."""
-    found = link_components(docs)
-    stay = found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    alone = docs.where("doc_id is null or text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    rest = docs.where("doc_id is not null and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").join(stay, "doc_id", "left_semi")
-    kept = rest.dropDuplicates(["doc_id"])
-    return kept.unionByName(alone).select(docs.columns)
+    """One row of each group of linked ones stays: that with the smallest id (null ids last; of equal ids the smallest fingerprint of id and text).
+
+    Only linked rows go: rows that share an id but are not linked stay both, rows with null ids are linked by their
+    texts like others. Null and empty texts and texts without words are linked with nothing and stay. Equal rows
+    are linked, one stays. An empty table stays empty; other columns are kept as they are.
+    """
+    rows = common.saved(_labelled(docs, 5, 80, LIMITS, HOT).where("n > 0").select("uid", "doc_id", "c"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "uid")
+    best = rows.groupBy("c").agg(F.min(order).alias("best"), F.count("*").alias("many")).where("many > 1")
+    # rows by fingerprint: those that go, and those that stay once of several equal ones
+    equal = rows.groupBy("uid").agg(F.count("*").alias("times"), F.first("c").alias("c")).join(best, "c")
+    marked = common.saved(equal.select(F.col("uid").alias("__uid"), (F.col("uid") == F.col("best.uid")).alias("__stays"), "times")
+                          .where("not __stays or times > 1"), "near-marked")
+    named = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
+    once = named.join(marked.where("__stays").select("__uid"), "__uid", "left_semi").dropDuplicates(["__uid"])
+    return named.join(marked.select("__uid"), "__uid", "left_anti").unionByName(once).select(docs.columns)

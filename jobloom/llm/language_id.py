@@ -24,6 +24,8 @@ DIMENSIONS = 512
 N = 3
 #: n-grams whose vectors are held at a time.
 BLOCK = 8192
+#: Texts that are counted against a block of n-grams at a time, so that the counts have 4 million cells at most.
+ROWS = 512
 SPACE = 0x20
 
 
@@ -43,6 +45,9 @@ def _letter_vectors(letters: np.ndarray, dimensions: int) -> np.ndarray:
 def document_vectors(texts: list[str | None], dimensions: int = DIMENSIONS, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """Vectors (rows) of whole texts, and whether each has a letter. Letters count in lower case; whatever
     lies between letters counts as one space, also before the first and after the last."""
+    if len(texts) > ROWS:
+        pieces = [document_vectors(texts[i:i + ROWS], dimensions, n) for i in range(0, len(texts), ROWS)]
+        return np.concatenate([v for v, _ in pieces]), np.concatenate([h for _, h in pieces])
     places = [np.frombuffer((t or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     sizes = np.array([len(p) + n - 1 for p in places])
     row = np.repeat(np.arange(len(texts)), sizes)
@@ -95,12 +100,12 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, trained_on: Column, train_docs: int = 20_000, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages and prototypes (unit rows) learned from `docs(text, lang)` where `trained_on` holds.
 
-    Of more than `train_docs` such rows, a sample of about that many is chosen by a hash of the text.
+    Of more than `train_docs` such rows, a sample of about that many is chosen by a hash of id and text, each row once.
     """
     common.ship(docs.sparkSession)
     rows = docs.where(trained_on & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = min(1.0, train_docs / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))).select("text", "lang")
+    rows = common.drawn(rows, share, "text", "lang")
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
@@ -171,7 +176,12 @@ def op2_language_id(spark, sf):
 
 
 def language_stage(spark, docs, sf_dir):
-    """Documents in a recognised language, labelled with it; those without one go."""
-    languages, prototypes = train(docs, F.lit(True))
+    """Documents in a recognised language, labelled with it where they had no label; the others go.
+
+    Not recognised (`und`) are texts that are null, empty or without a letter, and, where no row has text and
+    label to learn from, all texts. Any other text has a nearest prototype and stays, as clean text must.
+    Null ids and repeated rows stay; an empty table stays empty; other columns are kept as they are.
+    """
+    languages, prototypes = train(docs.select("doc_id", "text", "lang"), F.lit(True))
     found = predict(docs, languages, prototypes, docs.columns, ("__language", "__cosine"))
     return found.where("__language <> 'und'").withColumn("lang", F.coalesce("lang", "__language")).select(docs.columns)

@@ -155,11 +155,15 @@ def op8_mixing(spark, sf):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """The documents the mix takes, with `copies`: how often it holds each (equal rows are one with all their copies)."""
+    """The documents the mix takes, with `copies`: how often it holds each (equal rows are one with all their copies).
+
+    An input column named `copies` is replaced, others are kept as they are. Null and empty texts have size 0 and
+    are never taken; rows with null ids or sources take part; an empty table stays empty.
+    """
     taken = mix(docs).where("copies > 0").groupBy("fingerprint").agg(F.sum("copies").alias("__copies"))
     named = docs.withColumn("__fingerprint", F.xxhash64("doc_id", "text", "source")).dropDuplicates(["__fingerprint"])
     chosen = named.join(taken, named["__fingerprint"] == taken["fingerprint"])
-    return chosen.select(*[named[c] for c in docs.columns], F.col("__copies").alias("copies"))
+    return chosen.select(*[named[c] for c in docs.columns if c != "copies"], F.col("__copies").alias("copies"))
 
 
 OP8_SQL = r"""

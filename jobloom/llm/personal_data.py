@@ -525,5 +525,12 @@ def op5_personal_data(spark, sf):
 
 
 def personal_data_stage(spark, docs, sf_dir):
-    """All documents, with personal data masked and their length brought up to date."""
-    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    """All documents, with personal data masked and `n_chars`, where there is one, brought up to date.
+
+    Null and empty texts stay as they are (a null text keeps its `n_chars`), and so do null ids, repeated rows
+    (masked alike) and other columns; an empty table stays empty.
+    """
+    clean = redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))

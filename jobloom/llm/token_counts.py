@@ -21,6 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 
+#: Letters, numbers and white space below U+0250, where the faster library needs no tables.
+_LETTERS, _NUMBERS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+#: The pre-token pattern of the vocabularies, for texts of such characters.
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+NOT_LATIN = re.compile("[^\\x00-\\x1b\\x20-\u024f]")
+
+
 class Lengths:
     """Token counts in one Python worker for one vocabulary file of the `tokenizers` library."""
 
@@ -31,6 +38,7 @@ class Lengths:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.findall = regex.compile(public_tokenizers.PATTERN).findall
+        self.findall_latin = LATIN_WORDS.findall
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = re.compile("|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) or "(?!)")
         self.frequent, self.cache, self.limit = frequent, {}, cache_entries
@@ -57,13 +65,16 @@ class Lengths:
         """As the library encodes `text` without added begin or end tokens."""
         if not text:
             return 0
-        if not text.isascii() and self.newer.search(text):
-            # letters younger than one library's Unicode tables: let the library split the text
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        findall = self.findall_latin
+        if NOT_LATIN.search(text):
+            findall = self.findall
+            if self.newer.search(text):
+                # letters younger than one library's Unicode tables: let the library split the text
+                return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         pieces = self.special.split(text)
         total, get = len(pieces) - 1, self.frequent.get
         for piece in pieces:
-            words = self.findall(piece)
+            words = findall(piece)
             known = list(map(get, words))
             if None in known:
                 total += self._misses([w for w, n in zip(words, known) if n is None])
@@ -104,10 +115,8 @@ def _lengths(key: tuple, frequent, cache_entries: int) -> Lengths:
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int, entries: int, cache_entries: int) -> dict[str, int]:
-    """Lengths of at most `entries` frequent pre-tokens of about `sample_docs` documents chosen by hash."""
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) or 1)).select("text")
+    """Lengths of at most `entries` frequent pre-tokens of about `sample_docs` documents chosen by a hash of id and text."""
+    picked = common.drawn(docs.where("text is not null"), min(1.0, sample_docs / max(docs.count(), 1)), "text")
 
     def count(batches):
         lengths, seen = _lengths((tokenizer, "sample"), dict, cache_entries), Counter()
@@ -122,7 +131,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, sample_docs: int, entries:
             {"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64()),
              "length": pa.array([lengths.encode(w) for w, _ in top], pa.int32())})
 
-    rows = picked.coalesce(4).mapInArrow(count, "word string, n long, length int").collect()
+    rows = picked.mapInArrow(count, "word string, n long, length int").collect()
     seen: Counter = Counter()
     for r in rows:
         seen[r["word"]] += r["n"]

@@ -9,7 +9,8 @@ Reading: every archive is walked member by member (or version line by version li
 compressed). A record counts only if its checks hold: gzip's checksum, a version line, a content
 length that ends at a record end, and the payload digest. After a failed check the reader searches
 for the next valid member or version line, recovers what follows, and reports the bytes between as
-a quarantined gap.
+a quarantined gap. Of a damaged or cut gzip member, the records that were inflated before the damage and
+hold by their own checks are recovered too.
 """
 
 from __future__ import annotations
@@ -135,6 +136,19 @@ def _member(data, start: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(unpacker.unused_data)
 
 
+def _inflated(data, start: int) -> bytes:
+    """What a damaged or cut member gives up to the damage."""
+    unpacker, out = zlib.decompressobj(31), []
+    try:
+        for at in range(start, len(data), 256):
+            out.append(unpacker.decompress(data[at:at + 256]))
+            if unpacker.eof:
+                break
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def _record(data: bytes, start: int) -> tuple[dict, bytes, int] | str:
     """Headers, payload and end of the record at `start`, or the check that failed."""
     version = VERSION.match(data, start)
@@ -191,6 +205,8 @@ def _walk(data: bytes, member_at: int | None) -> Iterator[Found]:
             member = _member(data, at)
             if member is None:
                 failed = "damaged member"
+                # records that were whole before the damage; the member's bytes are a gap all the same
+                yield from (f for f in _walk(_inflated(data, at), at) if not f.reason)
             elif not NEXT.search(member[0]) and member[0]:
                 failed = "member without records"
             else:

@@ -66,3 +66,16 @@ def test_stage_keeps_columns(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = L.language_stage(spark, docs, "")
     assert got.columns == docs.columns and sorted((r.doc_id, r.lang) for r in got.collect()) == [(1, "en"), (3, "de"), (4, "de")]
+
+
+def test_memory_of_many_short_texts():
+    import tracemalloc
+
+    texts = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(10_000)]
+    L.document_vectors(texts[:10])
+    tracemalloc.start()
+    vectors, _ = L.document_vectors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    assert np.array_equal(vectors[::997], np.concatenate([L.document_vectors([t])[0] for t in texts[::997]]))

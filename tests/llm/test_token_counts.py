@@ -28,3 +28,19 @@ def test_given_table(spark):
 def test_empty_table(spark):
     got = token_counts(spark.createDataFrame([], "doc_id long, text string"))
     assert got.count() == 0 and got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+def test_latin_pattern_equals_the_vocabulary_pattern():
+    import random
+
+    import regex
+
+    from jobloom.llm.token_counts import LATIN_WORDS, NOT_LATIN
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    letters = [chr(i) for i in range(0x250) if not 0x1C <= i <= 0x1F]
+    r = random.Random(4)
+    for _ in range(3000):
+        text = "".join(r.choice([r.choice(letters), r.choice(" \n\t'"), r.choice("stremvld09é²")]) for _ in range(40))
+        assert not NOT_LATIN.search(text) and LATIN_WORDS.findall(text) == pattern.findall(text)
+    assert all(NOT_LATIN.search(c) for c in "\x1c\x1f\u0250日")

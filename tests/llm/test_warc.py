@@ -77,3 +77,16 @@ def test_every_byte_is_in_a_record_or_a_gap():
             assert f.offset == at
             at += f.length
         assert at == len(data)
+
+
+def test_records_before_the_damage_of_a_member():
+    whole = warc._gzip(b"".join(plain(100)))
+    found = list(warc.salvage(whole[:-20] + warc._gzip(plain(1)[0])))
+    good = [f for f in found if not f.reason]
+    # the end of the member is lost, with the record that lay there
+    assert [f.headers["warc-record-id"] for f in good] == [f"<urn:page:{i}>" for i in (*range(len(good) - 1), 0)] and len(good) in (99, 100)
+    assert [(f.offset, f.length, f.reason) for f in found if f.reason] == [(0, len(whole) - 20, "damaged member")]
+    flipped = bytearray(whole)
+    flipped[len(whole) // 2] ^= 0xFF
+    good = [f for f in warc.salvage(bytes(flipped)) if not f.reason]
+    assert 10 < len(good) < 100 and all(f.payload == b"payload %d" % i for i, f in enumerate(good))
