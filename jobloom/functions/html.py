@@ -5,17 +5,27 @@ Everything a page yields is built inside its own row, so no page needs a shuffle
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
-from .text import clean, col, let, lookup, norm_label
+from .text import clean, col, let, norm_label
+
+#: Named character references of the HTML standard, from the standard library's table: the old names, which
+#: also count without a semicolon, and all that are written with one.
+OLD_ENTITIES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_NAME_MARK, _CHAR_MARK = "\x02", "\x03"
+#: One text that is searched for a name, old names first: it is far smaller in a plan than a map of 2,000 entries.
+_ENTITY_TEXT = "".join(f"{_NAME_MARK}{n}{_CHAR_MARK}{html5[n + ';']}" for n in dict.fromkeys(
+    [*reversed(OLD_ENTITIES), *(n[:-1] for n in html5 if n.endswith(";"))])) + _NAME_MARK
+
+
+def _named(name: Column) -> Column:
+    """The characters of a reference by its name without a semicolon, or null."""
+    place = F.position(F.concat(F.lit(_NAME_MARK), name, F.lit(_CHAR_MARK)), F.lit(_ENTITY_TEXT))
+    return let(place, lambda at: F.when(at > 0, F.substring_index(
+        F.substr(F.lit(_ENTITY_TEXT), at + F.length(name) + 2, F.lit(3)), _NAME_MARK, 1)))
 
-# Named character references decoded in page text.
-ENTITIES = {
-    "amp": "&", "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®",
-    "trade": "™", "deg": "°", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
-    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "eacute": "é",
-    "frac12": "½", "sect": "§", "cent": "¢", "pound": "£", "euro": "€", "times": "×",
-}
 
 _NOISES = r"!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>"
 NOISE = rf"(?is)<(?:{_NOISES})"
@@ -41,12 +51,25 @@ def _numbered(number: Column) -> Column:
         F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd"))
 
 
+_OLD_NAMES = "|".join(OLD_ENTITIES)
+
+
 def _referred(piece: Column) -> Column:
-    """Text after an `&`: a known reference becomes its character, else the `&` stays."""
-    name = F.regexp_extract(piece, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,9});", 1)
-    char = lambda n: F.when(n.startswith("#"), _numbered(F.substring(n, 2, 7))).otherwise(lookup(ENTITIES, n))
-    return let(name, lambda n: F.coalesce(F.concat(char(n), F.substr(piece, F.length(n) + 2)),
-                                          F.concat(F.lit("&"), piece)))
+    """Text after an `&`: a known reference becomes its character, else the `&` stays.
+
+    A name with a semicolon counts as a whole; otherwise the longest old name that the text begins with.
+    """
+    def char(n: Column) -> Column:
+        return F.when(n.startswith("#"), _numbered(F.substring(n, 2, 7))).otherwise(_named(n))
+
+    def old(p: Column) -> Column:
+        name = F.regexp_extract(p, f"^({_OLD_NAMES})", 1)
+        return let(name, lambda n: F.when(n != "", F.concat(_named(n), F.substr(p, F.length(n) + 1)))
+                   .otherwise(F.concat(F.lit("&"), p)))
+
+    name = F.regexp_extract(piece, r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});", 1)
+    return let(name, lambda n: F.when(n == "", old(piece)).otherwise(let(char(n), lambda c: F.when(
+        c.isNotNull(), F.concat(c, F.substr(piece, F.length(n) + 2))).otherwise(old(piece)))))
 
 
 def decode_entities(c: Column) -> Column:
@@ -160,19 +183,41 @@ def _pair(label_html: Column, value_html: Column) -> Column:
                     value_html.alias("cell"))
 
 
+def _has_nested_table(html: Column) -> Column:
+    """Whether some table begins inside another: two beginnings before one end."""
+    return F.exists(F.split(html, r"(?i)</table"), lambda part: F.size(F.split(part, r"(?i)<table\b")) > 2)
+
+
+def _nested(html: Column, tag: str) -> Column:
+    """Inner HTML of every `tag`, nested ones within and after their outer one."""
+    def inner(tokens: Column) -> Column:
+        return F.transform(_positions(tokens, lambda t: t.rlike(rf"(?i)^<{tag}\b")), lambda i: _inner(tokens, i, tag))
+
+    return let(_tokens(html, tag), inner)
+
+
+def _rows_or_nested(html, flat, deep) -> Column:
+    """`flat` of each row; where tables lie in tables, `deep` of each row with all that lies in it."""
+    return let(without_noise(html), lambda page: F.when(
+        _has_nested_table(page), F.transform(_nested(page, "tr"), deep)).otherwise(
+        F.transform(F.regexp_extract_all(page, F.lit(ROW), 1), flat)))
+
+
 def table_pairs(html) -> Column:
-    """`(label, value, cell)` from rows with a th and a td."""
-    rows = F.regexp_extract_all(without_noise(html), F.lit(ROW), 1)
-    rows = F.filter(rows, lambda r: r.rlike(r"(?i)<th\b") & r.rlike(r"(?i)<td\b"))
-    return F.transform(rows, lambda r: _pair(_first(r, "th"), _first(r, "td")))
+    """`(label, value, cell)` from rows with a th and a td; a row's text includes the tables in it, whose rows follow."""
+    first = lambda r, tag: F.get(_nested(r, tag), F.lit(0))
+    has_both = lambda r, pair: F.when(r.rlike(r"(?i)<th\b") & r.rlike(r"(?i)<td\b"), pair)
+    rows = _rows_or_nested(html, lambda r: has_both(r, _pair(_first(r, "th"), _first(r, "td"))),
+                           lambda r: has_both(r, _pair(first(r, "th"), first(r, "td"))))
+    return F.filter(rows, lambda p: p.isNotNull())
 
 
 def cell_pairs(html) -> Column:
-    """`(label, value, cell)` from the first two cells of each row."""
-    rows = F.transform(F.regexp_extract_all(without_noise(html), F.lit(ROW), 1),
-                       lambda r: F.regexp_extract_all(r, F.lit(CELL), 1))
-    return F.transform(F.filter(rows, lambda c: F.size(c) >= 2),
-                       lambda c: _pair(F.get(c, F.lit(0)), F.get(c, F.lit(1))))
+    """`(label, value, cell)` from the first two cells of each row, tables in it included; their rows follow."""
+    two = lambda cells: F.when(F.size(cells) >= 2, _pair(F.get(cells, F.lit(0)), F.get(cells, F.lit(1))))
+    rows = _rows_or_nested(html, lambda r: let(F.regexp_extract_all(r, F.lit(CELL), 1), two),
+                           lambda r: let(_nested(r, "t[hd]"), two))
+    return F.filter(rows, lambda p: p.isNotNull())
 
 
 def list_pairs(html) -> Column:
@@ -234,6 +279,48 @@ def element(html, tag: str, attributes: str) -> Column:
     return F.when(col(html).rlike(opening), let(_tokens(html, tag), found)).otherwise("")
 
 
+def any_element(html, attributes: str) -> Column:
+    """Inner HTML of the first element, whatever its tag, whose opening tag matches `attributes`; `''` if none."""
+    opening = rf"(?is)<({_NAME})\b[^>]*{attributes}"
+
+    def found(page: Column, tag: Column) -> Column:
+        tokens = F.split(page, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"\b)")))
+        first = lambda t: F.get(_positions(t, lambda x: x.rlike(f"{opening[:5]}^{opening[5:]}")), F.lit(0))
+        return let(tokens, lambda t: let(first(t), lambda i: _closed(t, i)))
+
+    return let(col(html), lambda page: let(F.lower(F.regexp_extract(page, opening, 1)), lambda tag: F.when(
+        tag != "", F.coalesce(found(page, tag), F.lit(""))).otherwise("")))
+
+
+#: A tag that can hold text.
+_NAME = r"(?!(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b)[a-z][a-z0-9]*"
+
+
+def _closed(tokens: Column, i: Column) -> Column:
+    """Inner HTML of the element that token `i` opens, the tokens cut at the tags of its name."""
+    def step(acc: Column, t: Column) -> Column:
+        done = (acc["n"] > 0) & (acc["depth"] <= 0)
+        return F.when(done, acc).otherwise(F.struct(
+            (acc["depth"] + F.when(F.substring(t, 2, 1) != "/", 1).otherwise(-1)).alias("depth"), (acc["n"] + 1).alias("n")))
+
+    def content(after: Column) -> Column:
+        end = F.aggregate(after, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)
+        length = let(end, lambda e: F.when(e["depth"] <= 0, e["n"] - 1).otherwise(e["n"]))
+        return F.concat_ws("", F.slice(after, F.lit(1), length))
+
+    return F.regexp_replace(let(F.slice(tokens, i + 1, F.size(tokens)), content), r"(?s)^<[^>]*>", "")
+
+
+def id_like(pattern: str) -> str:
+    """An id in which `pattern` (lower or upper case) is found."""
+    return rf"\sid\s*=\s*[\"'][^\"']*(?:{pattern})[^\"']*[\"']"
+
+
+def class_like(pattern: str) -> str:
+    """A class list in which `pattern` (lower or upper case) is found."""
+    return rf"\sclass\s*=\s*[\"'][^\"']*(?:{pattern})[^\"']*[\"']"
+
+
 def with_id(name: str) -> str:
     return rf"\sid\s*=\s*[\"']{name}[\"']"
 

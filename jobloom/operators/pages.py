@@ -213,7 +213,8 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
     """Detail fields of two-cell label tables, else of the page's headed sections.
 
     A row whose label names a section feeds that column; other labels are packed;
-    meta labels become short columns.
+    meta labels become short columns. `job_title` is that of the page, unless it is only a heading
+    of the portal; a card's title comes before it.
     """
     df = pages.withColumn("pairs", _with_groups(H.normalised(H.cell_pairs("html"), spaces=True), L.TABLE_GROUPS))
 
@@ -229,8 +230,12 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
     df = df.withColumn("cells", F.transform(F.filter("pairs", lambda p: ~L.is_meta_label(p["label"])), body))
     df = df.withColumn("sections", F.when(F.size("cells") > 0, F.col("cells"))
                        .otherwise(_resolved_sections(_main_html())))
+    titles = F.transform(F.array(*[H.any_element("html", H.with_class(CELL_TITLE_CLASS)) if tag is None else
+                                   H.element("html", tag, H.with_class(CELL_TITLE_CLASS)) for tag in ("span", None, "h1")]),
+                         lambda t: H.text_of(t, ""))
+    title = F.get(F.filter(titles, lambda t: (t != "") & ~t.rlike(GENERIC_TITLE)), F.lit(0))
     wide = df.select(
-        "page_id", (F.size("cells") > 0).alias("from_cells"),
+        "page_id", (F.size("cells") > 0).alias("from_cells"), F.coalesce(title, F.lit("")).alias("job_title"),
         *[_grouped(F.col("pairs"), c).alias(c) for c in _META],
         _grouped(F.col("pairs"), "close_note").alias("close_note"),
         *[_appended("sections", c).alias(c) for c in SECTION_COLUMNS],
@@ -239,9 +244,12 @@ def postings_from_cells(pages: DataFrame) -> DataFrame:
     return _repaired(wide)
 
 
-# Ids of description containers, in order, and of the menu inside the first.
-MAIN_IDS = ["maincontent", "jobDescriptionInterface", "jobDescriptionText", "requisitionDescriptionInterface"]
+# Description containers by id or class, in order; the menu inside the first; the title's class.
+MAIN_PARTS = [H.with_id("maincontent"), H.with_id("jobDescriptionInterface"), H.with_id("jobDescriptionText"),
+              H.id_like("jobDesc|job_desc|jobDescriptionText"), H.class_like(r"jobDescriptionText|jobDescription\b"),
+              H.with_id("requisitionDescriptionInterface"), H.id_like("requisitionDesc")]
 MENU_ID = "job_menubar"
+CELL_TITLE_CLASS, GENERIC_TITLE = "jobTitle", r"(?i)^Job\s+Description\b"
 
 
 def _boxed(inner: Column) -> Column:
@@ -256,10 +264,10 @@ def _after_title(html) -> Column:
 def _main_html() -> Column:
     """The description container without its menu, else all that follows the title."""
     def main(page: Column) -> Column:
-        return X.first_of(*[_boxed(H.element(page, "div", H.with_id(i))) for i in MAIN_IDS], _after_title(page))
+        return X.first_of(*[_boxed(H.any_element(page, p)) for p in MAIN_PARTS], _after_title(page))
 
     def without_menu(html: Column) -> Column:
-        return X.let(H.element(html, "div", H.with_id(MENU_ID)), lambda menu: F.when(
+        return X.let(H.any_element(html, H.with_id(MENU_ID)), lambda menu: F.when(
             menu != "", F.replace(html, menu, F.lit(""))).otherwise(html))
 
     return X.let(X.let(H.without_noise("html"), main), without_menu)
@@ -276,14 +284,14 @@ def _repaired(wide: DataFrame) -> DataFrame:
     kept = wide
     for c in ("about_us", "job_summary"):
         kept = kept.withColumn(c, F.when(F.col("from_cells"), F.col(c)).otherwise(X.strip_nav_marker(c)))
-    kept = kept.select("page_id", "from_cells", *_META, "salary", "close_note", *[
+    kept = kept.select("page_id", "from_cells", "job_title", *_META, "salary", "close_note", *[
         F.when(real, F.col(c)).otherwise("").alias(c) for c in [*SECTION_COLUMNS, "extra_sections"]])
     extra, summary = X.promote_section("extra_sections", "job_summary")
     kept = kept.withColumns({
         "extra_sections": F.when(F.col("from_cells"), F.col("extra_sections")).otherwise(extra),
         "job_summary": F.when(F.col("from_cells"), F.col("job_summary")).otherwise(summary)})
     return kept.select(
-        "page_id", *_META, "salary",
+        "page_id", "job_title", *_META, "salary",
         *[c for c in SECTION_COLUMNS if c != "other_information"],
         X.first_non_empty("other_information", "close_note").alias("other_information"), "extra_sections")
 
@@ -300,7 +308,7 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
     df = df.withColumn("pairs", _with_groups(H.normalised(H.list_pairs("page"), spaces=True), L.LIST_GROUPS))
     page = F.col("page")
     parts = F.concat_ws(" ", F.filter(F.array(*[
-        _boxed(X.first_of(H.element(page, "div", H.with_class(p)), H.element(page, "div", H.with_id(p))))
+        _boxed(X.first_of(H.any_element(page, H.with_class(p)), H.any_element(page, H.with_id(p))))
         for p in DESCRIPTION_PARTS]), lambda v: v != ""))
     rest = _after_title(F.regexp_replace(page, r"(?is)<dl\b.*?</dl\s*>", " "))
     df = df.withColumn("sections", _resolved_sections(X.first_of(parts, rest)))
@@ -311,7 +319,7 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
     note = _grouped(F.col("pairs"), "close_note")
     first_link = lambda links: F.get(links, F.lit(0))["href"]
     named_apply = F.filter(H.links("page"), lambda a: F.lower(a["text"]) == "apply")
-    href = F.coalesce(first_link(H.links(H.element(page, "div", H.with_id(APPLY_ID)))),
+    href = F.coalesce(first_link(H.links(H.any_element(page, H.with_id(APPLY_ID)))),
                       first_link(H.links("page", "/apply")), first_link(named_apply))
     return df.select(
         "page_id", title.alias("job_title"),
@@ -429,7 +437,7 @@ def listing_from_links(pages: DataFrame, base: str, path: str = r"/postings/\d+"
 CARD_POLICY = {
     "tables": {c: "card" for c in ("working_title", "posting_number", "department", "close_date", "posting_date")},
     "spans": {},
-    "cells": {},
+    "cells": {"job_title": "card"},
     "lists": {c: "card" for c in ("department", "location")},
 }
 

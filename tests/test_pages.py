@@ -162,3 +162,41 @@ def test_links_and_gates(spark):
     kept = quality.page_is_complete(sized, quality.SPAN_PAGE_CHARS, quality.SPAN_PAGE_MARKERS)
     assert [r.page_id for r in kept.collect()] == [1]
     assert quality.page_is_complete(sized).count() == 2
+
+
+def test_named_references(spark, column):
+    import html
+    from html.entities import html5
+
+    from jobloom.functions.html import decode_entities
+    from pyspark.sql import functions as F
+
+    texts = [f"a &{name} z" for name in html5] + [f"&{name[:-1]}z1;" for name in html5 if name.endswith(";")]
+    texts += ["M&uuml;ller &agrave;", "&ampamp; &amp;lt; &notit; &notin; &unknown; & &; &#65;&#x42;", "R&D &copy2024"]
+    got = column("s string", texts, decode_entities(F.col("s")))
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_nested_tables(spark):
+    page = ("<table><tr><td>A</td><td><table><tr><td>B</td><td>b</td></tr></table>x</td></tr>"
+            "<tr><td>C</td><td>c</td></tr></table><table><tr><th>D</th><td>d</td></tr></table>")
+    rows = pages.page_label_values(frame(spark, page), "cells").orderBy("ord").collect()
+    assert [(r.label, r.value) for r in rows] == [("a", "Bbx"), ("b", "b"), ("c", "c"), ("d", "d")]
+    heads = "<table><tr><th>A</th><td><table><tr><th>B</th><td>b</td></tr></table>x</td></tr></table>"
+    rows = pages.page_label_values(frame(spark, heads), "table").orderBy("ord").collect()
+    assert [(r.label, r.value) for r in rows] == [("a", "Bbx"), ("b", "b")]
+
+
+def test_containers_of_any_tag(spark):
+    html = ["<section class='posting-description'><p>Body</p></section><p>Footer</p>",
+            "<section class='x posting-description'>one<section>two</section>three</section><article id=\"posting-requirements\"><b>Requirements:</b>four</article>",
+            "<img class='posting-description'><p>Loose</p>"]
+    rows = pages.postings_from_lists(frame(spark, *html), BASE).orderBy("page_id").collect()
+    assert [r.job_summary for r in rows] == ["Body", "one two three", "Loose"] and rows[1].required_qualifications == "four"
+    body = "real words that go on for more than eighty characters, so that it counts as content of its own. "
+    cells = [f"<p>no</p><td id='x_JobDesc_1'><p>{body}</p></td><p>no</p>", f"<article class='a jobDescription'>{body}<i>i</i></article>no",
+             f"<p>no</p><main id='requisitionDescBody'>{body}</main>", f"<span class='jobTitle'>Job Description - 7</span><h2 class='big jobTitle'>No</h2><div id='maincontent'>{body}</div>",
+             "<b class='jobTitle'>Cook <i>II</i></b>"]
+    rows = pages.postings_from_cells(frame(spark, *cells)).orderBy("page_id").collect()
+    assert [r.job_summary for r in rows[:4]] == [body.strip(), body + "i", body.strip(), body.strip()]
+    assert [r.job_title for r in rows] == ["", "", "", "", "Cook II"]
