@@ -400,15 +400,7 @@ def _labelled(docs: DataFrame, k: int, percent: int, limits: tuple[int | None, .
     pairs = (group_pairs.join(members.select(F.col("s").alias("a"), "g"), "g")
              .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b", "token"))
     tested = _likely(_once(pairs.unionByName(within.select("a", "b", "token"))), classes, percent)
-    # first each set's closest pair alone; the others only where they are not connected yet
-    pair = F.struct("room", "a", "b", "token", "size")
-    ends = tested.select(F.explode(F.array("a", "b")).alias("s"), pair.alias("pair"))
-    closest = ends.groupBy("s").agg(F.max("pair").alias("pair")).select("pair.*").distinct()
-    labels = components(_verified(docs, closest, classes, k, percent))
-    apart = (tested.join(closest.select("a", "b"), ["a", "b"], "left_anti")
-             .join(labels.select(F.col("s").alias("a"), F.col("c").alias("x")), "a", "left")
-             .join(labels.select(F.col("s").alias("b"), F.col("c").alias("y")), "b", "left").where("x is null or y is null or x <> y"))
-    labels = merged_labels(labels, _verified(docs, common.saved(apart.select("a", "b", "token", "size"), "near-apart"), classes, k, percent))
+    labels = components(_verified(docs, tested, classes, k, percent))
     tested = tested.drop("room")
 
     # buckets with more members than have met: those outside the largest component meet the others
