@@ -41,6 +41,8 @@ PAIRS = 1 << 16
 PLACE = 4_000_000
 #: Groups and sets a task remembers so as not to write them twice.
 SEEN = 100_000
+#: Bytes of text worked on at a time: a word takes some ten times its own bytes meanwhile.
+CHUNK = 500_000
 
 
 def frequent_shingles(docs: DataFrame, k: int, entries: int = 300_000, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def frequent_shingles(docs: DataFrame, k: int, entries: int = 300_000, least: in
             held, size = [], 0
 
         for batch in batches:
-            for part in common.parts(batch):
+            for part in common.parts(batch, limit=CHUNK):
                 prints = shingle_sets(part.column(0), k)[1]
                 held.append(prints)
                 size += len(prints)
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
         often, counts = shared.value
         groups_seen, sets_seen = set(), set()
         for batch in batches:
-            for part in common.parts(batch):
+            for part in common.parts(batch, limit=CHUNK):
                 offsets, prints = shingle_sets(part.column(2), k)
                 sizes = np.diff(offsets)
                 row = np.repeat(np.arange(len(sizes)), sizes)
@@ -121,8 +123,9 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                 edges = np.concatenate([[0], np.cumsum(lengths)])
                 s = _fold(prints, offsets)
                 g = common.mixed(_fold(tokens, edges) + sizes.astype(np.uint64))
-                bits = np.bincount(row * BITS + (prints >> np.uint64(53)).astype(np.int64), minlength=len(sizes) * BITS) & 1
-                bits = np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1)
+                bits = np.zeros(len(sizes) * BITS, np.uint8)  # the counts may wrap, their parity stays
+                np.add.at(bits, row * BITS + (prints >> np.uint64(53)).astype(np.int64), 1)
+                bits = np.packbits((bits & 1).reshape(-1, BITS), axis=1)
                 split = front_counts // max(1, crowd // 2)
                 deal = np.where(front_counts > crowd, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
                 token_lists, part_lists, bit_rows = [], [], []
@@ -268,7 +271,7 @@ def _verified(docs: DataFrame, likely: DataFrame, classes: DataFrame, k: int, pe
     def check(batches):
         place, sets = None, {}
         for batch in batches:
-            for part in common.parts(batch):
+            for part in common.parts(batch, limit=CHUNK):
                 token, deal, a = (part.column(i).to_numpy() for i in range(3))
                 paired = np.asarray(part.column(3).is_valid())
                 b = part.column(3).fill_null(0).to_numpy()

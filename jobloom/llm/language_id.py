@@ -23,8 +23,8 @@ from . import common
 DIMENSIONS = 512
 N = 3
 #: n-grams whose vectors are held at a time.
-BLOCK = 8192
-#: Texts that are counted against a block of n-grams at a time, so that the counts have 4 million cells at most.
+BLOCK = 2048
+#: Texts that are counted against a block of n-grams at a time, so that the counts have a million cells at most.
 ROWS = 512
 SPACE = 0x20
 
