@@ -5,6 +5,7 @@ Everything a page yields is built inside its own row, so no page needs a shuffle
 
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -264,7 +265,10 @@ def _inner(tokens: Column, i: Column, tag: str) -> Column:
         length = let(end, lambda e: F.when(e["depth"] <= 0, e["n"] - 1).otherwise(e["n"]))
         return F.concat_ws("", F.slice(after, F.lit(1), length))
 
-    return F.regexp_replace(let(F.slice(tokens, i + 1, F.size(tokens)), content), r"(?s)^<[^>]*>", "")
+    # the next tag closes it: most elements, and no need to look at all that follows
+    plain = F.coalesce(F.get(tokens, i).rlike(opens) & F.startswith(F.get(tokens, i + 1), F.lit("</")), F.lit(False))
+    inner = F.when(plain, F.get(tokens, i)).otherwise(let(F.slice(tokens, i + 1, F.size(tokens)), content))
+    return F.regexp_replace(inner, r"(?s)^<[^>]*>", "")
 
 
 def _positions(tokens: Column, test) -> Column:
@@ -350,17 +354,39 @@ def span_value(spans: Column, span_id) -> Column:
     return F.get(F.filter(spans, lambda s: s["id"] == wanted), F.lit(0))["text"]
 
 
-def unbroken(spans: Column, prefix: str, suffix: str = "", limit: int | None = None) -> Column:
-    """0, 1, 2 ... up to the first number without a span `prefix` + number + `suffix`."""
-    def numbers(ids: Column) -> Column:
-        top = F.size(ids) if limit is None else F.least(F.size(ids), F.lit(limit))
-        named = lambda i: F.concat(F.lit(prefix), i.cast("string"), F.lit(suffix))
-        gap = F.array_min(F.filter(F.sequence(F.lit(0), top),
-                                   lambda i: ~F.array_contains(ids, named(i)) | (i >= top)))
-        return let(gap, lambda g: F.when(g > 0, F.sequence(F.lit(0), g - 1)).otherwise(
-            F.array().cast("array<int>")))
+def numbered(spans: Column, kinds: list[tuple[str, str]], limit: int | None = None) -> Column:
+    """Texts of the spans `prefix` + number + `suffix` for every `(prefix, suffix)` of `kinds`, an array per number.
 
-    return let(F.transform(spans, lambda s: s["id"]), numbers)
+    Numbers run from 0 to before the first that has no span of the first kind, `limit` numbers at most. A span that
+    is missing gives an empty text, of several with one id the first counts. The spans are sorted by number once,
+    so the work grows with their count and not with its square.
+    """
+    def of_kind(k: int, prefix: str, suffix: str) -> Column:
+        number = rf"^{re.escape(prefix)}(0|[1-9][0-9]{{0,8}}){re.escape(suffix)}\z"
+        entries = F.transform(spans, lambda s, at: F.struct(
+            F.regexp_extract(s["id"], number, 1).try_cast("int").alias("n"),
+            F.lit(k).alias("kind"), at.alias("at"), s["text"].alias("text")))
+        return F.filter(entries, lambda e: e["n"].isNotNull())
+
+    def texts(entries: Column, count: Column) -> Column:
+        known = F.filter(entries, lambda e: e["n"] < count)
+        blank = F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.array(*[F.struct(
+            n.alias("n"), F.lit(k).alias("kind"), F.lit(2**31 - 1).alias("at"), F.lit("").alias("text"))
+            for k in range(len(kinds))])))
+        first = lambda e, i, ordered: (i == 0) | (F.get(ordered, i - 1)["n"] != e["n"]) | (
+            F.get(ordered, i - 1)["kind"] != e["kind"])
+        firsts = let(F.array_sort(F.concat(known, blank)),
+                     lambda ordered: F.filter(ordered, lambda e, i: first(e, i, ordered)))
+        return let(firsts, lambda f: F.transform(F.sequence(F.lit(0), count - 1), lambda n: F.array(
+            *[F.get(f, n * len(kinds) + k)["text"] for k in range(len(kinds))])))
+
+    def run(entries: Column) -> Column:
+        numbers = F.array_sort(F.array_distinct(F.transform(F.filter(entries, lambda e: e["kind"] == 0), lambda e: e["n"])))
+        length = F.size(F.filter(numbers, lambda n, i: n == i))
+        count = length if limit is None else F.least(length, F.lit(limit))
+        return let(count, lambda c: F.when(c > 0, texts(entries, c)).otherwise(F.array().cast("array<array<string>>")))
+
+    return let(F.concat(*[of_kind(k, *kind) for k, kind in enumerate(kinds)]), run)
 
 
 # --- links -------------------------------------------------------------------------

@@ -82,13 +82,8 @@ def _with_spans(pages: DataFrame) -> DataFrame:
 
 def _numbered(spans: Column, most: int | None = None) -> Column:
     """`(label, value)` of the numbered sections up to the first gap."""
-    def section(i: Column) -> Column:
-        n = i.cast("string")
-        label = H.span_value(spans, F.concat(F.lit(LABEL_SPAN), n, F.lit(LABEL_SUFFIX)))
-        value = H.span_value(spans, F.concat(F.lit(CONTENT_SPAN), n))
-        return F.struct(label.alias("label"), F.coalesce(value, F.lit("")).alias("value"))
-
-    return F.transform(H.unbroken(spans, LABEL_SPAN, LABEL_SUFFIX, most), section)
+    sections = H.numbered(spans, [(LABEL_SPAN, LABEL_SUFFIX), (CONTENT_SPAN, "")], most)
+    return F.transform(sections, lambda s: F.struct(F.get(s, F.lit(0)).alias("label"), F.get(s, F.lit(1)).alias("value")))
 
 
 def page_indexed_fields(pages: DataFrame, most: int | None = None) -> DataFrame:
@@ -335,15 +330,11 @@ def postings_from_lists(pages: DataFrame, base: str) -> DataFrame:
 
 def listing_from_spans(pages: DataFrame) -> DataFrame:
     """Cards of a numbered-span listing, up to the first number without a title."""
-    spans = F.col("spans")
-
-    def card(i: Column) -> Column:
-        n = i.cast("string")
-        return F.struct(*[F.coalesce(H.span_value(spans, F.concat(F.lit(s), n)), F.lit("")).alias(c)
-                          for c, s in CARD_SPANS.items()])
-
-    numbers = H.unbroken(spans, CARD_SPANS["job_title"])
-    return _rows(_with_spans(pages), F.transform(numbers, card), *CARD_SPANS)
+    # the title comes first: it says how far the numbers run
+    names = ["job_title", *[c for c in CARD_SPANS if c != "job_title"]]
+    cards = F.transform(H.numbered(F.col("spans"), [(CARD_SPANS[c], "") for c in names]), lambda texts: F.struct(
+        *[F.get(texts, F.lit(names.index(c))).alias(c) for c in CARD_SPANS]))
+    return _rows(_with_spans(pages), cards, *CARD_SPANS)
 
 
 def _containers(html, opening: str) -> Column:

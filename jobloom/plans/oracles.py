@@ -332,6 +332,8 @@ FROM ({_EFFECTS}) e JOIN ({_CUSTOMERS}) c USING (customer) WHERE effect IS NOT N
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """
 
+_ARRIVED = _LATEST.replace("ORDER BY ts DESC, event_id DESC", "ORDER BY CAST(event_id AS BIGINT), ts DESC")
+
 _RAW = S.plain(S.RAW)
 _LANDED = f"""(SELECT * FROM ({_RAW}) a UNION ALL
   SELECT * REPLACE (-1 - doc_id AS doc_id) FROM ({_RAW}) b WHERE doc_id % 5 = 3) r"""
@@ -595,6 +597,8 @@ FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id,
   range(1, 65) t(i)""",
     "similar_top5": _SIMILAR,
     "similar_top5_blocks": _SIMILAR,
+    "similar_indexed": """SELECT count(*) AS queries, count(*) * least(5, (SELECT count(*) FROM embeddings)) AS wanted,
+  true AS reached FROM embeddings WHERE vec_id % 50 = 0""",
     "publish_and_search": f"SELECT id AS query_id, CAST(1.0 AS DOUBLE) AS score FROM ({SITE}) s",
     "row_index": """SELECT conv_id AS id, max(place) AS row_index FROM (SELECT conv_id,
   row_number() OVER (ORDER BY length(text), conv_id, turn) - 1 AS place FROM conversations) r GROUP BY conv_id""",
@@ -621,6 +625,9 @@ JOIN ({_CUSTOMERS}) c USING (customer) WHERE effect IS NOT NULL AND user_id <> '
     "profile_stream": f"""SELECT c.user_id, coalesce(l.customer, '') AS customer,
   coalesce(l.subscription_status, 'free') AS subscription_status, l.ends, l.at
 FROM ({_CUSTOMERS}) c LEFT JOIN ({_LATEST}) l ON c.user_id = l.user_id WHERE c.user_id <> ''""",
+    "profile_stream_arrival": f"""SELECT c.user_id, coalesce(l.customer, '') AS customer,
+  coalesce(l.subscription_status, 'free') AS subscription_status, l.ends, l.at
+FROM ({_CUSTOMERS}) c LEFT JOIN ({_ARRIVED}) l ON c.user_id = l.user_id WHERE c.user_id <> ''""",
     "ingest_stream": f"SELECT DISTINCT customer || '-' || type AS job_id FROM ({_EVENTS}) e",
     "ingest_restart": f"SELECT DISTINCT customer || '-' || type AS job_id FROM ({_EVENTS}) e",
     "dedup_stream": f"SELECT event_id, type FROM ({_EVENTS}) e",

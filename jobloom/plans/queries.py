@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import dates as D, events as V, labels as L, text as X
 from ..functions.vectors import l2_normalise
-from ..operators import labels, mapping, merge, pages, quality, ranks, site, vectors
+from ..operators import labels, mapping, merge, pages, quality, ranks, site, vector_index, vectors
 from ..schemas import MASTER_COLUMNS, S1_COLUMNS, SECTION_COLUMNS, SOURCES, strings
 from ..session import fresh_path
 from ..sources import readers, writers
@@ -523,6 +523,14 @@ def similar_top5_blocks(spark, sf):
     return found.select("query_id", F.substring("id", 2, 9).cast("bigint").alias("id"), "rank", F.round("score", 5).alias("score"))
 
 
+def similar_indexed(spark, sf):
+    """Every fiftieth vector sought in the index: how many rows the exact five are, and whether nine in ten are found."""
+    df = S.table(spark, sf, "embeddings").withColumnRenamed("vec_id", "id")
+    asked = df.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    measured = vector_index.recall(vector_index.similar_indexed(asked, df, 5), vectors.similar_topk(asked, df, 5))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def publish_and_search(spark, sf):
     """Jobs encoded, written with their row numbers, and each job's nearest of the published vectors: itself."""
     path = fresh_path(spark, "search")
@@ -667,19 +675,41 @@ def status_stream(spark, sf):
     return spark.read.parquet(f"{path}/rows").select("event_id", "user_id", "subscription_status")
 
 
-def profile_stream(spark, sf):
-    """The stream folded over a base of all users; every user's row afterwards."""
-    table = fresh_path(spark, "profiles")
+def _profile_base(spark, sf, table: str) -> DataFrame:
+    """A base of all users without a subscription; the customers they belong to."""
     customers = S.run(spark, sf, S.CUSTOMERS)
     customers.where("user_id <> ''").select(
         F.col("user_id").alias("id"), F.lit("free").alias("subscription_status"),
         F.lit("").alias("stripe_customer_id"), F.lit(None).cast("timestamp").alias("subscription_end"),
         F.lit(None).cast("timestamp").alias("updated_at")).write.parquet(f"{table}/base")
-    profiles.fold_profiles(_event_stream(spark, sf), customers, table, f"{table}/checkpoint").awaitTermination()
-    now = profiles.current_profiles(spark, table)
+    return customers
+
+
+def _shown_profiles(now: DataFrame) -> DataFrame:
     return _shown(now.withColumnsRenamed({"id": "user_id", "stripe_customer_id": "customer"}), "updated_at")
 
 
+def profile_stream(spark, sf):
+    """The stream folded over a base of all users; every user's row afterwards."""
+    table = fresh_path(spark, "profiles")
+    customers = _profile_base(spark, sf, table)
+    profiles.fold_profiles(_event_stream(spark, sf), customers, table, f"{table}/checkpoint").awaitTermination()
+    return _shown_profiles(profiles.current_profiles(spark, table))
+
+
+def profile_stream_arrival(spark, sf):
+    """The same in order of arrival (ids in descending order), in two batches with a restart between them; the second
+    batch brings every event of the first once more."""
+    table = fresh_path(spark, "profiles-arrival")
+    customers = _profile_base(spark, sf, table)
+    events = S.run(spark, sf, S.EVENTS).withColumn("arrival", -F.col("event_id").cast("bigint"))
+    for part in (events.where("cast(event_id as bigint) % 2 = 0"), events):
+        part.write.mode("append").parquet(f"{table}/landing")
+        stream = spark.readStream.schema(events.schema).parquet(f"{table}/landing")
+        profiles.fold_profiles(stream, customers, table, f"{table}/checkpoint", order=profiles.ARRIVAL).awaitTermination()
+    return _shown_profiles(profiles.current_profiles(spark, table, profiles.ARRIVAL))
+
+
 def ingest_stream(spark, sf):
     """Event kinds per customer as postings: only ids not stored before are added."""
     table = fresh_path(spark, "ingest")
@@ -725,7 +755,7 @@ QUERIES = {f.__name__: f for f in [
     page_list_values, page_indexed_fields, listing_spans, listing_cards, listing_rows, listing_grid,
     listing_links, postings_tables, postings_spans, postings_cells, postings_lists,
     pages_to_master, l2_normalise_vectors,
-    similar_top5, similar_top5_blocks, publish_and_search, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
+    similar_top5, similar_top5_blocks, similar_indexed, publish_and_search, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
     records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
-    status_stream, profile_stream, ingest_stream, ingest_restart, dedup_stream,
+    status_stream, profile_stream, profile_stream_arrival, ingest_stream, ingest_restart, dedup_stream,
 ]}

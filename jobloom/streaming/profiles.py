@@ -20,13 +20,15 @@ from ..sources.readers import path_exists
 from ..sources.writers import checkpointed_append, run_id
 
 EVENT_TIME = ["ts", "event_id"]
+#: For events that carry `arrival`, a number that grows with delivery (such as the offset in their log).
+ARRIVAL = ["arrival", *EVENT_TIME]
 STATUS_FIELDS = ["customer", "subscription_status", "subscription_end", "ts", "event_id"]
 
 
 def effective_events(events: DataFrame) -> DataFrame:
-    """Events that change a status, with the new status; works on streams and tables."""
+    """Events that change a status, with the new status and their `arrival` if they have one; works on streams and tables."""
     return events.select(
-        "event_id", "ts", "customer",
+        "event_id", "ts", "customer", *[c for c in events.columns if c == "arrival"],
         event_status("type", "mode", "status", "customer").alias("subscription_status"),
         event_end("type", "current_period_end").alias("subscription_end"),
     ).where(F.col("subscription_status").isNotNull())
@@ -65,24 +67,31 @@ CHANGE_SCHEMA = T.StructType([
     T.StructField("subscription_end", T.TimestampType()),
     T.StructField("ts", T.TimestampType()),
     T.StructField("event_id", T.StringType()),
+    T.StructField("arrival", T.LongType()),
 ])
 
 
-def upsert_profiles(batch: DataFrame, table: str, batch_id: int, customers: DataFrame | Callable[[], DataFrame], run: str = "0") -> None:
-    """Log the batch's last change per user; `customers` may be a function that reads them anew."""
-    changes = latest_per_user(batch, customers() if callable(customers) else customers)
-    typed = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CHANGE_SCHEMA])
+def upsert_profiles(batch: DataFrame, table: str, batch_id: int, customers: DataFrame | Callable[[], DataFrame], run: str = "0",
+                    order: list[str] | None = None) -> None:
+    """Log the batch's last change per user by `order`; `customers` may be a function that reads them anew."""
+    changes = latest_per_user(batch, customers() if callable(customers) else customers, order)
+    typed = changes.select(*[(F.col(f.name) if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in CHANGE_SCHEMA])
     checkpointed_append(typed, f"{table}/changes", str(batch_id), run)
 
 
-def current_profiles(spark: SparkSession, table: str) -> DataFrame:
-    """Base profiles with their latest change: updates only, never a new row."""
+def _last_changes(changes: DataFrame, order: list[str] | None) -> DataFrame:
+    order = order or EVENT_TIME
+    return _latest(changes, "user_id", list(dict.fromkeys(STATUS_FIELDS + order)), order)
+
+
+def current_profiles(spark: SparkSession, table: str, order: list[str] | None = None) -> DataFrame:
+    """Base profiles with their latest change: updates only, never a new row. `order` is that of `fold_profiles`."""
     base = spark.read.schema(PROFILE_SCHEMA).parquet(f"{table}/base")
     log = f"{table}/changes"
     if not path_exists(spark, f"{log}/run=*/batch=*"):
         return base
-    changes = spark.read.schema(CHANGE_SCHEMA).parquet(log)
-    latest = _latest(changes, "user_id", STATUS_FIELDS, EVENT_TIME)
+    latest = _last_changes(spark.read.schema(CHANGE_SCHEMA).parquet(log), order)
     joined = base.join(latest, base["id"] == latest["user_id"], "left")
     hit = F.col("user_id").isNotNull()
     new = {"subscription_status": latest["subscription_status"], "stripe_customer_id": F.col("customer"),
@@ -90,22 +99,24 @@ def current_profiles(spark: SparkSession, table: str) -> DataFrame:
     return joined.select("id", *[F.when(hit, c).otherwise(base[name]).alias(name) for name, c in new.items()])
 
 
-def compact_profiles(spark: SparkSession, table: str, target: str) -> None:
+def compact_profiles(spark: SparkSession, table: str, target: str, order: list[str] | None = None) -> None:
     """Copy the table with one change per user left in its log, which still guards against late events."""
-    current_profiles(spark, table).write.parquet(f"{target}/base")
+    current_profiles(spark, table, order).write.parquet(f"{target}/base")
     changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{table}/changes")
-    checkpointed_append(_latest(changes, "user_id", STATUS_FIELDS, EVENT_TIME), f"{target}/changes", "-1")
+    checkpointed_append(_last_changes(changes, order), f"{target}/changes", "-1")
 
 
 def fold_profiles(events: DataFrame, customers: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, order: list[str] | None = None) -> StreamingQuery:
     """Start the stream that keeps the change log up to date.
 
-    With a function for `customers`, each batch meets the customers of its time.
+    With a function for `customers`, each batch meets the customers of its time. By default events apply in
+    event time; with `order=ARRIVAL` in the order they were delivered, whatever batch a number falls into, so a
+    batch that runs again, and a number that is delivered twice, change nothing.
     """
     run = run_id(events.sparkSession, checkpoint)
     return (effective_events(events).writeStream
-            .foreachBatch(lambda batch, n: upsert_profiles(batch, table, n, customers, run))
+            .foreachBatch(lambda batch, n: upsert_profiles(batch, table, n, customers, run, order))
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start())

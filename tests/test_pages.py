@@ -1,5 +1,6 @@
 """Hand-written pages of every layout."""
 
+from jobloom.functions import html as H
 from jobloom.operators import pages, quality
 from jobloom.schemas import S0_COLUMNS, S1_COLUMNS
 
@@ -200,3 +201,15 @@ def test_containers_of_any_tag(spark):
     rows = pages.postings_from_cells(frame(spark, *cells)).orderBy("page_id").collect()
     assert [r.job_summary for r in rows[:4]] == [body.strip(), body + "i", body.strip(), body.strip()]
     assert [r.job_title for r in rows] == ["", "", "", "", "Cook II"]
+
+
+def test_numbered_spans_by_number_and_first_of_an_id(spark):
+    span = lambda i, text: f'<span id="{i}">{text}</span>'
+    html = "".join([span("L$1lbl", "one"), span("L$0lbl", "zero"), span("L$0lbl", "again"), span("C$1", "<span>in</span> first"),
+                    span("C$1", "second"), span("L$3lbl", "beyond"), span("L$01lbl", "no number"), span("C$0", "")])
+    spans = H.id_spans("html", r"^[LC]\$")
+    df = frame(spark, html)
+    kinds = [("L$", "lbl"), ("C$", "")]
+    assert df.select(H.numbered(spans, kinds)).head()[0] == [["zero", ""], ["one", "in first"]]
+    assert df.select(H.numbered(spans, kinds, 1)).head()[0] == [["zero", ""]]
+    assert df.select(H.numbered(spans, [("X$", "")])).head()[0] == []

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import ranks, vectors
+from jobloom.operators import ranks, vector_index, vectors
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +82,33 @@ def test_text_ids_ties_and_missing_order(spark):
     assert [(r.query_id, r.id) for r in sorted(found, key=lambda r: r["rank"])] == [("P1", "P1"), ("P1", "P10"), ("P1", "P3")]
     numbered = {r.id: r.row_index for r in vectors.with_row_index(df, ["ord"]).collect()}
     assert sorted(numbered.values()) == [0, 1, 2, 3] and numbered["P10"] == 0 and numbered["P3"] == 3
+
+
+def _clustered(spark, seed=5, copies=400):
+    """Unit vectors round 20 directions, and one vector in many copies."""
+    rng = np.random.default_rng(seed)
+    near = rng.normal(size=(20, 16))[rng.integers(0, 20, 800)] + 0.3 * rng.normal(size=(800, 16))
+    x = np.concatenate([near, np.repeat(near[:1], copies, axis=0)])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, [float(a) for a in r], "extra") for i, r in enumerate(x)] + [(5000, None, "null")]
+    return spark.createDataFrame(rows, "id long, embedding array<float>, list string").repartition(3)
+
+
+def test_index_finds_nearest(spark):
+    df = _clustered(spark)
+    asked = df.where("id % 50 = 1 or id = 5000").select(F.col("id").alias("query_id"), "embedding")
+    exact = vectors.similar_topk(asked.where("embedding is not null"), df.where("embedding is not null"), 5)
+    # small blocks: the list of copies is dealt to many
+    found = vector_index.similar_indexed(asked, df, 5, probes=8, rows=100)
+    measured = vector_index.recall(found, exact).first()
+    assert measured.queries == 24 and measured.wanted == 120 and measured.recall >= 0.9
+    everything = vector_index.similar_indexed(asked, df, 5, lists=12, probes=12, rows=100)
+    rows = lambda d: {(r.query_id, r.id, r["rank"], round(r.score, 6)) for r in d.collect()}
+    assert rows(everything) == rows(exact)
+
+
+def test_index_of_nothing(spark):
+    df = spark.createDataFrame([(1, None)], "id long, embedding array<float>")
+    asked = df.withColumnRenamed("id", "query_id")
+    assert vector_index.similar_indexed(asked, df, 3).count() == 0
+    assert vector_index.similar_indexed(asked.limit(0), df.limit(0), 3).columns == ["query_id", "id", "score", "rank"]
