@@ -610,6 +610,10 @@ FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id,
   coalesce(nullif(posting_url, ''), job_id) ORDER BY source_rank, ord) AS rn FROM ({MASTER}) m
   WHERE job_title <> '' AND source_key IN ('s0', 's2')) r WHERE rn = 1 GROUP BY source_key""",
     "records_roundtrip": f"SELECT job_id, job_title, institution, location, salary, job_summary FROM ({_RAW}) r",
+    "listing_documents": """SELECT CAST(doc_id AS VARCHAR) AS job_id, coalesce(source, '') AS job_title,
+  coalesce(text, '') AS job_summary, '' AS salary FROM documents""",
+    "site_documents": "SELECT CAST(doc_id AS VARCHAR) AS job_id, source AS job_title, text AS job_summary FROM documents",
+    "input_order": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents",
     "site_published": f"""SELECT source, count(*) AS jobs FROM ({SITE}) s GROUP BY source
 UNION ALL SELECT 'total', count(*) FROM ({SITE}) s""",
     "feed_roundtrip": """SELECT CAST(doc_id AS VARCHAR) AS posting_id,

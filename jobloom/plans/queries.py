@@ -598,6 +598,38 @@ def records_roundtrip(spark, sf):
     return readers.conform(spark.read.schema(strings(CSV_COLUMNS)).json(path), strings(CSV_COLUMNS))
 
 
+def _document_blocks(spark, sf) -> tuple[DataFrame, list]:
+    """All documents as postings in blocks of up to 1,000 ids, one saved document each."""
+    docs = S.table(spark, sf, "documents").withColumn("block", F.floor(F.col("doc_id") / 1000))
+    card = F.struct(F.col("doc_id").cast("string").alias("job_id"), F.col("source").alias("job_title"),
+                    F.col("text").alias("job_summary"), F.col("n_chars").alias("unlisted"))
+    return docs, F.collect_list(card)
+
+
+def listing_documents(spark, sf):
+    """Saved listings, each a JSON array of many cards in a file of its own, read back with the card columns."""
+    path = fresh_path(spark, "listings")
+    docs, cards = _document_blocks(spark, sf)
+    docs.groupBy("block").agg(F.to_json(cards).alias("value")).write.partitionBy("block").text(path)
+    return readers.read_listing_json(spark, path, ["job_id", "job_title", "job_summary", "salary"])
+
+
+def site_documents(spark, sf):
+    """Published `{meta, jobs[]}` documents read back as one table of jobs."""
+    path = fresh_path(spark, "site-documents")
+    docs, jobs = _document_blocks(spark, sf)
+    document = F.to_json(F.struct(F.struct(F.count("*").alias("total")).alias("meta"), jobs.alias("jobs")))
+    docs.groupBy("block").agg(document.alias("value")).write.partitionBy("block").text(path)
+    return readers.read_site_document(spark, path, strings(["job_id", "job_title", "job_summary"]))
+
+
+def input_order(spark, sf):
+    """Documents written in order of id; their place by the ordinal of the scan alone."""
+    path = fresh_path(spark, "in-order")
+    S.table(spark, sf, "documents").select("doc_id").orderBy("doc_id").write.parquet(path)
+    return ranks.dense_index(ranks.with_ordinal(spark.read.schema("doc_id long").parquet(path)), ["ord"], "place").drop("ord")
+
+
 def site_published(spark, sf):
     """Site datasets written and read back: jobs per source and the metadata total."""
     path = fresh_path(spark, "site")
@@ -756,6 +788,6 @@ QUERIES = {f.__name__: f for f in [
     listing_links, postings_tables, postings_spans, postings_cells, postings_lists,
     pages_to_master, l2_normalise_vectors,
     similar_top5, similar_top5_blocks, similar_indexed, publish_and_search, row_index, embed_jobs, write_vectors, csv_roundtrip, csv_sources,
-    records_roundtrip, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
+    records_roundtrip, listing_documents, site_documents, input_order, site_published, feed_roundtrip, resumable_append, event_status, profile_status,
     status_stream, profile_stream, profile_stream_arrival, ingest_stream, ingest_restart, dedup_stream,
 ]}

@@ -3,7 +3,7 @@
 The profile table is a base snapshot plus a change log with one folder per run (checkpoint)
 and micro-batch. A batch that runs again replaces its own folder, and the current
 state takes the latest change by (ts, event_id), so replays and late events
-cannot overwrite newer ones.
+cannot overwrite newer ones. Closed batches are merged in levels (`logs`), one change per user left in each.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.events import event_end, event_status
 from ..operators.merge import attach_user
 from ..schemas import PROFILE_SCHEMA
-from ..sources.readers import path_exists
 from ..sources.writers import checkpointed_append, run_id
+from .logs import FAN_IN, Span, merge_closed, spans
 
 EVENT_TIME = ["ts", "event_id"]
 #: For events that carry `arrival`, a number that grows with delivery (such as the offset in their log).
@@ -71,13 +71,23 @@ CHANGE_SCHEMA = T.StructType([
 ])
 
 
+def _as_changes(changes: DataFrame) -> DataFrame:
+    return changes.select(*[(F.col(f.name) if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in CHANGE_SCHEMA])
+
+
 def upsert_profiles(batch: DataFrame, table: str, batch_id: int, customers: DataFrame | Callable[[], DataFrame], run: str = "0",
-                    order: list[str] | None = None) -> None:
+                    order: list[str] | None = None, fan_in: int = FAN_IN) -> None:
     """Log the batch's last change per user by `order`; `customers` may be a function that reads them anew."""
+    spark = batch.sparkSession
+    merge_closed(spark, f"{table}/changes", run, batch_id, lambda some: _as_changes(_last_changes(_read_changes(spark, some), order)),
+                 lambda changes, path: changes.write.parquet(path), fan_in)
     changes = latest_per_user(batch, customers() if callable(customers) else customers, order)
-    typed = changes.select(*[(F.col(f.name) if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                             for f in CHANGE_SCHEMA])
-    checkpointed_append(typed, f"{table}/changes", str(batch_id), run)
+    checkpointed_append(_as_changes(changes), f"{table}/changes", str(batch_id), run)
+
+
+def _read_changes(spark: SparkSession, of: list[Span]) -> DataFrame:
+    return spark.read.schema(CHANGE_SCHEMA).parquet(*[s.path for s in of])
 
 
 def _last_changes(changes: DataFrame, order: list[str] | None) -> DataFrame:
@@ -88,10 +98,10 @@ def _last_changes(changes: DataFrame, order: list[str] | None) -> DataFrame:
 def current_profiles(spark: SparkSession, table: str, order: list[str] | None = None) -> DataFrame:
     """Base profiles with their latest change: updates only, never a new row. `order` is that of `fold_profiles`."""
     base = spark.read.schema(PROFILE_SCHEMA).parquet(f"{table}/base")
-    log = f"{table}/changes"
-    if not path_exists(spark, f"{log}/run=*/batch=*"):
+    log = spans(spark, f"{table}/changes")
+    if not log:
         return base
-    latest = _last_changes(spark.read.schema(CHANGE_SCHEMA).parquet(log), order)
+    latest = _last_changes(_read_changes(spark, log), order)
     joined = base.join(latest, base["id"] == latest["user_id"], "left")
     hit = F.col("user_id").isNotNull()
     new = {"subscription_status": latest["subscription_status"], "stripe_customer_id": F.col("customer"),
@@ -102,8 +112,8 @@ def current_profiles(spark: SparkSession, table: str, order: list[str] | None =
 def compact_profiles(spark: SparkSession, table: str, target: str, order: list[str] | None = None) -> None:
     """Copy the table with one change per user left in its log, which still guards against late events."""
     current_profiles(spark, table, order).write.parquet(f"{target}/base")
-    changes = spark.read.schema(CHANGE_SCHEMA).parquet(f"{table}/changes")
-    checkpointed_append(_last_changes(changes, order), f"{target}/changes", "-1")
+    if log := spans(spark, f"{table}/changes"):
+        checkpointed_append(_as_changes(_last_changes(_read_changes(spark, log), order)), f"{target}/changes", "-1")
 
 
 def fold_profiles(events: DataFrame, customers: DataFrame | Callable[[], DataFrame], table: str, checkpoint: str,

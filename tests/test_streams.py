@@ -4,13 +4,13 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from jobloom.schemas import EVENT_SCHEMA, PROFILE_SCHEMA
 from jobloom.session import fresh_path
 from jobloom.sources import readers
 from jobloom.sources.writers import run_id
-from jobloom.streaming import postings, profiles
+from jobloom.streaming import logs, postings, profiles
 
 START = dt.datetime(2026, 1, 1)
 
@@ -141,3 +141,46 @@ def test_customers_of_each_batch(spark, customers):
         profiles.upsert_profiles(profiles.effective_events(spark.createDataFrame([row], EVENT_SCHEMA)), table, n, lambda: known[0])
         known[0] = customers
     assert states(profiles.current_profiles(spark, table))["u1"][0] == "cancelled"
+
+
+def test_logs_stay_short_and_answers_equal_the_unmerged_ones(spark, events, customers):
+    """Fourteen batches, three spans a level; every fourth batch runs twice."""
+    table, plain = profile_table(spark), profile_table(spark)
+    rows = fresh_path(spark, "test-rows")
+    whole = events.withColumn("n", F.row_number().over(Window.orderBy(F.rand(3)))).cache()
+    for n in range(14):
+        part = whole.where(F.col("n") % 14 == n)
+        for _ in range(2 if n % 4 == 3 else 1):
+            profiles.upsert_profiles(profiles.effective_events(part), table, n, customers, fan_in=3)
+            cards = part.select(F.concat_ws("-", "customer", "type").alias("job_id"), "n")
+            postings.add_new(cards, rows, "r", n, "job_id", ["n"], fan_in=3)
+        for log in (f"{table}/changes", f"{rows}-keys"):
+            found = logs.spans(spark, log)
+            assert len(found) <= 3 * 3 and len(logs._listed(spark, log)) <= 3 * 6
+            assert sorted(b for s in found for b in range(s.first, s.last + 1)) == list(range(n + 1))
+    profiles.upsert_profiles(profiles.effective_events(whole), plain, 0, customers)
+    assert states(profiles.current_profiles(spark, table)) == states(profiles.current_profiles(spark, plain))
+    got = [r.job_id for r in spark.read.parquet(rows).select("job_id").collect()]
+    want = {r[0] for r in whole.select(F.concat_ws("-", "customer", "type")).collect()} - {""}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_merge_that_stops_leaves_the_log_whole(spark):
+    table = fresh_path(spark, "test-stopped")
+    add = lambda n: postings.add_new(spark.createDataFrame([(f"k{n}", n), ("k", n)], "job_id string, n int"), table, "r", n,
+                                     "job_id", ["n"], fan_in=3)
+    for n in range(3):
+        add(n)
+    log = postings.keys_of(table)
+
+    def broken(keys, path):
+        keys.write.parquet(path)
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        logs.merge_closed(spark, log, "r", 3, lambda some: postings._read_keys(spark, log, some, "job_id"), broken, 3)
+    assert [s.level for s in logs.spans(spark, log)] == [0, 0, 0]
+    add(3)  # merges the three; they stay until the next merge
+    assert [(s.first, s.last, s.level) for s in logs.spans(spark, log)] == [(0, 2, 1), (3, 3, 0)]
+    assert len(logs._listed(spark, log)) == 5
+    assert sorted(r.job_id for r in spark.read.parquet(table).collect()) == ["k", "k0", "k1", "k2", "k3"]
