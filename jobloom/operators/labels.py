@@ -7,10 +7,13 @@ key has one row; with `by_part=True` its slices stay apart (`part`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html as H, labels as L
 from ..functions.text import clean, norm_label
+from ..session import fresh_path
 from .keyed import SLICE, ordered_concat, sliced, whole, with_first_match, with_last_match
 
 
@@ -26,6 +29,26 @@ def classify_label_keywords(long: DataFrame, groups) -> DataFrame:
     return long.withColumn("field", L.classify_keywords(norm_label("label", spaces=True), groups))
 
 
+def resolve_once_per_label(long: DataFrame, resolve: Callable[[DataFrame], DataFrame], max_bytes: int = 16 << 20) -> DataFrame:
+    """What `resolve` (one of the functions above) puts into `field`, found once for each distinct label.
+
+    The distinct labels are written to the shared folder and measured. Within `max_bytes` they are resolved there and
+    sent to every task, so rows neither move nor meet a pattern; where labels are mostly unique and
+    exceed it, `resolve` runs on the rows. Both give the same rows, null labels included.
+    """
+    spark = long.sparkSession
+    path = fresh_path(spark, "labels")
+    names = long.select("label")
+    names.distinct().write.parquet(path)
+    distinct = spark.read.schema(names.schema).parquet(path)
+    size = distinct.agg(F.sum(F.coalesce(F.octet_length("label"), F.lit(0)) + 64)).first()[0] or 0
+    if size > max_bytes:
+        return resolve(long)
+    dictionary = resolve(distinct).select(F.col("label").alias("_label"), "field")
+    return (long.drop("field").join(F.broadcast(dictionary), F.col("label").eqNullSafe(F.col("_label")), "left")
+            .drop("_label"))
+
+
 def drop_boilerplate_sections(long: DataFrame, skipped=L.SKIPPED_SECTIONS) -> DataFrame:
     return long.where(~F.lower(F.col("label")).isin(list(skipped)) & (F.col("value") != ""))
 

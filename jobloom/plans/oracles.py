@@ -450,6 +450,7 @@ FROM ({S.plain(S.ORDER_CARDS)}) c WHERE c.job_id NOT IN (SELECT CAST(l_orderkey
   WHEN 'About Us' THEN 'about_us' WHEN 'Key Responsibilities' THEN 'responsibilities' END AS field
 FROM ({S.plain(S.SECTION_LONG)}) l""",
     "resolve_labels_rules": f"SELECT page_id, ord, label, field FROM ({RESOLVED}) r",
+    "resolve_labels_once": f"SELECT page_id, ord, label, field FROM ({RESOLVED}) r",
     "resolve_section_rules": f"""SELECT page_id, ord, label, CASE label WHEN 'Job Summary' THEN 'job_summary'
   WHEN 'About Us' THEN 'about_us' WHEN 'Key Responsibilities' THEN 'responsibilities'
   WHEN 'Compensation Range' THEN 'salary' END AS field

@@ -269,6 +269,12 @@ def resolve_labels_rules(spark, sf):
     return _long(spark, sf).drop("value")
 
 
+def resolve_labels_once(spark, sf):
+    """The same with every distinct label resolved once."""
+    return labels.resolve_once_per_label(
+        S.run(spark, sf, S.LONG), lambda t: labels.resolve_label_rules(t, L.TABLE_LABELS, L.TABLE_RULES)).drop("value")
+
+
 def resolve_section_rules(spark, sf):
     kept = labels.drop_boilerplate_sections(S.run(spark, sf, S.SECTION_LONG))
     return labels.resolve_label_rules(kept, L.SECTION_LABELS, L.SECTION_RULES).drop("value")
@@ -780,7 +786,7 @@ QUERIES = {f.__name__: f for f in [
     top_institutions, quality_by_source, site_meta, parse_dates, job_text, text_scalars, summary_repair,
     new_only_single, new_only_dual, upsert_newest, upsert_canonical, append_new, merge_accounting,
     dedup_dual_keyed, expire_missing, load_existing, enrich_listing, stub_missing, resolve_labels_exact,
-    resolve_labels_rules, resolve_section_rules, classify_keywords_table, classify_keywords_list,
+    resolve_labels_rules, resolve_labels_once, resolve_section_rules, classify_keywords_table, classify_keywords_list,
     pivot_first, pivot_last, pivot_append, pivot_append_shifted, pack_extra, join_duties, join_duties_sparse, attach_followers, take_while,
     listing_valid, fill_rate, fill_share, page_blocks, page_sections, segment_by_heading, page_real_content, page_links,
     page_links_kept, page_apply_link, page_gate, page_shell, page_label_values, page_cell_values,

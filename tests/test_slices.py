@@ -154,3 +154,27 @@ def test_segments_over_parts(spark):
         (1, ""): "intro", (1, "One"): " ".join(f"w{i}" for i in range(11)), (1, "Two"): "x not a heading y",
         (2, ""): "only"}
     assert len(got[(1, "One")]) > 3
+
+
+def test_each_distinct_label_is_resolved_once(spark):
+    names = [None, "", *L.TABLE_LABELS, *L.SECTION_LABELS, "Salary:", "About the job", "No such label", "Closing Date "]
+    long = spark.createDataFrame([(i % 3, i, n, "old") for i, n in enumerate(names * 20)], "k int, ord int, label string, field string")
+    seen = []
+
+    def counted(resolve):
+        def run(table):
+            seen.append(table.count())
+            return resolve(table)
+        return run
+
+    for resolve in (lambda t: labels.resolve_label_rules(t, L.TABLE_LABELS, L.TABLE_RULES),
+                    lambda t: labels.resolve_label_exact(t, L.TABLE_LABELS),
+                    lambda t: labels.classify_label_keywords(t, L.TABLE_GROUPS)):
+        want = sorted(map(tuple, resolve(long).select("k", "ord", "label", "field").collect()), key=str)
+        for size in (16 << 20, 100):
+            got = labels.resolve_once_per_label(long, counted(resolve), size).select("k", "ord", "label", "field")
+            assert sorted(map(tuple, got.collect()), key=str) == want
+    assert seen == [len(set(names)), long.count()] * 3
+    plan = labels.resolve_once_per_label(long, resolve)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert labels.resolve_once_per_label(long.limit(0), resolve).count() == 0
