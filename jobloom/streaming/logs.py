@@ -4,7 +4,8 @@ A log has a folder per run (checkpoint) and span of batches: `run=R/batch=N`, an
 batches A to B after L merges. Once a level of a run holds `FAN_IN` closed spans they become one span of
 the next level, so a log of n batches has at most `FAN_IN` spans per level and log(n) levels, and each row is
 rewritten once per level. A merged span appears by rename, and the spans it covers go at the next merge of their run:
-a reader that lists the log at any time finds every batch exactly once. A batch that may still run again
+a reader that lists the log at any time finds every batch exactly once, and may read what it listed until the merge
+after next (`FAN_IN` batches at least). A batch that may still run again
 (the newest of its run) is never merged.
 """
 
