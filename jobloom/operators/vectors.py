@@ -107,7 +107,7 @@ def _blockwise(q: DataFrame, v: DataFrame, k: int, rows: int) -> DataFrame:
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": a["query_id"].to_numpy()[:0], "id": b["id"].to_numpy()[:0], "score": np.zeros(0)})
         return _scored(a["query_id"].to_numpy(), _matrix(a["embedding"]), b, k)
 
     kinds = dict(q.dtypes)["query_id"], dict(v.dtypes)["id"]
