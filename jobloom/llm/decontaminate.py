@@ -1,8 +1,9 @@
 """Operator 7: benchmark decontamination by latent semantic retrieval and longest common subsequence.
 
-Fit: a randomised SVD of the TF-IDF matrix of passages (all benchmark items and passages of a bounded
-sample of documents; features are hashed words, document frequencies come from all documents). Rows
-stay on the executors: each round sends one features-by-rank product per task, summed in blocks.
+Fit: a randomised SVD of the TF-IDF matrix of all passages of all documents and benchmark items
+(features are hashed words, document frequencies come from all documents). Rows stay on the executors:
+each round is one pass that sends one features-by-rank product per task, summed in blocks, and the last
+product gives the directions too (Nystroem), so no pass goes into values alone.
 The right singular vectors, scaled by the inverse singular values, map words to a latent space.
 
 Search: every window of every whole document (windows as long as the items, a quarter apart) is compared
@@ -27,7 +28,7 @@ from . import common
 
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
-RANK, EXTRA, ROUNDS = 64, 8, 2
+RANK, EXTRA, ROUNDS = 64, 8, 1
 PASSAGE = 48
 #: Items of fewer words are too short to be told by chance from common words: all of it, in one piece.
 SHORT = 8
@@ -41,6 +42,8 @@ ITEMS_PER_PASS = 4_000
 CELLS = 1 << 22
 #: Bytes of text worked on at a time: every word has a latent vector meanwhile.
 CHUNK = 400_000
+#: Bytes of text that a task of the fit has at least, where one pass has more tasks than cores: each sends a whole product.
+TASK_BYTES = 64 << 20
 BLOCK_ROWS = 1024
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -117,7 +120,8 @@ def passages(texts, weight: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np
     """TF-IDF rows of unit length (row, feature, value) of the `PASSAGE`-word passages of texts."""
     words = words_of(texts)
     place = np.arange(len(words.row)) - words.edges[words.row]
-    _, passage = np.unique(words.row * (1 << 32) + place // PASSAGE, return_inverse=True)
+    # words come by row and place, so a passage begins where either changes
+    passage = np.cumsum(np.diff(words.row * (1 << 32) + place // PASSAGE, prepend=-1) != 0) - 1
     keys, tf = np.unique(passage * FEATURES + features(words.prints), return_counts=True)
     row, feature = np.divmod(keys, FEATURES)
     value = tf * idf[feature]
@@ -128,18 +132,31 @@ def passages(texts, weight: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np
     return row, feature, value / np.where(length == 0, 1, length)[row] * weight[of][row], n
 
 
-def _times(row, feature, value, n, right: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix."""
-    out = np.zeros((n, right.shape[1]), np.float32)
-    if len(row):
-        np.add.reduceat(right[feature] * value[:, None].astype(np.float32), np.flatnonzero(np.diff(row, prepend=-1)), axis=0, out=out)
-    return out
+def add_product(total: np.ndarray, row, feature, value, n, right: np.ndarray) -> None:
+    """Add A'A times a dense matrix for sparse rows A, in place: a row's features are distinct and in the cache."""
+    value = value.astype(np.float32)
+    edges = np.searchsorted(row, np.arange(n + 1)).tolist()
+    for a, b in zip(edges[:-1], edges[1:]):
+        f, v = feature[a:b], value[a:b]
+        total[f] += v[:, None] * (v @ right[f])
+
+
+def fit_rows(docs: DataFrame, items: DataFrame, weight: float) -> DataFrame:
+    """`text, weight` of all documents with text and all items, in few tasks: each sends a whole product (9 MB) in every pass."""
+    texts = docs.where("text is not null").select("text", F.lit(1.0).alias("weight"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every = texts.union(items.select("text", F.lit(float(weight)).alias("weight")))
+    return every.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
 
-def fit(sample: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Latent vectors (features x `RANK`) of `sample(text, weight)`, idf and whitening folded in."""
-    spark = sample.sparkSession
-    basis = np.random.default_rng(seed).normal(size=(FEATURES, RANK + EXTRA)).astype(np.float32)
+def fit(rows: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Latent vectors (features x `RANK`) of `rows(text, weight)`, idf and whitening folded in.
+
+    `ROUNDS` passes over all rows turn the basis to the largest directions of A'A; one more gives its product with
+    them, from which come directions and singular values.
+    """
+    spark = rows.sparkSession
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(FEATURES, RANK + EXTRA)))[0].astype(np.float32)
     for step in range(ROUNDS + 1):
         shared = spark.sparkContext.broadcast((basis, idf))
 
@@ -149,26 +166,26 @@ def fit(sample: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
             for batch in batches:
                 for part in common.parts(batch, limit=CHUNK):
                     row, feature, value, n = passages(part.column(0), part.column(1).to_numpy(), idf)
-                    image = _times(row, feature, value, n, basis)
-                    order = np.argsort(feature, kind="stable")
-                    kinds, starts = np.unique(feature[order], return_index=True)
-                    if len(kinds):
-                        total[kinds] += np.add.reduceat(image[row[order]] * value[order, None].astype(np.float32), starts, axis=0)
+                    add_product(total, row, feature, value, n, basis)
             yield _blocks(total, 0)
 
-        rows = sample.mapInArrow(multiply, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
-        image = np.zeros_like(basis)
-        for r in rows:
+        sums = rows.mapInArrow(multiply, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
+        image = np.zeros(basis.shape)
+        for r in sums:
             image[r["block"] * BLOCK_ROWS:(r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(bytes(r["sums"]), np.float32).reshape(BLOCK_ROWS, -1)
         shared.destroy()
         if step < ROUNDS:
-            basis = np.linalg.qr(image.astype(np.float64))[0].astype(np.float32)
-    # basis' (A'A) basis holds the squared singular values of A in the basis
-    squares, turn = np.linalg.eigh((basis.T @ image).astype(np.float64))
-    squares, turn = squares[::-1][:RANK], turn[:, ::-1][:, :RANK]
-    scale = 1 / np.sqrt(np.maximum(squares, 1e-9 * max(squares[0], 1e-30)))
-    scale[squares <= 1e-9 * max(squares[0], 1e-30)] = 0
-    return ((basis @ turn) * scale * idf[:, None]).astype(np.float32)
+            basis = np.linalg.qr(image)[0].astype(np.float32)
+    # Nystroem: A'A is near image (basis' image)^-1 image', so one more turn of the basis comes with the last pass
+    inner, turn = np.linalg.eigh(basis.astype(np.float64).T @ image)
+    used = inner > 1e-6 * max(inner[-1], 1e-30)
+    directions, sizes = np.linalg.svd(image @ (turn[:, used] / np.sqrt(inner[used])), full_matrices=False)[:2]
+    latent = np.zeros((FEATURES, RANK))
+    sizes = sizes[:RANK]
+    # rows of no word at all have no direction; sizes are the singular values of A
+    held = sizes > 3e-5 * max(sizes[0] if len(sizes) else 0.0, 1e-30)
+    latent[:, :len(sizes)][:, held] = directions[:, :RANK][:, held] / sizes[held]
+    return (latent * idf[:, None]).astype(np.float32)
 
 
 # ---------------------------------------------------------------------------
@@ -333,7 +350,7 @@ def leaks(texts, index: Index, least_cosine: float, sure: float, likely: float)
     return list(best.values())
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, sample_docs: int = 4_000, least_cosine: float = 0.65,
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.65,
                     sure: float = 0.75, likely: float = 0.55) -> DataFrame:
     """`doc_id, item_id, share, cosine, first_word, last_word` for every document that holds a benchmark item.
 
@@ -343,7 +360,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, sample_docs: int = 4_
     of the first piece). For an item longer than the longest window, the window must be like one of its parts,
     and the shares are those of the whole item in a passage of its length round that window; the cosine given
     is the part's. The words given are those of the widened window or passage.
-    `sample_docs` bounds the documents that the latent space is fitted on.
+    The latent space is fitted on all passages of all documents and items.
 
     Null and empty documents hold nothing, null and empty items are held by nothing. Null ids are carried
     as they are; repeated rows each give a row; empty tables give an empty result; other columns are ignored.
@@ -355,13 +372,10 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, sample_docs: int = 4_
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, share double, cosine double, first_word long, last_word long"
     frequency, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + frequency)).astype(np.float32)
-    share = min(1.0, sample_docs / max(total, 1))
-    some = common.drawn(docs.where("text is not null"), share, "text")
-    # items weigh as much as the sample, so that the space tells them apart
+    # items weigh as much as the documents, so that the space tells them apart
     n_items = items.count()
-    weight = max(1.0, (min(total, sample_docs) * 10 / max(n_items, 1)) ** 0.5)
-    sample = some.select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(float(weight)).alias("weight")))
-    latent = fit(common.saved(sample, "leak-sample"), idf)
+    weight = max(1.0, (total * 10 / max(n_items, 1)) ** 0.5)
+    latent = fit(fit_rows(docs, items, weight), idf) if n_items else np.zeros((FEATURES, RANK), np.float32)
 
     passes = max(1, -(-n_items // ITEMS_PER_PASS))
     out = None

@@ -121,6 +121,15 @@ def test_given_tables(spark, monkeypatch, passes):
     assert want <= got and len(got) <= 1.1 * len(want) + 1
 
 
+def test_space_is_fitted_on_all_documents(spark, monkeypatch):
+    fitted, fit = [], D.fit
+    monkeypatch.setattr(D, "fit", lambda rows, idf, *rest: fitted.append(rows.collect()) or fit(rows, idf, *rest))
+    docs = [(i, f"w{i} and w{i + 1} of w{i + 2}" if i % 100 else None, "", 0, 0) for i in range(4500)] + [(1, "w1 and w2 of w3", "", 0, 0)]
+    items = [(1, "a b c d e f g h i j", "")]
+    D.benchmark_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted(r.text for r in fitted[0]) == sorted([d[1] for d in docs if d[1]] + [items[0][1]])
+
+
 def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c", "", 0, 0)], DOCS)
     none, no_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
