@@ -437,13 +437,15 @@ def page_to_posting(pages: DataFrame, cards: DataFrame, style: str, **options) -
     """Full detail job: parse pages, then one row per card, stubs included.
 
     Cards hold `page_id`, `url` and the listing's columns; both tables have one row
-    per `page_id`, which is the only key that moves.
+    per `page_id`, which is the only key that moves. Pages are dealt to the join's partitions
+    before they are parsed: however few files or row groups they come in, all tasks parse,
+    and the parsed rows do not move again.
     """
     parse = {"tables": postings_from_tables, "spans": postings_from_spans, "cells": postings_from_cells,
              "lists": postings_from_lists}[style]
     if "title" in cards.columns:
         cards = cards.withColumnRenamed("title", "job_title")
-    rows = enrich_listing(cards, parse(pages, **options), "page_id", CARD_POLICY[style], url="url")
+    rows = enrich_listing(cards, parse(pages.repartition("page_id"), **options), "page_id", CARD_POLICY[style], url="url")
     if style == "tables":  # this portal's rows get an apply link only from a page
         rows = rows.withColumn("apply_link", F.when(F.col("stub"), "").otherwise(F.col("apply_link")))
     if style == "cells":

@@ -213,3 +213,15 @@ def test_numbered_spans_by_number_and_first_of_an_id(spark):
     assert df.select(H.numbered(spans, kinds)).head()[0] == [["zero", ""], ["one", "in first"]]
     assert df.select(H.numbered(spans, kinds, 1)).head()[0] == [["zero", ""]]
     assert df.select(H.numbered(spans, [("X$", "")])).head()[0] == []
+
+
+def test_pages_of_one_file_are_dealt_before_they_are_parsed(spark):
+    page = '<h1 class="posting-header">T{0}</h1><dl><dt>Rank:</dt><dd>Staff</dd></dl><div class="posting-description"><p>Text {0}</p></div>'
+    landed = spark.createDataFrame([(i, "u", page.format(i)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    cards = spark.createDataFrame([(i, "u", "Card") for i in range(50)], "page_id long, url string, title string")
+    out = pages.page_to_posting(landed, cards, "lists", base="https://x.org")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert 0 < plan.index("posting-description") < dealt  # the parse lies above the exchange
+    assert {(r.page_id, r.job_title, r.job_summary) for r in out.collect()} == {
+        (i, f"T{i}" if i < 40 else "Card", f"Text {i}" if i < 40 else "") for i in range(50)}
