@@ -1,8 +1,8 @@
 """Operator 7: benchmark decontamination by latent semantic retrieval and longest common subsequence.
 
 Fit: a randomised SVD of the TF-IDF matrix of all passages of all documents and benchmark items
-(features are hashed words, document frequencies come from all documents). Rows stay on the executors:
-each round is one pass that sends one features-by-rank product per task, summed in blocks, and the last
+(features are hashed words, document frequencies come from all documents). Words are cut once and written as
+features, two bytes each; frequencies and rounds read those. Rows stay on the executors: each round is one pass that sends one features-by-rank product per task, summed in blocks, and the last
 product gives the directions too (Nystroem), so no pass goes into values alone.
 The right singular vectors, scaled by the inverse singular values, map words to a latent space.
 
@@ -30,6 +30,9 @@ FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 RANK, EXTRA, ROUNDS = 64, 8, 1
 PASSAGE = 48
+#: Passages that are multiplied together: as dense rows over the features that one of them has.
+TOGETHER_BITS = 3
+TOGETHER = 1 << TOGETHER_BITS
 #: Items of fewer words are too short to be told by chance from common words: all of it, in one piece.
 SHORT = 8
 #: Window lengths in words; an item, or a part of a longer one, is sought in those of the first length that holds it.
@@ -64,11 +67,12 @@ def words_of(texts) -> Words:
     data = common.lowered(data)
     starts, ends, row = common.word_spans(offsets, data)
     inner = np.append(np.flatnonzero(~_EDGE[data]), len(data))
-    low = inner[np.searchsorted(inner, starts)]
-    keep = low < ends  # words of punctuation alone are left out
-    starts, ends, row = low[keep], ends[keep], row[keep]
-    if len(starts):
-        ends = inner[np.searchsorted(inner, ends) - 1] + 1
+    edge = np.flatnonzero(_EDGE[data[starts]])
+    starts[edge] = inner[np.searchsorted(inner, starts[edge])]
+    keep = starts < ends  # words of punctuation alone are left out
+    starts, ends, row = starts[keep], ends[keep], row[keep]
+    edge = np.flatnonzero(_EDGE[data[ends - 1]])
+    ends[edge] = inner[np.searchsorted(inner, ends[edge]) - 1] + 1
     return Words(common.Spans(data).of(starts, ends), row, np.searchsorted(row, np.arange(len(offsets))))
 
 
@@ -81,19 +85,47 @@ def features(prints: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------------------
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How many documents have each feature, over all documents, and how many documents there are."""
-    def count(batches):
-        total, n = np.zeros(FEATURES, np.int64), 0
+def feature_rows(rows: DataFrame) -> DataFrame:
+    """`weight, words` of every row of `rows(text, weight)`: the features of all its words in order, two bytes each."""
+    def cut(batches):
         for batch in batches:
             for part in common.parts(batch, limit=CHUNK):
                 words = words_of(part.column(0))
-                once = np.unique(words.row * FEATURES + features(words.prints))
+                raw = features(words.prints).astype("<u2").tobytes()
+                edges = (2 * words.edges).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([raw[a:b] for a, b in zip(edges, edges[1:])], pa.binary())], ["weight", "words"])
+
+    return rows.select("text", "weight").mapInArrow(cut, "weight double, words binary")
+
+
+class Features(NamedTuple):
+    """What `Words` has, with features for fingerprints."""
+
+    feature: np.ndarray
+    row: np.ndarray
+    edges: np.ndarray
+
+
+def features_of(words: pa.Array) -> Features:
+    """The features of a chunk of `feature_rows`."""
+    offsets, data = common.utf8(words)
+    sizes = np.diff(offsets) // 2
+    return Features(data.view("<u2").astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), offsets // 2)
+
+
+def document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
+    """How many rows of `feature_rows` have each feature, over all rows, and how many rows there are."""
+    def count(batches):
+        total, n = np.zeros(FEATURES, np.int64), 0
+        for batch in batches:
+            for part in common.parts(batch, "words", CHUNK // 3):
+                held = features_of(part.column(0))
+                once = np.unique(held.row * FEATURES + held.feature)
                 total += np.bincount(once % FEATURES, minlength=FEATURES)
                 n += part.num_rows
         yield _blocks(total.astype(np.float32), n)
 
-    rows = docs.select("text").mapInArrow(count, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
+    rows = words.select("words").mapInArrow(count, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
     out = np.zeros(FEATURES)
     for r in rows:
         out[r["block"] * BLOCK_ROWS:(r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(bytes(r["sums"]), np.float32)
@@ -117,15 +149,25 @@ def _sum_blocks(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def passages(texts, weight: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """TF-IDF rows of unit length (row, feature, value) of the `PASSAGE`-word passages of texts."""
+    """TF-IDF rows of unit length (row, feature, value) of the `PASSAGE`-word passages of texts, as `passage_rows` gives them."""
     words = words_of(texts)
+    return passage_rows(Features(features(words.prints), words.row, words.edges), weight, idf)
+
+
+def passage_rows(words: Features, weight: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Row, feature and value of the passages of texts, and the number of passages; by `TOGETHER` rows, then feature, then row."""
     place = np.arange(len(words.row)) - words.edges[words.row]
     # words come by row and place, so a passage begins where either changes
     passage = np.cumsum(np.diff(words.row * (1 << 32) + place // PASSAGE, prepend=-1) != 0) - 1
-    keys, tf = np.unique(passage * FEATURES + features(words.prints), return_counts=True)
-    row, feature = np.divmod(keys, FEATURES)
+    keys = (passage >> TOGETHER_BITS << FEATURE_BITS | words.feature) << TOGETHER_BITS | passage & TOGETHER - 1
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1) != 0)
+    tf = np.diff(first, append=len(keys))
+    keys = keys[first]
+    feature = keys >> TOGETHER_BITS & FEATURES - 1
+    row = keys >> FEATURE_BITS + TOGETHER_BITS << TOGETHER_BITS | keys & TOGETHER - 1
     value = tf * idf[feature]
-    n = int(row.max()) + 1 if len(row) else 0
+    n = int(passage[-1]) + 1 if len(passage) else 0
     length = np.sqrt(np.bincount(row, weights=value ** 2, minlength=n))
     of = np.zeros(n, np.int64)
     of[passage] = words.row
@@ -133,29 +175,41 @@ def passages(texts, weight: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np
 
 
 def add_product(total: np.ndarray, row, feature, value, n, right: np.ndarray) -> None:
-    """Add A'A times a dense matrix for sparse rows A, in place: a row's features are distinct and in the cache."""
+    """Add A'A times a dense matrix for sparse rows A in the order of `passage_rows`, in place, `TOGETHER` rows at a time."""
     value = value.astype(np.float32)
-    edges = np.searchsorted(row, np.arange(n + 1)).tolist()
+    several, member = row >> TOGETHER_BITS, row & TOGETHER - 1
+    new = np.diff(several << FEATURE_BITS | feature, prepend=-1) != 0
+    column, heads = np.cumsum(new) - 1, feature[new]
+    edges = np.searchsorted(several, np.arange(-(-n // TOGETHER) + 1)).tolist()
     for a, b in zip(edges[:-1], edges[1:]):
-        f, v = feature[a:b], value[a:b]
-        total[f] += v[:, None] * (v @ right[f])
+        low, high = int(column[a]), int(column[b - 1]) + 1
+        dense = np.zeros((TOGETHER, high - low), np.float32)
+        dense[member[a:b], column[a:b] - low] = value[a:b]
+        at = heads[low:high]
+        total[at] += dense.T @ (dense @ right.take(at, axis=0))
 
 
 def fit_rows(docs: DataFrame, items: DataFrame, weight: float) -> DataFrame:
-    """`text, weight` of all documents with text and all items, in few tasks: each sends a whole product (9 MB) in every pass."""
-    texts = docs.where("text is not null").select("text", F.lit(1.0).alias("weight"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    every = texts.union(items.select("text", F.lit(float(weight)).alias("weight")))
-    return every.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+    """`text, weight` of all documents with text and all items."""
+    return docs.where("text is not null").select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(float(weight)).alias("weight")))
 
 
-def fit(rows: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
+def in_few_tasks(words: DataFrame) -> DataFrame:
+    """`words, weight` in few tasks: each sends a whole product (9 MB) in every pass."""
+    size = words.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    # a word and what follows it are some six bytes of text
+    return words.coalesce(max(words.sparkSession.sparkContext.defaultParallelism, -(-3 * size // TASK_BYTES)))
+
+
+def fit(rows: DataFrame, idf: np.ndarray, words: DataFrame | None = None, seed: int = 5) -> np.ndarray:
     """Latent vectors (features x `RANK`) of `rows(text, weight)`, idf and whitening folded in.
 
+    `words` are the same rows as `feature_rows` gives them, where they are written already.
     `ROUNDS` passes over all rows turn the basis to the largest directions of A'A; one more gives its product with
     them, from which come directions and singular values.
     """
     spark = rows.sparkSession
+    words = in_few_tasks(common.saved(feature_rows(rows), "leak-words") if words is None else words)
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(FEATURES, RANK + EXTRA)))[0].astype(np.float32)
     for step in range(ROUNDS + 1):
         shared = spark.sparkContext.broadcast((basis, idf))
@@ -164,12 +218,12 @@ def fit(rows: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
             basis, idf = shared.value
             total = np.zeros((FEATURES, basis.shape[1]), np.float32)
             for batch in batches:
-                for part in common.parts(batch, limit=CHUNK):
-                    row, feature, value, n = passages(part.column(0), part.column(1).to_numpy(), idf)
+                for part in common.parts(batch, "words", CHUNK // 3):
+                    row, feature, value, n = passage_rows(features_of(part.column(1)), part.column(0).to_numpy(), idf)
                     add_product(total, row, feature, value, n, basis)
             yield _blocks(total, 0)
 
-        sums = rows.mapInArrow(multiply, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
+        sums = words.mapInArrow(multiply, _BLOCKS).groupBy("block").applyInPandas(_sum_blocks, _BLOCKS).collect()
         image = np.zeros(basis.shape)
         for r in sums:
             image[r["block"] * BLOCK_ROWS:(r["block"] + 1) * BLOCK_ROWS] = np.frombuffer(bytes(r["sums"]), np.float32).reshape(BLOCK_ROWS, -1)
@@ -200,7 +254,7 @@ class Item(NamedTuple):
 
 
 class Index(NamedTuple):
-    latent: np.ndarray
+    latent: np.ndarray  # a row for each feature, and one of zeros
     items: list[Item]
     vectors: np.ndarray  # unit rows, for every item or part of one
     length: np.ndarray  # place in LENGTHS, of each vector
@@ -237,10 +291,22 @@ def index_items(rows: list, latent: np.ndarray) -> Index:
             of.append(len(items) - 1)
             offset.append(start)
     runs = [(n, np.array([p for p, _ in sorted(held)], np.uint64), np.array([i for _, i in sorted(held)])) for n, held in sorted(short.items())]
-    return Index(latent, items, np.array(vectors, np.float32).reshape(len(vectors), latent.shape[1]), np.array(length, int),
+    return Index(np.concatenate([latent, np.zeros((1, latent.shape[1]), np.float32)]), items, np.array(vectors, np.float32).reshape(len(vectors), latent.shape[1]), np.array(length, int),
                  np.array(of, int), np.array(offset, int), runs)
 
 
+def running_sums(rows: np.ndarray, step: int = 16) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... rows: within blocks of `step` rows, all blocks at once, then over blocks."""
+    n, width = rows.shape
+    blocks = np.zeros((-(-(n + 1) // step) * step, width), rows.dtype)
+    blocks[1:n + 1] = rows
+    blocks = blocks.reshape(-1, step, width)
+    for j in range(1, step):
+        blocks[:, j] += blocks[:, j - 1]
+    blocks[1:] += np.cumsum(blocks[:-1, -1], axis=0)[:, None]
+    return blocks.reshape(-1, width)[:n + 1]
+
+
 def run_prints(prints: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of the `n` words from each word on that has so many."""
     out = prints[:max(0, len(prints) - n + 1)].copy()
@@ -299,9 +365,14 @@ def leaks(texts, index: Index, least_cosine: float, sure: float, likely: float)
     first = ends_at - grains
     of = np.repeat(np.arange(len(counts)), grains)
     places = words.edges[of] + (np.arange(len(of)) - first[of]) * GRAIN
-    sums = np.zeros((len(of) + 1, index.latent.shape[1]), np.float32)
+    sums = np.zeros((1, index.latent.shape[1]), np.float32)
     if len(of):
-        np.cumsum(np.add.reduceat(index.latent[features(words.prints)], places, axis=0), axis=0, out=sums[1:])
+        feature, last = features(words.prints), words.edges[1:][of]
+        grain = index.latent.take(feature[places], axis=0)
+        for j in range(1, GRAIN):
+            at = places + j
+            grain += index.latent.take(np.where(at < last, feature[np.minimum(at, len(feature) - 1)], FEATURES), axis=0)
+        sums = running_sums(grain)
     out = _short_leaks(words, index)
     for k in np.unique(index.length):
         mine = np.flatnonzero(index.length == k)
@@ -314,10 +385,11 @@ def leaks(texts, index: Index, least_cosine: float, sure: float, likely: float)
         block = max(256, min(65_536, CELLS // len(mine)))
         for a in range(0, len(row), block):
             b = slice(a, a + block)
-            vectors = sums[end[b]] - sums[start[b]]
+            vectors = sums.take(end[b], axis=0)
+            vectors -= sums.take(start[b], axis=0)
             vectors /= np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-30)[:, None]
             cosine = vectors @ index.vectors[mine].T
-            at, which = np.nonzero(cosine >= least_cosine)
+            at, which = np.divmod(np.flatnonzero(cosine.ravel() >= least_cosine), len(mine))
             order = np.lexsort((-cosine[at, which], index.of[mine[which]], row[b][at]))
             found, now, tried = None, None, set()
             for i in order.tolist():
@@ -370,12 +442,18 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float =
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", "text").where("text is not null").dropDuplicates()
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, share double, cosine double, first_word long, last_word long"
-    frequency, total = document_frequencies(docs)
-    idf = np.log((1 + total) / (1 + frequency)).astype(np.float32)
-    # items weigh as much as the documents, so that the space tells them apart
-    n_items = items.count()
-    weight = max(1.0, (total * 10 / max(n_items, 1)) ** 0.5)
-    latent = fit(fit_rows(docs, items, weight), idf) if n_items else np.zeros((FEATURES, RANK), np.float32)
+    with common.small_batches(spark):
+        words = common.saved(feature_rows(docs.select("text", F.lit(1.0).alias("weight"))), "leak-words")
+        frequency, total = document_frequencies(words)
+        idf = np.log((1 + total) / (1 + frequency)).astype(np.float32)
+        # items weigh as much as the documents, so that the space tells them apart
+        n_items = items.count()
+        weight = max(1.0, (total * 10 / max(n_items, 1)) ** 0.5)
+        latent = np.zeros((FEATURES, RANK), np.float32)
+        if n_items:
+            rows = fit_rows(docs, items, weight)
+            latent = fit(rows, idf, words.union(feature_rows(items.select("text", F.lit(float(weight)).alias("weight")))))
+        common.removed(words)
 
     passes = max(1, -(-n_items // ITEMS_PER_PASS))
     out = None
@@ -412,5 +490,6 @@ def decontamination_stage(spark, docs, sf_dir):
     """
     named = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     leaked = benchmark_leaks(named.select(F.col("__row").alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    gone = common.saved(leaked.select(F.col("doc_id").alias("__row")).distinct(), "leak-rows")
+    with common.small_batches(spark):
+        gone = common.saved(leaked.select(F.col("doc_id").alias("__row")).distinct(), "leak-rows")
     return named.join(gone, "__row", "left_anti").select(docs.columns)

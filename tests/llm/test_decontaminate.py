@@ -135,3 +135,50 @@ def test_empty_tables(spark):
     none, no_items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert D.benchmark_leaks(some, no_items).count() == 0
     assert D.benchmark_leaks(none, spark.createDataFrame([(1, "a b c", "")], ITEMS)).count() == 0
+
+
+def test_fit_reads_the_written_features(spark):
+    r = random.Random(3)
+    texts = [" ".join(story(r, n)) for n in (0, 1, 48, 49, 500, 3000)] + ["-- a, b! ...", None]
+    rows = spark.createDataFrame([(t, 1.0 + i) for i, t in enumerate(texts)], "text string, weight double")
+    words = D.feature_rows(rows)
+    got = sorted((x.weight, bytes(x.words)) for x in words.collect())
+    assert [np.frombuffer(w, "<u2").tolist() for _, w in got] == [D.features(D.words_of(pa.array([t], pa.string())).prints).tolist() for t in texts]
+    idf = np.linspace(1, 2, D.FEATURES).astype(np.float32)
+    unread = rows.selectExpr("raise_error(text) AS text", "weight")
+    assert np.allclose(D.fit(unread, idf, words), D.fit(rows, idf), rtol=1e-3, atol=1e-4)
+    frequency, n = D.document_frequencies(words)
+    assert n == len(texts) and frequency.sum() == sum(len(set(np.frombuffer(w, "<u2").tolist())) for _, w in got)
+
+
+def test_product_of_passages_together():
+    r = random.Random(6)
+    texts = pa.array([" ".join(story(r, n)) for n in (0, 700, 3, 0, 48, 1999)])
+    row, feature, value, n = D.passages(texts, np.arange(1.0, 7.0), np.ones(D.FEATURES, np.float32))
+    dense = np.zeros((n, D.FEATURES))
+    dense[row, feature] = value
+    right = np.random.default_rng(0).normal(size=(D.FEATURES, 5)).astype(np.float32)
+    total = np.ones((D.FEATURES, 5), np.float32)
+    D.add_product(total, row, feature, value, n, right)
+    assert np.allclose(total, 1 + dense.T @ (dense @ right), atol=1e-3)
+    assert np.array_equal(np.unique(row), np.arange(n)) and np.allclose((dense ** 2).sum(axis=1), [4] * 15 + [9] + [25] + [36] * 42)
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 100])
+def test_running_sums(n):
+    rows = np.random.default_rng(n).normal(size=(n, 3)).astype(np.float32)
+    assert np.allclose(D.running_sums(rows), np.concatenate([np.zeros((1, 3)), np.cumsum(rows, axis=0)]), atol=1e-4)
+
+
+def test_stage_takes_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, sizes, saved = spark.conf.get(key), [], D.common.saved
+    monkeypatch.setattr(D.common, "saved", lambda *rest: sizes.append(spark.conf.get(key)) or saved(*rest))
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j", "", 0, 0), (2, "other words", "", 0, 0)], DOCS)
+    kept = D.decontamination_stage(spark, docs, _folder(spark, [(1, "a b c d e f g h i j")]))
+    assert [r.doc_id for r in kept.collect()] == [2]
+    assert sizes == [str(D.common.BATCH_BYTES)] * 2 and spark.conf.get(key) == before
+    rows = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 2000) AS text")
+    many = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    with D.common.small_batches(spark):
+        assert max(r.n for r in rows.mapInArrow(many, "n long").collect()) < 1500
