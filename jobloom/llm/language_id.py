@@ -135,20 +135,21 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, keep:
     """
     common.ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((languages, prototypes.astype(np.float32)))
-    inner = docs.select(*keep, F.col("text").alias("__text"))
-    schema = inner.drop("__text").schema.add(into[0], "string").add(into[1], "double")
+    # a text that is kept travels once
+    inner = docs.select(*keep, *(["text"] if "text" not in keep else []))
+    schema = inner.select(*keep).schema.add(into[0], "string").add(into[1], "double")
 
     def label(batches):
         languages, prototypes = model.value
         for batch in batches:
-            for part in common.parts(batch, "__text", limit=400_000):
-                vectors, has_letter = document_vectors(part.column(part.num_columns - 1).to_pylist(), prototypes.shape[1])
+            for part in common.parts(batch, limit=400_000):
+                vectors, has_letter = document_vectors(part.column(part.schema.names.index("text")).to_pylist(), prototypes.shape[1])
                 cosines = _unit_rows(vectors) @ prototypes.T if languages else np.zeros((len(vectors), 1))
                 best = cosines.argmax(axis=1)
                 known = has_letter & bool(languages)
                 score = np.where(known, np.clip(cosines.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    part.columns[:-1] + [pa.array([languages[b] if k else "und" for b, k in zip(best, known)], pa.string()),
+                    part.columns[:len(keep)] + [pa.array([languages[b] if k else "und" for b, k in zip(best, known)], pa.string()),
                                          pa.array(score, pa.float64())], schema.names)
 
     return inner.mapInArrow(label, schema)

@@ -79,3 +79,13 @@ def test_memory_of_many_short_texts():
     tracemalloc.stop()
     assert peak < 120e6
     assert np.array_equal(vectors[::997], np.concatenate([L.document_vectors([t])[0] for t in texts[::997]]))
+
+
+def test_stage_sends_each_text_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "some plain words of text", "en"), (2, None, "en")], "doc_id long, text string, lang string")
+    sent, send = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *rest: sent.append(self.columns) or send(self, *rest))
+    from jobloom.llm.language_id import language_stage
+
+    assert [r.doc_id for r in language_stage(spark, docs, "").collect()] == [1]
+    assert sent[-1] == docs.columns
