@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)  # 0 is "no personal data"
 WINDOW, STRIDE, REACH = 128, 64, 64
 HIDDEN = 24
+#: Bytes of text worked on at a time.
+CHUNK = 2_000_000
 TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s*(?i:at)\s*[)\]}>]")
 
 # ---------------------------------------------------------------------------
@@ -135,21 +137,25 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray):
-    """Hidden states (time, rows, units) for symbols `x` (time, rows), and what the way back needs."""
+def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, keep: bool = False):
+    """Hidden states (time, rows, units) for symbols `x` (time, rows), and, to `keep`, what the way back needs."""
     steps, rows = x.shape
-    pre = wx[x] + wx[-1]
     h, c = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
-    hs, gates, cells = np.empty((steps, rows, HIDDEN), np.float32), np.empty((steps, rows, 4 * HIDDEN), np.float32), np.empty((steps + 1, rows, HIDDEN), np.float32)
-    cells[0] = 0
+    hs = np.empty((steps, rows, HIDDEN), np.float32)
+    gates = np.empty((steps, rows, 4 * HIDDEN), np.float32) if keep else None
+    cells = np.empty((steps + 1, rows, HIDDEN), np.float32) if keep else None
+    if keep:
+        cells[0] = 0
     for t in range(steps):
-        z = pre[t] + h @ wh
+        z = wx[x[t]] + wx[-1] + h @ wh
         z[:, :3 * HIDDEN] = _sigmoid(z[:, :3 * HIDDEN])
         z[:, 3 * HIDDEN:] = np.tanh(z[:, 3 * HIDDEN:])
         i, f, o, g = (z[:, k * HIDDEN:(k + 1) * HIDDEN] for k in range(4))
         c = f * c + i * g
         h = o * np.tanh(c)
-        hs[t], gates[t], cells[t + 1] = h, z, c
+        hs[t] = h
+        if keep:
+            gates[t], cells[t + 1] = z, c
     return hs, gates, cells
 
 
@@ -183,8 +189,8 @@ def _lstm_back(x, wx, wh, hs, gates, cells, dh_out):
 
 def tag_scores(network: Network, x: np.ndarray, keep: bool = False):
     """Scores (time, rows, tags) of symbols (time, rows)."""
-    forward = _lstm(x, network.xf, network.hf)
-    backward = _lstm(x[::-1], network.xb, network.hb)
+    forward = _lstm(x, network.xf, network.hf, keep)
+    backward = _lstm(x[::-1], network.xb, network.hb, keep)
     states = np.concatenate([forward[0], backward[0][::-1], np.ones((*x.shape, 1), np.float32)], axis=2)
     scores = states @ network.out
     return (scores, states, forward, backward) if keep else scores
@@ -483,11 +489,12 @@ def personal_data(docs: DataFrame, sample_docs: int = 2_000, network: Network |
 
     def rows(batches):
         for batch in batches:
-            found = find(model.value, batch.column(1).to_pylist())
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()),
-                 pa.array([joined(base + added) for base, added in found], pa.string()), pa.array([len(a) for _, a in found], pa.int64())], names)
+            for part in common.parts(batch, limit=CHUNK):
+                found = find(model.value, part.column(1).to_pylist())
+                counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *counts, pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()),
+                     pa.array([joined(base + added) for base, added in found], pa.string()), pa.array([len(a) for _, a in found], pa.int64())], names)
 
     return docs.mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -500,11 +507,12 @@ def redact(docs: DataFrame, sample_docs: int = 2_000, network: Network | None =
 
     def rows(batches):
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            clean = [_masked(t, base + added) for t, (base, added) in zip(texts, find(model.value, texts))]
-            columns = list(batch.columns)
-            columns[place] = pa.array(clean, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            for part in common.parts(batch, limit=CHUNK):
+                texts = part.column(place).to_pylist()
+                clean = [_masked(t, base + added) for t, (base, added) in zip(texts, find(model.value, texts))]
+                columns = list(part.columns)
+                columns[place] = pa.array(clean, part.schema.field(place).type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
     return docs.mapInArrow(rows, docs.schema)
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -66,6 +67,19 @@ def test_crf_and_lstm_gradients(monkeypatch):
         assert slope == pytest.approx(float(g[at]), rel=2e-2, abs=1e-3)
 
 
+def test_reading_holds_no_gates():
+    # 512 windows took 150 MB when what the way back needs was kept too
+    network = P.fresh(np.random.default_rng(1))
+    texts = ["call 1 " + "a" * 300] * 512
+    tracemalloc.start()
+    P.decode(network, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    x = np.random.default_rng(2).integers(0, P.SYMBOLS, (P.WINDOW, 5))
+    assert np.array_equal(P.tag_scores(network, x), P.tag_scores(network, x, keep=True)[0])
+
+
 def test_windows_cover_triggers():
     text = "a" * 300 + "7" + "b" * 100 + "@" + "c" * 500 + "1" * 400
     covered = set()
