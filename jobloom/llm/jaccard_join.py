@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
-from .components import components, merged_labels
+from .components import components, merged_labels, nearby
 from .shingles import shingle_sets
 
 BITS = 2048
+#: Most cells of the bitmap of a set with more shingles than `BITS`, whose cells are all taken: two to four cells a shingle.
+WIDE_BITS = 1 << 17
 #: Shingles counted in more documents than this are dealt to several buckets.
 HOT = 4096
 NEIGHBOURS = 4
@@ -97,7 +99,7 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
     """`doc_id, uid, n, s, g` of every row of `docs(doc_id, uid, text)`: set size, fingerprints of the set and of its group (prefix and size).
 
     The first row of a group in a task also has the prefix (`tokens`, and the bucket `parts` of frequent
-    ones), the first row of a set its parity bitmap (`bits`).
+    ones), the first row of a set its parity bitmap (`bits`) and, if it has more than `BITS` shingles, a wider one (`wide`).
     """
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     kind = dict(docs.dtypes)["doc_id"]
@@ -128,7 +130,7 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                 bits = np.packbits((bits & 1).reshape(-1, BITS), axis=1)
                 split = front_counts // max(1, crowd // 2)
                 deal = np.where(front_counts > crowd, 1 + np.repeat(g, lengths) % np.maximum(split, 1).astype(np.uint64), 0).astype(np.int32)
-                token_lists, part_lists, bit_rows = [], [], []
+                token_lists, part_lists, bit_rows, wide_rows = [], [], [], []
                 for i in range(len(sizes)):
                     if len(groups_seen) + len(sets_seen) > SEEN:
                         groups_seen.clear()
@@ -142,13 +144,29 @@ def signatures(docs: DataFrame, k: int, percent: int, hot: tuple[np.ndarray, np.
                     if first:
                         sets_seen.add(s[i])
                     bit_rows.append(bits[i].tobytes() if first else None)
+                    wide_rows.append(_wide(prints[offsets[i]:offsets[i + 1]]) if first and sizes[i] > BITS else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes.astype(np.int64)), pa.array(common.signed(s)), pa.array(common.signed(g)),
-                     pa.array(bit_rows, pa.binary()), pa.array(token_lists, pa.list_(pa.int64())), pa.array(part_lists, pa.list_(pa.int32()))],
-                    ["doc_id", "uid", "n", "s", "g", "bits", "tokens", "parts"])
+                     pa.array(bit_rows, pa.binary()), pa.array(wide_rows, pa.binary()), pa.array(token_lists, pa.list_(pa.int64())), pa.array(part_lists, pa.list_(pa.int32()))],
+                    ["doc_id", "uid", "n", "s", "g", "bits", "wide", "tokens", "parts"])
 
     return docs.select("doc_id", "uid", "text").mapInArrow(
-        rows, f"doc_id {kind}, uid long, n long, s long, g long, bits binary, tokens array<long>, parts array<int>")
+        rows, f"doc_id {kind}, uid long, n long, s long, g long, bits binary, wide binary, tokens array<long>, parts array<int>")
+
+
+def _wide(prints: np.ndarray) -> bytes:
+    """Parities of the cells that the lowest bits of a large set's fingerprints choose."""
+    cells = min(WIDE_BITS, 1 << int(2 * len(prints) - 1).bit_length())
+    counts = np.bincount((prints & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _odd_cells(x: bytes, y: bytes) -> int:
+    """Cells in which two wide bitmaps differ; the wider one is folded first, halves on each other."""
+    a, b = (np.frombuffer(v, np.uint64) for v in sorted((x, y), key=len))
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
 
 
 def _buckets(signed: DataFrame, percent: int) -> DataFrame:
@@ -248,13 +266,46 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return common.saved(wide.mapInArrow(by_parity, _LIKELY + ", room long"), "near-likely")
 
 
+def _likely_large(likely: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The `likely(a, b, token, size)` pairs that the wide bitmaps, where both sets have one, leave possible too."""
+    held = classes.where("wide is not null").select("s", "wide")
+    pairs = likely.select("a", "b", "token", "size")
+    large = (pairs.where(F.col("size") > 2 * BITS).join(held.select(F.col("s").alias("a"), F.col("wide").alias("wide1")), "a", "left")
+             .join(held.select(F.col("s").alias("b"), F.col("wide").alias("wide2")), "b", "left").select("a", "b", "token", "size", "wide1", "wide2"))
+
+    def by_parity(batches):
+        for batch in batches:
+            size = batch.column(3).to_numpy()
+            room = size - 2 * -(-percent * size // (100 + percent))
+            both = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = pa.array([x is None or y is None or _odd_cells(x, y) <= r for (x, y), r in zip(both, room)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in range(4)], ["a", "b", "token", "size"])
+
+    return common.saved(pairs.where(F.col("size") <= 2 * BITS).unionByName(large.mapInArrow(by_parity, _LIKELY)), "near-likely")
+
+
 _LIKELY = "a long, b long, token long, size long"
 
 
+def _gathered(likely: DataFrame) -> DataFrame:
+    """The `likely(a, b, token, size)` pairs, with those of sets that hang together under one token.
+
+    A set's pairs come from several buckets, and its text would travel to a place for each. Groups with more than
+    `PLACE` shingles in their pairs keep their buckets' tokens.
+    """
+    labels = nearby(likely)
+    near = (likely.select("a", "b", "token", "size").join(labels.select(F.col("s").alias("a"), F.col("c").alias("x")), "a")
+            .join(labels.select(F.col("s").alias("b"), F.col("c").alias("y")), "b").withColumn("group", F.least("x", "y")).drop("x", "y"))
+    near = common.saved(near, "near-groups")
+    common.removed(labels)
+    large = near.groupBy("group").agg(F.sum("size").alias("shingles")).where(F.col("shingles") > PLACE).select("group", F.lit(True).alias("large"))
+    return near.join(large, "group", "left").select("a", "b", F.when(F.col("large"), F.col("token")).otherwise(F.col("group")).alias("token"), "size")
+
+
 def _verified(docs: DataFrame, likely: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """`a, b`: the `likely(a, b, token, size)` pairs of sets that reach the threshold.
 
-    Pairs that met in one bucket are checked in one place, which gets each of their texts once; a bucket with
+    Pairs of one `token` are checked in one place, which gets each of their texts once; a token with
     more than `PLACE` shingles in its pairs has several places.
     """
     large = likely.groupBy("token").agg(F.ceil(F.sum("size") / PLACE).alias("places")).where("places > 1")
@@ -387,8 +438,12 @@ def _labelled(docs: DataFrame, k: int, percent: int, limits: tuple[int | None, .
     docs = docs.select("doc_id", "text").withColumn("uid", F.xxhash64("doc_id", "text"))
     signed = common.saved(signatures(docs, k, percent, frequent_shingles(docs, k), crowd), "near-signatures")
     classes = common.saved(signed.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.min("uid").alias("uid"),
-                                                               F.max("bits").alias("bits")), "near-classes")
+                                                               F.max("bits").alias("bits"), F.max("wide").alias("wide")), "near-classes")
     members = classes.select("s", "g")
+    buckets = common.saved(_buckets(signed, percent), "near-buckets")
+    # prefixes and bitmaps are in the buckets and classes now
+    named = common.saved(signed.select("uid", "doc_id", "n", "s"), "near-named")
+    common.removed(signed)
 
     # several sets in one group: they share the prefix, so the group is a bucket of its own
     crowded = members.groupBy("g").agg(F.count("*").alias("sets")).where("sets > 1")
@@ -398,12 +453,11 @@ def _labelled(docs: DataFrame, k: int, percent: int, limits: tuple[int | None, .
     within = inner.select("token", "s", *[F.lag("s", i).over(by_set).alias(f"b{i}") for i in range(1, NEIGHBOURS + 1)])
     within = within.select("token", F.col("s").alias("a"), F.explode(F.array(*[f"b{i}" for i in range(1, NEIGHBOURS + 1)])).alias("b")).where("b is not null")
 
-    buckets = common.saved(_buckets(signed, percent), "near-buckets")
     group_pairs = buckets.select("token", "g", F.explode("near.g").alias("g2")).groupBy("g", "g2").agg(F.min("token").alias("token"))
     pairs = (group_pairs.join(members.select(F.col("s").alias("a"), "g"), "g")
              .join(members.select(F.col("s").alias("b"), F.col("g").alias("g2")), "g2").select("a", "b", "token"))
     tested = _likely(_once(pairs.unionByName(within.select("a", "b", "token"))), classes, percent)
-    labels = components(_verified(docs, tested, classes, k, percent))
+    labels = components(_verified(docs, _gathered(_likely_large(tested, classes, percent)), classes, k, percent))
     tested = tested.drop("room")
 
     # buckets with more members than have met: those outside the largest component meet the others
@@ -420,15 +474,17 @@ def _labelled(docs: DataFrame, k: int, percent: int, limits: tuple[int | None, .
         open_ = sizes.where("all > most").select("token", "main", F.ceil(F.col("all") / BLOCK).alias("rows"),
                                                  F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("asks"))
         met = common.saved(_met(placed.join(open_, "token").join(classes.select("s", "bits"), "s"), percent, limit), "near-met")
-        more = met.where("more").limit(1).count()
+        # a bucket in which every set got all its pairs is done
+        more = common.saved(met.where("more").select("token").distinct(), "near-more")
         fresh = common.saved(_once(met).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "near-fresh")
         common.removed(met)
         if fresh.limit(1).count():
-            labels = merged_labels(labels, _verified(docs, fresh, classes, k, percent))
+            labels = merged_labels(labels, _verified(docs, _likely_large(fresh, classes, percent), classes, k, percent))
             tested = tested.unionByName(fresh)
-        if not more:
+        if not more.limit(1).count():
             break
-    return signed.select("uid", "doc_id", "n", "s").join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
+        rest = rest.join(more, "token", "left_semi")
+    return named.join(labels, "s", "left").withColumn("c", F.coalesce("c", "s"))
 
 
 def _spread_join(rows: DataFrame, by: DataFrame, spread: int = 32) -> DataFrame:

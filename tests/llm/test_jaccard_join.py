@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from jobloom.llm import jaccard_join as J
 from jobloom.llm.components import components
 
@@ -83,6 +85,59 @@ def test_buckets_in_blocks(spark, monkeypatch):
     assert answers(spark, rows, limits=(2, None)) == brute(rows)
 
 
+def test_sets_that_hang_together_meet_in_one_place(spark, monkeypatch):
+    # a chain whose pairs come from four buckets, and a pair elsewhere
+    pairs = [(1, 2, 91, 10), (2, 3, 92, 10), (3, 4, 93, 10), (4, 5, 94, 10), (7, 8, 91, 10)]
+    likely = spark.createDataFrame(pairs, "a long, b long, token long, size long")
+    got = {(r.a, r.b): r.token for r in J._gathered(likely).collect()}
+    assert len({got[p] for p in got if p != (7, 8)}) == 1 and got[7, 8] != got[1, 2]
+    monkeypatch.setattr(J, "PLACE", 25)
+    got = {(r.a, r.b): (r.token, r["size"]) for r in J._gathered(likely).collect()}
+    assert all(got[a, b] == (token, size) for a, b, token, size in pairs[:4])
+
+
+def test_buckets_without_more_pairs_are_done(spark, monkeypatch):
+    monkeypatch.setattr(J, "NEIGHBOURS", 1)
+    met, rounds = J._met, []
+
+    def seen(rows, percent, limit):
+        out = met(rows, percent, limit).cache()
+        rounds.append(({r.token for r in rows.select("token").distinct().collect()}, {r.token for r in out.where("more").select("token").distinct().collect()}))
+        return out
+
+    monkeypatch.setattr(J, "_met", seen)
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = [f"w{i % 5 > 0}_{j}" for j in range(80)]  # a small family and a large one
+        for _ in range(r.choice([1, 1, 2, 3])):
+            words[r.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    assert answers(spark, rows, limits=(2, None)) == brute(rows)
+    assert len(rounds) == 2 and rounds[1][0] <= rounds[0][1] < rounds[0][0]
+
+
+def test_large_sets_are_told_apart_without_their_texts(spark):
+    # the narrow bitmap of a set with thousands of shingles is full and leaves every pair possible
+    r = np.random.default_rng(4)
+    x = np.unique(r.integers(0, 1 << 64, 6000, np.uint64))
+    sets = [x, np.concatenate([x[300:], r.integers(0, 1 << 64, 3500, np.uint64)]), np.concatenate([x[200:], r.integers(0, 1 << 64, 200, np.uint64)]),
+            r.integers(0, 1 << 64, 6000, np.uint64), x[:900]]
+    wide = [J._wide(s) if len(s) > J.BITS else None for s in sets]
+    for i in range(4):
+        for j in range(4):
+            assert J._odd_cells(wide[i], wide[j]) <= len(np.setxor1d(sets[i], sets[j]))
+    classes = spark.createDataFrame(list(enumerate(wide)), "s long, wide binary")
+    pairs = [(a, b, 7, len(sets[a]) + len(sets[b])) for a in range(5) for b in range(a)]
+    likely = spark.createDataFrame(pairs, "a long, b long, token long, size long")
+    got = {(r.a, r.b) for r in J._likely_large(likely, classes, 80).collect()}
+    assert got == {(2, 0)} | {(4, b) for b in range(4)}
+    words = [f"w{i}" for i in range(2600)]
+    rows = [(i, " ".join(words[:50 * i] + [f"x{i}_{j}" for j in range(25 * i)] + words[60 * i:])) for i in range(12)]
+    rows += [(20 + i, " ".join(words[k] for k in r.permutation(2600))) for i in range(3)]
+    assert answers(spark, rows) == brute(rows)
+
+
 def test_hot_shingles_are_dealt(spark):
     rows = corpus(5, docs=100)
     assert answers(spark, rows, crowd=8) == brute(rows)
