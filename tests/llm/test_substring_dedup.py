@@ -77,3 +77,24 @@ def test_multikey_quicksort():
     got = [tuple(k) for k in keys[S.multikey_quicksort(keys)].tolist()]
     assert got == sorted(tuple(k) for k in keys.tolist())
     assert S.multikey_quicksort(keys[:1]).tolist() == [0]
+
+
+def test_query_gives_what_is_left(spark, tmp_path):
+    """The query's text and spans show the removal; its digest columns are those of the bytes left."""
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(420))
+    # é and è share their first byte, é and ɩ their second: cuts fall inside characters, and in 2 the halves left meet
+    rows = [(1, "one é" + passage + " end of one"), (2, "two ɩ" + passage + "éa"), (3, "three" + passage[:399] + "#"), (4, passage + "èb"),
+            (5, None), (6, ""), (None, "no id"), (7, "x" * 401), (8, "alone " + "y" * 10)]
+    spark.createDataFrame([(i, t, "", 0, "") for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {g.doc_id: g for g in S.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    digests = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((tuple(g[c] for c in digests) for g in got.values()), key=str) == brute(rows, 400)
+    assert {i: g.text for i, g in got.items()} == {1: "one � end of one", 2: "two ɩa", 3: rows[2][1], 4: "�b",
+                                                   5: "", 6: "", None: "no id", 7: "", 8: "alone " + "y" * 10}
+    for i, text in rows:
+        raw = bytearray((text or "").encode())
+        for a, b in reversed(got[i].spans):
+            del raw[a:b]
+        assert hashlib.sha256(raw).hexdigest() == got[i].kept_sha256
+        assert sum(b - a for a, b in got[i].spans) == got[i].n_removed and len(got[i].spans) == got[i].n_spans
