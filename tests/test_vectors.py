@@ -60,6 +60,54 @@ def test_similar_topk_blocks_of_many_rows(spark):
     assert got == {(i, int(j)) for i in range(120) for j in np.argsort(-scores[i])[:2]}
 
 
+def _of_all_kinds():
+    """Vectors in groups of equal and of nearly equal ones, some at random, some long, one of zeros."""
+    rng = np.random.default_rng(6)
+    near = np.repeat(rng.normal(size=(6, 24)), 20, axis=0) + 1e-4 * rng.normal(size=(120, 24))
+    x = np.concatenate([np.repeat(near[:2], 60, axis=0), near, rng.normal(size=(160, 24))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([x, 3 * x[-20:], np.zeros((1, 24))])
+
+
+@pytest.mark.parametrize("k,kind,unit", [(1, "float", True), (3, "float", True), (1, "double", False), (400, "float", True)])
+def test_slices_give_what_blocks_give(spark, k, kind, unit):
+    x = _of_all_kinds()[:400] if unit else _of_all_kinds()
+    data = [(f"V{i:04d}", [float(a) for a in r]) for i, r in enumerate(np.random.default_rng(2).permutation(x))]
+    df = spark.createDataFrame(data, f"id string, embedding array<{kind}>").repartition(4).cache()
+    q = df.withColumnRenamed("id", "query_id")
+    want = {(r.query_id, r["rank"]): (r.id, r.score) for r in vectors._ranked(vectors._blockwise(q, df, k, 1, 1), k).collect()}
+    found = [vectors.similar_topk(q, df, k, rows=60)]
+    if k == 1 and unit:  # that route, not the one for vectors far from all others
+        sliced = vectors._sliced(q, df, k, 60)
+        assert sliced is not None
+        found.append(vectors._ranked(sliced, k))
+    for got in ({(r.query_id, r["rank"]): (r.id, r.score) for r in f.collect()} for f in found):
+        assert got.keys() == want.keys()
+        # ids may trade places where scores are equal but for their last digit
+        assert all(abs(got[x][1] - want[x][1]) < 1e-12 for x in want)
+        assert sum(got[x][0] != want[x][0] for x in want) == 0 or k == 400
+    df.unpersist()
+
+
+def test_slices_of_far_vectors_are_met_as_blocks(spark):
+    x = np.random.default_rng(8).normal(size=(150, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id long, embedding array<float>")
+    assert vectors._sliced(df.withColumnRenamed("id", "query_id"), df, 3, 20) is None
+    one = df.withColumn("embedding", F.when(F.col("id") == 3, F.transform("embedding", lambda x: x * float("inf"))).otherwise(F.col("embedding")))
+    assert vectors._sliced(one.withColumnRenamed("id", "query_id"), one, 1, 20) is None
+
+
+def test_reach_of_own_vector():
+    """A unit vector that is its own nearest needs no row farther than rounding; without k rows nothing is ruled out."""
+    x = np.random.default_rng(9).normal(size=(1000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    low, square = vectors._places(x)
+    order = np.argsort(low[:, 0])
+    x, low, square = x[order], low[order], square[order]
+    assert vectors._reach(x, low, square, x, low, 1, square.max()).max() < 2e-3
+    assert np.isinf(vectors._reach(x, low, square, x[:3], low[:3], 4, square.max())).all()
+
+
 def test_dense_index(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 10).alias("g"))
     rows = ranks.dense_index(df.repartition(6), [F.col("k").desc()]).collect()
